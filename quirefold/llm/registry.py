@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quirefold.llm import exact_dedup, media
+from pyspark.sql import functions as F
+
+from quirefold.llm import bpe, exact_dedup, media, token_files
 from quirefold.llm.common import table
 
 
@@ -15,8 +17,24 @@ def _op10(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "seconds", "frames", "crc_bad")
 
 
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _op5(spark, sf_dir):
+    path = _tokenizer_file("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _op8(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict:
-    return {"op9_exact_dedup": _op9, "op10_media": _op10}
+    return {"op5_bpe": _op5, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
 
 
 def oracle_sql() -> dict:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, media, mixing, token_files
+from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, token_files
 from quirefold.llm.common import table
 
 
@@ -23,6 +23,10 @@ def _tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _op1(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def _op3(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,8 +42,8 @@ def _op8(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op3_mixing": _op3, "op5_bpe": _op5, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
+    return {"op1_minhash": _op1, "op3_mixing": _op3, "op5_bpe": _op5, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
 
 
 def oracle_sql() -> dict:
-    return {"op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_minhash": minhash.oracle(85), "op9_exact_dedup": exact_dedup.ORACLE}

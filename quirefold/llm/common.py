@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,4 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder: a lost executor costs a reread, not a recomputation."""
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now, not whenever the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of `written` that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/quirefold-" in path:
+            _remove(df.sparkSession, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, token_files
+from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, substrings, token_files
 from quirefold.llm.common import table
 
 
@@ -33,17 +33,21 @@ def _op3(spark, sf_dir):
 
 def _op5(spark, sf_dir):
     path = _tokenizer_file("byte_bpe_50k.json")
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _op7(spark, sf_dir):
+    return substrings.digest(substrings.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def _op8(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), _tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op3_mixing": _op3, "op5_bpe": _op5, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
+    return {"op1_minhash": _op1, "op3_mixing": _op3, "op5_bpe": _op5, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash": minhash.oracle(85), "op9_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_minhash": minhash.oracle(85), "op7_substrings": substrings.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

@@ -13,7 +13,7 @@ The result equals the `tokenizers` library's for byte-level BPE without normalis
 other kinds of file are refused). The added tokens' strings in a text become their ids, as in the library.
 
 Defined cases: null text is empty and has no ids; decoding gives back the very text, bytes that are no UTF-8 become
-U+FFFD; one very long word costs n log n. Caches are cleared at a fixed size, so memory follows one Arrow batch.
+U+FFFD; one very long word costs n log n. The cache has a fixed size, so memory follows one Arrow batch.
 """
 
 from __future__ import annotations
@@ -28,11 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.words import mix, powers
+
 # Fixed value of this family of tokenizers: the pattern that splits text before the merges.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _LOOSE = re.compile(r"^ | $| \s|\s ")
+_MARK = "\ue000"
 _NEVER = np.int64(2**62)
-CACHE = 300_000
+CACHE, SHORT = 120_000, 32
+#: Texts are taken through in parts of about so many characters.
+PART = 2_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -42,8 +47,37 @@ def byte_letters() -> dict[str, int]:
     return {chr(b) if b in plain else next(spare): b for b in range(256)}
 
 
+class Lookup:
+    """Integer keys to their places in a table, vectorised: one slot a key, the few that share one are searched."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.keys, self._shift = keys.astype(np.uint64), np.uint64(64 - bits)
+        self._slots = np.full(1 << bits, -1, np.int32)
+        slot = self._slot(self.keys)
+        self._slots[slot[::-1]] = np.arange(len(keys) - 1, -1, -1, dtype=np.int32)
+        spill = np.flatnonzero(self._slots[slot] != np.arange(len(keys)))
+        self._spill = spill[np.argsort(self.keys[spill])]
+        self._spill_keys = self.keys[self._spill]
+        self._shared = np.zeros(1 << bits, bool)
+        self._shared[slot[spill]] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self._shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        shape, keys = keys.shape, keys.astype(np.uint64, copy=False).ravel()
+        slot = self._slot(keys)
+        at = self._slots[slot]
+        out = np.where((at >= 0) & (self.keys[at] == keys), at, -1)
+        if len(odd := np.flatnonzero((out < 0) & self._shared[slot])):
+            place = np.minimum(np.searchsorted(self._spill_keys, keys[odd]), len(self._spill) - 1)
+            out[odd] = np.where(self._spill_keys[place] == keys[odd], self._spill[place], -1)
+        return out.reshape(shape)
+
+
 class Bpe:
-    """Tables of one tokenizer file, and caches."""
+    """Tables of one tokenizer file, and a cache of two generations."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -51,47 +85,46 @@ class Bpe:
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
             raise ValueError(f"{path}: only byte-level BPE without normaliser, prefix space or word ends")
-        letters = byte_letters()
-        raw = lambda text: bytes(letters[c] for c in text)
-        size = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+        letters, vocab = byte_letters(), model["vocab"]
+        size = 1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])])
         self.bytes: list[bytes] = [b""] * size
-        for text, i in model["vocab"].items():
-            self.bytes[i] = raw(text)
+        for text, i in vocab.items():
+            self.bytes[i] = bytes(letters[c] for c in text)
         self.ids = {b: i for i, b in enumerate(self.bytes) if b}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         for text, i in self.special.items():
             self.bytes[i] = text.encode()
-        vocab, pairs = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(pairs)))}
         #: rank of the merge that makes a token (-1: a single byte), and the two parts it merges
         self.made = np.full(size, -1, np.int64)
         self.left, self.right = np.arange(size), np.arange(size)
         for (a, b), (rank, whole) in sorted(self.merges.items(), key=lambda x: -x[1][0]):
             self.made[whole], self.left[whole], self.right[whole] = rank, a, b
-        keys = np.array([a << 32 | b for a, b in self.merges], np.int64)
-        order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
-        by_start: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            by_start.setdefault(token[:2], set()).add(len(token))
-        self._lengths = {k: sorted(v, reverse=True) for k, v in by_start.items()}
-        self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._firsts: dict[str, bytes] = {}
+        self._pairs = Lookup(np.array([a << 32 | b for a, b in self.merges]))
+        self._ranks = np.array([r for r, _ in self.merges.values()] + [_NEVER], np.int64)
+        self._whole = np.array([w for _, w in self.merges.values()] + [-1], np.int64)
+        self._byte_ids = np.array([self.ids[bytes([i])] for i in range(256)], np.int64)
+        short = [(i, t) for t, i in self.ids.items() if len(t) <= SHORT]
+        data = np.frombuffer(b"".join(t for _, t in short), np.uint8)
+        ends = np.cumsum([len(t) for _, t in short])
+        self._texts = Lookup(_spans(data, ends - np.diff(ends, prepend=0), ends))
+        self._text_ids = np.array([i for i, _ in short], np.int64)
+        self._longest = np.ones(1 << 16, np.int64)  # of the tokens that start with these two bytes
+        for _, t in short:
+            if len(t) > 1:
+                self._longest[t[0] << 8 | t[1]] = max(self._longest[t[0] << 8 | t[1]], len(t))
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self.speculated = self.repaired = 0
 
-    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], _NEVER)
-
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair whether the merges leave the border between the two tokens alone."""
         a, b = a.astype(np.int64), b.astype(np.int64)
         out, live, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), _NEVER)
         while len(live):
-            bad = self._rank(a, b) < limit
+            bad = self._ranks[self._pairs(a << 32 | b)] < limit
             out[live[bad]] = False
             made_a, made_b = self.made[a], self.made[b]
             go = ~bad & ((made_a >= 0) | (made_b >= 0))
@@ -101,20 +134,66 @@ class Bpe:
             a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
         return out
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, at, n, ids, lengths = [], 0, len(word), self.ids, self._lengths
-        while at < n:
-            for k in lengths.get(word[at : at + 2], ()):
-                if at + k <= n and (i := ids.get(word[at : at + k])) is not None:
-                    break
-            else:
-                k, i = 1, ids[word[at : at + 1]]
-            out.append(i)
-            at += k
-        return out
+    def _speculate(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words at once: word and token of each proposed token, in order."""
+        sums = _sums(data)
+        after = np.append(data[1:], 0).astype(np.int64)
+        longest = self._longest[data.astype(np.int64) << 8 | after]
+        at, live, words, tokens = starts.copy(), np.arange(len(starts)), [], []
+        while len(live):
+            here = at[live]
+            size = np.minimum(longest[here], ends[live] - here)
+            token = np.full(len(live), -1, np.int64)
+            todo = np.arange(len(live))
+            while len(todo):
+                a, n = here[todo], size[todo]
+                found = self._texts(_between(sums, a, a + n))
+                hit = found >= 0
+                token[todo[hit]] = self._text_ids[found[hit]]
+                todo = todo[~hit]
+                size[todo] -= 1
+            words.append(live)
+            tokens.append(token)
+            at[live] += size
+            live = live[at[live] < ends[live]]
+        word, token = np.concatenate(words), np.concatenate(tokens)
+        order = np.argsort(word, kind="stable")
+        return word[order], token[order]
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Exact merging of short words side by side: in each round every word makes its next merge."""
+        n, wide = ends - starts, int((ends - starts).max())
+        cols = np.arange(wide)
+        ids = np.where(cols < n[:, None], self._byte_ids[data[np.minimum(starts[:, None] + cols, len(data) - 1)]], -1)
+        ids = np.concatenate([ids, np.full((len(ids), 1), -1)], axis=1)
+
+        def look(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return np.where((a >= 0) & (b >= 0), self._pairs((a & 0xFFFFFFFF) << 32 | (b & 0xFFFFFFFF)), -1)
+
+        out: list = [None] * len(ids)
+        rows, pair = np.arange(len(ids)), look(ids[:, :-1], ids[:, 1:])
+        while True:
+            rank = self._ranks[pair]
+            j = rank.argmin(axis=1)
+            every = np.arange(len(ids))
+            done = rank[every, j] == _NEVER
+            for i in np.flatnonzero(done).tolist():
+                out[rows[i]] = ids[i][ids[i] >= 0]
+            if done.all():
+                return out
+            go = ~done
+            ids, pair, rows, j = ids[go], pair[go], rows[go], j[go]
+            every = np.arange(len(ids))
+            whole = self._whole[pair[every, j]]
+            ids = np.where(np.arange(wide + 1) <= j[:, None], ids, np.concatenate([ids[:, 1:], np.full((len(ids), 1), -1)], axis=1))
+            pair = np.where(cols <= j[:, None], pair, np.concatenate([pair[:, 1:], np.full((len(ids), 1), -1)], axis=1))
+            ids[every, j] = whole
+            pair[every, j] = look(whole, ids[every, j + 1])
+            back = np.maximum(j - 1, 0)
+            pair[every, back] = np.where(j > 0, look(ids[every, back], whole), pair[every, back])
 
     def merged(self, word: bytes) -> list[int]:
-        """Exact merging: lowest rank first, of equal ranks the leftmost."""
+        """Exact merging of one word: lowest rank first, of equal ranks the leftmost."""
         ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         merges, n = self.merges, len(ids)
@@ -135,59 +214,114 @@ class Bpe:
                 heapq.heappush(heap, (m[0], h, ids[h], whole, m[1]))
         return [i for i in ids if i >= 0]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes words that the cache lacks."""
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; words of more than SHORT bytes (a handful) are merged with a heap at once."""
         raw = [w.encode() for w in words]
-        proposed = [self.greedy(w) for w in raw]
-        sizes = np.fromiter(map(len, proposed), np.int64, len(proposed))
-        flat = np.fromiter((i for p in proposed for i in p), np.int64, int(sizes.sum()))
-        word = np.repeat(np.arange(len(words)), sizes)
-        inner = np.flatnonzero(word[1:] == word[:-1]) if len(word) else np.zeros(0, np.int64)
-        pairs, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
-        good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
-        failing = set(word[inner[~good]].tolist())
-        self.speculated += len(words)
-        self.repaired += len(failing)
-        for i, (text, ids) in enumerate(zip(words, proposed, strict=True)):
-            self._words[text] = np.array(self.merged(raw[i]) if i in failing else ids, "<u4").tobytes()
-
-    def _encode_pieces(self, pieces: list[str], into: dict[str, bytes], lead: str) -> None:
-        parts: list[list[str | int]] = []
-        for piece in pieces:
-            text, at, part = lead + piece, 0, []
-            for m in self._special.finditer(text) if self._special else ():
-                part += WORD.findall(text[at : m.start()])
+        out: list = [None] * len(raw)
+        near = [i for i, w in enumerate(raw) if 0 < len(w) <= SHORT]
+        for i, w in enumerate(raw):
+            if not 0 < len(w) <= SHORT:
+                out[i] = np.array(self.merged(w), "<u4").tobytes()
+        if near:
+            data = np.frombuffer(b"".join(raw[i] for i in near), np.uint8)
+            sizes = np.fromiter((len(raw[i]) for i in near), np.int64, len(near))
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            word, token = self._speculate(data, starts, ends)
+            inner = np.flatnonzero(word[1:] == word[:-1])
+            pairs, back = np.unique(token[inner] << 32 | token[inner + 1], return_inverse=True)
+            good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
+            failing = np.unique(word[inner[~good]])
+            self.speculated += len(near)
+            self.repaired += len(failing)
+            flat, bounds = token.astype("<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(near) + 1))).tolist()
+            for k, i in enumerate(near):
+                out[i] = flat[bounds[k] : bounds[k + 1]]
+            if len(failing):
+                for k, ids in zip(failing.tolist(), self._merge_rows(data, starts[failing], ends[failing]), strict=True):
+                    out[near[k]] = ids.astype("<u4").tobytes()
+        return out
+
+    def _encode_pieces(self, pieces: list[str]) -> None:
+        known, find, parts = self._new, WORD.findall, {}
+        fresh = dict.fromkeys(p for p in pieces if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()))  # one word each
+        rest = [p for p in pieces if p not in fresh]
+        for piece in rest:
+            part: list[str | int] = []
+            at = 0
+            for m in self._special.finditer(piece) if self._special else ():
+                part += find(piece[at : m.start()])
                 part.append(self.special[m[0]])
                 at = m.end()
-            parts.append(part + WORD.findall(text[at:]))
-        fresh = list({w for part in parts for w in part if isinstance(w, str) and w not in self._words})
-        self._learn(fresh)
-        for piece, part in zip(pieces, parts, strict=True):
-            into[piece] = b"".join(self._words[w] if isinstance(w, str) else np.array([w], "<u4").tobytes() for w in part)
+            parts[piece] = part + find(piece[at:] if at else piece)
+            fresh.update((w, None) for w in parts[piece] if w.__class__ is str and w not in known)
+        words = list(fresh)
+        known.update(zip(words, self._learn(words), strict=True))
+        for piece, part in parts.items():
+            known[piece] = b"".join(known[w] if w.__class__ is str else np.array([w], "<u4").tobytes() for w in part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self._words) + len(self._pieces) > CACHE:
-            self._words, self._pieces, self._firsts = {}, {}, {}
+        if len(self._new) > CACHE:
+            self._old, self._new = self._new, {}
         cut = [pieces_of(t) for t in texts]
-        for into, lead, wanted in ((self._firsts, "", {c[0] for c in cut}), (self._pieces, " ", {p for c in cut for p in c[1:]})):
-            self._encode_pieces([p for p in wanted if p not in into], into, lead)
-        first, rest = self._firsts, self._pieces.__getitem__
-        return [first[c[0]] + b"".join(map(rest, c[1:])) for c in cut]
+        new, old, missing = self._new, self._old, []
+        for piece in set().union(*cut):
+            if piece not in new:
+                if (ids := old.get(piece)) is None:
+                    missing.append(piece)
+                else:
+                    new[piece] = ids
+        self._encode_pieces(missing)
+        return [b"".join(map(new.__getitem__, c)) for c in cut]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _scale(len(data)), out=out[1:])
+    return out
+
+
+def _between(sums: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix((sums[b] - sums[a]) * _unscale(len(sums))[a] + (b - a).astype(np.uint64))
+
+
+def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return _between(_sums(data), starts, ends)
+
+
+_BASE = 0x9E6C63D0876A9A63
+_tables: dict[int, np.ndarray] = {}
+
+
+def _power_table(base: int, n: int) -> np.ndarray:
+    if len(_tables.get(base, ())) < n:
+        _tables[base] = powers(base, max(n, 1 << 16))
+    return _tables[base][:n]
+
+
+def _scale(n: int) -> np.ndarray:
+    return _power_table(_BASE, n)
+
+
+def _unscale(n: int) -> np.ndarray:
+    return _power_table(pow(_BASE, -1, 2**64), n)
+
+
 def pieces_of(text: str) -> list[str]:
-    """The text cut at spaces between two characters that are not blank; each space belongs to the piece after it."""
-    parts = text.split(" ")
-    if not _LOOSE.search(text):
-        return parts
-    out = [parts[0]]
-    for part in parts[1:]:
+    """The text cut before each space that stands between two characters that are not blank."""
+    if not text:
+        return []
+    if not _LOOSE.search(text) and _MARK not in text:
+        return text.replace(" ", _MARK + " ").split(_MARK)
+    first, *rest = text.split(" ")
+    out = [first]
+    for part in rest:
         if out[-1] and part and not out[-1][-1].isspace() and not part[0].isspace():
-            out.append(part)
+            out.append(" " + part)
         else:
             out[-1] += " " + part
     return out
@@ -203,21 +337,35 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of each row. The file must exist on every node."""
+def _in_parts(bpe: Bpe, texts: list[str]) -> list[bytes]:
+    out, at, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= PART:
+            out += bpe.encode(texts[at : i + 1])
+            at, size = i + 1, 0
+    return out + bpe.encode(texts[at:])
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens and ids (binary, little-endian unsigned 32-bit) of each row; with `decoded` also the text that
+    decoding those ids gives. The file must exist on every node."""
 
     def run(batches):
         bpe = loaded(vocabulary)
         for batch in batches:
-            ids = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = _in_parts(bpe, [t or "" for t in batch.column(1).to_pylist()])
+            columns = {"doc_id": batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            if decoded:
+                columns["decoded"] = pa.array(map(bpe.decode, ids), pa.string())
+            yield pa.RecordBatch.from_pydict(columns)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
-    """The rows of `encode` with their text decoded from the ids."""
+    """The rows of `encode` with their text decoded from the ids (null ids: null)."""
 
     def run(batches):
         bpe = loaded(vocabulary)

@@ -139,7 +139,6 @@ class CachedTokenizer:
         if len(self._cache) > self._limit:
             self._cache.clear()
         cut = [pieces_of(t) for t in texts]
-        cut = [[c[0], *(" " + p for p in c[1:])] for c in cut]
         fresh = list({p for c in cut for p in c if p not in self._cache})
         for piece, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
             self._cache[piece] = np.array(e.ids, "<u4").tobytes()

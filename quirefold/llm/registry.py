@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, substrings, token_files
+from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, quality, substrings, token_files
 from quirefold.llm.common import table
 
 
@@ -31,6 +31,11 @@ def _op3(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def _op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def _op5(spark, sf_dir):
     path = _tokenizer_file("byte_bpe_50k.json")
     found = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
@@ -46,7 +51,7 @@ def _op8(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op3_mixing": _op3, "op5_bpe": _op5, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
+    return {"op1_minhash": _op1, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
 
 
 def oracle_sql() -> dict:

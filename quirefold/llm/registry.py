@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, quality, substrings, token_files
+from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, quality, substrings, token_files, toxicity
 from quirefold.llm.common import table
 
 
@@ -42,6 +42,11 @@ def _op5(spark, sf_dir):
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def _op7(spark, sf_dir):
     return substrings.digest(substrings.without_repeats(table(spark, sf_dir, "documents")))
 
@@ -51,7 +56,7 @@ def _op8(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
+    return {"op1_minhash": _op1, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
 
 
 def oracle_sql() -> dict:

@@ -79,11 +79,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = docs.withColumns({"__points": points, "__sha": sha})
     winners = exact_groups(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
     winners = written(winners, "exact-winners")
-    same = F.col(id_col).eqNullSafe(F.col("__winners.doc_id")) & (F.col("__sha") == F.col("__winners.text_sha256"))
-    kept = marked.join(winners.alias("__winners"), same, "left_semi")
+    sought = winners.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"))
+    kept = marked.join(sought, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")), "left_semi")
     if not winners.where("n > 1").isEmpty():
         longest = F.max_by(F.struct(*docs.columns), F.struct("__points", F.xxhash64(text_col)))
-        return kept.groupBy("__sha", F.col(id_col).alias("__id")).agg(longest.alias("__row")).select("__row.*")
+        return kept.groupBy("__sha", F.col(id_col).alias("__key")).agg(longest.alias("__row")).select("__row.*")
     return kept.select(docs.columns)
 
 

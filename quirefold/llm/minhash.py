@@ -61,9 +61,9 @@ def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     """A row of coordinates for each non-empty set."""
     points = mix(np.concatenate(sets) ^ _FIRST)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), coordinates), np.uint64)
+    out, shifts = np.empty((len(sets), coordinates), np.uint64), np.arange(coordinates, dtype=np.uint64) * _STEP
     for k in range(coordinates):
-        out[:, k] = np.minimum.reduceat(mix(points + U(k) * _STEP if k else points), at)
+        out[:, k] = np.minimum.reduceat(mix(points + shifts[k]), at)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, quality, substrings, token_files, toxicity
 from quirefold.llm.common import table
 
@@ -56,8 +57,9 @@ def _op8(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10}
+    return {"op1_minhash": _op1, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op1_minhash": minhash.oracle(85), "op7_substrings": substrings.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op1_minhash": minhash.oracle(85), "op7_substrings": substrings.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}

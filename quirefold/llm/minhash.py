@@ -6,10 +6,10 @@ coordinate, and its minimum over the set is the coordinate (Li and Li, "C-MinHas
 number of bands follows from the similarity sought, so that a pair at the threshold misses all bands with a chance
 below one in a million. Every link is confirmed by the exact Jaccard similarity of the two full sets.
 
-Documents with equal sets are one vertex. In a bucket, each vertex is first compared with the bucket's smallest; where
-a bucket still holds several components after that, its vertices outside the largest one are compared with all others
-of the bucket in blocks of `BLOCK` against `BLOCK` vertices, and only links that join two components leave a block
-pair. So the result has every component that the confirmed links of all bucket pairs would give, while buckets of
+Documents with equal sets are one vertex. In a bucket, each vertex is first compared with the bucket's most central one
+(the one that shares most buckets with others: the original among its copies). Where a bucket still holds vertices that
+this left apart, those outside its largest class are compared with all others of the bucket in blocks of `BLOCK`
+against `BLOCK` vertices, and only links that join two classes leave a block pair. So the result has every component that the confirmed links of all bucket pairs would give, while buckets of
 near-copies cost about one comparison a vertex and no task gathers a bucket.
 
 Defined cases: a document of 1-4 words is one shingle (its whole sequence); null, empty and blank texts have none, are
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from quirefold.llm.components import components
 from quirefold.llm.words import U, buffer_of, chunks, grams, hashes, mix, split
 
 SHINGLE, ROWS, MISS = 5, 4, 1e-6
-BLOCK = 64
+BLOCK, SLICE = 64, 1 << 14
 _STEP = U(0x9E3779B97F4A7C15)
 _FIRST = U(0x6A09E667F3BCC909)
 
@@ -129,21 +130,106 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
 
 
+@dataclass
+class Block:
+    """Some vertices of a bucket, in arrays that one binary value holds."""
+
+    vertex: np.ndarray  #: n x 2, as all that follow for vertices and roots: 16 bytes in two integers
+    root: np.ndarray
+    bands: np.ndarray  #: n x bands
+    sizes: np.ndarray
+    members: np.ndarray  #: all sets, one after the other
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.sizes), self.bands.shape[1] if len(self.sizes) else 0], np.int64)
+        return b"".join(x.tobytes() for x in (head, self.vertex, self.root, self.bands, self.sizes, self.members))
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Block:
+        words = np.frombuffer(data, np.uint64)
+        n, bands = words[:2].astype(np.int64)
+        a, b, c, d = (np.cumsum([2, 2 * n, 2 * n, bands * n])).astype(int)
+        e = d + n
+        return cls(words[a:b].reshape(n, 2), words[b:c].reshape(n, 2), words[c:d].view(np.int64).reshape(n, bands), words[d:e].view(np.int64), words[e:])
+
+    def sets(self, rows: np.ndarray) -> list[np.ndarray]:
+        ends = np.cumsum(self.sizes)
+        return [self.members[ends[i] - self.sizes[i] : ends[i]] for i in rows]
+
+    def only(self, rows: np.ndarray) -> Block:
+        sets = self.sets(rows)
+        return Block(self.vertex[rows], self.root[rows], self.bands[rows], self.sizes[rows], np.concatenate(sets) if sets else self.members[:0])
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """key, some and others of rows key, largest, members (a list of at most about BLOCK vertices)."""
+
+    def run(batches):
+        for batch in batches:
+            keys, largest, lists = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            some, others = [], []
+            for i in range(batch.num_rows):
+                part = lists[i].values
+                column = lambda name: part.field(name).to_pylist()  # noqa: B023, E731
+                sets = column("members")
+                block = Block(
+                    *(np.frombuffer(b"".join(column(c)), np.uint64).reshape(-1, 2) for c in ("vertex", "root")),
+                    np.array(column("bands"), np.int64), np.array([len(x) // 8 for x in sets], np.int64), np.frombuffer(b"".join(sets), np.uint64),
+                )
+                outside = np.flatnonzero((block.root != np.frombuffer(largest[i], np.uint64)).any(axis=1))
+                some.append(block.only(outside).pack() if len(outside) else None)
+                others.append(block.pack())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(some, pa.binary()), pa.array(others, pa.binary())], ["key", "some", "others"])
+
+    return rows.mapInArrow(run, "key long, some binary, others binary")
+
+
 def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between components from pairs of blocks: key, some (outside the largest component) and all."""
+    """Links between classes from pairs of blocks: key, some (outside the largest class) and others."""
 
     def run(batches):
         for batch in batches:
             out: list[tuple[bytes, bytes]] = []
-            for i in range(batch.num_rows):
-                key, some, others = (batch.column(k)[i].as_py() for k in range(3))
-                out += _join_blocks(key, some, others, percent)
+            for key, some, others in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                out += _join_blocks(key, Block.unpack(some), Block.unpack(others), percent)
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], ["u", "v"])
 
     return blocks.mapInArrow(run, "u binary, v binary")
 
 
-def _join_blocks(key: int, some: list[dict], others: list[dict], percent: int) -> list[tuple[bytes, bytes]]:
+def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each of xs has in common with each of ys: products of 0/1 matrices over slices of the values."""
+    both = np.concatenate([*xs, *ys])
+    values, place = np.unique(both, return_inverse=True)
+    row = np.repeat(np.arange(len(xs) + len(ys)), [len(v) for v in (*xs, *ys)])
+    # a value that only one set holds is common to none
+    held = np.flatnonzero(np.bincount(place) > 1)
+    new = np.full(len(values), -1)
+    new[held] = np.arange(len(held))
+    place, row = new[place][new[place] >= 0], row[new[place] >= 0]
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    for low in range(0, len(held), SLICE):
+        some = (place >= low) & (place < low + SLICE)
+        grid = np.zeros((len(xs) + len(ys), min(SLICE, len(held) - low)), np.float32)
+        grid[row[some], place[some] - low] = 1
+        out += grid[: len(xs)] @ grid[len(xs) :].T
+    return out.astype(np.int64)
+
+
+def _join_blocks(key: int, some: Block, others: Block, percent: int) -> list[tuple[bytes, bytes]]:
+    n, m = some.sizes, others.sizes
+    apart = (some.root[:, None, :] != others.root).any(axis=2)
+    i, j = np.nonzero(apart & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)))
+    # a pair that meets in several buckets is looked at in the first of them
+    first = (some.bands[i] == others.bands[j]).argmax(axis=1)
+    keep = some.bands[i, first] == key
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return []
+    rows, r = np.unique(i, return_inverse=True)
+    cols, c = np.unique(j, return_inverse=True)
+    both = _common(some.sets(rows), others.sets(cols))[r, c]
+    good = 100 * both >= percent * (n[i] + m[j] - both)
     parent: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -151,25 +237,12 @@ def _join_blocks(key: int, some: list[dict], others: list[dict], percent: int) -
             x = up
         return x
 
-    sets = [np.frombuffer(y["members"], np.uint64) for y in others]
-    sizes = np.array([len(s) for s in sets])
-    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    bands = np.array([y["bands"] for y in others])
     out = []
-    for x in some:
-        mine = np.frombuffer(x["members"], np.uint64)
-        place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-        both = np.add.reduceat(mine[place] == flat, at, dtype=np.int64)
-        good = 100 * both >= percent * (len(mine) + sizes - both)
-        # a pair that meets in several buckets is looked at in the first of them
-        same = bands == np.array(x["bands"])
-        good &= bands[np.arange(len(others)), same.argmax(axis=1)] == key
-        for j in np.flatnonzero(good):
-            y = others[j]
-            a, b = find(x["root"]), find(y["root"])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((x["vertex"], y["vertex"]))
+    for k, o in zip(i[good].tolist(), j[good].tolist(), strict=True):
+        x, y = find(some.root[k].tobytes()), find(others.root[o].tobytes())
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((some.vertex[k].tobytes(), others.vertex[o].tobytes()))
     return out
 
 
@@ -180,11 +253,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     vertices = rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
     vertices = written(vertices, "minhash-vertices")
     placed = vertices.select("vertex", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("vertex").alias("hub")).where("n > 1")
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(placed.join(shared, "key"), "minhash-members")
     links = _links(docs, vertices, members, percent)
     named = vertices.select("vertex", "least")
-    if links is not None:
+    if links is not None and not links.isEmpty():
         roots = components(links).select(F.col("node").alias("vertex"), "root")
         named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
         names = named.groupBy("root").agg(F.min("least").alias("name"))
@@ -195,28 +268,31 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 
 
 def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
-    pairs = written(members.where("vertex <> hub").select(F.col("vertex").alias("u"), F.col("hub").alias("v")).distinct(), "minhash-pairs")
+    """Confirmed links u, v that have the same components as all confirmed links of pairs in a bucket; None for none."""
+    central = members.groupBy("vertex").agg(F.sum("n").alias("met"))
+    ranked = members.join(central, "vertex")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("met", "vertex")).alias("hub")).select("key", F.col("hub.vertex").alias("v"))
+    pairs = written(members.join(hubs, "key").where("vertex <> v").select(F.col("vertex").alias("u"), "v").distinct(), "minhash-pairs")
     if pairs.isEmpty():
         return None
     wanted = vertices.join(members.select("vertex").distinct(), "vertex", "left_semi").select("vertex", F.col("least").alias("id"))
     sets = written(_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))).dropDuplicates(["vertex"]), "minhash-sets")
     links = written(_confirmed(pairs, sets, percent), "minhash-links")
-    # what the comparison with the smallest left apart
-    roots = components(links).select(F.col("node").alias("vertex"), "root") if not links.isEmpty() else None
-    rest = members.where("n > 2 and vertex <> hub").select("key", "vertex")
-    rest = rest.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex")) if roots is not None else rest.withColumn("root", F.col("vertex"))
-    rest = written(rest, "minhash-rest")
+    # what the comparison with the most central vertex left apart: classes so far are hubs and what links to them
+    up = links.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("root"))
+    up = up.join(up.select(F.col("vertex").alias("root"), F.col("root").alias("next")), "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
+    rest = members.where("n > 2").select("key", "vertex").join(up, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").drop("roots")
-    apart = written(rest.join(several, "key"), "minhash-apart")
-    if apart.isEmpty():
-        return links
-    apart = apart.withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BLOCK)))
+    apart = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BLOCK)))
     apart = apart.join(vertices.select("vertex", "bands"), "vertex").join(sets, "vertex")
-    one = F.struct("vertex", "root", "bands", "members")
-    blocks = written(apart.groupBy("key", "block").agg(F.collect_list(one).alias("others"), F.collect_list(F.when(F.col("root") != F.col("largest"), one)).alias("some")), "minhash-blocks")
-    asked = blocks.where(F.size("some") > 0).select("key", "some")
-    return links.unionByName(written(_block_links(asked.join(blocks.select("key", "others"), "key").select("key", "some", "others"), percent), "minhash-more"))
+    listed = apart.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.collect_list(F.struct("vertex", "root", "bands", "members")).alias("list"))
+    blocks = written(_packed(listed.select("key", "largest", "list")), "minhash-blocks")
+    asked = blocks.where("some IS NOT NULL").select("key", "some")
+    if asked.isEmpty():
+        return links
+    more = _block_links(asked.join(blocks.select("key", "others"), "key").select("key", "some", "others"), percent)
+    return links.unionByName(written(more.distinct(), "minhash-more"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

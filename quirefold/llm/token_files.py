@@ -18,7 +18,9 @@ an empty table gives no documents.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,11 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.bpe import pieces_of
 from quirefold.llm.common import own_folder, written
 
 MAGIC, HEADER = b"QEF1", struct.Struct("<8Q")
 SAMPLE = 256
+# Fixed value of this family of tokenizers: the words that the merges see.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# The same for lower-cased text of Latin-1 characters, its classes written out.
+_LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t\n\r\v\f\x85\xa0a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+").findall
+_MARK = "\x01"
 SHARD_IDS = 8 << 20
 
 
@@ -122,9 +128,14 @@ class Shard:
 
 
 class CachedTokenizer:
-    """A tokenizers file; pieces between spaces, which tokens of such files never span, are encoded once."""
+    """A tokenizers file whose tokens never span a blank; every distinct piece of text is encoded once per cache.
 
-    def __init__(self, path: str, cache: int = 300_000):
+    Latin-1 texts are lower-cased and cut as the file's own pre-tokenizer cuts them, other texts at blanks only. New pieces
+    go to the library many at a time in one text. A word ends at its word-end token; other pieces are set apart by a
+    character that is one token of its own, and those that hold it or the start of an added token go alone.
+    """
+
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -132,17 +143,66 @@ class CachedTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self._cache: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        if _WORDS not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False) or not any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"]):
+            raise ValueError(f"{path}: only lower-casing word tokenizers with the known word pattern")
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        suffix = spec["model"]["end_of_word_suffix"]
+        if len(mark) != 1 or not suffix:
+            raise ValueError(f"{path}: needs word ends and a token of its own for {_MARK!r}")
+        self._mark = mark[0]
+        self._last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self._last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self._odd = re.compile("|".join(re.escape(x) for x in sorted({t["content"][:2] for t in spec["added_tokens"]} | {_MARK}))).search
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._limit = cache
 
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """The text's pieces, and whether each is one word as the file's own pre-tokenizer would cut it."""
+        try:
+            text.encode("latin-1")  # such text is in normal form C, and lower() works letter by letter
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").replace("\t", " ").split(" "), False
+        if self._odd(text):
+            return text.split(" "), False
+        return _LATIN_WORDS(text.lower()), True
+
+    def _missing(self, pieces: set[str]) -> list[str]:
+        new, old, out = self._new, self._old, []
+        for piece in pieces:
+            if piece not in new:
+                if (ids := old.get(piece)) is not None:
+                    new[piece] = ids
+                else:
+                    out.append(piece)
+        return out
+
+    def _learn(self, pieces: list[str], between: str, ends_of) -> None:
+        """Encodes many pieces as one text; ends_of says which ids end a piece (the mark, which goes, or a word's last)."""
+        groups = [pieces[at : at + 2048] for at in range(0, len(pieces), 2048)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(ends_of(ids))
+            marked = between != " "
+            starts = [0, *(4 * ends + 4).tolist()]
+            stops = (4 * ends).tolist() + [4 * len(ids)] if marked else starts[1:]
+            flat = ids.tobytes()
+            self._new.update((p, flat[a:b]) for p, a, b in zip(some, starts if marked else starts[:-1], stops, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._cache) > self._limit:
-            self._cache.clear()
-        cut = [pieces_of(t) for t in texts]
-        fresh = list({p for c in cut for p in c if p not in self._cache})
-        for piece, e in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self._cache[piece] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self._cache.__getitem__, c)) for c in cut]
+        if len(self._new) > self._limit:
+            self._old, self._new = self._new, {}
+        cut = [self._cut(t) for t in texts]
+        words = set().union(*(c for c, plain in cut if plain))
+        others = set().union(*(c for c, plain in cut if not plain)) - words
+        words, others = self._missing(words), self._missing(others)
+        self._learn(words, " ", lambda ids: self._last[ids])
+        self._learn([p for p in others if not self._odd(p)], f" {_MARK} ", lambda ids: ids == self._mark)
+        new, alone = self._new, [p for p in others if self._odd(p)]
+        for piece in alone:
+            new[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return [b"".join(map(new.__getitem__, c)) for c, _ in cut]
 
 
 _loaded: dict[str, CachedTokenizer] = {}

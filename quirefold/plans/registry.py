@@ -2,10 +2,44 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("curation", "pairing", "texts", "audits", "documents", "streams")
 
-def oracle_sql() -> dict:
-    return {}
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with the SQL that must agree."""
+
+    def add(function: Query) -> Query:
+        _queries[function.__name__] = function
+        if sql:
+            _oracles[function.__name__] = sql
+        return function
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"quirefold.plans.{name}")
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_oracles)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import bpe, exact_dedup, media, minhash, mixing, quality, substrings, token_files, toxicity
+from quirefold.llm import bpe, chat, exact_dedup, media, minhash, mixing, quality, substrings, token_files, toxicity
 from quirefold.llm.common import table
 
 
@@ -28,6 +28,10 @@ def _op1(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def _op2(spark, sf_dir):
+    return chat.repaired(table(spark, sf_dir, "conversations"))
+
+
 def _op3(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def _op8(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "pipeline": corpus_pipeline.run}
+    return {"op1_minhash": _op1, "op2_chat": _op2, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import written
+from quirefold.llm.common import split_join, written
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -35,19 +35,20 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ).withColumns({"h": F.unhex(F.md5("bytes")), "text_sha256": F.sha2("bytes", 256)})
 
 
-_BEST = F.max(F.struct(F.col("points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back")))
+def _best() -> Column:
+    return F.max(F.struct(F.col("points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 - one row per row of docs."""
     full = _rows(docs, id_col, text_col)
     rows = written(full.drop("bytes"), "exact-rows")
-    groups = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), _BEST.alias("best")), "exact-groups")
-    found = rows.join(groups, "h")
-    collided = written(_collisions(full, groups), "exact-collisions")
+    groups = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("best")), "exact-groups")
+    found = split_join(rows, groups, "h")
+    collided = written(_collisions(full), "exact-collisions")
     if not collided.isEmpty():
         own = full.join(collided, "h", "left_semi")
-        again = own.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("group_size"), _BEST.alias("best"))
+        again = own.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("best"))
         found = found.join(collided, "h", "left_anti").unionByName(own.join(again, ["h", "bytes"]).drop("bytes"))
     keep = -F.col("best.back")
     return found.select(
@@ -59,14 +60,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _collisions(full: DataFrame, groups: DataFrame) -> DataFrame:
+def _collisions(full: DataFrame) -> DataFrame:
     """The hashes whose rows differ in their bytes.
 
-    Only groups of two rows or more take part. A partial aggregate keeps the smallest and the largest bytes of a group;
-    they are equal only if all are.
+    A partial aggregate keeps the smallest and the largest bytes of each hash, before any shuffle; they are equal only if
+    all are. A group that holds a third of all rows leaves each task as one row.
     """
-    several = groups.where("group_size > 1").select("h")
-    ends = full.select("h", "bytes").join(several, "h", "left_semi").groupBy("h").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    ends = full.groupBy("h").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
     return ends.where("low <> high").select("h")
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirefold.session import shared_folder
 
@@ -53,6 +55,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """An equi-join that adaptive execution can split where a key is hot.
+
+    It splits a hot partition only where both sides were shuffled for the join itself. A side that comes out of an
+    aggregate on the same key is not: its task would read all rows of a hot key. So the join goes by a one-to-one image
+    of the key, which makes Spark shuffle both sides, the aggregated one being small.
+    """
+    on = [on] if isinstance(on, str) else on
+
+    def image(df: DataFrame, name: str) -> Column:
+        kind = df.schema[name].dataType.simpleString()
+        if kind in ("tinyint", "smallint", "int", "bigint"):
+            return F.bitwise_not(F.col(name))
+        return F.concat(F.col(name), F.lit(bytearray(b"\0")) if kind == "binary" else F.lit("\0"))
+
+    left = left.withColumns({f"__left_{c}": image(left, c) for c in on})
+    right = right.select(*(image(right, c).alias(f"__right_{c}") for c in on), *(c for c in right.columns if c not in on))
+    match = reduce(lambda a, b: a & b, (F.col(f"__left_{c}") == F.col(f"__right_{c}") for c in on))
+    return left.join(right, match, how).drop(*(f"__left_{c}" for c in on), *(f"__right_{c}" for c in on))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs now, not whenever the driver collects its garbage."""
     gc.collect()

@@ -36,7 +36,7 @@ def _distance_series(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 #: Up to so many table cells a pair, Spark's own edit distance is used; beyond, bit vectors take a 64th of the steps.
-CELLS = 1_000_000
+CELLS = 250_000
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,18 +23,35 @@ def page_xml(xml: Column) -> Column:
     order; of regions with the same id the last counts, at the first's place. A line is the first Unicode of its first
     TextEquiv, trimmed; blank lines go; no lines at all is null.
     """
-    doc = F.from_xml(xml, _PAGE, _OPTIONS)
-    regions = F.coalesce(doc["Page"]["TextRegion"], F.array())
-    ids = F.array_distinct(F.transform(regions, lambda r: F.coalesce(r["_id"], F.lit(""))))
-    asked = F.regexp_extract_all(xml, F.lit(_REF), F.lit(1))
-    order = F.concat(F.filter(asked, lambda i: F.array_contains(ids, i)), F.filter(ids, lambda i: ~F.array_contains(asked, i)))
-
-    def lines(i: Column) -> Column:
-        region = F.element_at(F.filter(regions, lambda r: F.coalesce(r["_id"], F.lit("")) == i), -1)
-        return F.transform(F.coalesce(region["TextLine"], F.array()), lambda line: trim_u(F.coalesce(F.get(line["TextEquiv"], 0)["Unicode"], F.lit(""))))
-
-    text = F.array_join(F.filter(F.flatten(F.transform(order, lines)), lambda t: t != ""), "\n")
-    return F.struct(F.nullif(text, F.lit("")).alias("text"), doc["_corrupt_record"].isNotNull().alias("malformed"))
+    return _let(F.struct(F.from_xml(xml, _PAGE, _OPTIONS).alias("doc"), F.regexp_extract_all(xml, F.lit(_REF), F.lit(1)).alias("asked")), _page_struct)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _page_struct(page: Column) -> Column:
+    regions = F.coalesce(page["doc"]["Page"]["TextRegion"], F.array())
+    # of regions with one id the last, in the order of the first
+    texts = F.transform(
+        regions,
+        lambda r: F.struct(
+            F.coalesce(r["_id"], F.lit("")).alias("id"),
+            F.filter(
+                F.transform(F.coalesce(r["TextLine"], F.array()), lambda line: trim_u(F.coalesce(F.get(line["TextEquiv"], 0)["Unicode"], F.lit("")))), lambda t: t != ""
+            ).alias("lines"),
+        ),
+    )
+
+    def joined(found: Column) -> Column:
+        texts, asked = found["texts"], found["asked"]
+        ids = F.array_distinct(texts["id"])
+        order = F.concat(F.filter(asked, lambda i: F.array_contains(ids, i)), F.filter(ids, lambda i: ~F.array_contains(asked, i)))
+        lines = F.flatten(F.transform(order, lambda i: F.element_at(F.filter(texts, lambda r: r["id"] == i), -1)["lines"]))
+        return F.struct(F.nullif(F.array_join(lines, "\n"), F.lit("")).alias("text"), found["malformed"].alias("malformed"))
+
+    return _let(F.struct(texts.alias("texts"), page["asked"].alias("asked"), page["doc"]["_corrupt_record"].isNotNull().alias("malformed")), joined)
 
 
 _ALTO = "Layout struct<Page: array<struct<PrintSpace: array<struct<TextBlock: array<struct<TextLine: array<struct<_VPOS: double, String: array<struct<_CONTENT: string>>>>>>>>>>>, _corrupt_record string"

@@ -24,7 +24,13 @@ def shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def error_rates(pairs: DataFrame, truth: str, guess: str, words: bool = True) -> DataFrame:
-    """Pairs with cer (and wer): null where the guess is missing."""
+    """Pairs with cer (and wer): null where the guess is missing.
+
+    An edit distance costs far more a byte than reading it, so the pairs are dealt out evenly first: partitions that are
+    sized by bytes, or one small input file, would leave most cores idle.
+    """
+    spark = pairs.sparkSession
+    pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     there = F.col("status") == "ok"
     pairs = pairs.withColumn("cer", F.when(there, cer(F.col(truth), F.col(guess))))
     return pairs.withColumn("wer", F.when(there, wer(F.col(truth), F.col(guess)))) if words else pairs

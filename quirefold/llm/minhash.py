@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import written
+from quirefold.llm.common import split_join, written
 from quirefold.llm.components import components
 from quirefold.llm.words import U, buffer_of, chunks, grams, hashes, mix, split
 
 SHINGLE, ROWS, MISS = 5, 4, 1e-6
-BLOCK, SLICE = 64, 1 << 14
+BLOCK, SLICE = 128, 1 << 13
 _STEP = U(0x9E3779B97F4A7C15)
 _FIRST = U(0x6A09E667F3BCC909)
 
@@ -162,7 +162,7 @@ class Block:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """key, some and others of rows key, largest, members (a list of at most about BLOCK vertices)."""
+    """key, some, others and n of rows key, largest, a list of at most about BLOCK vertices, and n (of the whole bucket)."""
 
     def run(batches):
         for batch in batches:
@@ -179,9 +179,9 @@ def _packed(rows: DataFrame) -> DataFrame:
                 outside = np.flatnonzero((block.root != np.frombuffer(largest[i], np.uint64)).any(axis=1))
                 some.append(block.only(outside).pack() if len(outside) else None)
                 others.append(block.pack())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(some, pa.binary()), pa.array(others, pa.binary())], ["key", "some", "others"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(some, pa.binary()), pa.array(others, pa.binary()), batch.column(3)], ["key", "some", "others", "n"])
 
-    return rows.mapInArrow(run, "key long, some binary, others binary")
+    return rows.mapInArrow(run, "key long, some binary, others binary, n long")
 
 
 def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     vertices = written(vertices, "minhash-vertices")
     placed = vertices.select("vertex", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(placed.join(shared, "key"), "minhash-members")
+    members = written(split_join(placed, shared, "key"), "minhash-members")
     links = _links(docs, vertices, members, percent)
     named = vertices.select("vertex", "least")
     if links is not None and not links.isEmpty():
@@ -270,9 +270,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
 def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
     """Confirmed links u, v that have the same components as all confirmed links of pairs in a bucket; None for none."""
     central = members.groupBy("vertex").agg(F.sum("n").alias("met"))
-    ranked = members.join(central, "vertex")
+    ranked = split_join(members, central, "vertex")
     hubs = ranked.groupBy("key").agg(F.max(F.struct("met", "vertex")).alias("hub")).select("key", F.col("hub.vertex").alias("v"))
-    pairs = written(members.join(hubs, "key").where("vertex <> v").select(F.col("vertex").alias("u"), "v").distinct(), "minhash-pairs")
+    pairs = written(split_join(members, hubs, "key").where("vertex <> v").select(F.col("vertex").alias("u"), "v").distinct(), "minhash-pairs")
     if pairs.isEmpty():
         return None
     wanted = vertices.join(members.select("vertex").distinct(), "vertex", "left_semi").select("vertex", F.col("least").alias("id"))
@@ -284,14 +284,18 @@ def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: in
     rest = members.where("n > 2").select("key", "vertex").join(up, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").drop("roots")
-    apart = rest.join(several, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BLOCK)))
+    apart = split_join(rest, several, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BLOCK)))
     apart = apart.join(vertices.select("vertex", "bands"), "vertex").join(sets, "vertex")
-    listed = apart.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.collect_list(F.struct("vertex", "root", "bands", "members")).alias("list"))
-    blocks = written(_packed(listed.select("key", "largest", "list")), "minhash-blocks")
-    asked = blocks.where("some IS NOT NULL").select("key", "some")
+    listed = apart.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.first("n").alias("n"), F.collect_list(F.struct("vertex", "root", "bands", "members")).alias("list"))
+    blocks = written(_packed(listed.select("key", "largest", "list", "n")), "minhash-blocks")
+    asked = blocks.where("some IS NOT NULL")
     if asked.isEmpty():
         return links
-    more = _block_links(asked.join(blocks.select("key", "others"), "key").select("key", "some", "others"), percent)
+    more = _block_links(asked.where(F.col("n") <= BLOCK).select("key", "some", "others"), percent)
+    large = blocks.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        met = large.where("some IS NOT NULL").select("key", "some").join(large.select("key", "others"), "key")
+        more = more.unionByName(_block_links(met.select("key", "some", "others"), percent))
     return links.unionByName(written(more.distinct(), "minhash-more"))
 
 

@@ -84,3 +84,8 @@ def repeated_rows(df: DataFrame, *keys: str) -> DataFrame:
 def crossed_nesting(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """One row a closer that cuts through another tag."""
     return df.select(*keys, F.explode(markup.crossing_report(F.col(text))).alias("c")).select(*keys, "c.line", "c.closer", "c.open", "c.text")
+
+
+def lines_of(counts: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """A report's lines for the console, most first: at most so many (a report is for reading)."""
+    return [f"{str(r[column]):<40} {r['n']:>10}" for r in counts.orderBy(F.desc("n"), column).limit(most).collect()]

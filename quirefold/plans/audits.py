@@ -104,3 +104,15 @@ def crossed_report(spark, sf_dir):
     crossed = lambda t: F.when(F.length(t) % 2 == 0, F.concat(F.lit("<i>"), t, F.lit("<cs>x</i></cs>"))).otherwise(t)
     pages = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), crossed), "\n").alias("page"))
     return reports.crossed_nesting(pages, "page", "doc_id")
+
+
+@query("""
+WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) // 2 AS n FROM documents WHERE NOT contains(text, '<'))
+SELECT doc_id, n AS anchors, true AS fit FROM l
+""")
+def anchored_marginalia(spark, sf_dir):
+    """Every second line as a note of its own, then numbered: the proposed form with anchors and a section of notes."""
+    lines = F.split("text", "\n")
+    page = F.array_join(F.transform(lines, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("<m>"), x, F.lit("</m>"))).otherwise(x)), "\n")
+    docs = read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("<"))).select("doc_id", markup.with_anchors(page).alias("t"))
+    return docs.select("doc_id", F.regexp_count("t", F.lit("<m_ref ")).cast("long").alias("anchors"), markup.anchors_fit(F.col("t")).alias("fit"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,43 @@ def json_documents(spark: SparkSession, folder: str, glob: str = "*.json") -> Da
     return texts(spark, folder, glob).withColumn("readable", F.try_parse_json("text").isNotNull())
 
 
+def expanded(documents: DataFrame, render: Callable[[bytes], Iterable[bytes]]) -> DataFrame:
+    """path, page, image, failed: each document's pages, by a function that turns a document into images.
+
+    The function is a slot: no PDF library is part of this package. A document that it fails on gives one failed row.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows = [(path, n, image, False) for n, image in enumerate(render(content), 1)]
+                except Exception:
+                    rows = [(path, None, None, True)]
+                yield pd.DataFrame(rows, columns=["path", "page", "image", "failed"]).astype({"page": "Int32", "failed": bool})
+
+    return documents.select("path", "content").mapInPandas(run, "path string, page int, image binary, failed boolean")
+
+
+def reencoded(pages: DataFrame, encode: Callable[[bytes], bytes], column: str = "image") -> DataFrame:
+    """Images run through an encoder (a slot, as above); null where it fails."""
+
+    def one(image: bytes | None) -> bytes | None:
+        try:
+            return None if image is None else encode(image)
+        except Exception:
+            return None
+
+    return pages.withColumn(column, F.pandas_udf(_mapper(one), "binary")(column))
+
+
+def _mapper(function: Callable) -> Callable[[pd.Series], pd.Series]:
+    def series(values: pd.Series) -> pd.Series:
+        return values.map(function)
+
+    return series
+
+
 def mirrored(path: str, rules: list[tuple[str, str]]) -> bool:
     """Whether a mirror takes a path: the first (take|leave, pattern) that fits decides; without one it does."""
     return next((verdict == "take" for verdict, pattern in rules if fnmatch.fnmatch(path, pattern)), True)

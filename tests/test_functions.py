@@ -71,6 +71,21 @@ def test_marginalia_goldens(given, want):
     assert markup.marginalia_last(given) == want
 
 
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("a\n<m>x\ny</m>\nb <m>z</m> c", 'a <m_ref id="1"/>\nb <m_ref id="2"/> c\n\n<marginalia>\n<m id="1">x\ny</m>\n\n<m id="2">z</m>\n</marginalia>'),
+        ("<m>x</m>\na", '<m_ref id="1"/>\na\n\n<marginalia>\n<m id="1">x</m>\n</marginalia>'),
+        ("a\n<m>x</m>\n<m>y</m>", 'a <m_ref id="1"/> <m_ref id="2"/>\n\n<marginalia>\n<m id="1">x</m>\n\n<m id="2">y</m>\n</marginalia>'),
+        ("none", "none"),
+    ],
+)
+def test_anchors(spark, given, want):
+    assert markup.anchored(given) == want
+    assert one(spark, markup.anchors_fit(F.col("t")), t=want) is True
+    assert want == "none" or one(spark, markup.anchors_fit(F.col("t")), t=want.replace('ref id="1"', 'ref id="7"')) is False
+
+
 def test_markup_columns(spark):
     page = "x <i>a <cs>b</i></cs>\n<m>n</m>"
     df = spark.createDataFrame([(page,), (None,)], "t string")

@@ -61,6 +61,19 @@ def test_directories(spark, tree):
     assert documents == {"scan_1.json": True, "bad.json": False}
 
 
+def test_slots_for_documents_and_images(spark):
+    docs = spark.createDataFrame([("a.pdf", bytearray(b"xy")), ("b.pdf", bytearray(b"")), ("c.pdf", bytearray(b"!"))], "path string, content binary")
+
+    def render(content):
+        if content == b"!":
+            raise ValueError("broken")
+        return [bytes([c]) for c in content]
+
+    pages = files.expanded(docs, render)
+    assert sorted((r.path, r.page, r.image and bytes(r.image), r.failed) for r in pages.collect()) == [("a.pdf", 1, b"x", False), ("a.pdf", 2, b"y", False), ("c.pdf", None, None, True)]
+    assert sorted(bytes(r.image) for r in files.reencoded(pages.where("not failed"), lambda b: b * 2).collect()) == [b"xx", b"yy"]
+
+
 def test_mirror_rules(spark):
     rules = [("leave", "*/tmp/*"), ("take", "*.jpg"), ("leave", "*")]
     paths = ["a/tmp/x.jpg", "a/x.jpg", "a/x.txt"]

@@ -11,8 +11,8 @@ states, and matrices multiply (minimum of sums) associatively. So a conversation
 each run the state that it is entered and left in, and the runs are solved apart from each other. No task holds a
 whole long conversation, and the result is a row a turn: the conversation's text is its segments in order.
 
-Costs are whole numbers, ties fall to the first of stay, relabel, merge, insert, and to the lower state; so results
-agree between runs and whatever the cuts. Defined cases: roles are read without case and outer blanks, and names in
+Costs are whole numbers, ties fall to the first of stay, relabel, merge, insert, and to the lower state, at the ends of
+runs first; so reruns agree, and costs are the same whatever the cuts. Defined cases: roles are read without case and outer blanks, and names in
 `ALIASES` count as what they stand for; an unknown or null role may become any role at the same price; a null text is
 empty; rows that repeat a turn number are ordered by role and text, and exact repeats are one turn; a null conv_id is a
 conversation of its own, turns without number come first; an empty table gives none.

@@ -54,7 +54,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return take
-    share = min(1.0, budget / total)
+    if budget <= WINDOW:
+        return _subset(lengths, counts, budget)
+    share = min(1.0, (budget - WINDOW) / total)  # what is left is enough to choose from
     take = np.minimum(counts, np.floor(counts * share).astype(np.int64))
     left = budget - int((take * lengths).sum())
     for i in np.lexsort((-lengths, np.floor(counts * share) - counts * share)):
@@ -131,6 +133,17 @@ def mix_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 1, **shares) -> DataFrame:
-    """The mix itself: docs' rows and columns, each row as often as it is taken."""
-    found = mixed(docs, n_words(F.col(text_col)), seed, id_col, source_col, **shares)
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(docs.columns)
+    """The mix itself: docs' rows and columns, each row as often as it is taken.
+
+    The plan is made on rows without text, known by two hashes of all their columns; texts are shuffled once, for the
+    join with the number of copies. Rows equal in every column share one entry: their copies are added up.
+    """
+    marks = {"__a": F.xxhash64(*docs.columns), "__b": F.xxhash64(F.lit(seed), *docs.columns)}
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("words"), *(v.alias(k) for k, v in marks.items()))
+    found = mixed(written(narrow, "mix-rows"), F.col("words"), seed, **shares)
+    copies = written(found.groupBy("__a", "__b").agg(F.sum("__copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0"), "mix-copies")
+    marked = docs.withColumns(marks)
+    if not copies.where("__rows > 1").isEmpty():
+        marked = marked.dropDuplicates(list(marks))
+    taken = marked.join(copies.drop("__rows"), list(marks))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)

@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import tidy
 from quirefold.llm.words import mix, powers
 
 # Fixed value of this family of tokenizers: the pattern that splits text before the merges.
@@ -275,6 +276,9 @@ class Bpe:
         self._encode_pieces(missing)
         return [b"".join(map(new.__getitem__, c)) for c in cut]
 
+    def forget(self) -> None:
+        self._new, self._old = {}, {}
+
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
@@ -359,6 +363,9 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             if decoded:
                 columns["decoded"] = pa.array(map(bpe.decode, ids), pa.string())
             yield pa.RecordBatch.from_pydict(columns)
+            del ids, columns
+        bpe.forget()
+        tidy()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded string" * decoded)

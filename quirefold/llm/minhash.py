@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import split_join, written
+from quirefold.llm.common import split_join, tidy, written
 from quirefold.llm.components import components
 from quirefold.llm.words import U, buffer_of, chunks, grams, hashes, mix, split
 
@@ -94,6 +94,8 @@ def _sketch(docs: DataFrame, bands: int) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vertex(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "vertex", "bands"],
             )
+            del sets, keys
+        tidy()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, vertex binary, bands array<long>")
 

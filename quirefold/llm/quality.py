@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import tidy
 from quirefold.llm.labelled import fold, training_rows
 from quirefold.llm.words import buffer_of, chunks, grams, hashes, split
 
@@ -199,5 +200,6 @@ def good_only(docs: DataFrame, model: Trees, text_col: str = "text", threshold:
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(model.score(features(batch.column(at))) >= threshold))
+        tidy()
 
     return docs.mapInArrow(run, docs.schema).select(names)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import discard, written
+from quirefold.llm.common import discard, split_join, tidy, written
 from quirefold.llm.words import U, buffer_of, chunks, grams, hashes, mix, powers, split
 
 WINDOW, ANCHOR = 35, 10
@@ -84,6 +84,7 @@ def _paths(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     [batch.column(0).take(row), batch.column(1).take(row), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchors.view(np.int64)), pa.array(content.view(np.int64))],
                     ["id", "th", "at", "n", "anchor", "content"],
                 )
+        tidy()
 
     return docs.select("id", "th", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, th long, at int, n int, anchor long, content long")
 
@@ -116,10 +117,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     """id, th, at, n: runs of repeated windows of the rows id, th, text (th tells texts of one id apart)."""
     paths = written(_paths(docs, window, anchor), "paths")
     anchors = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), (F.min("content") != F.max("content")).alias("branches")).where("k > 1")
-    some = written(paths.join(anchors.drop("k"), "anchor"), "repeated-paths")
+    some = written(split_join(paths, anchors.drop("k"), "anchor"), "repeated-paths")
     discard(paths)
     counted = some.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "th", "at")).alias("one"))
-    some_counted = written(some.join(counted, ["anchor", "content"]), "counted-paths")
+    some_counted = written(split_join(some, counted, ["anchor", "content"]), "counted-paths")
     discard(some)
     spans = some_counted.where("copies > 1").select("id", "th", "at", "n")
     apart = some_counted.where("branches").where((F.col("copies") == 1) | (F.struct("id", "th", "at").eqNullSafe(F.col("one"))))
@@ -128,7 +129,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         return spans
     windows = written(_windows(_with_text(docs, apart, "inner"), window), "windows")
     twice = windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    return spans.unionByName(windows.join(twice, ["x", "y"]).select("id", "th", "at", F.lit(1).alias("n")))
+    return spans.unionByName(split_join(windows, twice, ["x", "y"]).select("id", "th", "at", F.lit(1).alias("n")))
 
 
 def _with_text(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import own_folder, written
+from quirefold.llm.common import own_folder, tidy, written
 
 MAGIC, HEADER = b"QEF1", struct.Struct("<8Q")
 SAMPLE = 256
@@ -168,6 +168,9 @@ class CachedTokenizer:
             return text.split(" "), False
         return _LATIN_WORDS(text.lower()), True
 
+    def forget(self) -> None:
+        self._new, self._old = {}, {}
+
     def _missing(self, pieces: set[str]) -> list[str]:
         new, old, out = self._new, self._old, []
         for piece in pieces:
@@ -250,6 +253,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
                 size += len(one)
         if held:
             flush()
+        held, ids = [], []
+        tok.forget()
+        tidy()
         names, counts, sizes = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["file", "documents", "ids"])
 

@@ -18,7 +18,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E6C63D0876A9A63 | 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def hashes(words: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word, worked out over blocks of about a MB of bytes."""
+    """A 64-bit hash of each word, worked out over blocks of 256 KB."""
     out, n, at = np.empty(len(words.starts), np.uint64), len(words.starts), 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(words.ends, words.starts[at] + _BLOCK, "right")))
@@ -134,7 +134,7 @@ def grams(values: np.ndarray, n: int, base: int = 0xD1342543DE82EF95) -> np.ndar
     return mix(total)
 
 
-def chunks(offsets: np.ndarray, limit: int = 2 << 20):
+def chunks(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges of rows of about `limit` bytes, a longer row alone."""
     at, n = 0, len(offsets) - 1
     while at < n:

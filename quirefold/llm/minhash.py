@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
         roots = components(links).select(F.col("node").alias("vertex"), "root")
         named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
         names = named.groupBy("root").agg(F.min("least").alias("name"))
-        named = named.join(names, "root").select("vertex", F.col("name").alias("least"))
+        named = split_join(named, names, "root").select("vertex", F.col("name").alias("least"))
     found = rows.drop("bands").join(named, "vertex", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -282,7 +282,7 @@ def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: in
     links = written(_confirmed(pairs, sets, percent), "minhash-links")
     # what the comparison with the most central vertex left apart: classes so far are hubs and what links to them
     up = links.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("root"))
-    up = up.join(up.select(F.col("vertex").alias("root"), F.col("root").alias("next")), "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
+    up = split_join(up, up.select(F.col("vertex").alias("root"), F.col("root").alias("next")), "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
     rest = members.where("n > 2").select("key", "vertex").join(up, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
     by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").drop("roots")

@@ -24,6 +24,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quirefold.llm.bpe import byte_letters
 from quirefold.llm.common import own_folder, tidy, written
 
 MAGIC, HEADER = b"QEF1", struct.Struct("<8Q")
@@ -41,6 +43,7 @@ _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 # The same for lower-cased text of Latin-1 characters, its classes written out.
 _LATIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t\n\r\v\f\x85\xa0a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+").findall
 _MARK = "\x01"
+_LETTERS = {b: c for c, b in byte_letters().items()}
 SHARD_IDS = 8 << 20
 
 
@@ -130,12 +133,12 @@ class Shard:
 class CachedTokenizer:
     """A tokenizers file whose tokens never span a blank; every distinct piece of text is encoded once per cache.
 
-    Latin-1 texts are lower-cased and cut as the file's own pre-tokenizer cuts them, other texts at blanks only. New pieces
-    go to the library many at a time in one text. A word ends at its word-end token; other pieces are set apart by a
-    character that is one token of its own, and those that hold it or the start of an added token go alone.
+    Latin-1 texts are lower-cased and cut as the file's own pre-tokenizer cuts them, other texts at blanks only. New words
+    go to the library's model, new pieces of other texts to the whole library, many at a time in one text: set apart by a
+    character that is one token of its own; those that hold it or the start of an added token go alone.
     """
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -147,12 +150,9 @@ class CachedTokenizer:
         if _WORDS not in json.dumps(spec["pre_tokenizer"], ensure_ascii=False) or not any(n["type"] == "Lowercase" for n in spec["normalizer"]["normalizers"]):
             raise ValueError(f"{path}: only lower-casing word tokenizers with the known word pattern")
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
-        suffix = spec["model"]["end_of_word_suffix"]
-        if len(mark) != 1 or not suffix:
+        if len(mark) != 1 or not spec["model"]["end_of_word_suffix"]:
             raise ValueError(f"{path}: needs word ends and a token of its own for {_MARK!r}")
         self._mark = mark[0]
-        self._last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self._last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self._odd = re.compile("|".join(re.escape(x) for x in sorted({t["content"][:2] for t in spec["added_tokens"]} | {_MARK}))).search
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -168,9 +168,6 @@ class CachedTokenizer:
             return text.split(" "), False
         return _LATIN_WORDS(text.lower()), True
 
-    def forget(self) -> None:
-        self._new, self._old = {}, {}
-
     def _missing(self, pieces: set[str]) -> list[str]:
         new, old, out = self._new, self._old, []
         for piece in pieces:
@@ -181,17 +178,21 @@ class CachedTokenizer:
                     out.append(piece)
         return out
 
-    def _learn(self, pieces: list[str], between: str, ends_of) -> None:
-        """Encodes many pieces as one text; ends_of says which ids end a piece (the mark, which goes, or a word's last)."""
+    def _learn_words(self, words: list[str]) -> None:
+        """Words that are normalised and cut already go to the library's model at once, in its letters for bytes."""
+        known, tokenize = self._new, self.tokenizer.model.tokenize
+        for word in words:
+            letters = word if word.isalnum() and word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+            known[word] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Pieces with more to them are encoded many at a time, set apart by the mark."""
         groups = [pieces[at : at + 2048] for at in range(0, len(pieces), 2048)]
-        for some, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False), strict=True):
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([f" {_MARK} ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(ends_of(ids))
-            marked = between != " "
-            starts = [0, *(4 * ends + 4).tolist()]
-            stops = (4 * ends).tolist() + [4 * len(ids)] if marked else starts[1:]
-            flat = ids.tobytes()
-            self._new.update((p, flat[a:b]) for p, a, b in zip(some, starts if marked else starts[:-1], stops, strict=True))
+            ends = (4 * np.flatnonzero(ids == self._mark)).tolist()
+            flat, starts = ids.tobytes(), [0, *(e + 4 for e in ends)]
+            self._new.update((p, flat[a:b]) for p, a, b in zip(some, starts, [*ends, 4 * len(ids)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self._new) > self._limit:
@@ -200,8 +201,8 @@ class CachedTokenizer:
         words = set().union(*(c for c, plain in cut if plain))
         others = set().union(*(c for c, plain in cut if not plain)) - words
         words, others = self._missing(words), self._missing(others)
-        self._learn(words, " ", lambda ids: self._last[ids])
-        self._learn([p for p in others if not self._odd(p)], f" {_MARK} ", lambda ids: ids == self._mark)
+        self._learn_words(words)
+        self._learn_pieces([p for p in others if not self._odd(p)])
         new, alone = self._new, [p for p in others if self._odd(p)]
         for piece in alone:
             new[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
@@ -254,7 +255,6 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
         if held:
             flush()
         held, ids = [], []
-        tok.forget()
         tidy()
         names, counts, sizes = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(sizes, pa.int64())], ["file", "documents", "ids"])

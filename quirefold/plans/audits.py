@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import markup
 from quirefold.functions.metrics import cer
 from quirefold.operators import reports
-from quirefold.plans.registry import query, read
+from quirefold.plans.registry import by_bytes, query, read, trimmed
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -91,8 +91,24 @@ def repeated_pages(spark, sf_dir):
 @query(r"SELECT doc_id, round(levenshtein(regexp_replace(text, '^\s+|\s+$', '', 'g'), regexp_replace(replace(text, 'th', 't'), '^\s+|\s+$', '', 'g')) / length(regexp_replace(text, '^\s+|\s+$', '', 'g')), 9) AS cer FROM documents WHERE regexp_full_match(text, '[\x01-\x7F]*') AND regexp_matches(text, '\S') AND NOT contains(text, '<')")
 def tag_stripped_cer(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x01-\x7F]*$") & F.col("text").rlike(r"\S") & ~F.contains("text", F.lit("<")))
+    return docs.select("doc_id", F.round(cer(F.col("text"), _marked_guess()), 9).alias("cer"))
+
+
+def _marked_guess():
     marked = F.concat(F.lit("<i>"), F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("\n"), F.lit("</i>\n<pb/><i>")), F.lit("</i>"))
-    return docs.select("doc_id", F.round(cer(F.col("text"), markup.stripped(marked)), 9).alias("cer"))
+    return markup.stripped(marked)
+
+
+_BARE = r"regexp_replace({}, '</?[a-zA-Z0-9]+[\x09-\x0D ]*/?>', '', 'g')"
+
+
+@query(rf"""
+WITH p AS (SELECT doc_id, {trimmed(_BARE.format("text"))} AS truth, {trimmed(_BARE.format("replace(text, 'th', 't')"))} AS guess FROM documents)
+SELECT doc_id, round(CASE WHEN truth = '' THEN (guess <> '')::INT::DOUBLE ELSE {by_bytes("truth", "guess")} / length(truth) END, 9) AS cer FROM p
+""")
+def tag_stripped_cer_all(spark, sf_dir):
+    """Every document, of any characters; tags of its own are stripped from both sides."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(cer(markup.stripped(F.col("text")), _marked_guess()), 9).alias("cer"))
 
 
 @query("""

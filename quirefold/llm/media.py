@@ -9,7 +9,9 @@ variable-bitrate table, verifies CRC-16 checksums, and gives the exact duration
 Both work on one row at a time, with numpy over a row's frames: memory follows the longest row.
 
 Defined cases: null text counts as empty; an empty payload is one block of blanks; bytes with no frame at all give no
-frames, zero samples and null payload; damaged frames are reported (`crc_bad`), never skipped silently.
+frames, zero samples and null payload; damaged frames are reported (`crc_bad`), never skipped silently: `media_features`
+fails where a stream gives fewer payload bytes than its tag names. The last 128 bytes are an ID3v1 tag only where they
+start with `TAG` and a frame ends right before them, so a payload that holds these letters is never cut.
 """
 
 from __future__ import annotations
@@ -166,14 +168,16 @@ def scan(data: bytes) -> Stream:
     """Parses a stream of MPEG audio."""
     out = Stream()
     at, end = _id3(data, out), len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
+    tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else -1  # an ID3v1 tag only where a frame ends
     bodies, sure, buffer = [], False, np.frombuffer(data, np.uint8)
     while at + 4 <= end:
+        if at == tag and (sure or not out.skipped):
+            end = at
+            break
         head = _parse(data, at)
         if head and not sure:  # a lone pattern of sync bits is no frame: another must follow, or the end
             after = at + head[6]
-            head = head if after == end or after < end and _parse(data, after) else None
+            head = head if after in (end, tag) or after < end and _parse(data, after) else None
         if not head or at + head[6] > end:
             found = data.find(b"\xff", at + 1, end)
             out.skipped += (found if found >= 0 else end) - at
@@ -260,6 +264,8 @@ def media_features(media: DataFrame) -> DataFrame:
 def _features(doc_id: int | None, n_bytes: int, media: bytes) -> tuple:
     s = scan(media)
     payload = s.payload or b""
+    if len(payload) < int(s.tags.get("TXXX:payload_bytes", 0)):
+        raise ValueError(f"doc_id {doc_id}: {len(payload)} payload bytes read, {s.tags['TXXX:payload_bytes']} stored")
     by_rate = ",".join(f"{k}x{s.kbps.count(k)}" for k in sorted(set(s.kbps)))
     feature = f"mpeg{ {3: '1', 2: '2', 0: '2.5'}[s.version] }-l{s.layer};{s.rate}Hz;ch{s.channels};frames={len(s.offsets)};samples={s.samples};kbps={by_rate};crc_ok={s.protected - s.crc_bad}/{s.protected};skipped={s.skipped};vbr={(s.table or {}).get('frames')}"
     sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -130,6 +130,24 @@ def test_media_resynchronises_and_checks():
     assert media.scan(b"").offsets == [] and media.scan(b"no audio at all").skipped == 15
 
 
+def test_media_payload_with_the_letters_tag_is_whole():
+    for n in (192, 384, 576, 1152):
+        for at in range(n - 2):
+            payload = bytearray(b"x" * n)
+            payload[at : at + 3] = b"TAG"
+            for end in (b"", b"TAG" + bytes(125)):
+                found = media.scan(media.pack(bytes(payload)) + end)
+                assert found.payload == payload and not found.skipped, (n, at, end)
+    assert media.scan(b"TAG" + bytes(125)).skipped == 0
+
+
+def test_media_features_fail_where_payload_is_missing():
+    stored = bytearray(media.pack(media.payload_of(b"some text " * 900)))
+    stored[media.scan(bytes(stored)).offsets[1]] = 0
+    with pytest.raises(ValueError, match="payload bytes"):
+        media._features(7, 9000, bytes(stored))
+
+
 def test_media_column(docs_with_repeats, no_docs):
     rows = media.media_features(media.to_media(docs_with_repeats)).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in docs_with_repeats.collect()}

@@ -13,8 +13,9 @@ against `BLOCK` vertices, and only links that join two classes leave a block pai
 near-copies cost about one comparison a vertex and no task gathers a bucket.
 
 Defined cases: a document of 1-4 words is one shingle (its whole sequence); null, empty and blank texts have none, are
-linked with nothing and kept; rows that repeat a doc_id stand for one document; a null doc_id can be in a component but
-never names one that has other ids. An empty table gives none.
+linked with nothing and kept; a null doc_id can be in a component but never names one that has other ids. An empty table
+gives none. `near_duplicates` tells by doc_id, so all rows of a component that have its name are `kept`;
+`without_near_duplicates` tells rows apart by id and text, and of those that share the name leaves one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import split_join, tidy, written
@@ -80,6 +81,11 @@ def _vertex(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
+def _digest(text: Column) -> Column:
+    """What tells the texts of one id, or of null ids, apart."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _sketch(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -91,13 +97,14 @@ def _sketch(docs: DataFrame, bands: int) -> DataFrame:
                 for i, row in zip(some, band_keys(signatures([sets[i] for i in some], bands * ROWS)), strict=True):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vertex(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "vertex", "bands"],
+                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vertex(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "digest", "n_shingles", "vertex", "bands"],
             )
             del sets, keys
         tidy()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, vertex binary, bands array<long>")
+    digested = docs.select("doc_id", "text", _digest(F.col("text")).alias("digest"))
+    return digested.mapInArrow(run, "doc_id long, digest binary, n_shingles long, vertex binary, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -248,24 +255,29 @@ def _join_blocks(key: int, some: Block, others: Block, percent: int) -> list[tup
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept - one row per row of docs; linked are 100 * common >= percent * united."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, digest, n_shingles, n (rows of the same set) and first (unknown, id, digest: the row that its component leaves)."""
     rows = written(_sketch(docs, n_bands(percent / 100)), "minhash-rows")
-    vertices = rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    row = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "digest")
+    vertices = rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.min(row).alias("first"), F.count(F.lit(1)).alias("n"))
     vertices = written(vertices, "minhash-vertices")
     placed = vertices.select("vertex", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(split_join(placed, shared, "key"), "minhash-members")
     links = _links(docs, vertices, members, percent)
-    named = vertices.select("vertex", "least")
+    named = vertices.select("vertex", "first", "n")
     if links is not None and not links.isEmpty():
         roots = components(links).select(F.col("node").alias("vertex"), "root")
         named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-        names = named.groupBy("root").agg(F.min("least").alias("name"))
-        named = split_join(named, names, "root").select("vertex", F.col("name").alias("least"))
-    found = rows.drop("bands").join(named, "vertex", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+        names = named.groupBy("root").agg(F.min("first").alias("name"))
+        named = split_join(named, names, "root").select("vertex", F.col("name").alias("first"), "n")
+    return rows.drop("bands").join(named, "vertex", "left")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept - one row per row of docs; linked are 100 * common >= percent * united."""
+    found = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent)
+    component = F.when(F.col("n_shingles") > 0, F.col("first.id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
@@ -302,9 +314,23 @@ def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: in
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' rows and columns, one document of each class."""
-    gone = written(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "minhash-gone")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    """docs' rows and columns, one row of each class.
+
+    A class leaves the row with the smallest id (null ids last), of its texts the one with the smallest digest, and of
+    rows equal in both any one.
+    """
+    found = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent).where("n_shingles > 0")
+    wins = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
+    told = found.where(~wins | (F.col("n") > 1)).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__want")).agg(F.max(wins).alias("__wins"), F.count(F.lit(1)).alias("__n"))
+    told = written(told.where("not __wins or __n > 1"), "minhash-told")
+    marked = docs.withColumn("__digest", _digest(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__want"))
+    kept = marked.join(told, same, "left_anti")
+    again = told.where("__wins")
+    if not again.isEmpty():
+        one = marked.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__key"), "__digest").agg(F.first(F.struct(*marked.columns)).alias("__row"))
+        kept = kept.unionByName(one.select("__row.*"))
+    return kept.select(docs.columns)
 
 
 def oracle(percent: int) -> str:

@@ -83,6 +83,25 @@ def test_near_duplicates_odd_tables(docs_with_repeats, no_docs, docs):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 1
 
 
+def test_near_duplicates_go_by_row(spark):
+    long, other, third = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    cases = [
+        ([(1, long), (None, long + " z"), (None, other), (None, "few words")], {long, other, "few words"}),
+        ([(1, long), (2, long + " z"), (2, other)], {long, other}),
+        ([(2, long), (1, long + " z"), (1, other)], {long + " z", other}),
+        ([(None, other), (None, third), (None, None), (None, " ")], {other, third, None, " "}),
+        ([(5, other), (5, other), (4, third), (None, None), (None, None)], [other, third, None, None]),
+    ]
+    for rows, want in cases:
+        df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+        kept = minhash.without_near_duplicates(df)
+        assert kept.columns == df.columns and sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, want))
+    for i in (7, None):
+        df = spark.createDataFrame([(i, long), (i, long + " z"), (i, long + " z"), (i, other)], "doc_id long, text string")
+        texts = [r.text for r in minhash.without_near_duplicates(df).collect()]
+        assert len(texts) == 2 and other in texts
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (205, 200), (205, 203)], "u long, v long")
     got = {r.node: r.root for r in components.components(edges).collect()}

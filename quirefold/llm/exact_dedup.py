@@ -41,6 +41,10 @@ def _best() -> Column:
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 - one row per row of docs."""
+    return _marked(docs, id_col, text_col).drop("points")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     full = _rows(docs, id_col, text_col)
     rows = written(full.drop("bytes"), "exact-rows")
     groups = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("best")), "exact-groups")
@@ -57,6 +61,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         (F.col("doc_id").eqNullSafe(keep) & (F.col("points") == F.col("best.points"))).alias("kept"),
         "text_sha256",
+        "points",
     )
 
 
@@ -77,10 +82,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     points, sha = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
     marked = docs.withColumns({"__points": points, "__sha": sha})
-    winners = exact_groups(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    winners = _marked(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256", "points").agg(F.count(F.lit(1)).alias("n"))
     winners = written(winners, "exact-winners")
-    sought = winners.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"))
-    kept = marked.join(sought, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")), "left_semi")
+    sought = winners.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"), F.col("points").alias("__most"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")) & (F.col("__points") == F.col("__most"))
+    kept = marked.join(sought, same, "left_semi")
     if not winners.where("n > 1").isEmpty():
         longest = F.max_by(F.struct(*docs.columns), F.struct("__points", F.xxhash64(text_col)))
         return kept.groupBy("__sha", F.col(id_col).alias("__key")).agg(longest.alias("__row")).select("__row.*")

@@ -102,6 +102,12 @@ def test_near_duplicates_go_by_row(spark):
         assert len(texts) == 2 and other in texts
 
 
+def test_exact_copies_of_one_id_leave_the_longest(spark):
+    for i in (7, None):
+        df = spark.createDataFrame([(i, "a b"), (i, "a  b"), (i, "ab"), (i, "c")], "doc_id long, text string")
+        assert sorted(r.text for r in exact_dedup.deduplicated(df).collect()) == ["a  b", "c"]
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (205, 200), (205, 203)], "u long, v long")
     got = {r.node: r.root for r in components.components(edges).collect()}

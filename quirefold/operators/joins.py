@@ -56,9 +56,9 @@ def with_guess(truth: DataFrame, guesses: DataFrame, key: str, truth_text: Colum
 def every_model(truth: DataFrame, guesses: DataFrame, key: str, truth_text: Column, model: str = "model") -> DataFrame:
     """Each reference text with the guess of each model that left any.
 
-    Models are a handful of names; each text is repeated once a model, which is the result's own size.
+    Each text is repeated once a model, however many there are, which is the result's own size.
     """
     names = guesses.select(model).distinct()
-    wide = truth.where(F.length(F.trim(truth_text)) > 0).join(F.broadcast(names.limit(10_000)))
+    wide = truth.where(F.length(F.trim(truth_text)) > 0).crossJoin(names)
     found = wide.join(guesses.withColumn("__there", F.lit(True)), [key, model], "left")
     return found.withColumn("status", F.when(F.col("__there"), "ok").otherwise("puudub")).drop("__there")

@@ -1,7 +1,9 @@
 """Queries over whole tables, on rows that their SQL twins were once spared."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quirefold.operators import joins
 from quirefold.plans import registry
 
 
@@ -47,3 +49,10 @@ def test_cer_of_all_documents_equals_brute_force(spark, pages):
     bare = lambda t: t.replace("<b>", "").replace("</b>", "")
     got = {r.doc_id: r.cer for r in queries["tag_stripped_cer_all"](spark, folder).collect()}
     assert got == {i: rate(bare(t), bare(t.replace("th", "t"))) for i, _, t in rows}
+
+
+def test_every_model_takes_any_number_of_models(spark):
+    truth = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, truth string")
+    guesses = spark.range(10_050).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("model"), F.lit("a").alias("guess"))
+    found = joins.every_model(truth, guesses, "doc_id", F.col("truth"))
+    assert {r.status: r["count"] for r in found.groupBy("status").count().collect()} == {"ok": 10_050, "puudub": 10_050}

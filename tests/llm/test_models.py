@@ -1,12 +1,14 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.llm import quality, toxicity
-from quirefold.llm.labelled import fold
+from quirefold.llm.labelled import fold, training_rows
 
 
 @pytest.fixture(scope="module")
@@ -79,13 +81,76 @@ def test_trees_equal_a_plain_walk():
     assert np.allclose([walk(r) for r in x[:50]], model.score(x[:50]))
 
 
-def test_probabilities_of_each_level_are_consistent():
-    level = np.array([0, 0, 1, 1, 2, 2], np.int32)
-    unit = np.array([1, 2, 11, 12, 21, 22], np.uint64)
-    parent = np.array([0, 0, 1, 2, 11, 12], np.uint64)
-    counts = np.array([[5, 5, 5, 5, 5, 5], [0, 50, 0, 50, 0, 50]])
-    keys, gains, none = toxicity.kneser_ney(level, unit, parent, np.zeros(6, np.uint64), counts, lambda k: [np.full(len(x), 10) for x in k])
-    assert gains[2][0] > 1 > 0 > gains[2][1] and gains[0][0] > gains[0][1] and np.isfinite(none)
+def plain_kneser_ney(rows, every_text):
+    """The two models by dictionaries: a function of word -> (P toxic, P ordinary), and the sets of units under each."""
+    levels = lambda w: [w[:4], w[:6], w]
+    counts, contexts = [Counter(), Counter()], set()
+    for text, y in rows:
+        words = text.split()
+        for v, w in zip(["^", *words], words, strict=False):
+            if (y, v, w) not in contexts:
+                contexts.add((y, v, w))
+                for i, u in enumerate(levels(w)):
+                    counts[1 - y][i, u] += 1
+    shared, under = Counter(), {}
+    for text in every_text:
+        for w in set(text.split()):
+            for i, u in enumerate(levels(w)):
+                shared[i, u] += 1
+                under.setdefault((i - 1, levels(w)[i - 1] if i else ""), set()).add((i, u))
+            shared[-1, ""] += 1
+    d = toxicity.DISCOUNT
+
+    def one(c, unit, parent):
+        total = counts[c][parent] if parent[0] >= 0 else sum(n for (i, _), n in counts[c].items() if i == 0)
+        share = max(shared[unit], 1) / (shared[parent] + 1)
+        if not total:
+            return share
+        left = sum(min(counts[c][u], d) for u in under.get(parent, ()))
+        return (max(counts[c][unit] - d, 0) + left * share) / total
+
+    def word(w):
+        path = [(-1, ""), *enumerate(levels(w))]
+        return tuple(math.prod(one(c, path[i + 1], path[i]) for i in range(3)) for c in (0, 1))
+
+    return word, one, under, shared
+
+
+def test_toxicity_models_equal_plain_kneser_ney(spark):
+    rng = random.Random(4)
+    stems = ["abcdefg", "abcdxyz", "abcd", "grim", "grimly", "grimmer", "häß", "häßlichst", "o", "the", "zu"]
+    text = lambda y: " ".join(rng.choice(stems if y else stems[:4] + stems[7:]) + rng.choice(["", "s", "er"]) for _ in range(30))
+    rows = [(text(i % 2), i % 2) for i in range(40)]
+    every = [t for t, _ in rows] + [text(0) for _ in range(30)] + ["never seen words"]
+    labelled = spark.createDataFrame(rows, "text string, y int").repartition(3)
+    counts, shared = toxicity.class_counts(labelled).cache(), toxicity.shared_counts(spark.createDataFrame([(t,) for t in every], "text string").repartition(4)).cache()
+    known, root = toxicity.tables(counts, shared)
+    found, top = known.toPandas(), root.first()
+    two = lambda c: np.stack([found[f"{c}toxic"], found[f"{c}ordinary"]]).astype(float)
+    everything = shared.where(F.col("unit") == int(toxicity.ROOT)).first()["n"]
+    model = toxicity.kneser_ney(found["level"].to_numpy(), found["unit"].to_numpy(np.int64).view(np.uint64), found["parent"].to_numpy(np.int64).view(np.uint64), two(""), two("left_"), found["n"].to_numpy(), np.array([top["toxic"], top["ordinary"]], float), np.array([top["left_toxic"], top["left_ordinary"]], float), everything)
+    word, one, under, totals = plain_kneser_ney(rows, every)
+    for w in sorted({w for t in every for w in t.split()} | {"unheard", "abcdefgsss"}):
+        p = word(w)
+        data = np.frombuffer(w.encode(), np.uint8)
+        _, levels, _ = toxicity.units(data, np.array([0, len(data)]))
+        assert model.gains(levels)[0] == pytest.approx(math.log(p[0] / p[1]), abs=1e-9), w
+    for parent, children in under.items():
+        for c in (0, 1):
+            rest = one(c, (parent[0] + 1, "\0"), parent)
+            assert sum(one(c, u, parent) for u in children) + rest == pytest.approx(1)
+
+
+def test_the_strongest_words_count():
+    gain, first = np.array([1.0, 5, 2, 2, 7, -1, -2]), np.array([0, 0, 5, 7, 7])
+    assert toxicity._strongest(gain, first).tolist() == [0, 14 / 3, -1.5, 0]
+
+
+def test_samples_are_bounded_in_bytes(corpus):
+    docs, labels = corpus
+    some = training_rows(docs, labels, "toxic", 1000, max_bytes=20_000).select(F.sum(F.octet_length("text"))).first()[0]
+    assert 15_000 < some <= 20_000
+    assert toxicity.fit(docs, labels, max_bytes=0).weights[1] == 0
 
 
 def test_fold_is_the_crc_of_the_text(spark):

@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import gc
 import uuid
 from functools import reduce
 
@@ -22,9 +21,11 @@ _own: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by bytes, so that very long texts never pile up in one Python worker."""
+    """Bounds Arrow batches by bytes, so that very long texts never pile up in one Python worker, and lets Spark drop a
+    query's shuffle files when it ends: what outlives it is a written table."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
@@ -54,7 +55,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder: a lost executor costs a reread, not a recomputation."""
     path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -79,12 +79,6 @@ def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str
     return left.join(right, match, how).drop(*(f"__left_{c}" for c in on), *(f"__right_{c}" for c in on))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now, not whenever the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def tidy() -> None:
     """In a Python worker, at the end of a task: gives freed memory back, as workers live on and share an executor."""
     pa.default_memory_pool().release_unused()

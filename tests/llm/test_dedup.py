@@ -144,6 +144,31 @@ def test_repeated_spans_equal_brute_force(docs, docs_with_repeats, no_docs):
     assert substrings.without_repeats(no_docs).count() == 0
 
 
+def test_colliding_hashes_never_remove_a_word(docs):
+    got = substrings.digest(substrings.without_repeats(docs, 6, 3, bits=7)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == removal_brute([(r.doc_id, r.text) for r in docs.collect()], 6)
+
+
+def test_rows_that_repeat_a_text_are_rows_like_any_other(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    df = spark.createDataFrame([(None, text)] * 40 + [(1, text + " tail"), (2, "quite " * 4)], "doc_id long, text string").repartition(3)
+    got = substrings.digest(substrings.without_repeats(df)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == removal_brute([(r.doc_id, r.text) for r in df.collect()], 35)
+
+
+def test_nonbranching_paths_are_one_span(spark):
+    passage, other = " ".join(f"p{i}" for i in range(120)), " ".join(f"q{i}" for i in range(80))
+    texts = [f"a b {passage} c", f"d {passage} {other} e", f"f {other} g", "h " + " ".join(f"z{i}" for i in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    spans = substrings.repeated_spans(df).collect()
+    # paths end at documents' own words, so a passage is its inner path and the windows at its ends
+    assert len(spans) < 0.2 * sum(s.n for s in spans) and max(s.n for s in spans) > 40
+    names = {}
+    for s in spans:
+        words = " ".join(texts[s.t].split()[s.at : s.at + s.n + 34])
+        assert names.setdefault((s.a, s.b), words) == words
+
+
 def test_smallest_is_leftmost():
     import numpy as np
 

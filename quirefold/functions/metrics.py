@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions.markup import openers
 from quirefold.functions.text import trim_u
 
 
@@ -31,19 +32,34 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return score
 
 
-def _distance_series(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+def _alike(a: Sequence, b: Sequence) -> int:
+    """How many items the two have in common from the start, by halving: a comparison of slices is one call."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def trimmed_distance(a: Sequence, b: Sequence) -> int:
+    """`edit_distance` of what is left between a common start and a common end, which cost nothing."""
+    n = _alike(a, b)
+    a, b = a[n:], b[n:]
+    n = _alike(a[::-1], b[::-1])
+    return edit_distance(a[: len(a) - n], b[: len(b) - n])
 
 
-#: Up to so many table cells a pair, Spark's own edit distance is used; beyond, bit vectors take a 64th of the steps.
-CELLS = 250_000
+def _distance_series(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else trimmed_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Edit distance by code points, of texts of any length."""
-    small = F.length(a).cast("long") * F.length(b) <= CELLS
-    large = F.pandas_udf(_distance_series, "long")
-    return F.when(small, F.levenshtein(a, b)).otherwise(large(F.when(~small, a), F.when(~small, b)))
+    """Edit distance by code points, of texts of any length; equal texts don't leave the JVM."""
+    unlike = a != b
+    return F.when(a == b, F.lit(0).cast("long")).otherwise(F.pandas_udf(_distance_series, "long")(F.when(unlike, a), F.when(unlike, b)))
 
 
 def cer(truth: Column, guess: Column) -> Column:
@@ -57,7 +73,7 @@ def _wer(truth: str | None, guess: str | None) -> float | None:
     if truth is None or guess is None:
         return None
     truth, guess = truth.split(), guess.split()
-    return edit_distance(truth, guess) / len(truth) if truth else float(bool(guess))
+    return trimmed_distance(truth, guess) / len(truth) if truth else float(bool(guess))
 
 
 def _wer_series(truth: pd.Series, guess: pd.Series) -> pd.Series:
@@ -72,7 +88,7 @@ def wer(truth: Column, guess: Column) -> Column:
 def _unmatched(truth: str | None, guess: str | None) -> float | None:
     if truth is None or guess is None:
         return None
-    return 1 - sum(b.size for b in difflib.SequenceMatcher(None, truth, guess).get_matching_blocks()) / max(len(truth), 1)
+    return 1 - sum(b.size for b in difflib.SequenceMatcher(None, guess, truth).get_matching_blocks()) / max(len(truth), 1)
 
 
 def _unmatched_series(truth: pd.Series, guess: pd.Series) -> pd.Series:
@@ -82,3 +98,11 @@ def _unmatched_series(truth: pd.Series, guess: pd.Series) -> pd.Series:
 def unmatched_share(truth: Column, guess: Column) -> Column:
     """One less the share of the truth in matching blocks: a diagnostic, not an edit distance."""
     return F.pandas_udf(_unmatched_series, "double")(truth, guess)
+
+
+def tag_accuracy(truth: Column, guess: Column) -> Column:
+    """Share of the truth's opening and lone tags that the guess has as well, name by name; null where the truth has none."""
+    asked, given = openers(truth), openers(guess)
+    times = lambda tags, name: F.size(F.filter(tags, lambda t: t == name))
+    found = F.aggregate(F.array_distinct(asked), F.lit(0), lambda total, name: total + F.least(times(asked, name), times(given, name)))
+    return F.when(F.size(asked) > 0, found / F.size(asked))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
+import string
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java's \s is ASCII-only unless asked; the corpus has no-break spaces, so blanks are Unicode blanks everywhere here.
-_EDGE = r"(?U)^\s+|\s+$"
+# Java's \s is ASCII-only unless asked, and even then leaves out the separators 1C-1F; the corpus has no-break spaces, so
+# blanks are all of these everywhere here.
+_EDGE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+_SOLID = r"(?U)[^\s\x1C-\x1F]"
 
 
 def trim_u(text: Column) -> Column:
@@ -20,12 +22,12 @@ def trim_u(text: Column) -> Column:
 
 def has_text(text: Column) -> Column:
     """True where something is left of the text after trimming; null counts as empty."""
-    return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+    return F.coalesce(text.rlike(_SOLID), F.lit(False))
 
 
 def n_lines(text: Column) -> Column:
     """Number of lines that hold more than blanks (null: 0)."""
-    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(r"(?U)\S"))), F.lit(0))
+    return F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda line: line.rlike(_SOLID))), F.lit(0))
 
 
 def long_enough(text: Column, lines: int) -> Column:
@@ -99,10 +101,20 @@ def unfenced(output: Column) -> Column:
     return trim_u(F.regexp_replace(trim_u(text), r"```$", ""))
 
 
+_SPELLED = {"ß": "ss", " ": "_"}
+_PLAIN = frozenset(string.ascii_letters + string.digits + "_-.")
+
+
 def ascii_name(name: str) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFD", name) if unicodedata.category(c) != "Mn")
-    kept = re.sub(r"[^a-zA-Z0-9_\-.]", "", bare.replace("ß", "ss").replace(" ", "_"))
-    return re.sub("_{2,}", "_", kept).strip("_")
+    """The name in letters, digits, `_`, `-` and `.`: one walk over its decomposed characters."""
+    out: list[str] = []
+    for mark in unicodedata.normalize("NFD", name):
+        for c in _SPELLED.get(mark, mark):
+            if c in _PLAIN and not (c == "_" and out[-1:] in ([], ["_"])):
+                out.append(c)
+    while out[-1:] == ["_"]:
+        out.pop()
+    return "".join(out)
 
 
 def _ascii_series(names: pd.Series) -> pd.Series:

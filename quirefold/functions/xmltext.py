@@ -13,7 +13,21 @@ from quirefold.functions.text import trim_u
 
 _OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "nullValue": "\u0000"}
 _PAGE = "Page struct<TextRegion: array<struct<_id: string, TextLine: array<struct<TextEquiv: array<struct<Unicode: string>>>>>>>, _corrupt_record string"
-_REF = r"<(?:[\w.-]+:)?RegionRefIndexed\b[^>]*?\bregionRef=\"([^\"]*)\""
+# What looks like markup in comments and character data is none.
+_NO_MARKUP = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
+_REF = r"<(?:[\w.-]+:)?RegionRefIndexed\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\sregionRef\s*=\s*([\"'])(.*?)\1"
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def _references(xml: Column) -> Column:
+    """The reading order's references in document order, in either kind of quotes."""
+
+    def plain(ref: Column) -> Column:
+        for name, sign in _ENTITIES:
+            ref = F.replace(ref, F.lit(name), F.lit(sign))
+        return ref
+
+    return F.transform(F.regexp_extract_all(F.regexp_replace(xml, _NO_MARKUP, ""), F.lit(_REF), F.lit(2)), plain)
 
 
 def page_xml(xml: Column) -> Column:
@@ -23,7 +37,7 @@ def page_xml(xml: Column) -> Column:
     order; of regions with the same id the last counts, at the first's place. A line is the first Unicode of its first
     TextEquiv, trimmed; blank lines go; no lines at all is null.
     """
-    return _let(F.struct(F.from_xml(xml, _PAGE, _OPTIONS).alias("doc"), F.regexp_extract_all(xml, F.lit(_REF), F.lit(1)).alias("asked")), _page_struct)
+    return _let(F.struct(F.from_xml(xml, _PAGE, _OPTIONS).alias("doc"), _references(xml).alias("asked")), _page_struct)
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -54,26 +68,6 @@ def _page_struct(page: Column) -> Column:
     return _let(F.struct(texts.alias("texts"), page["asked"].alias("asked"), page["doc"]["_corrupt_record"].isNotNull().alias("malformed")), joined)
 
 
-_ALTO = "Layout struct<Page: array<struct<PrintSpace: array<struct<TextBlock: array<struct<TextLine: array<struct<_VPOS: double, String: array<struct<_CONTENT: string>>>>>>>>>>>, _corrupt_record string"
-
-
-def alto_xml(xml: Column) -> Column:
-    """The text of an ALTO document (text blocks in print spaces): all lines by their vertical place, ties in file order."""
-    pages = F.coalesce(F.from_xml(xml, _ALTO, _OPTIONS)["Layout"]["Page"], F.array())
-    spaces = F.flatten(F.transform(pages, lambda p: F.coalesce(p["PrintSpace"], F.array())))
-    blocks = F.flatten(F.transform(spaces, lambda s: F.coalesce(s["TextBlock"], F.array())))
-    lines = F.flatten(F.transform(blocks, lambda b: F.coalesce(b["TextLine"], F.array())))
-    placed = F.transform(
-        lines,
-        lambda line, i: F.struct(
-            F.coalesce(line["_VPOS"], F.lit(0.0)).alias("at"),
-            i.alias("i"),
-            F.array_join(F.filter(F.transform(F.coalesce(line["String"], F.array()), lambda s: s["_CONTENT"]), lambda s: trim_u(s) != ""), " ").alias("text"),
-        ),
-    )
-    return F.nullif(F.array_join(F.filter(F.transform(F.array_sort(placed), lambda p: p["text"]), lambda t: t != ""), "\n"), F.lit(""))
-
-
 def _local(tag) -> str:
     return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
@@ -148,6 +142,38 @@ def tei_pages(xml: str, strict_order: bool = False) -> Iterator[tuple[str, str,
         yield (*page, done())
 
 
+def alto_text(xml: str) -> str | None:
+    """The text of an ALTO document: the lines of all text blocks, however deep they lie, by their vertical place (ties in
+    file order); the contents of a line's strings joined by a blank. None without lines, or where the document is broken."""
+    try:
+        root = ET.fromstring(xml)
+    except ET.ParseError:
+        return None
+    placed: list[tuple[float, str]] = []
+
+    def walk(node: ET.Element, inside: bool) -> None:
+        name = _local(node.tag)
+        if name == "TextLine" and inside:
+            words = [s.get("CONTENT", "") for s in node.iter() if _local(s.tag) == "String"]
+            if text := " ".join(w for w in words if w.strip()):
+                placed.append((float(node.get("VPOS", 0)), text))
+        else:
+            for child in node:
+                walk(child, inside or name == "TextBlock")
+
+    walk(root, False)
+    return "\n".join(text for _, text in sorted(placed, key=lambda p: p[0])) or None
+
+
+def _alto_series(xml: pd.Series) -> pd.Series:
+    return xml.map(alto_text, na_action="ignore")
+
+
+def alto_xml(xml: Column) -> Column:
+    """`alto_text` of a column: blocks lie at any depth, which a fixed schema can't say."""
+    return F.pandas_udf(_alto_series, "string")(xml)
+
+
 class TeiPages:
     """Handler of the lateral table function: one row a page."""
 

@@ -92,3 +92,8 @@ def wanted_material(material: Column, wanted: str = "print", include_unknown: bo
 def page_status(document: Column) -> Column:
     """The status of a page's JSON: empty where the key is missing, null where the document can't be read."""
     return F.when(F.try_parse_json(document).isNotNull(), F.coalesce(F.get_json_object(document, "$.status"), F.lit("")))
+
+
+def of_kind(pages: DataFrame, *kinds: str, column: str = "kind") -> DataFrame:
+    """Pages of the given kinds (diary entries, unless told otherwise)."""
+    return pages.where(F.col(column).isin(list(kinds or ("diaryEntry",))))

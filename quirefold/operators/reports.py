@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.functions import markup
-from quirefold.functions.metrics import cer, wer
+from quirefold.functions.metrics import cer, tag_accuracy, wer
+from quirefold.tables import fresh
 
 
 def group_count(df: DataFrame, column: str) -> DataFrame:
@@ -19,8 +22,9 @@ def top_groups(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value and their share of all rows (the window is over one row a value)."""
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    """Rows per value and their share of all rows; the total is one row, which is all that is broadcast."""
+    counts, (total,) = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), fresh(df, "total")
+    return counts.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(total)))).withColumn("share", F.col("n") / F.col(total)).drop(total)
 
 
 def error_rates(pairs: DataFrame, truth: str, guess: str, words: bool = True) -> DataFrame:
@@ -59,12 +63,29 @@ def break_position(df: DataFrame, text: str, mark: str = "<pb/>") -> DataFrame:
     return place.agg(F.count(F.lit(1)).alias("pages"), F.median("p").alias("median"), F.percentile("p", F.lit(0.25)).alias("low"), F.percentile("p", F.lit(0.75)).alias("high"))
 
 
+def aspect_ratio(df: DataFrame, width: str, height: str) -> DataFrame:
+    """Number of images and the median of width over height."""
+    return df.where(F.col(height) > 0).agg(F.count(F.lit(1)).alias("images"), F.median(F.col(width) / F.col(height)).alias("median"))
+
+
+def _pairs(body: Column) -> tuple[Column, Column]:
+    """All pairs of marginal notes, and how many of them have several lines."""
+    pairs = F.regexp_extract_all(body, F.lit("(?s)<m>(.*?)</m>"), F.lit(1))
+    return pairs, F.size(F.filter(pairs, lambda p: F.contains(p, F.lit("\n"))))
+
+
+def multiline_share(df: DataFrame, text: str, time: str) -> DataFrame:
+    """By month of the files' time: one- and many-line pairs of notes, and the share of the latter (null without pairs)."""
+    pairs, many = _pairs(F.col(text))
+    found = df.groupBy(F.trunc(time, "month").alias("month")).agg(F.sum(F.size(pairs) - many).alias("single"), F.sum(many).alias("multi"))
+    return found.withColumn("share", F.when(F.col("single") + F.col("multi") > 0, F.col("multi") / (F.col("single") + F.col("multi"))))
+
+
 def note_audit(df: DataFrame, text: str, *keys: str) -> DataFrame:
     """Openers, closers, one- and many-line pairs of marginal notes, and pages where they don't balance."""
     body = F.col(text)
     opened, closed = F.regexp_count(body, F.lit("<m>")), F.regexp_count(body, F.lit("</m>"))
-    pairs = F.regexp_extract_all(body, F.lit("(?s)<m>(.*?)</m>"), F.lit(1))
-    many = F.size(F.filter(pairs, lambda p: F.contains(p, F.lit("\n"))))
+    pairs, many = _pairs(body)
     return df.groupBy(*keys).agg(
         F.sum(opened).alias("opened"), F.sum(closed).alias("closed"), F.sum(F.size(pairs) - many).alias("single"), F.sum(many).alias("multi"), F.count_if(opened != closed).alias("unbalanced")
     )
@@ -86,6 +107,14 @@ def crossed_nesting(df: DataFrame, text: str, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(markup.crossing_report(F.col(text))).alias("c")).select(*keys, "c.line", "c.closer", "c.open", "c.text")
 
 
-def lines_of(counts: DataFrame, column: str, most: int = 1000) -> list[str]:
-    """A report's lines for the console, most first: at most so many (a report is for reading)."""
-    return [f"{str(r[column]):<40} {r['n']:>10}" for r in counts.orderBy(F.desc("n"), column).limit(most).collect()]
+def lines_of(counts: DataFrame, column: str) -> Iterator[str]:
+    """A report's lines for the console, most first, fetched a partition at a time."""
+    for r in counts.orderBy(F.desc("n"), column).toLocalIterator():
+        yield f"{str(r[column]):<40} {r['n']:>10}"
+
+
+def markup_rates(pairs: DataFrame, truth: str, guess: str) -> DataFrame:
+    """Pairs with the rates of their text without tags, and the accuracy of their tags apart from it."""
+    # in two steps: inside functions of arrays Spark would take names for the columns made beside them
+    judged = pairs.withColumn("tag_accuracy", tag_accuracy(F.col(truth), F.col(guess)))
+    return error_rates(judged.withColumns({c: markup.stripped(F.col(c)) for c in (truth, guess)}), truth, guess)

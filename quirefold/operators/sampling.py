@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirefold.tables import fresh, row_digest, written
+
 SEED = 42
 
 
@@ -19,8 +21,8 @@ def hash_order(key: Column, seed: int = SEED) -> Column:
 
 def capped(df: DataFrame, group: str, order: str, cap: int) -> DataFrame:
     """The first rows of each group."""
-    window = Window.partitionBy(group).orderBy(order)
-    return df.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= cap).drop("__n")
+    window, (n,) = Window.partitionBy(group).orderBy(order), fresh(df, "n")
+    return df.withColumn(n, F.row_number().over(window)).where(F.col(n) <= cap).drop(n)
 
 
 def project_capped(valid: DataFrame, group: str, order: str, cap: int, target: int | None = None) -> DataFrame:
@@ -34,14 +36,15 @@ def project_full(df: DataFrame, group: str, order: str, valid: Column, cap: int)
 
     The place where a project is full is one row a project, found by the capped form; no running count is needed.
     """
-    full = capped(df.where(valid), group, order, cap).groupBy(group).agg(F.max(order).alias("__last"), F.count(F.lit(1)).alias("__n")).where(F.col("__n") == cap)
-    return df.join(full.drop("__n"), group).where(F.col(order) > F.col("__last")).drop("__last")
+    last, n = fresh(df, "last", "n")
+    full = capped(df.where(valid), group, order, cap).groupBy(group).agg(F.max(order).alias(last), F.count(F.lit(1)).alias(n)).where(F.col(n) == cap)
+    return df.join(full.drop(n), group).where(F.col(order) > F.col(last)).drop(last)
 
 
 def balanced(df: DataFrame, group: str, key: str, most: int, seed: int = SEED) -> DataFrame:
     """At most `most` rows of each group, chosen by seeded hash; reruns agree."""
-    window = Window.partitionBy(group).orderBy(hash_order(F.col(key), seed), key)
-    return df.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= most).drop("__n")
+    window, (n,) = Window.partitionBy(group).orderBy(hash_order(F.col(key), seed), key), fresh(df, "n")
+    return df.withColumn(n, F.row_number().over(window)).where(F.col(n) <= most).drop(n)
 
 
 def shuffled(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
@@ -56,21 +59,26 @@ def first_after_filters(df: DataFrame, order: str, n: int) -> DataFrame:
 def numbered(df: DataFrame, order: str, start: int = 0, name: str = "counter") -> DataFrame:
     """Rows numbered from start in order, without a window over all rows.
 
-    Rows are range-partitioned and sorted; each partition numbers its own and adds what the partitions before it hold
-    (one row a partition).
+    Rows are range-partitioned and sorted, then written with their place in their partition, once: the numbers of rows
+    before each partition are counted from that table, so both agree. Rows of one order value are told apart by a hash of
+    all columns, so that a value which many rows share is spread over partitions too.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = df.repartitionByRange(int(parts), order).withColumn("__part", F.spark_partition_id())
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__rows"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__part").orderBy(order)
-    return placed.withColumn("__n", F.row_number().over(own)).join(offsets, "__part").withColumn(name, F.col("__before") + F.col("__n") - 1 + start).drop("__part", "__n", "__before")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tie, place, before = fresh(df, "tie", "place", "before")
+    placed = df.withColumn(tie, row_digest(df)).repartitionByRange(parts, order, tie).sortWithinPartitions(order, tie).drop(tie)
+    placed = written(placed.withColumn(place, F.monotonically_increasing_id()), "placed")
+    part, at = F.shiftright(place, 33), F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"))
+    # a row a partition
+    sums = F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(counts.select("part", F.coalesce(sums, F.lit(0)).alias(before)))
+    return placed.join(offsets, part == F.col("part")).withColumn(name, F.col(before) + at + start).select(*[c for c in df.columns if c != name], name)
 
 
 def batched(df: DataFrame, order: str, size: int) -> DataFrame:
     """Batches of a fixed size in order."""
-    return numbered(df, order, name="__i").withColumn("batch", F.floor(F.col("__i") / size).cast("long")).drop("__i")
+    (i,) = fresh(df, "i")
+    return numbered(df, order, name=i).withColumn("batch", F.floor(F.col(i) / size).cast("long")).drop(i)
 
 
 def in_group_split(group: Column, percent: int, seed: int = SEED) -> Column:

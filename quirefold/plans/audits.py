@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirefold.functions import markup
-from quirefold.functions.metrics import cer
+from quirefold.functions.metrics import cer, tag_accuracy
 from quirefold.operators import reports
 from quirefold.plans.registry import by_bytes, query, read, trimmed
 
@@ -71,10 +71,36 @@ def marginalia_audit(spark, sf_dir):
     return reports.note_audit(read(spark, sf_dir, "documents").select("source", page.alias("t")), "t", "source")
 
 
-@query("SELECT date_trunc('month', ts)::DATE AS month, count(*) AS pages, round(count(*) FILTER (WHERE value > 10) / count(*), 9) AS share FROM events GROUP BY month")
+_NOTED = "'<m>' || replace(text, '. ', '.</m> <m>') || '</m>'"
+
+
+@query(rf"""
+WITH p AS (SELECT date_trunc('month', ts)::DATE AS month, regexp_extract_all({_NOTED}, '(?s)<m>(.*?)</m>', 1) AS ps FROM documents JOIN events ON event_id = doc_id),
+n AS (SELECT month, sum(len(ps))::BIGINT AS pairs, sum(len(list_filter(ps, lambda x: contains(x, chr(10)))))::BIGINT AS multi FROM p GROUP BY month)
+SELECT month, pairs - multi AS single, multi, round(multi / pairs, 9) AS share FROM n
+""")
 def multiline_by_month(spark, sf_dir):
-    events = read(spark, sf_dir, "events").groupBy(F.trunc("ts", "month").alias("month"))
-    return events.agg(F.count(F.lit(1)).alias("pages"), F.round(F.count_if(F.col("value") > 10) / F.count(F.lit(1)), 9).alias("share"))
+    """Every sentence a note; the time of a document is that of the event of its number."""
+    page = F.concat(F.lit("<m>"), F.replace("text", F.lit(". "), F.lit(".</m> <m>")), F.lit("</m>"))
+    pages = read(spark, sf_dir, "documents").select("doc_id", page.alias("t")).join(read(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id")
+    return reports.multiline_share(pages, "t", "ts").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT count(*) AS images, round(median((p_partkey * 37 % 9000 + 1) / (p_size * 211 + 300)), 9) AS median FROM part")
+def aspect_ratio(spark, sf_dir):
+    sizes = read(spark, sf_dir, "part").select((F.col("p_partkey") * 37 % 9000 + 1).alias("w"), (F.col("p_size") * 211 + 300).alias("h"))
+    return reports.aspect_ratio(sizes, "w", "h").withColumn("median", F.round("median", 9))
+
+
+@query(r"""
+WITH t AS (SELECT page_id, list_transform(regexp_extract_all(html, '<([a-zA-Z0-9]+)\s*/?>', 1), lambda x: lower(x)) AS a, list_transform(regexp_extract_all(replace(html, '<p>', '<br>'), '<([a-zA-Z0-9]+)\s*/?>', 1), lambda x: lower(x)) AS b FROM pages),
+k AS (SELECT page_id, len(a) AS n, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) AS k FROM t)
+SELECT page_id, round(CASE WHEN n > 0 THEN k / n END, 9) AS accuracy FROM k
+""")
+def tag_accuracies(spark, sf_dir):
+    """Pages against themselves with every paragraph opener read as a line break."""
+    guess = F.replace("html", F.lit("<p>"), F.lit("<br>"))
+    return read(spark, sf_dir, "pages").select("page_id", F.round(tag_accuracy(F.col("html"), guess), 9).alias("accuracy"))
 
 
 @query("SELECT doc_id, 4000 + 350 + ceil(length(text) / 4.0)::BIGINT AS tokens, 4000 + 350 + ceil(length(text) / 4.0)::BIGINT > 5000 AS too_long FROM documents")
@@ -88,12 +114,6 @@ def repeated_pages(spark, sf_dir):
     return reports.repeated_rows(read(spark, sf_dir, "documents").select(F.md5(F.col("text").cast("binary")).alias("page")), "page")
 
 
-@query(r"SELECT doc_id, round(levenshtein(regexp_replace(text, '^\s+|\s+$', '', 'g'), regexp_replace(replace(text, 'th', 't'), '^\s+|\s+$', '', 'g')) / length(regexp_replace(text, '^\s+|\s+$', '', 'g')), 9) AS cer FROM documents WHERE regexp_full_match(text, '[\x01-\x7F]*') AND regexp_matches(text, '\S') AND NOT contains(text, '<')")
-def tag_stripped_cer(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x01-\x7F]*$") & F.col("text").rlike(r"\S") & ~F.contains("text", F.lit("<")))
-    return docs.select("doc_id", F.round(cer(F.col("text"), _marked_guess()), 9).alias("cer"))
-
-
 def _marked_guess():
     marked = F.concat(F.lit("<i>"), F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("\n"), F.lit("</i>\n<pb/><i>")), F.lit("</i>"))
     return markup.stripped(marked)
@@ -106,29 +126,29 @@ _BARE = r"regexp_replace({}, '</?[a-zA-Z0-9]+[\x09-\x0D ]*/?>', '', 'g')"
 WITH p AS (SELECT doc_id, {trimmed(_BARE.format("text"))} AS truth, {trimmed(_BARE.format("replace(text, 'th', 't')"))} AS guess FROM documents)
 SELECT doc_id, round(CASE WHEN truth = '' THEN (guess <> '')::INT::DOUBLE ELSE {by_bytes("truth", "guess")} / length(truth) END, 9) AS cer FROM p
 """)
-def tag_stripped_cer_all(spark, sf_dir):
+def tag_stripped_cer(spark, sf_dir):
     """Every document, of any characters; tags of its own are stripped from both sides."""
     return read(spark, sf_dir, "documents").select("doc_id", F.round(cer(markup.stripped(F.col("text")), _marked_guess()), 9).alias("cer"))
 
 
 @query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE NOT contains(text, '<'))
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM (SELECT doc_id, replace(text, '<', '(') AS text FROM documents))
 SELECT doc_id, line, 'i' AS closer, 'cs' AS open, '<i>' || t || '<cs>x</i></cs>' AS text FROM l WHERE length(t) % 2 = 0
 """)
 def crossed_report(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("<")))
+    docs = read(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("<"), F.lit("(")))
     crossed = lambda t: F.when(F.length(t) % 2 == 0, F.concat(F.lit("<i>"), t, F.lit("<cs>x</i></cs>"))).otherwise(t)
     pages = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), crossed), "\n").alias("page"))
     return reports.crossed_nesting(pages, "page", "doc_id")
 
 
 @query("""
-WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) // 2 AS n FROM documents WHERE NOT contains(text, '<'))
+WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) // 2 AS n FROM documents)
 SELECT doc_id, n AS anchors, true AS fit FROM l
 """)
 def anchored_marginalia(spark, sf_dir):
     """Every second line as a note of its own, then numbered: the proposed form with anchors and a section of notes."""
-    lines = F.split("text", "\n")
+    lines = F.split(F.replace("text", F.lit("<"), F.lit("(")), "\n")
     page = F.array_join(F.transform(lines, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("<m>"), x, F.lit("</m>"))).otherwise(x)), "\n")
-    docs = read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("<"))).select("doc_id", markup.with_anchors(page).alias("t"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", markup.with_anchors(page).alias("t"))
     return docs.select("doc_id", F.regexp_count("t", F.lit("<m_ref ")).cast("long").alias("anchors"), markup.anchors_fit(F.col("t")).alias("fit"))

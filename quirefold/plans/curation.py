@@ -132,34 +132,34 @@ def changed_rows(spark, sf_dir):
     return docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), ladder.changed(F.col("text"), F.replace("text", F.lit(" "), F.lit("  "))).alias("changed"))
 
 
-_SHAPES = """['{"type":{"id":"Q1261026","label":"x"}}', '{"type":{"id":"Q87167"}}', '{"type":{"label":"Manuscript"}}', '{"type":"Trükis 1650"}', '{"type":null}', '{}', 'no json', '{"type":{"label":"Printed Manuscript"}}', '{"type":7}']"""
+_SHAPES = ['{"type":{"id":"Q1261026","label":"x"}}', '{"type":{"id":"Q87167"}}', '{"type":{"label":"Manuscript"}}', '{"type":"Trükis 1650"}', '{"type":null}', '{}', 'no json', '{"type":{"label":"Printed Manuscript"}}', '{"type":7}']
 _MATERIAL = "['print', 'hand', 'hand', 'print', 'unknown', 'unknown', 'unknown', 'hand', 'unknown']"
 
 
 @query(f"SELECT doc_id, {_MATERIAL}[(doc_id % 9 + 1)::INT] AS material, doc_id % 9 NOT IN (1, 2, 7) AS kept FROM documents")
 def material_types(spark, sf_dir):
-    shapes = F.array(*(F.lit(s) for s in eval(_SHAPES)))
+    shapes = F.array(*(F.lit(s) for s in _SHAPES))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.get(shapes, (F.col("doc_id") % 9).cast("int")).alias("metadata"))
     docs = docs.withColumn("material", provenance.material_of(F.col("metadata")))
     return docs.select("doc_id", "material", provenance.wanted_material(F.col("material"), "print", include_unknown=True).alias("kept"))
 
 
-_STATUS = """['{"status":"Valmis"}', '{"status":"Pooleli"}', '{}', '{broken']"""
+_STATUS = ['{"status":"Valmis"}', '{"status":"Pooleli"}', '{}', '{broken']
 
 
 @query(f"SELECT ['Valmis', 'Pooleli', '', NULL][(doc_id % 4 + 1)::INT] AS status, count(*) AS n FROM documents GROUP BY status")
 def page_statuses(spark, sf_dir):
-    shapes = F.array(*(F.lit(s) for s in eval(_STATUS)))
+    shapes = F.array(*(F.lit(s) for s in _STATUS))
     docs = read(spark, sf_dir, "documents").select(provenance.page_status(F.get(shapes, (F.col("doc_id") % 4).cast("int"))).alias("status"))
     return docs.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-_NAMES = "['083605_0307_1.jpg', 'aaeb_1.jpg', 'bullinger_x.jpg', 'koenigsfelden_9.jpg', 'svea_1.jpg', 'bergskollegium_a_p.jpg', 'bergskollegium_r_p.jpg', 'bergskollegium_p.jpg', 'gota_1.jpg', 'krigshovrattens_1.jpg', 'trolldomskommissionen_1.jpg', 'jonkopings_1.jpg', 'jonk_1.jpg', 'hanse_1.jpg', 'senatsp_1.jpg', '08360_1.jpg']"
+_NAMES = ['083605_0307_1.jpg', 'aaeb_1.jpg', 'bullinger_x.jpg', 'koenigsfelden_9.jpg', 'svea_1.jpg', 'bergskollegium_a_p.jpg', 'bergskollegium_r_p.jpg', 'bergskollegium_p.jpg', 'gota_1.jpg', 'krigshovrattens_1.jpg', 'trolldomskommissionen_1.jpg', 'jonkopings_1.jpg', 'jonk_1.jpg', 'hanse_1.jpg', 'senatsp_1.jpg', '08360_1.jpg']
 _SOURCES = "['kurrent_xix', 'aaeb_xiv_xvii', 'bullinger_autoren', 'koenigsfelden_adhr', 'svea_hovratt_seg', 'bergskollegium_adv_seg', 'bergskollegium_rel_seg', 'bergskollegium_seg', 'gota_hovratt_seg', 'krigshovrattens_seg', 'trolldomskommissionen_seg', 'jonkopings_seg', 'jonkopings_seg', 'hanse_kurrent_xvi', 'tundmatu', 'tundmatu']"
 
 
 def _named(spark, sf_dir):
-    names = F.array(*(F.lit(s) for s in eval(_NAMES)))
+    names = F.array(*(F.lit(s) for s in _NAMES))
     name = F.concat(F.lit("images/"), F.format_string("%05d_", F.col("doc_id")), F.get(names, (F.col("doc_id") % 16).cast("int")))
     return read(spark, sf_dir, "documents").select("doc_id", name.alias("failinimi"), F.when(F.col("doc_id") % 5 == 0, F.col("source")).when(F.col("doc_id") % 5 == 1, "").alias("allikas"))
 

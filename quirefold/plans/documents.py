@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quirefold.functions import xmltext
+from quirefold.operators import provenance
 from quirefold.plans.registry import query, read
 from quirefold.session import shared_folder
 from quirefold.sources import sinks, tables
@@ -41,16 +42,17 @@ def _escaped(column):
     return F.replace(F.replace(column, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
-_LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
-_PRINTABLE = r"NOT regexp_matches(text, '[\x00-\x08\x0B-\x1F]')"
+# What XML can't hold becomes a blank.
+_NO_CONTROLS = r"regexp_replace(text, '[\x00-\x08\x0B-\x1F]', ' ', 'g')"
+_LINES = rf"list_filter(list_transform(string_split({_NO_CONTROLS}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 
 
 def _printable(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x00-\x08\x0B-\x1F]"))
+    return read(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " "))
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents WHERE {_PRINTABLE})
+WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents)
 SELECT doc_id, nullif(array_to_string(list_concat(list_filter(ls, lambda x, i: i % 2 = 0), list_filter(ls, lambda x, i: i % 2 = 1)), chr(10)), '') AS text, false AS malformed FROM l
 """)
 def page_xml_text(spark, sf_dir):
@@ -62,14 +64,14 @@ def page_xml_text(spark, sf_dir):
         body = F.array_join(F.transform(kept, lambda x: F.concat(F.lit("<TextLine><TextEquiv><Unicode> "), _escaped(x), F.lit("</Unicode></TextEquiv><TextEquiv><Unicode>no</Unicode></TextEquiv></TextLine>"))), "")
         return F.concat(F.lit(f'<TextRegion id="{name}">'), body, F.lit("</TextRegion>"))
 
-    order = F.lit('<ReadingOrder><OrderedGroup id="g"><RegionRefIndexed index="0" regionRef="b"/><RegionRefIndexed index="1" regionRef="zz"/></OrderedGroup></ReadingOrder>')
+    order = F.lit('<ReadingOrder><OrderedGroup id="g"><RegionRefIndexed index="0" regionRef=\'b\'/><!-- <RegionRefIndexed regionRef="a"/> --><RegionRefIndexed index="1" regionRef="zz"/></OrderedGroup></ReadingOrder>')
     head = F.lit('<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page imageFilename="x.jpg">')
     xml = F.concat(head, order, region("a", True), region("b", False), F.lit("</Page></PcGts>"))
     return _printable(spark, sf_dir).select("doc_id", xmltext.page_xml(xml).alias("p")).select("doc_id", "p.text", "p.malformed")
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents WHERE {_PRINTABLE})
+WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents)
 SELECT doc_id, nullif(array_to_string(list_reverse(ls), chr(10)), '') AS text FROM l
 """)
 def alto_xml_text(spark, sf_dir):
@@ -77,12 +79,12 @@ def alto_xml_text(spark, sf_dir):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     quoted = lambda x: F.replace(_escaped(x), F.lit('"'), F.lit("&quot;"))
     body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit('<TextLine VPOS="'), (F.lit(100000) - i).cast("string"), F.lit('"><String CONTENT="'), quoted(x), F.lit('"/></TextLine>'))), "")
-    xml = F.concat(F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page><PrintSpace><TextBlock>'), body, F.lit("</TextBlock></PrintSpace></Page></Layout></alto>"))
+    xml = F.concat(F.lit('<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page><PrintSpace><ComposedBlock><ComposedBlock><TextBlock>'), body, F.lit("</TextBlock></ComposedBlock></ComposedBlock></PrintSpace></Page></Layout></alto>"))
     return _printable(spark, sf_dir).select("doc_id", xmltext.alto_xml(xml).alias("text"))
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents WHERE {_PRINTABLE})
+WITH l AS (SELECT doc_id, {_LINES} AS ls FROM documents)
 SELECT doc_id, k || '.tif' AS facs, CASE k WHEN 1 THEN 'diaryEntry' ELSE 'cover' END AS kind, CASE k WHEN 1 THEN array_to_string(ls, chr(10)) ELSE 'end' END AS text FROM l, (VALUES (1), (2)) v(k)
 """)
 def tei_page_text(spark, sf_dir):
@@ -92,3 +94,9 @@ def tei_page_text(spark, sf_dir):
     _printable(spark, sf_dir).select("doc_id", xml.alias("xml")).createOrReplaceTempView("quirefold_tei")
     spark.udtf.register("tei_pages", xmltext.tei_function())
     return spark.sql("SELECT doc_id, facs, kind, text FROM quirefold_tei, LATERAL tei_pages(xml)")
+
+
+@query("SELECT doc_id, '1.tif' AS facs FROM documents")
+def diary_pages(spark, sf_dir):
+    """Of the pages above those of one kind."""
+    return provenance.of_kind(tei_page_text(spark, sf_dir)).select("doc_id", "facs")

@@ -48,14 +48,6 @@ def unlabelled_backlog(spark, sf_dir):
     return joins.lacking(read(spark, sf_dir, "documents").select("doc_id", "source"), read(spark, sf_dir, "labels"), "doc_id")
 
 
-# Truth: ASCII documents (DuckDB's levenshtein counts bytes); guess: the same with letters dropped and changed.
-_PAIRS = r"""
-WITH g AS (SELECT doc_id, source, trim(text) AS truth FROM documents WHERE regexp_full_match(text, '[\x01-\x7F]*') AND regexp_matches(text, '\S')),
-p AS (SELECT doc_id, source, regexp_replace(truth, '^\s+|\s+$', '', 'g') AS truth, CASE WHEN doc_id % 7 <> 0 THEN replace(replace(truth, 'th', 't'), 'an', 'en') END AS guess FROM g),
-e AS (SELECT doc_id, source, CASE WHEN guess IS NULL THEN 'puudub' ELSE 'ok' END AS status, levenshtein(truth, regexp_replace(guess, '^\s+|\s+$', '', 'g')) / length(truth) AS cer FROM p)
-"""
-
-
 def _pairs(docs):
     truth = docs.select("doc_id", "source", F.col("text").alias("truth"))
     guess = F.replace(F.replace("truth", F.lit("th"), F.lit("t")), F.lit("an"), F.lit("en"))
@@ -63,10 +55,6 @@ def _pairs(docs):
     return joins.with_guess(truth, guesses, "doc_id", F.col("truth"))
 
 
-def _ascii(spark, sf_dir):
-    return read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x01-\x7F]*$"))
-
-
 def _rates(pairs):
     return reports.error_rates(pairs, "truth", "guess", words=False)
 
@@ -81,25 +69,10 @@ def _of_models(pairs):
     return joins.every_model(pairs.select("doc_id", "source", "truth"), guesses, "doc_id", F.col("truth"))
 
 
-@query(_PAIRS + "SELECT doc_id, status, round(cer, 9) AS cer FROM e")
-def cer_ascii(spark, sf_dir):
-    return _rates(_pairs(_ascii(spark, sf_dir))).select("doc_id", "status", F.round("cer", 9).alias("cer"))
-
-
-@query(_PAIRS + "SELECT source, count(*) FILTER (WHERE status = 'ok') AS pages, count(*) FILTER (WHERE status <> 'ok') AS missing, round(avg(cer), 9) AS mean_cer FROM e GROUP BY source")
-def cer_macro_by_source(spark, sf_dir):
-    return _by(_rates(_pairs(_ascii(spark, sf_dir))), "source")
-
-
-@query(_PAIRS.replace("e AS (", "m AS (SELECT * FROM p, (VALUES ('a'), ('b')) v(model)), e AS (").replace("SELECT doc_id, source, CASE WHEN guess IS NULL", "SELECT model, doc_id, source, CASE WHEN guess IS NULL").replace(" FROM p)", " FROM m)") + "SELECT model, count(*) FILTER (WHERE status = 'ok') AS pages, count(*) FILTER (WHERE status <> 'ok') AS missing, round(avg(cer), 9) AS mean_cer FROM e GROUP BY model")
-def cer_every_model(spark, sf_dir):
-    return _by(_rates(_of_models(_pairs(_ascii(spark, sf_dir)))), "model")
-
-
-# The same over whole tables. In the SQL, each pair's non-ASCII characters become ASCII characters that the pair doesn't
+# Error rates of whole tables against the same texts with letters dropped and changed. In the SQL, each pair's non-ASCII characters become ASCII characters that the pair doesn't
 # hold, one for one, which leaves the distance as it is; where there are too few of them, the SQL fails.
 _WHOLE = rf"""
-WITH p AS (SELECT doc_id, source, {trimmed("text")} AS truth, CASE WHEN doc_id % 7 <> 0 THEN {trimmed("replace(replace(text, 'th', 't'), 'an', 'en')")} END AS guess FROM documents WHERE regexp_matches(text, '[^ ]')),
+WITH p AS (SELECT doc_id, source, {trimmed("text")} AS truth, CASE WHEN doc_id % 7 <> 0 THEN {trimmed("replace(replace(text, 'th', 't'), 'an', 'en')")} END AS guess FROM documents WHERE {trimmed("text")} <> ''),
 c AS (SELECT *, {by_bytes("truth", "guess")} AS d FROM p),
 e AS (SELECT doc_id, source, CASE WHEN guess IS NULL THEN 'puudub' ELSE 'ok' END AS status, CASE WHEN guess IS NULL THEN NULL WHEN truth = '' THEN (guess <> '')::INT::DOUBLE ELSE d / length(truth) END AS cer FROM c)
 """
@@ -112,28 +85,28 @@ def cer_all(spark, sf_dir):
 
 
 @query(_WHOLE + f"SELECT source, {_MEANS} FROM e GROUP BY source")
-def cer_macro_by_source_all(spark, sf_dir):
+def cer_macro_by_source(spark, sf_dir):
     return _by(_rates(_pairs(read(spark, sf_dir, "documents"))), "source")
 
 
 @query(_WHOLE + f"SELECT model, {_MEANS} FROM e, (VALUES ('a'), ('b')) v(model) GROUP BY model")
-def cer_every_model_all(spark, sf_dir):
+def cer_every_model(spark, sf_dir):
     return _by(_rates(_of_models(_pairs(read(spark, sf_dir, "documents")))), "model")
 
 
-# Words become single ASCII characters, so that DuckDB's levenshtein counts words.
-@query(r"""
-WITH p AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS a, list_filter(string_split_regex(replace(replace(text, ' the ', ' '), 'an', 'en'), '\s+'), lambda w: w <> '') AS b FROM conversations),
-v AS (SELECT *, list_sort(list_distinct(list_concat(a, b))) AS ws FROM p WHERE len(a) > 0),
-c AS (SELECT conv_id, turn, len(a) AS n, array_to_string(list_transform(a, lambda w: chr((33 + list_position(ws, w))::INT)), '') AS x, array_to_string(list_transform(b, lambda w: chr((33 + list_position(ws, w))::INT)), '') AS y FROM v WHERE len(ws) <= 90)
-SELECT conv_id, turn, round(levenshtein(x, y) / n, 9) AS wer FROM c
-""")
-def wer_short(spark, sf_dir):
+def _heard(turns):
+    """Turns as truth and a guess with words dropped and changed; every seventh conversation has none."""
     guess = F.replace(F.replace("text", F.lit(" the "), F.lit(" ")), F.lit("an"), F.lit("en"))
-    turns = read(spark, sf_dir, "conversations").withColumn("guess", guess)
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    turns = turns.where((F.size(F.array_union(words("text"), words("guess"))) <= 90) & (F.size(words("text")) > 0))
-    return turns.select("conv_id", "turn", F.round(wer(F.col("text"), F.col("guess")), 9).alias("wer"))
+    turns = turns.withColumn("id", F.concat_ws("/", "conv_id", "turn"))
+    guesses = turns.where("conv_id % 7 <> 0").select("id", guess.alias("guess"))
+    return joins.with_guess(turns, guesses, "id", F.col("text"))
+
+
+@query()
+def error_rates_by_role(spark, sf_dir):
+    """Means of both rates over the turns of each role; no SQL twin, as DuckDB has no edit distance of lists."""
+    found = reports.macro_average(reports.error_rates(_heard(read(spark, sf_dir, "conversations")), "text", "guess"), "role")
+    return found.withColumns({c: F.round(c, 9) for c in ("mean_cer", "mean_wer")})
 
 
 @query()

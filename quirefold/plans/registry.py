@@ -32,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def trimmed(text: str) -> str:
     """SQL for the text without Unicode blanks at either end."""
-    blank = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    blank = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
     return f"regexp_replace({text}, '^{blank}+|{blank}+$', '', 'g')"
 
 

@@ -8,14 +8,17 @@ from quirefold.functions import geometry, markup, text
 from quirefold.plans.registry import query, read
 
 
-@query(r"""
-SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1'), '[^0-9A-Za-z_\-]', '_', 'g') AS stem,
-left(regexp_replace(url, '[^0-9A-Za-z_\-]', '_', 'g'), 60) AS safe,
-printf('%05d', page_id) || '_pages_' || regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1'), '[^0-9A-Za-z_\-]', '_', 'g') || '.jpg' AS name
-FROM pages WHERE regexp_full_match(url, '[\x01-\x7F]*')
+_UNSAFE = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\-]"
+
+
+@query(rf"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1'), '{_UNSAFE}', '_', 'g') AS stem,
+left(regexp_replace(url, '{_UNSAFE}', '_', 'g'), 60) AS safe,
+printf('%05d', page_id) || '_pages_' || regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '(.)\.[^.]*$', '\1'), '{_UNSAFE}', '_', 'g') || '.jpg' AS name
+FROM pages
 """)
 def safe_names(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").where(F.col("url").rlike(r"^[\x01-\x7F]*$"))
+    pages = read(spark, sf_dir, "pages")
     stem = text.safe_part(text.stem(F.col("url")))
     return pages.select("page_id", stem.alias("stem"), text.safe_part(F.col("url"), 60).alias("safe"), text.image_name(F.col("page_id"), "pages", F.col("url")).alias("name"))
 
@@ -80,31 +83,76 @@ def line_balance(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", markup.line_balanced(half).alias("text"))
 
 
-_TRIMMED = r"regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+# Tags of a document's own would be markup: their brackets are turned.
+_PLAIN = "replace(text, '<', '(')"
+_TRIMMED = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
 
+def _plain(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("<"), F.lit("(")).alias("text"))
 
-@query(rf"SELECT doc_id, '<m>' || replace({_TRIMMED}, chr(10), '</m>' || chr(10) || '<m>') || '</m>' AS text, true AS converged FROM documents WHERE NOT regexp_matches({_TRIMMED}, '\n\s*\n') AND NOT contains(text, '<')")
+
+@query(rf"""
+WITH l AS (SELECT doc_id, string_split({_TRIMMED}, chr(10)) AS ls FROM documents),
+w AS (SELECT doc_id, array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_matches(x, '\S') THEN '<m>' || x || '</m>' ELSE '' END), chr(10)) AS t FROM l)
+SELECT doc_id, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text, true AS converged FROM w
+""")
 def clean_markup(spark, sf_dir):
     """Every page as one note of many lines, with a note closer to balance: the clean form has one note a line."""
     squeezed = text.trim_u(F.regexp_replace(F.regexp_replace("text", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
-    docs = read(spark, sf_dir, "documents").select("doc_id", squeezed.alias("t"), "text").where(~F.col("t").rlike(r"\n\s*\n") & ~F.contains("text", F.lit("<")))
-    page = F.concat(F.lit("<m><m>"), F.col("t"), F.lit("</m><i> </i>"))
-    return docs.select("doc_id", markup.cleaned(page).alias("c")).select("doc_id", "c.text", "c.converged")
+    page = F.concat(F.lit("<m><m>"), squeezed, F.lit("</m><i> </i>"))
+    return _plain(spark, sf_dir).select("doc_id", markup.cleaned(page).alias("c")).select("doc_id", "c.text", "c.converged")
 
 
-@query("""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE NOT contains(text, '<'))
-SELECT doc_id, regexp_replace(array_to_string(list_filter(ls, lambda x, i: i % 2 = 1), chr(10)), '\\s+$', '') || '' AS main_text,
-coalesce(array_to_string(list_transform(list_filter(ls, lambda x, i: i % 2 = 0), lambda x: '<m>' || x || '</m>'), chr(10)), '') AS notes FROM l WHERE len(ls) >= 2
-""".replace("\\\\", "\\"))
+def _each_line(spark, sf_dir, edit):
+    lines = F.transform(F.split(text.trim_u(F.col("text")), "\n"), lambda x: F.coalesce(F.nullif(text.trim_u(x), F.lit("")), F.lit("-")))
+    return _plain(spark, sf_dir).select("doc_id", F.array_join(F.transform(lines, edit), "\n").alias("page"))
+
+
+_SOLID_LINES = rf"list_transform(string_split(regexp_replace({_PLAIN}, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: coalesce(nullif(regexp_replace(x, '^\s+|\s+$', '', 'g'), ''), '-'))"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, {_SOLID_LINES} AS ls FROM documents)
+SELECT doc_id, array_to_string(list_transform(ls, lambda x: '<i>a<cs>' || x || '</cs></i><cs>b</cs>'), chr(10)) AS text FROM l
+""")
+def uncrossed_tags(spark, sf_dir):
+    """A pair that crosses another in every line."""
+    pages = _each_line(spark, sf_dir, lambda x: F.concat(F.lit("<i>a<cs>"), x, F.lit("</i>b</cs>")))
+    return pages.select("doc_id", markup.cleaned(F.col("page"))["text"].alias("text"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, {_SOLID_LINES} AS ls FROM documents)
+SELECT doc_id, array_to_string(list_transform(ls, lambda x: '<i>' || x || ' <b>y</b></i>'), chr(10)) AS text FROM l
+""")
+def flattened_tags(spark, sf_dir):
+    """Tags inside others of their name, two deep."""
+    pages = _each_line(spark, sf_dir, lambda x: F.concat(F.lit("<i><i>"), x, F.lit("</i> <b>y</b></i>")))
+    return pages.select("doc_id", markup.cleaned(F.col("page"))["text"].alias("text"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, {_SOLID_LINES} AS ls FROM documents)
+SELECT doc_id, array_to_string(list_transform(ls, lambda x: x || '.'), chr(10)) AS text FROM l
+""")
+def blank_tags(spark, sf_dir):
+    """Notes and pairs around nothing in every line."""
+    pages = _each_line(spark, sf_dir, lambda x: F.concat(x, F.lit("<m> <i></i><b> <cs></cs></b></m><fn><i>  </i></fn>.")))
+    return pages.select("doc_id", markup.cleaned(F.col("page"))["text"].alias("text"))
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, string_split({_PLAIN}, chr(10)) AS ls FROM documents)
+SELECT doc_id, CASE WHEN len(ls) < 2 THEN ls[1] ELSE regexp_replace(array_to_string(list_filter(ls, lambda x, i: i % 2 = 1), chr(10)), '\s+$', '') END AS main_text,
+coalesce(array_to_string(list_transform(list_filter(ls, lambda x, i: i % 2 = 0), lambda x: '<m>' || x || '</m>'), chr(10)), '') AS notes FROM l
+""")
 def marginalia_to_end(spark, sf_dir):
     """Every second line as a note: notes go to the end in order, one note each as main lines stand between them."""
-    lines = F.split("text", "\n")
-    docs = read(spark, sf_dir, "documents").where(~F.contains("text", F.lit("<"))).where(F.size(lines) >= 2)
-    page = F.array_join(F.transform(lines, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("<m>"), x, F.lit("</m>"))).otherwise(x)), "\n")
-    moved = docs.select("doc_id", markup.notes_last(page).alias("t"))
+    page = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("<m>"), x, F.lit("</m>"))).otherwise(x)), "\n")
+    moved = _plain(spark, sf_dir).select("doc_id", markup.notes_last(page).alias("t"))
     at = F.locate("\n<m>", F.col("t"))
-    return moved.select("doc_id", F.substring("t", F.lit(1), at - 1).alias("main_text"), F.substring("t", at + 1, F.length("t")).alias("notes"))
+    return moved.select("doc_id", F.when(at > 0, F.substring("t", F.lit(1), at - 1)).otherwise(F.col("t")).alias("main_text"), F.when(at > 0, F.substring("t", at + 1, F.length("t"))).otherwise("").alias("notes"))
 
 
 _SIZE = "(p_partkey * 37 % 9000 + 1)::BIGINT AS w, (p_size * 211 + 300)::BIGINT AS h"

@@ -35,12 +35,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all nodes share: spark.checkpoint.dir, or one of our own where that is unset (tests, laptops)."""
+    """The folder all nodes share: spark.checkpoint.dir. Where that is unset, a folder of our own on a local master, whose
+    nodes are one; elsewhere executors would write where the driver can't read, so that is refused."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="quirefold-shared-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(own)

@@ -1,19 +1,22 @@
 """A batch source of archive members: spark.read.format("tarmembers").option("suffixes", ".xml").load(path).
 
-Members of .tar and .tar.gz files under a path that executors can open (a shared mount, or files shipped with the job),
-one partition a file; a member is read when its turn comes, so memory follows the largest member.
+Members of .tar and .tar.gz files in a folder, or of those that a pattern names, on any store that executors can open by
+URL; one partition a file; a member is read when its turn comes, so memory follows the largest member.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import tarfile
 from collections.abc import Iterator
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quirefold.sources.stores import opened
+
 
 class TarMembers(DataSource):
     @classmethod
@@ -34,15 +37,23 @@ class _Archive(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.suffixes = tuple(s.strip().lower() for s in options.get("suffixes", "").split(",") if s.strip())
 
     def partitions(self) -> list[_Archive]:
-        found = sorted(glob.glob(os.path.join(self.path, "*.tar*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_Archive(p) for p in found]
+        store, path = opened(self.path)
+        if store.get_file_info(path).type == FileType.Directory:
+            found, pattern = store.get_file_info(FileSelector(path)), "*.tar*"
+        else:
+            folder, _, pattern = path.rpartition("/")
+            found = store.get_file_info(FileSelector(folder, allow_not_found=True))
+        names = sorted(f.path for f in found if f.type == FileType.File and fnmatch.fnmatch(f.base_name, pattern))
+        root = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
+        return [_Archive(root + name) for name in names]
 
     def read(self, partition: _Archive) -> Iterator[tuple]:
-        with tarfile.open(partition.path, "r|*") as archive:
+        store, path = opened(partition.path)
+        with store.open_input_stream(path, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
             for member in archive:
                 name = member.name.rsplit("/", 1)[-1]
                 if member.isfile() and (not self.suffixes or name.lower().endswith(self.suffixes)):

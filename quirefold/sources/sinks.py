@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.sources.stores import opened, put
+
 _QUOTED = {"header": True, "quote": '"', "escape": '"', "escapeQuotes": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -19,26 +23,69 @@ def append_rows(df: DataFrame, path: str, columns: tuple[str, ...] = ("failinimi
 
 
 def _move(spark: SparkSession, old: str, new: str) -> bool:
+    """Renames old where it exists; a rename that the store refuses is an error, nothing is deleted for it."""
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
     store = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not store.exists(a):
         return False
-    store.delete(b, True)
-    return store.rename(a, b)
+    if store.exists(b):
+        raise FileExistsError(new)
+    if not store.rename(a, b):
+        raise OSError(f"could not rename {old} to {new}")
+    return True
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def replace_with_backup(df: DataFrame, path: str) -> None:
-    """The table is written beside the live one, the live one becomes .bak, and the new one takes its place."""
-    path = path.rstrip("/")
+    """The table is written beside the live one, the live one becomes .bak, and the new one takes its place.
+
+    The backup before goes last: at every moment the live table or a whole copy of it exists, and a rename that fails puts
+    the live table back.
+    """
+    path, spark = path.rstrip("/"), df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.tmp")
-    _move(df.sparkSession, path, f"{path}.bak")
-    _move(df.sparkSession, f"{path}.tmp", path)
+    _delete(spark, f"{path}.bak.old")
+    _move(spark, f"{path}.bak", f"{path}.bak.old")
+    had = _move(spark, path, f"{path}.bak")
+    try:
+        _move(spark, f"{path}.tmp", path)
+    except Exception:
+        if had:
+            _move(spark, f"{path}.bak", path)
+        raise
+    if had:
+        _delete(spark, f"{path}.bak.old")
+    else:
+        _move(spark, f"{path}.bak.old", f"{path}.bak")
+
+
+def beside(path: Column) -> Column:
+    """Where the text of an image goes: the same name with .txt."""
+    return F.concat(F.regexp_replace(path, r"\.[^./]*$", ""), F.lit(".txt"))
+
+
+def write_page_texts(df: DataFrame, folder: str | None = None, name: str = "stem", text: str = "text") -> int:
+    """Writes each page's text as it is to a file of its own, `<folder>/<name>.txt`; without a folder `name` is the whole
+    path. An empty text is written too, so its page counts as done; a rerun writes the same files again. Gives their number.
+    """
 
+    def run(batches):
+        task = TaskContext.get()
+        for batch in batches:
+            for path, body in zip(batch["path"], batch["body"], strict=True):
+                store, at = opened(path)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                put(store, at, (body or "").encode(), str(task.taskAttemptId()))
+            yield pd.DataFrame({"n": [len(batch)]})
 
-def write_page_texts(df: DataFrame, folder: str, name: str = "stem", text: str = "text") -> None:
-    """One folder a page with its text; an empty text is written too, so its page counts as done."""
-    df.select(F.col(name), F.coalesce(F.col(text), F.lit("")).alias("value")).write.mode("append").partitionBy(name).option("lineSep", "\u0000").text(folder)
+    path = F.col(name) if folder is None else F.concat(F.lit(folder.rstrip("/") + "/"), F.col(name), F.lit(".txt"))
+    pages = df.select(path.alias("path"), F.col(text).alias("body"))
+    return pages.mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def save(df: DataFrame, path: str, dry: bool = False) -> DataFrame:

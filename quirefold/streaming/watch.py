@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quirefold.sources.files import IMAGES, suffix
+from quirefold.sources.sinks import beside, write_page_texts
 
 Transcribe = Callable[[list[bytes], list[str]], list[str]]
 
@@ -22,13 +25,55 @@ def arrivals(spark: SparkSession, folder: str, per_batch: int = 4) -> DataFrame:
     return read.load(folder).where(suffix(F.col("path")).isin(list(IMAGES)))
 
 
+def settled(spark: SparkSession, paths: list[str], every: float, looks: int = 2, patience: float = 3600.0) -> list[str]:
+    """Waits until the sizes of a trigger's files are the same `looks` times in a row; gives those that settled and exist.
+
+    A trigger has a few files at most. A file that still grows after `patience` seconds is left out.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def size(path: str) -> int | None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(conf)
+        return store.getFileStatus(at).getLen() if store.exists(at) else None
+
+    sizes, same, until = {p: size(p) for p in paths}, dict.fromkeys(paths, 0), time.monotonic() + patience
+    while (open_ := [p for p in paths if same[p] < looks and sizes[p] is not None]) and time.monotonic() < until:
+        time.sleep(every)
+        for p in open_:
+            now = size(p)
+            same[p] = same[p] + 1 if now == sizes[p] else 0
+            sizes[p] = now
+    return [p for p in paths if sizes[p] is not None and same[p] >= looks]
+
+
+class Keys:
+    """Which paths are done: an empty file each, named by a hash, so that asking costs one look a path, however many there
+    are."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._path, self._folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, folder.rstrip("/")
+        self._store = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, path: str):
+        key = hashlib.sha256(path.encode()).hexdigest()
+        return self._path(f"{self._folder}/{key[:2]}/{key}")
+
+    def __contains__(self, path: str) -> bool:
+        return self._store.exists(self._at(path))
+
+    def add(self, path: str) -> None:
+        self._store.create(self._at(path), True).close()
+
+
 def stable(now: DataFrame, before: DataFrame) -> DataFrame:
     """Of a listing the files whose size an earlier listing also saw: for inboxes that can't rename."""
     return now.join(before.select("path", F.col("length").alias("__was")), "path").where(F.col("length") == F.col("__was")).drop("__was")
 
 
-def transcribed(pages: DataFrame, transcribe: Transcribe, kind: str = "kind", retries: int = 2, delay: float = 5.0) -> DataFrame:
-    """path, text, failed: pages of a kind go to one partition, so that its model is loaded once a task.
+def transcribed(pages: DataFrame, transcribe: Transcribe, kind: str = "kind", retries: int = 2, delay: float = 5.0, slices: int = 4) -> DataFrame:
+    """path, text, failed: a kind's pages go to `slices` partitions, so that its model is loaded a few times, and a kind that
+    nearly all pages are of is still shared out.
 
     A batch that fails is tried again; after that its pages fail one by one.
     """
@@ -56,33 +101,52 @@ def transcribed(pages: DataFrame, transcribe: Transcribe, kind: str = "kind", re
                         texts.append(None)
             yield pd.DataFrame({"path": batch["path"], "text": pd.Series(texts, dtype=object), "failed": [t is None for t in texts]})
 
-    return pages.repartition(kind).mapInPandas(run, "path string, text string, failed boolean")
+    slice_ = F.pmod(F.xxhash64("path"), F.lit(slices))
+    return pages.repartition(kind, slice_).mapInPandas(run, "path string, text string, failed boolean")
 
 
-def watch(pages: DataFrame, transcribe: Transcribe, done: str, failed: str, checkpoint: str, kind: str = "kind", once: bool = False, every: str = "5 seconds", delay: float = 5.0) -> StreamingQuery:
-    """Starts the watcher. Results and failures are Parquet tables; what either holds isn't done again."""
+def watch(
+    pages: DataFrame, transcribe: Transcribe, done: str, failed: str, checkpoint: str,
+    kind: str = "kind", once: bool = False, every: str = "5 seconds", delay: float = 5.0, settle: float | None = None, sidecars: bool = False,
+) -> StreamingQuery:
+    """Starts the watcher. Results and failures are Parquet tables; what is in either isn't done again, nor - with sidecars -
+    what has a .txt beside it, where each result is then written too.
+
+    `settle`: seconds between looks at the sizes of a trigger's files, which are waited for; None where files are moved in
+    whole. A trigger asks for its own few paths only (`maxFilesPerTrigger`); earlier results are never read.
+    """
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        for path in (done, failed):
-            try:
-                known = spark.read.parquet(path).select("path")
-            except Exception as error:
-                if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                    raise
-            else:
-                df = df.join(known, "path", "left_anti")
-        found = transcribed(df, transcribe, kind, delay=delay).persist()
+        known = Keys(spark, f"{done.rstrip('/')}.keys")
+        paths = [r.path for r in df.select("path").distinct().collect() if r.path not in known]
+        if sidecars:
+            paths = [p for p in paths if not _exists(spark, re.sub(r"\.[^./]*$", "", p) + ".txt")]
+        if settle is not None:
+            paths = settled(spark, paths, settle)
+        if not paths:
+            return
+        found = transcribed(df.where(F.col("path").isin(paths)), transcribe, kind, delay=delay).persist()
         try:
-            found.where("NOT failed").select("path", "text").write.mode("append").parquet(done)
+            good = found.where("NOT failed").select("path", "text")
+            good.write.mode("append").parquet(done)
             found.where("failed").select("path").write.mode("append").parquet(failed)
+            if sidecars:
+                write_page_texts(good.withColumn("to", beside(F.col("path"))), name="to")
         finally:
             found.unpersist()
+        for path in paths:
+            known.add(path)
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 class Heartbeat(StreamingQueryListener):
     """Calls back on progress, and on idle triggers no more often than asked."""
 

@@ -1,6 +1,8 @@
+import difflib
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,16 +17,21 @@ def one(spark, column, **values):
 @pytest.mark.parametrize(
     ("given", "want"),
     [
-        ("<ann1>Schmolentzkow</ann1>/ Twertſky/", "Schmolentzkow/ Twertſky/"),
-        ("<i>L. Baro in <cs>Ekeby⸗</i></cs>", "<i>L. Baro in <cs>Ekeby⸗</cs></i>"),
-        ("<m><i>traria.</m></i>", "<m><i>traria.</i></m>"),
-        ("abc</i> def", "abc</i> def"),
-        ("<m>A\nB</m>", "<m>A</m>\n<m>B</m>"),
-        ("<m><i>A\nB</i></m>", "<m><i>A</i></m>\n<m><i>B</i></m>"),
-        ("<m><m>Ratio 2.</m>", "<m>Ratio 2.</m>"),
-        ("<m>3<m>.</m></m>", "<m>3.</m>"),
-        ("<i><i>X</i></i>", "<i>X</i>"),
-        ("<i>Ratio.</i></m>", "<m><i>Ratio.</i></m>"),
+        ("<ann1>Brook</ann1> and <ann3/>mill", "Brook and mill"),
+        ("<i>see <cs>Vol.</i></cs>", "<i>see <cs>Vol.</cs></i>"),
+        ("<m><i>ibid.</m></i>", "<m><i>ibid.</i></m>"),
+        ("gone</i> on", "gone</i> on"),
+        ("<m>up\ndown</m>", "<m>up</m>\n<m>down</m>"),
+        ("<m><i>up\ndown</i></m>", "<m><i>up</i></m>\n<m><i>down</i></m>"),
+        ("<m> <i>up</i>\n<i>down</i> </m>", "<m> <i>up</i></m>\n<m><i>down</i> </m>"),
+        ("<m><m>fol. 4</m>", "<m>fol. 4</m>"),
+        ("<m>a<m>b</m></m>", "<m>ab</m>"),
+        ("<b><b>k</b></b>", "<b>k</b>"),
+        ("<i>vide</i></m>", "<m><i>vide</i></m>"),
+        ("x <m>y", "x <m>y</m>"),
+        ("<b>p <i>q <cs>r</b> s</cs></i>", "<b>p <i>q <cs>r</cs></i></b><i><cs> s</cs></i>"),
+        ("<m><noodid></m>", "<m><noodid></m>"),
+        ("1 < 2 <3> <x y> </i >", "1 < 2 <3> <x y> </i >"),
         ("a<m><i></i></m>b", "ab"),
         ("a <pb/> b <noodid> c", "a <pb/> b <noodid> c"),
         ("a  \n\n\n\nb", "a\n\nb"),
@@ -53,8 +60,33 @@ def test_clean_invariants():
     assert came_to_rest > 1400
 
 
-def test_rounds_that_do_not_suffice_are_told():
-    assert markup.clean("<m><i>traria.</m></i>", rounds=0)[1] is False
+def test_rounds_that_do_not_suffice_are_told(spark, monkeypatch):
+    assert markup.clean("<m><i>ibid.</m></i>", rounds=0)[1] is False
+    with pytest.raises(ValueError):
+        monkeypatch.setattr(markup, "clean", lambda p: (p, False))
+        markup._strict_series(pd.Series([None, "<i>a</i>"]))
+    monkeypatch.undo()
+    rows = spark.createDataFrame([("<m>a\nb</m>",), ("a \n\n\n\nb\u00a0",), (None,)], "t string")
+    assert [r.x.text if r.x else None for r in rows.select(markup.cleaned(F.col("t"), strict=True).alias("x")).collect()] == ["<m>a</m>\n<m>b</m>", "a\n\nb", None]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("<m>x</m>", "x"), (" <cs><m>x</m></cs> ", "x"), ("<b><m>x</m></b>", "<b>x</b>"), ("<m><i>x</i></m>", "<i>x</i>"), ("<i><m><b>x</b></m></i>", "<i>x</i>"),
+        ("<m>x</m> y <m>z</m>", "x</m> y <m>z"), ("<m></m>", ""), ("a <m>x</m>", None), ("<m>x</m> a", None), ("<m>x", None), ("", None), ("<m>x</i></m>", "x"),
+    ],
+)
+def test_whole_notes(line, want):
+    found = markup.whole_note(markup.read(line))
+    assert (None if found is None else markup.write(found)) == want
+
+
+def test_reading_and_writing_changes_nothing():
+    rng = random.Random(8)
+    for _ in range(300):
+        page = "".join(rng.choice(["<m>", "</M >", "<", ">", "<pb/>", "a", "\n", "é ", "</", "<i  />"]) for _ in range(20))
+        assert markup.write(markup.read(page)) == page and markup.write(markup.from_lines(markup.lines_of(markup.read(page)))) == page
 
 
 @pytest.mark.parametrize(
@@ -99,7 +131,7 @@ def test_line_balance_is_the_same_in_both_forms(spark):
     rng = random.Random(2)
     pages = ["".join(rng.choice(["<m>", "</m>", "a", "\n"]) for _ in range(20)) for _ in range(60)]
     rows = spark.createDataFrame([(p,) for p in pages], "t string").select("t", markup.line_balanced(F.col("t")).alias("x")).collect()
-    assert all(r.x == markup.balanced(r.t) for r in rows)
+    assert all(r.x == markup.write(markup.even_lines(markup.read(r.t))) for r in rows)
 
 
 def plain_distance(a, b):
@@ -113,9 +145,11 @@ def plain_distance(a, b):
 
 def test_edit_distance_equals_the_table():
     rng = random.Random(1)
-    for _ in range(400):
-        a, b = ([rng.choice("abcé") for _ in range(rng.randint(0, 80))] for _ in range(2))
-        assert metrics.edit_distance(a, b) == plain_distance(a, b)
+    for k in range(400):
+        a, b = ("".join(rng.choice("abcé") for _ in range(rng.randint(0, 80))) for _ in range(2))
+        if k % 2:
+            b = a[: k // 8] + b[:5] + a[k // 8 + rng.randint(0, 3) :]
+        assert metrics.edit_distance(a, b) == metrics.trimmed_distance(a, b) == metrics.trimmed_distance(list(a), list(b)) == plain_distance(a, b)
 
 
 @pytest.mark.parametrize(("truth", "guess", "want"), [("", "", 0.0), ("", "a", 1.0), ("aſb", "ab", 1 / 3), ("ab", "abcd" * 3, 5.0), (" ab ", "ab", 0.0), ("é", "é", 1.0), ("x" * 2000, "x" * 1990 + "y" * 5, 10 / 2000)])
@@ -127,6 +161,12 @@ def test_wer_and_diagnostic(spark):
     rows = spark.createDataFrame([("a b c d", "a x c"), ("", ""), ("", "a"), (None, "a"), ("a b", "a b")], "a string, b string")
     assert [r.x for r in rows.select(metrics.wer(F.col("a"), F.col("b")).alias("x")).collect()] == [0.5, 0.0, 1.0, None, 0.0]
     assert [r.x for r in rows.select(metrics.unmatched_share(F.col("a"), F.col("b")).alias("x")).collect()][:2] == [pytest.approx(1 - 4 / 7), 1.0]
+    rng = random.Random(3)
+    pairs = [tuple("".join(rng.choice("abc ") for _ in range(rng.randint(1, 12))) for _ in range(2)) for _ in range(80)]
+    want = [1 - sum(m.size for m in difflib.SequenceMatcher(None, guess, truth).get_matching_blocks()) / len(truth) for truth, guess in pairs]
+    assert metrics._unmatched_series(*(pd.Series(x) for x in zip(*pairs, strict=True))).tolist() == pytest.approx(want)
+    tags = spark.createDataFrame([("<i>a</i><i>b</i><pb/>", "<i>a</i> <pb/><b>c</b>"), ("a", "<i>")], "a string, b string")
+    assert [r.x for r in tags.select(metrics.tag_accuracy(F.col("a"), F.col("b")).alias("x")).collect()] == [pytest.approx(2 / 3), None]
 
 
 @pytest.mark.parametrize(
@@ -138,7 +178,7 @@ def test_model_text(spark, given, want):
 
 
 def test_names(spark):
-    assert text.ascii_name("Õpik ß  1.pdf") == "Opik_ss_1.pdf" and text.ascii_name("Õpik ß  1") == "Opik_ss_1"
+    assert text.ascii_name("Žürii (ß)  _é_ nr.7.pdf_") == "Zurii_ss_e_nr.7.pdf" and text.ascii_name("中 -") == "-" and text.ascii_name("_ö _") == "o"
     assert one(spark, text.safe_part(F.col("t"), 5), t="ä b-c.d") == "ä_b-c"
     assert one(spark, text.stem(F.col("t")), t="a/b.c/scan.01.jpg") == "scan.01" and one(spark, text.stem(F.col("t")), t="a/.hidden") == ".hidden"
     assert one(spark, text.tag_cut_first(F.col("t")), t="kurrent-xix-data") == "kurrent_xix_" and one(spark, text.tag_replace_first(F.col("t")), t="a-b c.d" * 4) == ("a_b_c_d" * 4)[:16]
@@ -190,6 +230,10 @@ PAGES = [
     ("<a><b></a>", None),
     (f"<PcGts {NS}><Page></Page></PcGts>", None),
     (f"<PcGts {NS}><Other/></PcGts>", None),
+    (f"<PcGts {NS}><Page>{order('b').replace(chr(34), chr(39))}{region('a', line('x'))}{region('b', line('y'))}</Page></PcGts>", "y\nx"),
+    (f"<PcGts {NS}><Page><!-- {order('b')} -->{order('a')}<!-- <RegionRefIndexed regionRef='b'/> -->{region('b', line('y'))}{region('a', line('x'))}</Page></PcGts>", "x\ny"),
+    (f"<PcGts {NS}><Page>{order('q&amp;r')}{region('b', line('y', '<![CDATA[<RegionRefIndexed regionRef=&quot;b&quot;/>]]>'))}{region('q&amp;r', line('x'))}</Page></PcGts>", "x\ny"),
+    (f"<PcGts {NS}><Page><ReadingOrder><RegionRefIndexed note='a > b' regionRef = 'b' /></ReadingOrder>{region('a', line('x'))}{region('b', line('y'))}</Page></PcGts>", "y\nx"),
 ]
 
 
@@ -205,6 +249,9 @@ def test_alto_xml(spark):
     xml = f'<alto xmlns="http://www.loc.gov/standards/alto/ns-v4#"><Layout><Page><PrintSpace><TextBlock>{lines}</TextBlock><TextBlock><TextLine><String CONTENT="top"/></TextLine></TextBlock></PrintSpace></Page></Layout></alto>'
     assert one(spark, xmltext.alto_xml(F.col("x")), x=xml) == "top\na aa\nb bb\nc cc"
     assert one(spark, xmltext.alto_xml(F.col("x")), x="<alto") is None
+    deep = xml.replace("<TextBlock>", "<ComposedBlock><ComposedBlock><TextBlock>").replace("</TextBlock>", "</TextBlock></ComposedBlock></ComposedBlock>").replace("PrintSpace", "TopMargin")
+    assert one(spark, xmltext.alto_xml(F.col("x")), x=deep) == "top\na aa\nb bb\nc cc"
+    assert xmltext.alto_text('<alto><TextLine><String CONTENT="loose"/></TextLine></alto>') is None
 
 
 def test_tei_pages(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import markup
 from quirefold.operators import joins, ladder, provenance, reports, samples, sampling
+from quirefold.tables import fresh, row_digest
 
 
 @pytest.mark.parametrize(
@@ -93,6 +94,25 @@ def test_numbers_and_batches(spark):
     assert [r["count"] for r in sampling.batched(df, "k", 30).groupBy("batch").count().orderBy("batch").collect()] == [30, 30, 30, 10]
 
 
+def test_numbers_are_each_there_once(spark):
+    df = spark.range(300_000).select(F.xxhash64("id").alias("k"), F.md5(F.col("id").cast("string")).alias("pay"), F.lit(1).alias("__place"), F.lit("x").alias("__tie"))
+    for rows in (df, df.withColumn("k", F.pmod("k", F.lit(3)))):  # as good as unique, and three values that share all rows
+        found = sampling.numbered(rows, "k", name="n")
+        assert found.columns == [*df.columns, "n"]
+        spread = found.agg(F.count_distinct("n"), F.min("n"), F.max("n"), F.count(F.lit(1))).first()
+        assert tuple(spread) == (300_000, 0, 299_999, 300_000)
+        order = found.agg(F.max(F.struct("k", "n")).alias("a"), F.min(F.struct("k", "n")).alias("b")).first()
+        assert order.a.n == 299_999 and order.b.n == 0
+
+
+def test_helper_names_and_digests(spark):
+    df = spark.createDataFrame([(1, "q", None), (1, None, "q"), (1, "q", None)], "id long, a string, B string")
+    assert len({r.d for r in df.select(row_digest(df).alias("d")).collect()}) == 2
+    assert fresh(spark.range(1).select(F.lit(1).alias("__X"), F.lit(1).alias("___x")), "x", "x", "y") == ("____x", "_____x", "__y")
+    odd = spark.createDataFrame([("a", 1, 9), ("a", 2, 8)], "g string, at int, __n int")
+    assert sampling.capped(odd, "g", "at", 1).collect()[0]["__n"] == 9 and sampling.balanced(odd, "g", "at", 1).columns == odd.columns
+
+
 def test_group_split_keeps_groups_together(spark):
     parts = spark.range(2000).select((F.col("id") % 200).alias("w")).select("w", sampling.in_group_split(F.col("w"), 20).alias("p")).distinct()
     assert parts.count() == 200 and 15 < parts.where("p = 'validation'").count() < 70
@@ -125,6 +145,21 @@ def test_reports(spark):
     assert [tuple(r) for r in reports.crossed_nesting(crossed, "t", "page").collect()] == [("p1", 1, "i", "cs", "<i><cs></i></cs>")]
 
 
+def test_documented_audits(spark):
+    df = spark.createDataFrame([("2026-03-04 05:06:07", "<m>a</m> <m>b\nc</m>"), ("2026-03-30 00:00:00", "<m>x</m>"), ("2026-04-01 00:00:00", "none")], "at string, t string").withColumn("at", F.to_timestamp("at"))
+    assert {str(r.month): (r.single, r.multi, r.share) for r in reports.multiline_share(df, "t", "at").collect()} == {"2026-03-01": (2, 1, pytest.approx(1 / 3)), "2026-04-01": (0, 0, None)}
+    sizes = spark.createDataFrame([(1, 2), (3, 2), (4, 2), (5, 0)], "w int, h int")
+    assert tuple(reports.aspect_ratio(sizes, "w", "h").first()) == (3, 1.5)
+    counts = spark.createDataFrame([(f"v{i}", i) for i in range(1200)], "v string, n int")
+    lines = list(reports.lines_of(counts, "v"))
+    assert len(lines) == 1200 and lines[0].split() == ["v1199", "1199"]
+    pairs = spark.createDataFrame([("<i>a b</i> <pb/>", "<i>a c</i>", "ok"), ("x", None, "puudub")], "truth string, guess string, status string")
+    rates = {r.status: (r.wer, r.tag_accuracy) for r in reports.markup_rates(pairs, "truth", "guess").collect()}
+    assert rates["ok"] == (0.5, 0.5) and rates["puudub"][0] is None
+    pages = spark.createDataFrame([("1", "diaryEntry"), ("2", "cover")], "facs string, kind string")
+    assert [r.facs for r in provenance.of_kind(pages).collect()] == ["1"] and [r.facs for r in provenance.of_kind(pages, "cover").collect()] == ["2"]
+
+
 def test_conversation_sample(spark):
     user, assistant = spark.range(1).select(samples.conversation(F.lit("do"), F.lit("x.jpg"), F.lit("text")).alias("m")).first().m
     assert (user.role, [c.type for c in user.content], user.content[1].image) == ("user", ["text", "image"], "x.jpg")

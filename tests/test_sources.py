@@ -30,8 +30,59 @@ def test_corpus_round_trip_and_replacement(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "all"))
     assert found.columns == tables.CORPUS.names and found.where("allikas is null").count() == 4
     assert sinks.save(df, str(tmp_path / "dry"), dry=True).first().rows == 3 and not (tmp_path / "dry").exists()
-    sinks.write_page_texts(df.select(F.col("failinimi").alias("stem"), F.col("transkriptsioon").alias("text")), str(tmp_path / "pages"))
-    assert len(list((tmp_path / "pages").glob("stem=*"))) == 3
+    pages = df.select(F.col("failinimi").alias("stem"), F.col("transkriptsioon").alias("text")).unionAll(spark.createDataFrame([("d", None)], "stem string, text string"))
+    for _ in range(2):  # a rerun writes the same files
+        assert sinks.write_page_texts(pages, f"file://{tmp_path}/pages") == 4
+    assert {p.name: p.read_text() for p in (tmp_path / "pages").iterdir()} == {"a.txt": rows[0][1], "b.txt": " lead", "c.txt": "õ\t1", "d.txt": ""}
+
+
+def test_a_failed_replacement_leaves_the_live_table(spark, tmp_path, monkeypatch):
+    df, live, real = spark.range(3), str(tmp_path / "live"), sinks._move
+    sinks.replace_with_backup(df, live)
+    sinks.replace_with_backup(df.limit(2), live)
+
+    def failing(session, old, new):
+        if old.endswith(".tmp"):
+            raise OSError("refused")
+        return real(session, old, new)
+
+    monkeypatch.setattr(sinks, "_move", failing)
+    with pytest.raises(OSError):
+        sinks.replace_with_backup(df.limit(1), live)
+    assert spark.read.parquet(live).count() == 2
+    monkeypatch.undo()
+    sinks.replace_with_backup(df.limit(1), live)
+    assert spark.read.parquet(live).count() == 1 and spark.read.parquet(live + ".bak").count() == 2
+
+
+def test_sidecars_and_settling(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for name, body in (("a.jpg", b"one"), ("b.png", b"two"), ("b.txt", b"done"), ("c.jpg", b"-")):
+        (inbox / name).write_bytes(body)
+    pages = watch.arrivals(spark, str(inbox), 4).withColumn("kind", F.lit("print"))
+    watch.watch(pages, lambda contents, kinds: [c.decode().upper().strip("-") for c in contents], str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / "c"), once=True, delay=0.0, settle=0.05, sidecars=True).awaitTermination()
+    assert {p.name: p.read_text() for p in inbox.glob("*.txt")} == {"a.txt": "ONE", "b.txt": "done", "c.txt": ""}
+    growing = inbox / "big.jpg"
+    growing.write_bytes(b"x")
+    looks = []
+
+    def grow(seconds):
+        looks.append(seconds)
+        if len(looks) < 3:
+            growing.write_bytes(b"x" * (len(looks) + 1))
+
+    path = f"file://{growing}"
+    real, watch.time.sleep = watch.time.sleep, grow
+    try:
+        assert watch.settled(spark, [path, f"file://{inbox}/gone.jpg"], 0.01) == [path] and len(looks) == 4
+        looks.clear()
+        assert watch.settled(spark, [path], 0.01, patience=-1.0) == []
+    finally:
+        watch.time.sleep = real
+    many = spark.range(40).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(bytearray(b"x")).alias("content"), F.lit("print").alias("kind"))
+    shared = watch.transcribed(many, lambda contents, kinds: ["ok"] * len(contents), delay=0.0)
+    assert shared.count() == 40 and shared.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
 def test_ranges_paths_images(spark):
@@ -89,6 +140,7 @@ def test_tar_members(spark, tmp_path):
                 info.size = 3
                 tar.addfile(info, io.BytesIO(b"abc"))
     archive.register(spark)
+    assert spark.read.format("tarmembers").load(f"file://{tmp_path}/part2.tar*").count() == 3
     read = lambda s: spark.read.format("tarmembers").option("suffixes", s).load(str(tmp_path))
     assert sorted(r.stem for r in read(".xml").collect()) == ["p1", "p2"] and sorted(r.stem for r in read(".jpg,.png").collect()) == ["p1", "p2"]
     assert read("").count() == 6 and {bytes(r.content) for r in read(".xml").collect()} == {b"abc"}

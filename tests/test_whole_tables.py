@@ -39,15 +39,15 @@ def changed(text):
 def test_cer_of_all_documents_equals_brute_force(spark, pages):
     folder, rows = pages
     queries = registry.queries()
-    want = {i: rate(t, changed(t)) if i % 7 else None for i, _, t in rows}
+    want = {i: rate(t, changed(t)) if i % 7 else None for i, _, t in rows if t.strip()}
     assert {r.doc_id: r.cer for r in queries["cer_all"](spark, folder).collect()} == want
-    for name, key in (("cer_macro_by_source_all", "source"), ("cer_every_model_all", "model")):
+    for name, key in (("cer_macro_by_source", "source"), ("cer_every_model", "model")):
         for r in queries[name](spark, folder).collect():
-            mine = [want[i] for i, s, _ in rows if key == "model" or s == r[key]]
+            mine = [want[i] for i, s, t in rows if t.strip() and (key == "model" or s == r[key])]
             there = [x for x in mine if x is not None]
             assert (r.pages, r.missing) == (len(there), len(mine) - len(there)) and r.mean_cer == pytest.approx(sum(there) / len(there), abs=1e-8)
     bare = lambda t: t.replace("<b>", "").replace("</b>", "")
-    got = {r.doc_id: r.cer for r in queries["tag_stripped_cer_all"](spark, folder).collect()}
+    got = {r.doc_id: r.cer for r in queries["tag_stripped_cer"](spark, folder).collect()}
     assert got == {i: rate(bare(t), bare(t.replace("th", "t"))) for i, _, t in rows}
 
 
@@ -56,3 +56,22 @@ def test_every_model_takes_any_number_of_models(spark):
     guesses = spark.range(10_050).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").cast("string").alias("model"), F.lit("a").alias("guess"))
     found = joins.every_model(truth, guesses, "doc_id", F.col("truth"))
     assert {r.status: r["count"] for r in found.groupBy("status").count().collect()} == {"ok": 10_050, "puudub": 10_050}
+
+
+def test_error_rates_by_role_equal_brute_force(spark, tmp_path):
+    rows = [(i, k, ("user", "assistant")[k % 2], t) for i in range(1, 9) for k, t in enumerate(["than the other", " ", "thé et l'an the été", "a b the c"])]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    guessed = lambda t: t.replace(" the ", " ").replace("an", "en")
+    for r in registry.queries()["error_rates_by_role"](spark, str(tmp_path)).collect():
+        mine = [(i, t) for i, _, role, t in rows if role == r.role and t.strip()]
+        there = [t for i, t in mine if i % 7]
+        assert (r.pages, r.missing) == (len(there), len(mine) - len(there))
+        assert r.mean_wer == pytest.approx(sum(distance(t.split(), guessed(t).split()) / len(t.split()) for t in there) / len(there), abs=1e-8)
+        assert r.mean_cer == pytest.approx(sum(rate(t, guessed(t)) for t in there) / len(there), abs=1e-8)
+
+
+def test_blank_truths_are_dropped(spark):
+    truth = spark.createDataFrame([(1, "\n\t"), (2, "\u00a0"), (3, "a"), (4, None)], "doc_id long, truth string")
+    guesses = spark.createDataFrame([(1, "m", "x"), (3, "m", "a")], "doc_id long, model string, guess string")
+    assert [r.doc_id for r in joins.with_guess(truth, guesses, "doc_id", F.col("truth")).collect()] == [3]
+    assert [r.doc_id for r in joins.every_model(truth, guesses, "doc_id", F.col("truth")).collect()] == [3]

@@ -102,7 +102,8 @@ def transcribed(pages: DataFrame, transcribe: Transcribe, kind: str = "kind", re
             yield pd.DataFrame({"path": batch["path"], "text": pd.Series(texts, dtype=object), "failed": [t is None for t in texts]})
 
     slice_ = F.pmod(F.xxhash64("path"), F.lit(slices))
-    return pages.repartition(kind, slice_).mapInPandas(run, "path string, text string, failed boolean")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(parts, kind, slice_).mapInPandas(run, "path string, text string, failed boolean")
 
 
 def watch(

@@ -1,17 +1,22 @@
 """Operator 3: mixing sources to target weights by subset-sum budget fitting.
 
 Each source's share of the budget follows its weight, is capped at a multiple of the source's own size, and what a
-capped source leaves is shared again by weight (a prefix sum over the sources in order of cap / weight; a row a source).
+capped source leaves is shared again by weight, until none is above its cap (an aggregate a round; a row a source).
 A source first takes whole copies of all its documents; for the rest of its target, documents are counted by exact
-length, a proportional part of every length is taken, and a bounded knapsack (subset sums over lengths with counts)
-fits what remains to the word. Of each length, the wanted number of documents is taken in the order of a seeded hash.
+length and a bounded knapsack (subset sums over lengths with counts) finds the numbers of each length whose sum is
+nearest to the budget. Of each length, the wanted number of documents is taken in the order of a seeded hash.
+
+The knapsack starts from a proportional part of every length and fits the words that are left. Its sum is taken only when
+it is proven nearest: no sum can be nearer than the nearest multiple of the lengths' greatest common divisor. Where that
+isn't reached, four times as many words are left to it, in the end all of them, which is the knapsack itself.
 
 Scale: only (source, length) counts reach one task, one source at a time - never its documents. The hash order within
 a (source, length) group is worked out over slices of the hash range of about `SLICE` rows each, so a group that holds
 a third of all rows is ranked by many tasks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, ordered last; documents of size 0 are kept
-in whole copies only; rows that repeat an id and text are ranked one after the other; an empty table gives none.
+in whole copies only; rows are told apart by a hash of all fields, nulls included; rows equal in every field share one
+entry whose copies are added up; a text of any length is one count; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,11 +28,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import written
+from quirefold.llm.common import fresh, row_digest, written
+from quirefold.operators.sampling import numbered
 
 WEIGHTS = (3, 1, 2)
 SLICE = 1000
-#: Subset sums are exact for the last so many words of a budget.
+#: So many words of a budget are left to subset sums at first.
 WINDOW = 1 << 16
 
 
@@ -36,32 +42,52 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """source, source_size, target from source, source_size: a row a source, so these windows are small."""
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    ranked = sizes.withColumn("w", weight).withColumn("most", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("most") / F.col("w"))
-    every = Window.partitionBy()
-    before = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    used = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    level = (F.sum("source_size").over(every) * F.lit(budget) - used("most")) / (F.sum("w").over(every) - used("w"))
-    level = ranked.withColumn("level", level).withColumn("level", F.max("level").over(every))
-    return level.select("source", "source_size", F.least("most", F.col("w") * F.col("level")).alias("target"))
+    """source, source_size, target from source, source_size.
+
+    Weights go by the sources' order, which is numbered without a window over all of them; the level that uncapped sources
+    share is found by a sum a round, so there may be as many sources as the web has domains.
+    """
+    ordered = sizes.withColumn("place", F.struct(F.col("source").isNull().alias("last"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("name")))
+    ranked = numbered(ordered, "place", name="rank").drop("place")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = written(ranked.withColumn("w", weight).drop("rank").withColumn("most", F.col("source_size") * F.lit(float(cap))), "mix-sources")
+    total = (ranked.agg(F.sum("source_size")).first()[0] or 0) * budget
+    level, capped = 0.0, -1
+    while True:
+        full = F.col("most") < F.col("w") * F.lit(level)
+        found = ranked.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("most"))).alias("used"), F.sum(F.when(~full, F.col("w"))).alias("open")).first()
+        if found["n"] == capped or not found["open"]:
+            break
+        capped, level = found["n"], (total - (found["used"] or 0.0)) / found["open"]
+    return ranked.select("source", "source_size", F.least("most", F.col("w") * F.lit(level)).alias("target"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length come nearest to the budget in words."""
-    take = np.zeros(len(lengths), np.int64)
+    take, some = np.zeros(len(lengths), np.int64), lengths * counts > 0
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return take
-    if budget <= WINDOW:
-        return _subset(lengths, counts, budget)
-    share = min(1.0, (budget - WINDOW) / total)  # what is left is enough to choose from
+    unit = int(np.gcd.reduce(lengths[some]))
+    low = min(budget // unit, total // unit) * unit
+    least = min(abs(budget - low), abs(min(low + unit, total) - budget))
+    window = WINDOW
+    while True:
+        found = _from_part(lengths, counts, budget, window) if budget > window else _subset(lengths, counts, budget)
+        if budget <= window or abs(int((found * lengths).sum()) - budget) == least:
+            return found
+        window *= 4
+
+
+def _from_part(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
+    """A proportional part of each length, and subset sums for the last `window` words."""
+    total = int((lengths * counts).sum())
+    share = min(1.0, (budget - window) / total)  # what is left is enough to choose from
     take = np.minimum(counts, np.floor(counts * share).astype(np.int64))
     left = budget - int((take * lengths).sum())
     for i in np.lexsort((-lengths, np.floor(counts * share) - counts * share)):
-        if lengths[i] and take[i] < counts[i] and lengths[i] <= left - WINDOW:
-            more = min(int(counts[i] - take[i]), (left - WINDOW) // int(lengths[i]))
+        if lengths[i] and take[i] < counts[i] and lengths[i] <= left - window:
+            more = min(int(counts[i] - take[i]), (left - window) // int(lengths[i]))
             take[i] += more
             left -= more * int(lengths[i])
     return take + _subset(lengths, counts - take, left)
@@ -72,7 +98,7 @@ def _subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     out = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return out
-    top = budget + min(budget, WINDOW)
+    top = 2 * budget  # above it, nothing at all is nearer
     first = np.full(top + 1, -1, np.int32)  # the item by which a sum was first reached
     reached = np.zeros(top + 1, bool)
     reached[0] = True
@@ -103,47 +129,50 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(__whole=whole, __take=take)[["__source", "__size", "__count", "source_size", "target", "__whole", "__take"]]
 
 
-def mixed(docs: DataFrame, size: Column, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", **shares) -> DataFrame:
-    """docs with __size, source_size, target and __copies (how often the mix takes the row: 0, 1 or 2)."""
-    rows = docs.withColumns({"__source": F.col(source_col), "__size": size, "__hash": F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col))})
-    counts = rows.groupBy("__source", "__size").agg(F.count(F.lit(1)).alias("__count"))
-    goals = targets(counts.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("__size") * F.col("__count")).alias("source_size")), **shares)
+def mixed(docs: DataFrame, size: Column, copies: str, seed: int = 1, id_col: str = "doc_id", source_col: str = "source", **shares) -> DataFrame:
+    """docs with their size, their source's size and target, and the column `copies`: how often the mix takes the row (0, 1
+    or 2). docs has none of the columns size, source_size and target; rows that are equal are interchangeable."""
+    s, n, h, slice_, rank, before = fresh(docs, "s", "n", "h", "slice", "rank", "before")
+    rows = docs.withColumns({"size": size, h: row_digest(docs, seed)})
+    counts = rows.groupBy(F.col(source_col).alias("__source"), F.col("size").alias("__size")).agg(F.count(F.lit(1)).alias("__count"))
+    goals = targets(written(counts.groupBy(F.col("__source").alias("source")).agg(F.sum(F.col("__size") * F.col("__count")).alias("source_size")), "mix-goals"), **shares)
     planned = counts.join(goals, F.col("__source").eqNullSafe(F.col("source"))).drop("source")
     kind = docs.schema[source_col].dataType.simpleString()
     plan = planned.groupBy("__source").applyInPandas(_fit_source, f"__source {kind}, __size long, __count long, source_size long, target double, __whole int, __take long")
-    plan = plan.withColumnsRenamed({"__source": "__s", "__size": "__n"})
-    rows = rows.join(plan, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))).drop("__s", "__n")
-    rows = rows.withColumn("__slice", F.pmod(F.shiftrightunsigned("__hash", 20), (F.col("__count") / SLICE).cast("long") + 1))
-    in_slice = rows.groupBy("__source", "__size", "__slice").agg(F.count(F.lit(1)).alias("__here"))
-    before = Window.partitionBy("__source", "__size").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = in_slice.select(F.col("__source").alias("__s"), F.col("__size").alias("__n"), F.col("__slice").alias("__l"), F.coalesce(F.sum("__here").over(before), F.lit(0)).alias("__before")).where("__before > 0")
-    same = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n")) & (F.col("__slice") == F.col("__l"))
-    order = Window.partitionBy("__source", "__size", "__slice").orderBy("__hash", id_col)
-    ranked = rows.withColumn("__rank", F.row_number().over(order)).join(offsets, same, "left")
-    copies = F.col("__whole") + (F.col("__rank") + F.coalesce("__before", F.lit(0)) <= F.col("__take")).cast("int")
-    return ranked.withColumn("__copies", copies).select(*docs.columns, "__size", "source_size", "target", "__copies")
+    plan = written(plan, "mix-plan").withColumnsRenamed({"__source": s, "__size": n})
+    rows = rows.join(plan, F.col(source_col).eqNullSafe(F.col(s)) & (F.col("size") == F.col(n))).drop(s, n)
+    rows = rows.withColumn(slice_, F.pmod(F.shiftrightunsigned(h, 20), (F.col("__count") / SLICE).cast("long") + 1))
+    in_slice = rows.groupBy(F.col(source_col).alias(s), F.col("size").alias(n), F.col(slice_).alias("l")).agg(F.count(F.lit(1)).alias("here"))
+    earlier = Window.partitionBy(s, n).orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = in_slice.select(s, n, "l", F.coalesce(F.sum("here").over(earlier), F.lit(0)).alias(before)).where(F.col(before) > 0)
+    same = F.col(source_col).eqNullSafe(F.col(s)) & (F.col("size") == F.col(n)) & (F.col(slice_) == F.col("l"))
+    order = Window.partitionBy(source_col, "size", slice_).orderBy(h, id_col)
+    ranked = rows.withColumn(rank, F.row_number().over(order)).join(offsets, same, "left")
+    taken = F.col("__whole") + (F.col(rank) + F.coalesce(before, F.lit(0)) <= F.col("__take")).cast("int")
+    return ranked.withColumn(copies, taken).select(*docs.columns, "size", "source_size", "target", copies)
 
 
 def mix_report(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 1, **shares) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document; no text is shuffled."""
     # words are counted once; what follows reads the few bytes a row that this writes
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("words")), "mix-sizes")
-    found = mixed(rows, F.col("words"), seed, **shares)
-    return found.select("doc_id", F.col("words").alias("size"), "source_size", "target", (F.col("words") * F.col("__copies")).alias("taken"))
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("words"), row_digest(docs).alias("a")), "mix-sizes")
+    found = mixed(rows, F.col("words"), "copies", seed, **shares)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("words") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", seed: int = 1, **shares) -> DataFrame:
     """The mix itself: docs' rows and columns, each row as often as it is taken.
 
-    The plan is made on rows without text, known by two hashes of all their columns; texts are shuffled once, for the
-    join with the number of copies. Rows equal in every column share one entry: their copies are added up.
+    The plan is made on rows without text, known by two hashes of all their fields; texts are shuffled once, for the
+    join with the number of copies. Rows equal in every field share one entry: their copies are added up.
     """
-    marks = {"__a": F.xxhash64(*docs.columns), "__b": F.xxhash64(F.lit(seed), *docs.columns)}
+    a, b, copies, copy = fresh(docs, "a", "b", "copies", "copy")
+    marks = {a: row_digest(docs), b: row_digest(docs, 2)}
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("words"), *(v.alias(k) for k, v in marks.items()))
-    found = mixed(written(narrow, "mix-rows"), F.col("words"), seed, **shares)
-    copies = written(found.groupBy("__a", "__b").agg(F.sum("__copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0"), "mix-copies")
+    found = mixed(written(narrow, "mix-rows"), F.col("words"), copies, seed, **shares)
+    found = written(found.groupBy(a, b).agg(F.sum(copies).alias(copies), F.count(F.lit(1)).alias("rows")).where(F.col(copies) > 0), "mix-copies")
     marked = docs.withColumns(marks)
-    if not copies.where("__rows > 1").isEmpty():
+    if not found.where("rows > 1").isEmpty():
         marked = marked.dropDuplicates(list(marks))
-    taken = marked.join(copies.drop("__rows"), list(marks))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(docs.columns)
+    taken = marked.join(found.drop("rows"), list(marks))
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(docs.columns)

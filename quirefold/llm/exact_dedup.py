@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import split_join, written
+from quirefold.llm.common import fresh, split_join, written
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -36,7 +36,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _best() -> Column:
-    return F.max(F.struct(F.col("points"), F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("back")))
+    return F.min(F.struct((-F.col("points")).alias("least"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,12 +54,12 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         own = full.join(collided, "h", "left_semi")
         again = own.groupBy("h", "bytes").agg(F.count(F.lit(1)).alias("group_size"), _best().alias("best"))
         found = found.join(collided, "h", "left_anti").unionByName(own.join(again, ["h", "bytes"]).drop("bytes"))
-    keep = -F.col("best.back")
+    keep = F.col("best.id")
     return found.select(
         "doc_id",
         keep.alias("keep_id"),
         "group_size",
-        (F.col("doc_id").eqNullSafe(keep) & (F.col("points") == F.col("best.points"))).alias("kept"),
+        (F.col("doc_id").eqNullSafe(keep) & (F.col("points") == -F.col("best.least"))).alias("kept"),
         "text_sha256",
         "points",
     )
@@ -80,16 +80,17 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Where several rows share the winner's id, text and length, one of them stays.
     """
-    points, sha = F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
-    marked = docs.withColumns({"__points": points, "__sha": sha})
+    names = fresh(docs, "points", "sha", "id", "want", "most", "key", "row")
+    points, sha, id_, want, most, key, row = names
+    marked = docs.withColumns({points: F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long"), sha: F.sha2(normalised(F.col(text_col)).cast("binary"), 256)})
     winners = _marked(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256", "points").agg(F.count(F.lit(1)).alias("n"))
     winners = written(winners, "exact-winners")
-    sought = winners.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__want"), F.col("points").alias("__most"))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__want")) & (F.col("__points") == F.col("__most"))
+    sought = winners.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(want), F.col("points").alias(most))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(want)) & (F.col(points) == F.col(most))
     kept = marked.join(sought, same, "left_semi")
     if not winners.where("n > 1").isEmpty():
-        longest = F.max_by(F.struct(*docs.columns), F.struct("__points", F.xxhash64(text_col)))
-        return kept.groupBy("__sha", F.col(id_col).alias("__key")).agg(longest.alias("__row")).select("__row.*")
+        longest = F.max_by(F.struct(*docs.columns), F.struct(points, F.xxhash64(text_col)))
+        return kept.groupBy(sha, F.col(id_col).alias(key)).agg(longest.alias(row)).select(f"{row}.*")
     return kept.select(docs.columns)
 
 

@@ -9,7 +9,7 @@ below one in a million. Every link is confirmed by the exact Jaccard similarity
 Documents with equal sets are one vertex. In a bucket, each vertex is first compared with the bucket's most central one
 (the one that shares most buckets with others: the original among its copies). Where a bucket still holds vertices that
 this left apart, those outside its largest class are compared with all others of the bucket in blocks of `BLOCK`
-against `BLOCK` vertices, and only links that join two classes leave a block pair. So the result has every component that the confirmed links of all bucket pairs would give, while buckets of
+against `BLOCK` vertices (fewer where their sets are long: a block has about `BLOCK_BYTES`), and only links that join two classes leave a block pair. So the result has every component that the confirmed links of all bucket pairs would give, while buckets of
 near-copies cost about one comparison a vertex and no task gathers a bucket.
 
 Defined cases: a document of 1-4 words is one shingle (its whole sequence); null, empty and blank texts have none, are
@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import split_join, tidy, written
+from quirefold.llm.common import fresh, split_join, tidy, written
 from quirefold.llm.components import components
 from quirefold.llm.words import U, buffer_of, chunks, grams, hashes, mix, split
 
 SHINGLE, ROWS, MISS = 5, 4, 1e-6
-BLOCK, SLICE = 128, 1 << 13
+BLOCK, BLOCK_BYTES, SLICE = 128, 4 << 20, 1 << 13
 _STEP = U(0x9E3779B97F4A7C15)
 _FIRST = U(0x6A09E667F3BCC909)
 
@@ -97,14 +97,15 @@ def _sketch(docs: DataFrame, bands: int) -> DataFrame:
                 for i, row in zip(some, band_keys(signatures([sets[i] for i in some], bands * ROWS)), strict=True):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vertex(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vertex(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "digest", "n_shingles", "vertex", "bands"],
             )
             del sets, keys
         tidy()
 
     digested = docs.select("doc_id", "text", _digest(F.col("text")).alias("digest"))
-    return digested.mapInArrow(run, "doc_id long, digest binary, n_shingles long, vertex binary, bands array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return digested.mapInArrow(run, f"doc_id {kind}, digest binary, n_shingles long, vertex binary, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -171,7 +172,8 @@ class Block:
 
 
 def _packed(rows: DataFrame) -> DataFrame:
-    """key, some, others and n of rows key, largest, a list of at most about BLOCK vertices, and n (of the whole bucket)."""
+    """key, some, others and blocks of rows key, largest, a list of at most about BLOCK vertices, and the number of the
+    bucket's blocks."""
 
     def run(batches):
         for batch in batches:
@@ -188,9 +190,9 @@ def _packed(rows: DataFrame) -> DataFrame:
                 outside = np.flatnonzero((block.root != np.frombuffer(largest[i], np.uint64)).any(axis=1))
                 some.append(block.only(outside).pack() if len(outside) else None)
                 others.append(block.pack())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(some, pa.binary()), pa.array(others, pa.binary()), batch.column(3)], ["key", "some", "others", "n"])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(some, pa.binary()), pa.array(others, pa.binary()), batch.column(3)], ["key", "some", "others", "blocks"])
 
-    return rows.mapInArrow(run, "key long, some binary, others binary, n long")
+    return rows.mapInArrow(run, "key long, some binary, others binary, blocks long")
 
 
 def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
@@ -259,9 +261,9 @@ def _classes(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, digest, n_shingles, n (rows of the same set) and first (unknown, id, digest: the row that its component leaves)."""
     rows = written(_sketch(docs, n_bands(percent / 100)), "minhash-rows")
     row = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "digest")
-    vertices = rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.min(row).alias("first"), F.count(F.lit(1)).alias("n"))
+    vertices = rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.min(row).alias("first"), F.count(F.lit(1)).alias("n"))
     vertices = written(vertices, "minhash-vertices")
-    placed = vertices.select("vertex", F.explode("bands").alias("key"))
+    placed = vertices.select("vertex", "size", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(split_join(placed, shared, "key"), "minhash-members")
     links = _links(docs, vertices, members, percent)
@@ -295,18 +297,19 @@ def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: in
     # what the comparison with the most central vertex left apart: classes so far are hubs and what links to them
     up = links.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("root"))
     up = split_join(up, up.select(F.col("vertex").alias("root"), F.col("root").alias("next")), "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
-    rest = members.where("n > 2").select("key", "vertex").join(up, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").drop("roots")
-    apart = split_join(rest, several, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("n") / BLOCK)))
+    rest = members.where("n > 2").select("key", "vertex", "size").join(up, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
+    by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
+    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), blocks.alias("blocks"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").drop("roots")
+    apart = split_join(rest.drop("size"), several, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
     apart = apart.join(vertices.select("vertex", "bands"), "vertex").join(sets, "vertex")
-    listed = apart.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.first("n").alias("n"), F.collect_list(F.struct("vertex", "root", "bands", "members")).alias("list"))
-    blocks = written(_packed(listed.select("key", "largest", "list", "n")), "minhash-blocks")
+    listed = apart.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("vertex", "root", "bands", "members")).alias("list"))
+    blocks = written(_packed(listed.select("key", "largest", "list", "blocks")), "minhash-blocks")
     asked = blocks.where("some IS NOT NULL")
     if asked.isEmpty():
         return links
-    more = _block_links(asked.where(F.col("n") <= BLOCK).select("key", "some", "others"), percent)
-    large = blocks.where(F.col("n") > BLOCK)
+    more = _block_links(asked.where("blocks = 1").select("key", "some", "others"), percent)
+    large = blocks.where("blocks > 1")
     if not large.isEmpty():
         met = large.where("some IS NOT NULL").select("key", "some").join(large.select("key", "others"), "key")
         more = more.unionByName(_block_links(met.select("key", "some", "others"), percent))
@@ -319,17 +322,18 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
     A class leaves the row with the smallest id (null ids last), of its texts the one with the smallest digest, and of
     rows equal in both any one.
     """
+    id_, want, most, rows, digest, key, row = fresh(docs, "id", "want", "wins", "rows", "digest", "key", "row")
     found = _classes(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), percent).where("n_shingles > 0")
     wins = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
-    told = found.where(~wins | (F.col("n") > 1)).groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__want")).agg(F.max(wins).alias("__wins"), F.count(F.lit(1)).alias("__n"))
-    told = written(told.where("not __wins or __n > 1"), "minhash-told")
-    marked = docs.withColumn("__digest", _digest(F.col(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__want"))
+    told = found.where(~wins | (F.col("n") > 1)).groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(want)).agg(F.max(wins).alias(most), F.count(F.lit(1)).alias(rows))
+    told = written(told.where(~F.col(most) | (F.col(rows) > 1)), "minhash-told")
+    marked = docs.withColumn(digest, _digest(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(want))
     kept = marked.join(told, same, "left_anti")
-    again = told.where("__wins")
+    again = told.where(most)
     if not again.isEmpty():
-        one = marked.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__key"), "__digest").agg(F.first(F.struct(*marked.columns)).alias("__row"))
-        kept = kept.unionByName(one.select("__row.*"))
+        one = marked.join(again, same, "left_semi").groupBy(F.col(id_col).alias(key), digest).agg(F.first(F.struct(*marked.columns)).alias(row))
+        kept = kept.unionByName(one.select(f"{row}.*"))
     return kept.select(docs.columns)
 
 

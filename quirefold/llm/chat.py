@@ -14,17 +14,21 @@ whole long conversation, and the result is a row a turn: the conversation's text
 Costs are whole numbers, ties fall to the first of stay, relabel, merge, insert, and to the lower state, at the ends of
 runs first; so reruns agree, and costs are the same whatever the cuts. Defined cases: roles are read without case and outer blanks, and names in
 `ALIASES` count as what they stand for; an unknown or null role may become any role at the same price; a null text is
-empty; rows that repeat a turn number are ordered by role and text, and exact repeats are one turn; a null conv_id is a
-conversation of its own, turns without number come first; an empty table gives none.
+empty; rows that repeat a turn number are ordered by a hash of role and text, and exact repeats are one turn; a null conv_id
+is a conversation of its own, turns without number come first; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.llm.common import written
+
 RUN = 256
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
@@ -117,21 +121,40 @@ def ends(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def escaped(text: str) -> str:
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+
+
+def unescaped(text: str) -> str:
+    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+
+
 def render(role: int, text: str, fresh: bool) -> str:
     """A turn's part of the rendered conversation: opened where it doesn't continue the turn before."""
+    text = escaped(text)
     return f"<|im_end|>\n<|im_start|>{ROLES[role]}\n{text}" if fresh else f"\n{text}"
 
 
 def _runs(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, run: int) -> DataFrame:
+    """conv, run (three numbers that order a conversation's runs) and turns: about `run` rows each at most."""
+    first = F.lit(-(2**63))
     rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
-    rows = rows.withColumn("run", F.floor(F.col("turn") / run).cast("long"))
-    return rows.groupBy("conv", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    rows = rows.withColumns({"h": F.xxhash64(F.col("role").isNull(), "role", "text"), "bucket": F.coalesce(F.floor(F.col("turn") / run).cast("long"), first)})
+    full = rows.groupBy("conv", "bucket").agg(F.ceil(F.count(F.lit(1)) / run).alias("parts")).where("parts > 1")
+    full = written(full.withColumnsRenamed({"conv": "c", "bucket": "b"}), "chat-full")
+    rows = rows.join(full, F.col("conv").eqNullSafe(F.col("c")) & (F.col("bucket") == F.col("b")), "left")
+    place = F.shiftrightunsigned(F.col("h").bitwiseXOR(first), 33)  # in the order of h, from 0 to 2^31
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.shiftright(place * F.col("parts"), 31)).cast("long")
+    own = F.when(F.col("parts").isNull(), first).otherwise(F.coalesce("turn", first))
+    rows = rows.withColumn("run", F.array("bucket", own, part))
+    return rows.groupBy("conv", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "h", "role", "text"))).alias("turns"))
 
 
 def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run: int = RUN) -> DataFrame:
     """conv_id, turn, role (as read), new_role, action (stay, relabel, merge), inserted (empty turns before), cost, closing
-    (empty turns after a conversation's last row) and segment (its part of the rendered text), a row a turn."""
-    runs = _runs(turns, conv_col, turn_col, role_col, text_col, run)
+    (empty turns after a conversation's last row), segment (its part of the rendered text) and place (four numbers that
+    order a conversation's rows), a row a turn."""
+    runs = written(_runs(turns, conv_col, turn_col, role_col, text_col, run), "chat-runs")
     kind = turns.schema[conv_col].dataType.simpleString()
 
     def weigh(batches):
@@ -146,13 +169,13 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
                 found = ends([np.array(i["costs"], np.int64).reshape(4, 4) for i in items])
                 rows += [(conv, i["run"], a, b, k == len(items) - 1) for k, (i, (a, b)) in enumerate(zip(items, found, strict=True))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            kinds = [batch.schema.field(0).type, pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv", "run", "enter", "leave", "last"])
 
     def solve(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for conv, items, enter, leave, last in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for conv, run, items, enter, leave, last in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 roles = [role_number(t["role"]) for t in items]
                 state = enter
                 for k, (turn, role, after) in enumerate(zip(items, roles, path(roles, enter, leave), strict=True)):
@@ -160,25 +183,25 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
                     close = CLOSE[after] if last and k == len(items) - 1 else ()
                     text = "".join(render(r, "", True) for r in gap) + render(after, turn["text"], action != 2) + "".join(render(r, "", True) for r in close) + ("<|im_end|>\n" if last and k == len(items) - 1 else "")
                     text = text.removeprefix("<|im_end|>\n") if state == START else text
-                    rows.append((conv, turn["turn"], turn["role"], ROLES[after], ("stay", "relabel", "merge")[action], [ROLES[r] for r in gap], cost, [ROLES[r] for r in close], text))
+                    rows.append((conv, turn["turn"], turn["role"], ROLES[after], ("stay", "relabel", "merge")[action], [ROLES[r] for r in gap], cost, [ROLES[r] for r in close], text, [*run, k]))
                     state = after
-            columns = list(zip(*rows, strict=True)) or [()] * 9
+            columns = list(zip(*rows, strict=True)) or [()] * 10
             names_ = pa.list_(pa.string())
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), names_, pa.int32(), names_, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "closing", "segment"])
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), names_, pa.int32(), names_, pa.string(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "closing", "segment", "place"])
 
-    weighed = runs.select("conv", "run", "turns").mapInArrow(weigh, f"conv {kind}, run long, costs array<long>")
+    weighed = runs.select("conv", "run", "turns").mapInArrow(weigh, f"conv {kind}, run array<long>, costs array<long>")
     listed = weighed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("run", "costs"))).alias("runs"))
-    states = listed.mapInArrow(scan, f"conv {kind}, run long, enter int, leave int, last boolean")
+    states = listed.mapInArrow(scan, f"conv {kind}, run array<long>, enter int, leave int, last boolean")
     states = states.withColumnsRenamed({"conv": "__conv", "run": "__run"})
-    joined = runs.join(states, F.col("conv").eqNullSafe(F.col("__conv")) & F.col("run").eqNullSafe(F.col("__run")))
-    return joined.select("conv", "turns", "enter", "leave", "last").mapInArrow(
-        solve, f"conv_id {kind}, turn long, role string, new_role string, action string, inserted array<string>, cost int, closing array<string>, segment string"
+    joined = runs.join(states, F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("run") == F.col("__run")))
+    return joined.select("conv", "run", "turns", "enter", "leave", "last").mapInArrow(
+        solve, f"conv_id {kind}, turn long, role string, new_role string, action string, inserted array<string>, cost int, closing array<string>, segment string, place array<long>"
     )
 
 
 def rendered(turns: DataFrame, **names) -> DataFrame:
     """conv_id, cost and the whole rendered text of each conversation (for conversations that fit in a row)."""
     rows = repaired(turns, **names).withColumn("cost", F.col("cost") + INSERT * F.size("closing"))
-    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "segment")))
+    parts = F.array_sort(F.collect_list(F.struct("place", "segment")))
     return rows.groupBy("conv_id").agg(F.sum("cost").alias("cost"), F.array_join(F.transform(parts, lambda p: p["segment"]), "").alias("text"))

@@ -15,7 +15,7 @@ def _op9(spark, sf_dir):
 
 def _op10(spark, sf_dir):
     found = media.media_features(media.to_media(table(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "seconds", "frames", "crc_bad")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "samples", "seconds", "frames", "crc_bad", "seek_offsets")
 
 
 def _tokenizer_file(name: str) -> str:
@@ -32,6 +32,10 @@ def _op2(spark, sf_dir):
     return chat.repaired(table(spark, sf_dir, "conversations"))
 
 
+def _rendered(spark, sf_dir):
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def _op3(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def _op8(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op2_chat": _op2, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "pipeline": corpus_pipeline.run}
+    return {"op1_minhash": _op1, "op2_chat": _op2, "chat_rendered": _rendered, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

@@ -3,11 +3,15 @@
 A text is cut at single spaces between non-blank characters (a token never spans such a cut), and each distinct piece is
 encoded once per worker cache. The words of all new pieces of a batch are tokenised together:
 
-1. speculate: greedy longest match proposes each word's tokens;
-2. verify: every adjacent pair of proposed tokens is tested, vectorised over the batch. A sequence is what the merges
-   give if and only if no adjacent pair would have been merged across: the test undoes the merges that made the two
-   tokens, latest first, and asks at each step whether the two parts that touch would have merged earlier;
-3. only words with a failing pair are merged exactly, with a heap.
+1. speculate: greedy longest match proposes each word's tokens, for all words at once by hashes of their parts (for the
+   few words of more than `LONG` bytes by the parts themselves);
+2. verify: the tokens' bytes are compared with the words', and every adjacent pair of proposed tokens is tested,
+   vectorised over the batch. A sequence is what the merges give if and only if no adjacent pair would have been merged
+   across: the test undoes the merges that made the two tokens, latest first, and asks at each step whether the two parts
+   that touch would have merged earlier;
+3. only words that fail are merged exactly: side by side, the long ones with a heap.
+
+Decoding is one gather over a table of all tokens' bytes for all texts of a batch.
 
 The result equals the `tokenizers` library's for byte-level BPE without normaliser (the file is read as it stands;
 other kinds of file are refused). The added tokens' strings in a text become their ids, as in the library.
@@ -36,7 +40,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 _LOOSE = re.compile(r"^ | $| \s|\s ")
 _MARK = "\ue000"
 _NEVER = np.int64(2**62)
-CACHE, SHORT = 120_000, 32
+CACHE, LONG = 120_000, 256
 #: Texts are taken through in parts of about so many characters.
 PART = 2_000_000
 
@@ -107,15 +111,19 @@ class Bpe:
         self._ranks = np.array([r for r, _ in self.merges.values()] + [_NEVER], np.int64)
         self._whole = np.array([w for _, w in self.merges.values()] + [-1], np.int64)
         self._byte_ids = np.array([self.ids[bytes([i])] for i in range(256)], np.int64)
-        short = [(i, t) for t, i in self.ids.items() if len(t) <= SHORT]
-        data = np.frombuffer(b"".join(t for _, t in short), np.uint8)
-        ends = np.cumsum([len(t) for _, t in short])
+        known = list(self.ids.items())
+        data = np.frombuffer(b"".join(t for t, _ in known), np.uint8)
+        ends = np.cumsum([len(t) for t, _ in known])
         self._texts = Lookup(_spans(data, ends - np.diff(ends, prepend=0), ends))
-        self._text_ids = np.array([i for i, _ in short], np.int64)
+        self._text_ids = np.array([i for _, i in known], np.int64)
         self._longest = np.ones(1 << 16, np.int64)  # of the tokens that start with these two bytes
-        for _, t in short:
+        for t, _ in known:
             if len(t) > 1:
                 self._longest[t[0] << 8 | t[1]] = max(self._longest[t[0] << 8 | t[1]], len(t))
+        #: all tokens' bytes end to end, for decoding and for checks
+        self._flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self._sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self.speculated = self.repaired = 0
@@ -161,6 +169,22 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return word[order], token[order]
 
+    def _propose(self, word: bytes) -> list[int]:
+        """Greedy longest match of one long word."""
+        out, at, ids, longest = [], 0, self.ids, self._longest
+        while at < len(word):
+            size = min(int(longest[word[at] << 8 | word[at + 1]]) if at + 1 < len(word) else 1, len(word) - at)
+            while (token := ids.get(word[at : at + size])) is None:
+                size -= 1
+            out.append(token)
+            at += size
+        return out
+
+    def spelled(self, tokens: np.ndarray) -> np.ndarray:
+        """The bytes of all tokens, end to end."""
+        sizes = self._sizes[tokens]
+        return self._flat[np.repeat(self._starts[tokens] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
+
     def _merge_rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """Exact merging of short words side by side: in each round every word makes its next merge."""
         n, wide = ends - starts, int((ends - starts).max())
@@ -216,31 +240,43 @@ class Bpe:
         return [i for i in ids if i >= 0]
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        """The ids of each word; words of more than SHORT bytes (a handful) are merged with a heap at once."""
+        """The ids of each word (none is empty)."""
         raw = [w.encode() for w in words]
-        out: list = [None] * len(raw)
-        near = [i for i, w in enumerate(raw) if 0 < len(w) <= SHORT]
-        for i, w in enumerate(raw):
-            if not 0 < len(w) <= SHORT:
-                out[i] = np.array(self.merged(w), "<u4").tobytes()
-        if near:
-            data = np.frombuffer(b"".join(raw[i] for i in near), np.uint8)
-            sizes = np.fromiter((len(raw[i]) for i in near), np.int64, len(near))
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            word, token = self._speculate(data, starts, ends)
-            inner = np.flatnonzero(word[1:] == word[:-1])
-            pairs, back = np.unique(token[inner] << 32 | token[inner + 1], return_inverse=True)
-            good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
-            failing = np.unique(word[inner[~good]])
-            self.speculated += len(near)
-            self.repaired += len(failing)
-            flat, bounds = token.astype("<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(near) + 1))).tolist()
-            for k, i in enumerate(near):
-                out[i] = flat[bounds[k] : bounds[k + 1]]
-            if len(failing):
-                for k, ids in zip(failing.tolist(), self._merge_rows(data, starts[failing], ends[failing]), strict=True):
-                    out[near[k]] = ids.astype("<u4").tobytes()
+        if not raw:
+            return []
+        # long words last, so that the proposals of both kinds lie in the words' order
+        order = sorted(range(len(raw)), key=lambda i: len(raw[i]) > LONG)
+        raw = [raw[i] for i in order]
+        data, sizes = np.frombuffer(b"".join(raw), np.uint8), np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(sizes)
+        starts, near = ends - sizes, int((sizes <= LONG).sum())
+        word, token = self._speculate(data, starts[:near], ends[:near]) if near else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        far = [self._propose(w) for w in raw[near:]]
+        word = np.concatenate([word, np.repeat(np.arange(near, len(raw)), [len(t) for t in far])])
+        token = np.concatenate([token, *(np.array(t, np.int64) for t in far)])
+        wrong = np.zeros(len(raw), bool)
+        wrong[np.searchsorted(ends, np.flatnonzero(self.spelled(token) != data), "right")] = True
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        pairs, back = np.unique(token[inner] << 32 | token[inner + 1], return_inverse=True)
+        good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
+        wrong[word[inner[~good]]] = True
+        self.speculated += len(raw)
+        self.repaired += int(wrong.sum())
+        flat, bounds = token.astype("<u4").tobytes(), (4 * np.searchsorted(word, np.arange(len(raw) + 1))).tolist()
+        found = [flat[bounds[k] : bounds[k + 1]] for k in range(len(raw))]
+        failing = np.flatnonzero(wrong[:near])
+        # words of like lengths side by side, so that short ones aren't padded to the longest
+        for low, high in ((0, 16), (16, 48), (48, LONG)):
+            some = failing[(sizes[failing] > low) & (sizes[failing] <= high)]
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                for k, ids in zip(part.tolist(), self._merge_rows(data, starts[part], ends[part]), strict=True):
+                    found[k] = ids.astype("<u4").tobytes()
+        for k in (near + np.flatnonzero(wrong[near:])).tolist():
+            found[k] = np.array(self.merged(raw[k]), "<u4").tobytes()
+        out: list = [b""] * len(raw)
+        for k, i in enumerate(order):
+            out[i] = found[k]
         return out
 
     def _encode_pieces(self, pieces: list[str]) -> None:
@@ -256,7 +292,7 @@ class Bpe:
                 at = m.end()
             parts[piece] = part + find(piece[at:] if at else piece)
             fresh.update((w, None) for w in parts[piece] if w.__class__ is str and w not in known)
-        words = list(fresh)
+        words = [w for w in fresh if w]
         known.update(zip(words, self._learn(words), strict=True))
         for piece, part in parts.items():
             known[piece] = b"".join(known[w] if w.__class__ is str else np.array([w], "<u4").tobytes() for w in part)
@@ -280,7 +316,14 @@ class Bpe:
         self._new, self._old = {}, {}
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decoded([ids])[0]
+
+    def decoded(self, rows: list[bytes]) -> list[str]:
+        """The text of each row of ids."""
+        tokens = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
+        ends = np.cumsum([0, *(len(r) // 4 for r in rows)])
+        text, cuts = self.spelled(tokens).tobytes(), np.concatenate([[0], np.cumsum(self._sizes[tokens])])[ends].tolist()
+        return [text[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -341,14 +384,23 @@ def loaded(path: str) -> Bpe:
     return _loaded[path]
 
 
+def _parts(sizes: list[int]):
+    """Ranges of rows of about PART characters or bytes, a longer row alone."""
+    at = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > PART:
+            yield at, i
+            at, size = i, 0
+        size += n
+    yield at, len(sizes)
+
+
 def _in_parts(bpe: Bpe, texts: list[str]) -> list[bytes]:
-    out, at, size = [], 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= PART:
-            out += bpe.encode(texts[at : i + 1])
-            at, size = i + 1, 0
-    return out + bpe.encode(texts[at:])
+    return [ids for a, b in _parts([len(t) for t in texts]) for ids in bpe.encode(texts[a:b])]
+
+
+def _decoded_in_parts(bpe: Bpe, rows: list[bytes]) -> list[str]:
+    return [text for a, b in _parts([len(r) for r in rows]) for text in bpe.decoded(rows[a:b])]
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
@@ -361,7 +413,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             ids = _in_parts(bpe, [t or "" for t in batch.column(1).to_pylist()])
             columns = {"doc_id": batch.column(0), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
             if decoded:
-                columns["decoded"] = pa.array(map(bpe.decode, ids), pa.string())
+                columns["decoded"] = pa.array(_decoded_in_parts(bpe, ids), pa.string())
             yield pa.RecordBatch.from_pydict(columns)
             del ids, columns
         bpe.forget()
@@ -377,7 +429,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches):
         bpe = loaded(vocabulary)
         for batch in batches:
-            text = [None if x is None else bpe.decode(x) for x in batch.column(2).to_pylist()]
+            ids = batch.column(2).to_pylist()
+            text = [None if x is None else t for x, t in zip(ids, _decoded_in_parts(bpe, [x or b"" for x in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()

@@ -123,6 +123,12 @@ class Stream:
     table: dict | None = None  #: frames, bytes and seek points of a variable-bitrate table
     payload: bytes | None = None
 
+    @property
+    def stored(self) -> int | None:
+        """The payload's size, where a tag names one; what else other writers put there is no size."""
+        size = self.tags.get("TXXX:payload_bytes", "")
+        return int(size) if size.isascii() and size.isdigit() else None
+
     @property
     def seconds(self) -> float:
         return self.samples / self.rate if self.rate else 0.0
@@ -211,8 +217,8 @@ def scan(data: bytes) -> Stream:
         bodies.append(buffer[at : at + run * size].reshape(run, size)[:, body - at :].tobytes())
         at += run * size
     out.skipped += max(0, end - at)
-    if "TXXX:payload_bytes" in out.tags and bodies:
-        out.payload = b"".join(bodies)[: int(out.tags["TXXX:payload_bytes"])]
+    if bodies and (size := out.stored) is not None:
+        out.payload = b"".join(bodies)[:size]
     return out
 
 
@@ -228,9 +234,9 @@ def _vbr(data: bytes, at: int, end: int) -> dict:
     return found
 
 
-MEDIA = "doc_id long, n_bytes long, media binary"
+MEDIA = "n_bytes long, media binary"
 FEATURES = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "feature string, samples long, seconds double, frames long, seek_offsets array<long>, crc_checked long, crc_bad long"
 )
 
@@ -242,9 +248,9 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             data, offsets = buffer_of(batch.column(1))
             media = [pack(payload_of(data[a:b].tobytes())) for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, MEDIA)
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, {MEDIA}")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -253,19 +259,19 @@ def media_features(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = [_features(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
-            names = [x.split()[0] for x in FEATURES.split(", ")]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            names = ["doc_id", *(x.split()[0] for x in FEATURES.split(", "))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {media.schema['doc_id'].dataType.simpleString()}, {FEATURES}")
 
 
 def _features(doc_id: int | None, n_bytes: int, media: bytes) -> tuple:
     s = scan(media)
     payload = s.payload or b""
-    if len(payload) < int(s.tags.get("TXXX:payload_bytes", 0)):
-        raise ValueError(f"doc_id {doc_id}: {len(payload)} payload bytes read, {s.tags['TXXX:payload_bytes']} stored")
+    if len(payload) < (s.stored or 0):
+        raise ValueError(f"doc_id {doc_id}: {len(payload)} payload bytes read, {s.stored} stored")
     by_rate = ",".join(f"{k}x{s.kbps.count(k)}" for k in sorted(set(s.kbps)))
     feature = f"mpeg{ {3: '1', 2: '2', 0: '2.5'}[s.version] }-l{s.layer};{s.rate}Hz;ch{s.channels};frames={len(s.offsets)};samples={s.samples};kbps={by_rate};crc_ok={s.protected - s.crc_bad}/{s.protected};skipped={s.skipped};vbr={(s.table or {}).get('frames')}"
     sha = lambda b: hashlib.sha256(b).hexdigest()

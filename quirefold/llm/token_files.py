@@ -9,11 +9,16 @@ finds the n-th boundary without a table of 64-bit offsets (2 + log2(ids / docume
     magic "QEF1" | header of 8 little-endian uint64: documents, ids, bytes an id, low bits, high bytes, samples, flags, 0
     document ids (int64) | null bitmap | low bits | high bits | select samples (uint32, every 256th) | ids
 
-Each attempt of a task writes under a name of its own and renames it when whole, so a lost executor or a repeated task
-leaves no torn shard. Shards lie in the shared folder (spark.checkpoint.dir) and are read back by Spark's binaryFile.
+Each attempt of a task writes files under names of its own, and hands their names on as its result. The names of the
+attempts that counted are committed by Spark as a table beside the files, the manifest, and only files that it names are
+read: what a lost executor or a repeated task leaves is never seen, on stores without renames too. Files lie in the shared
+folder (spark.checkpoint.dir).
+
+Readers go through the select structure: a document's boundaries from the sample before them, a run of documents from
+the samples at its ends, so that nothing but the run is unpacked.
 
 Defined cases: a null text has only the end id; rows that repeat an id are ordered by their text; null ids come first;
-an empty table gives no documents.
+ids that aren't whole numbers are refused; a text of any length is one row of a file; an empty table gives no documents.
 """
 
 from __future__ import annotations
@@ -28,14 +33,16 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirefold.llm.bpe import byte_letters
-from quirefold.llm.common import own_folder, tidy, written
+from quirefold.llm.common import own_folder, tidy
+from quirefold.sources.stores import opened
 
+MANIFEST = "manifest"
 MAGIC, HEADER = b"QEF1", struct.Struct("<8Q")
 SAMPLE = 256
 # Fixed value of this family of tokenizers: the words that the merges see.
@@ -83,13 +90,23 @@ class EliasFano:
         low = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3].tobytes(), "little") >> (first & 7) & ((1 << self.low_bits) - 1)
         return (self.select(i) - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64) - np.arange(self.n)
+    def run(self, block: int) -> np.ndarray:
+        """The values of one block of SAMPLE, from the high bits between its sample and the next."""
+        first, last = block * SAMPLE, min((block + 1) * SAMPLE, self.n)
+        at = int(self.samples[block])
+        end = int(self.samples[block + 1]) if block + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[at >> 3 : (end + 7) >> 3], bitorder="little")[at & 7 :]
+        ones = np.flatnonzero(bits)[: last - first].astype(np.int64) + at - np.arange(first, last)
         if not self.low_bits:
             return ones
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
+        low, high = first * self.low_bits, last * self.low_bits
+        bits = np.unpackbits(self.low[low >> 3 : (high + 7) >> 3], bitorder="little")[low & 7 :][: high - low].reshape(-1, self.low_bits)
         return (ones << self.low_bits) + (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
 
+    def all(self) -> np.ndarray:
+        """All values, a block after the other."""
+        return np.concatenate([self.run(k) for k in range(len(self.samples))]) if self.n else np.zeros(0, np.int64)
+
 
 def pack_shard(doc_ids: list[int | None], rows: list[np.ndarray], width: int) -> bytes:
     ends = EliasFano.of(np.cumsum([0] + [len(r) for r in rows]))
@@ -218,17 +235,14 @@ def _tokenizer(path: str) -> CachedTokenizer:
     return _loaded[path]
 
 
-def _open(url: str) -> tuple[fs.FileSystem, str]:
-    """The store of a Hadoop-style URL; HDFS, S3, GCS, ABFS and local paths."""
-    return fs.FileSystem.from_uri(url.replace("s3a://", "s3://", 1) if "://" in url else f"file://{url.removeprefix('file:')}")
-
-
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Writes the files now; gives file, documents, ids and start (ids in all files before it), one row per file."""
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col}: token files hold ids that are whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
 
     def run(batches):
         task = TaskContext.get()
-        store, base = _open(folder)
+        store, base = opened(folder)
         store.create_dir(base, recursive=True)
         tok, part, held, ids, size = _tokenizer(tokenizer), 0, [], [], 0
         width = tok.width if end_id < 1 << 8 * tok.width else 4
@@ -236,11 +250,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
         rows = []
 
         def flush():
-            name = f"part-{task.partitionId():07d}-{part:05d}.qef"
-            draft = f"{base}/.{name}.{task.taskAttemptId()}"
-            with store.open_output_stream(draft) as out:
+            name = f"part-{task.partitionId():07d}-{part:05d}-{task.taskAttemptId():x}-{uuid.uuid4().hex[:8]}.qef"
+            with store.open_output_stream(f"{base}/{name}") as out:
                 out.write(pack_shard(held, ids, width))
-            store.move(draft, f"{base}/{name}")
             rows.append((name, len(held), size))
 
         for batch in batches:
@@ -261,8 +273,14 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_c
 
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = written(ordered.mapInArrow(run, "file string, documents long, ids long"), "token-files")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(run, "file string, documents long, ids long").write.parquet(f"{folder}/{MANIFEST}")
+    return manifest(spark, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """file, documents, ids and start of the files that count."""
+    files = spark.read.schema("file string, documents long, ids long").parquet(f"{folder}/{MANIFEST}")
     # one row per file of millions of ids: a running sum in one task is fine
     before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     return files.withColumn("start", F.coalesce(before, F.lit(0)))
@@ -272,19 +290,23 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """file, doc_id, at (ids before it in its file), n_tokens and ids_crc32 of each document, from the files alone."""
 
     def run(batches):
+        store, base = opened(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = Shard(content.as_py())
+            for name in batch.column(0).to_pylist():
+                with store.open_input_file(f"{base}/{name}") as file:
+                    shard = Shard(file.read())
                 ends = shard.ends.all()
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
                 n = len(shard)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(shard.doc_ids, pa.int64()), pa.array(ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array([name] * n, pa.string()), pa.array(shard.doc_ids, pa.int64()), pa.array(ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
                     ["file", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.qef").load(folder).select("path", "content")
-    return files.mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    files = manifest(spark, folder).select("file")
+    # a task a few files: the manifest is small, what it names is not
+    parts = max(1, min(files.count(), 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return files.repartition(parts, "file").mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, **names) -> DataFrame:

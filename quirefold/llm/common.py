@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import uuid
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.session import shared_folder
+from quirefold.tables import discard, fresh, own_folder, row_digest, written
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "dealt", "discard", "fresh", "own_folder", "row_digest", "split_join", "table", "tidy", "tune", "written"]
 
 #: Arrow batches that reach Python hold at most this much text (a single longer row still goes alone).
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
-_own: dict[str, str] = {}
-
-
 def tune(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by bytes, so that very long texts never pile up in one Python worker, and lets Spark drop a
     query's shuffle files when it ends: what outlives it is a written table."""
@@ -30,32 +27,15 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def own_folder(spark: SparkSession) -> str:
-    """This application's folder below the shared one; it is removed when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = f"{shared_folder(spark)}/quirefold-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _own[app])
-    return _own[app]
+    return dealt(tune(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM is gone already
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage with a table in the shared folder: a lost executor costs a reread, not a recomputation."""
-    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where few files are read in fewer tasks (a file of one row group can't be split)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
@@ -84,10 +64,3 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc only
         ctypes.CDLL(None).malloc_trim(0)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes a table of `written` that nothing reads any more."""
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quirefold-" in path:
-            _remove(df.sparkSession, path)

@@ -157,8 +157,9 @@ class Bpe:
             while len(todo):
                 a, n = here[todo], size[todo]
                 found = self._texts(_between(sums, a, a + n))
-                hit = found >= 0
-                token[todo[hit]] = self._text_ids[found[hit]]
+                proposed = np.where(n == 1, self._byte_ids[data[a]], self._text_ids[found])
+                hit = (n == 1) | (found >= 0) & (self._sizes[proposed] == n)
+                token[todo[hit]] = proposed[hit]
                 todo = todo[~hit]
                 size[todo] -= 1
             words.append(live)

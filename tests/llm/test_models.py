@@ -153,6 +153,32 @@ def test_samples_are_bounded_in_bytes(corpus):
     assert toxicity.fit(docs, labels, max_bytes=0).weights[1] == 0
 
 
+def test_statistics_equal_plain_python():
+    texts = ["One two, two! Three\nthree three 4", "", "  ", "A B\tc.\n\nA B\tc.", "é" * 9 + " x1 (y) <z> LOUD"]
+    raw = [t.encode() for t in texts]
+    got = quality.statistics(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    names = len(quality.CLASS_NAMES)
+    for row, text in zip(got, raw, strict=True):
+        words, n = text.split(), max(len(text), 1)
+        size, many = [len(w) for w in words], max(len(words), 1)
+        mean = sum(size) / many
+        kinds = [sum(quality._CLASS[b] == k for b in text) / n for k in range(names)]
+        lower = [w.lower() for w in words]
+        grams = [[tuple(lower[i : i + k]) for i in range(len(lower) - k + 1)] for k in (1, 2, 5)]
+        repeats = [x for g in grams for x in (len(set(g)) / max(len(g), 1), max(Counter(g).values(), default=0) / max(len(g), 1))]
+        lines = [tuple(line.lower().split()) for line in text.split(b"\n") if line.split()]
+        punct = lambda b: bool(quality._IS_PUNCT[b])
+        share = lambda test: sum(map(test, words)) / many
+        want = [
+            math.log1p(len(text)), *kinds, math.log1p(len(words)), mean, math.sqrt(max(0, sum(x * x for x in size) / many - mean**2)), math.log1p(max(size, default=0)),
+            share(lambda w: len(w) <= 3), share(lambda w: len(w) > 12), share(lambda w: 2 * sum(65 <= b <= 90 for b in w) > len(w)),
+            share(lambda w: punct(w[-1])), share(lambda w: punct(w[0])), share(lambda w: len(w) == 1), *repeats, sum(a == b for a, b in zip(lower, lower[1:], strict=False)) / many,
+            math.log1p(len(lines)), len(words) / max(len(lines), 1), len(set(lines)) / max(len(lines), 1), max(Counter(lines).values(), default=0) / max(len(lines), 1),
+            -sum(k * math.log(max(k, 1e-12)) for k in kinds),
+        ]
+        assert row.tolist() == pytest.approx(want, rel=1e-4, abs=1e-5)
+
+
 def test_fold_is_the_crc_of_the_text(spark):
     rows = spark.range(50).select("id", fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)

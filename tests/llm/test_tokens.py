@@ -31,6 +31,20 @@ def test_bpe_equals_the_library(odd_texts):
     assert 0 < model.repaired < model.speculated
 
 
+def test_long_words_are_speculated_too():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdeimnorst") for _ in range(n)) for n in (31, 33, 100, 255, 257, 300, 5000)] + ["=" * 700, "the" * 200, "中" * 400, "a" * 1000 + " b"]
+    model = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    assert model.encode(texts) == expected("byte_bpe_50k.json", texts)
+    assert model.speculated >= len(texts) > 0 and model.decoded(model.encode(texts)) == texts
+    # a proposal whose bytes aren't the word's (as when hashes collide) is found and merged exactly
+    honest = model._text_ids.copy()
+    model._text_ids = np.roll(honest, 1)
+    model.forget()
+    assert model.encode(["hello there, plainly"]) == expected("byte_bpe_50k.json", ["hello there, plainly"])
+    model._text_ids = honest
+
+
 def test_every_token_is_its_own_encoding():
     model = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json"))
     assert all(model.merged(t) == [i] for t, i in model.ids.items())
@@ -74,6 +88,7 @@ def test_elias_fano():
         values = np.sort(rng.integers(0, top, n))
         packed = token_files.EliasFano.of(values)
         assert packed.all().tolist() == values.tolist() == [packed[i] for i in range(n)]
+        assert packed.run(len(packed.samples) - 1).tolist() == values[(len(packed.samples) - 1) * token_files.SAMPLE :].tolist()
 
 
 def test_token_files_round_trip(spark, docs, docs_with_repeats, no_docs, odd_texts, tmp_path):
@@ -87,6 +102,10 @@ def test_token_files_round_trip(spark, docs, docs_with_repeats, no_docs, odd_tex
     shards = [token_files.Shard((tmp_path / "a" / n).read_bytes()) for n in names]
     assert np.concatenate([s.ids for s in shards]).tolist() == np.concatenate(ids).tolist()
     assert [s.document(i).tolist() for s in shards for i in range(len(s))] == [x.tolist() for x in ids]
+    # a file that a lost attempt left is never read, though it lies beside the others and is whole
+    (tmp_path / "a" / f"{names[0][:12]}-00000-lost.qef").write_bytes((tmp_path / "a" / names[0]).read_bytes())
+    (tmp_path / "a" / "part-0000000-00009-torn.qef").write_bytes(b"QEF1 torn")
+    assert sorted(r.doc_id for r in token_files.read_shards(spark, f"file://{tmp_path}/a").collect()) == list(range(len(odd_texts)))
     assert token_files.token_files(docs_with_repeats, path, 1).count() == docs_with_repeats.count()
     assert token_files.token_files(no_docs, path, 1).count() == 0
 

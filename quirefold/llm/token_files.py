@@ -287,26 +287,26 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """file, doc_id, at (ids before it in its file), n_tokens and ids_crc32 of each document, from the files alone."""
+    """file, doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each document, from the files alone."""
 
     def run(batches):
         store, base = opened(folder)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with store.open_input_file(f"{base}/{name}") as file:
                     shard = Shard(file.read())
                 ends = shard.ends.all()
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
                 n = len(shard)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n, pa.string()), pa.array(shard.doc_ids, pa.int64()), pa.array(ends[:-1], pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
-                    ["file", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    [pa.array([name] * n, pa.string()), pa.array(shard.doc_ids, pa.int64()), pa.array(ends[:-1] + start, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())],
+                    ["file", "doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    files = manifest(spark, folder).select("file")
+    files = manifest(spark, folder).select("file", "start")
     # a task a few files: the manifest is small, what it names is not
     parts = max(1, min(files.count(), 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    return files.repartition(parts, "file").mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return files.repartition(parts, "file").mapInArrow(run, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, **names) -> DataFrame:
@@ -315,5 +315,4 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     files = write_shards(docs, tokenizer, end_id, folder, **names)
     if files.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    rows = read_shards(docs.sparkSession, folder)
-    return rows.join(files.select("file", "start"), "file").select("doc_id", (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return read_shards(docs.sparkSession, folder).drop("file")

@@ -31,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where few files are read in fewer tasks (a file of one row group can't be split)."""
+    """Rows dealt out to all cores where few files are read in fewer tasks (a file of one row group can't be split).
+
+    The names of the files stay in the JVM, as a large table has very many.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    if len(df._jdf.inputFiles()) >= cores or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 

@@ -127,7 +127,7 @@ class Stream:
     def stored(self) -> int | None:
         """The payload's size, where a tag names one; what else other writers put there is no size."""
         size = self.tags.get("TXXX:payload_bytes", "")
-        return int(size) if size.isascii() and size.isdigit() else None
+        return int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None
 
     @property
     def seconds(self) -> float:
@@ -170,6 +170,19 @@ def _side_bytes(version: int, channels: int) -> int:
     return (17 if channels == 1 else 32) if version == 3 else (9 if channels == 1 else 17)
 
 
+def _alike(buffer: np.ndarray, size: int) -> int:
+    """How many frames from the start have the first one's header, looking ahead twice as far each time, so that frames
+    which all differ cost no look over the rest of the stream."""
+    most, run, look = len(buffer) // size, 1, 8
+    while run < most:
+        some = min(look, most - run)
+        same = (buffer[run * size : (run + some) * size].reshape(some, size)[:, :4] == buffer[:4]).all(axis=1)
+        if not same.all():
+            return run + int(np.argmin(same))
+        run, look = run + some, 2 * look
+    return run
+
+
 def scan(data: bytes) -> Stream:
     """Parses a stream of MPEG audio."""
     out = Stream()
@@ -194,11 +207,7 @@ def scan(data: bytes) -> Stream:
         side = _side_bytes(version, channels) if layer == 3 else 0
         body = at + 4 + 2 * protected + side
         # frames with the same four header bytes lie end to end: take the whole run at once
-        run, most = 1, (end - at) // size
-        if most > 1 and layer == 3:
-            grid = buffer[at : at + most * size].reshape(most, size)
-            same = (grid[:, :4] == grid[0, :4]).all(axis=1)
-            run = most if same.all() else int(np.argmin(same))
+        run = _alike(buffer[at:end], size) if layer == 3 else 1
         if protected and layer == 3:
             grid = buffer[at : at + run * size].reshape(run, size)
             want = grid[:, 4].astype(np.uint32) << 8 | grid[:, 5]

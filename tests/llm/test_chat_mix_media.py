@@ -225,6 +225,15 @@ def test_media_resynchronises_and_checks():
     assert media.scan(b"").offsets == [] and media.scan(b"no audio at all").skipped == 15
 
 
+def test_frames_of_changing_rates():
+    rates = [320 if i % 3 else 64 for i in range(600)] + [320] * 700 + [96] * 9 + [128]
+    stream = b"".join(media._frame(k, bytes(144 * k // 48 - media._HEAD)) for k in rates)
+    found = media.scan(stream)
+    assert found.kbps == rates and not found.skipped and not found.crc_bad and found.protected == len(rates)
+    assert [media._parse(stream, at)[6] for at in found.offsets] == found.sizes
+    assert media.Stream(tags={"TXXX:payload_bytes": "9" * 5000}).stored is None
+
+
 def test_media_payload_with_the_letters_tag_is_whole():
     for n in (192, 384, 576, 1152):
         for at in range(n - 2):

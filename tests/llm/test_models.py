@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,26 @@ def test_statistics_equal_plain_python():
         assert row.tolist() == pytest.approx(want, rel=1e-4, abs=1e-5)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7, 64, 1 << 20])
+def test_class_counts_are_the_same_in_blocks_of_any_size(monkeypatch, block):
+    monkeypatch.setattr(quality, "_BLOCK", block)
+    raw = [b"", b"Ab 1.", b"", b"", b"\xc3\xa9" * 40, b" \n", b"x", b""]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [[sum(quality._CLASS[b] == k for b in text) for k in range(len(quality.CLASS_NAMES))] for text in raw]
+    assert quality._class_counts(quality._CLASS[data], offsets).tolist() == want
+    nothing = quality._class_counts(np.zeros(0, np.uint8), np.zeros(3, np.int64))
+    assert nothing.tolist() == [[0] * len(quality.CLASS_NAMES)] * 2
+
+
+def test_a_very_long_text_counts_whole():
+    text = "Word two, THREE\n" * 200_000
+    both = quality.features(pa.array([text, "short one", text]))
+    alone = quality.features(pa.array(["short one"]))
+    assert (both[0] == both[2]).all() and (both[1] == alone[0]).all()
+    names = quality.CLASS_NAMES
+    assert both[0][1 + names.index("upper")] == pytest.approx(6 / 16) and both[0][1 + names.index("line")] == pytest.approx(1 / 16)
+
+
 def test_fold_is_the_crc_of_the_text(spark):
     rows = spark.range(50).select("id", fold(F.col("id")).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)

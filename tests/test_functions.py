@@ -152,6 +152,30 @@ def test_edit_distance_equals_the_table():
         assert metrics.edit_distance(a, b) == metrics.trimmed_distance(a, b) == metrics.trimmed_distance(list(a), list(b)) == plain_distance(a, b)
 
 
+def test_bands_are_exact_within_their_width():
+    rng = random.Random(8)
+    for _ in range(1500):
+        letters = rng.choice(["ab", "abcdefgh"])
+        a = [rng.choice(letters) for _ in range(rng.randint(0, 30))]
+        b = list(a) if rng.random() < 0.8 else [rng.choice(letters) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["z"]])
+        a, b = sorted((a, b), key=len)
+        want = plain_distance(a, b)
+        for k in {len(b) - len(a), len(b) - len(a) + 1, want, want + 3}:
+            found = metrics._banded(a, b, k)
+            assert found == want if want <= k else found > k
+
+
+@pytest.mark.parametrize("share", [0.01, 0.09, 0.15, 0.5, 1])
+def test_long_texts_have_the_same_distance_by_bands(share):
+    rng = random.Random(9)
+    a = "".join(rng.choice("abcdefghij ") for _ in range(3000))
+    b = "".join(rng.choice(["", "x", c + "y"]) if rng.random() < share else c for c in a)
+    assert metrics.trimmed_distance(a, b) == metrics.edit_distance(a, b) == metrics.trimmed_distance(b, a)
+
+
 @pytest.mark.parametrize(("truth", "guess", "want"), [("", "", 0.0), ("", "a", 1.0), ("aſb", "ab", 1 / 3), ("ab", "abcd" * 3, 5.0), (" ab ", "ab", 0.0), ("é", "é", 1.0), ("x" * 2000, "x" * 1990 + "y" * 5, 10 / 2000)])
 def test_cer(spark, truth, guess, want):
     assert one(spark, metrics.cer(F.col("a"), F.col("b")), a=truth, b=guess) == pytest.approx(want)

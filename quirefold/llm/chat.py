@@ -7,9 +7,10 @@ rendered where it stands.
 
 States are what has been written so far: nothing, system, user, assistant. A turn is a 4 x 4 matrix of costs between
 states, and matrices multiply (minimum of sums) associatively. So a conversation of any length is cut into runs of
-`RUN` turn numbers: each run gives its matrix, a scan over a conversation's runs (16 numbers for `RUN` turns) gives
-each run the state that it is entered and left in, and the runs are solved apart from each other. No task holds a
-whole long conversation, and the result is a row a turn: the conversation's text is its segments in order.
+`RUN` turn numbers (by hash where a number has more turns than that): each run gives its matrix, a scan over a
+conversation's runs gives each run the state that it is entered and left in, and the runs are solved apart from each
+other. A conversation of more than `MOST` runs is scanned by a tree of products, `MOST` of its runs or nodes to a row. No
+task holds a whole long conversation, and the result is a row a turn: the conversation's text is its segments in order.
 
 Costs are whole numbers, ties fall to the first of stay, relabel, merge, insert, and to the lower state, at the ends of
 runs first; so reruns agree, and costs are the same whatever the cuts. Defined cases: roles are read without case and outer blanks, and names in
@@ -24,19 +25,20 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.common import written
+from quirefold.operators.sampling import numbered
 
-RUN = 256
+RUN, MOST = 256, 1024
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant", "developer": "system"}
 
 # Prices.
 STAY, RELABEL, MERGE, INSERT, SYSTEM_RELABEL = 0, 4, 1, 6, 5
-NEVER = 1 << 30
+NEVER = 1 << 60
 
 #: Roles that may follow each state.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -86,39 +88,40 @@ def role_number(role: str | None) -> int:
     return ROLES.index(name) if name in ROLES else 0
 
 
+def between(matrices: list[np.ndarray], enter: int, leave: int) -> list[tuple[int, int]]:
+    """The states before and after each step of the cheapest way from one state to another; ties to the lower state."""
+    costs = [np.where(np.arange(4) == enter, 0, NEVER)]
+    for m in matrices:
+        costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), NEVER))
+    out, state = [], leave
+    for m, before in zip(reversed(matrices), reversed(costs[:-1]), strict=True):
+        prior = int((before + m[:, state]).argmin())
+        out.append((prior, state))
+        state = prior
+    return out[::-1]
+
+
+def combined(matrices: list[np.ndarray]) -> np.ndarray:
+    """Costs between states over several runs."""
+    total = np.where(np.eye(4, dtype=bool), 0, NEVER)
+    for m in matrices:
+        total = np.minimum((total[:, :, None] + m[None]).min(axis=1), NEVER)
+    return total
+
+
 def product(roles: list[int]) -> np.ndarray:
     """Costs between states over a run of turns."""
-    total = np.full((4, 4), NEVER, np.int64)
-    np.fill_diagonal(total, 0)
-    for role in roles:
-        total = (total[:, :, None] + MATRICES[role][None]).min(axis=1)
-    return np.minimum(total, NEVER)
+    return combined([MATRICES[role] for role in roles])
 
 
 def path(roles: list[int], enter: int, leave: int) -> list[int]:
-    """The states after each turn of the cheapest way from one state to another; ties to the lower state."""
-    costs = [np.where(np.arange(4) == enter, 0, NEVER)]
-    for role in roles:
-        costs.append(np.minimum((costs[-1][:, None] + MATRICES[role]).min(axis=0), NEVER))
-    out, state = [], leave
-    for role, before in zip(reversed(roles), reversed(costs[:-1]), strict=True):
-        out.append(state)
-        state = int((before + MATRICES[role][:, state]).argmin())
-    return out[::-1]
+    """The states after each turn of the cheapest way from one state to another."""
+    return [after for _, after in between([MATRICES[role] for role in roles], enter, leave)]
 
 
 def ends(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     """The states in which each run of a conversation is entered and left; ties to the lower state."""
-    costs = [np.where(np.arange(4) == START, 0, NEVER)]
-    for m in matrices:
-        costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), NEVER))
-    state = int((costs[-1] + FINISH).argmin())
-    out = []
-    for m, before in zip(reversed(matrices), reversed(costs[:-1]), strict=True):
-        prior = int((before + m[:, state]).argmin())
-        out.append((prior, state))
-        state = prior
-    return out[::-1]
+    return between(matrices, START, int((combined(matrices)[START] + FINISH).argmin()))
 
 
 def escaped(text: str) -> str:
@@ -150,7 +153,79 @@ def _runs(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
     return rows.groupBy("conv", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "h", "role", "text"))).alias("turns"))
 
 
-def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run: int = RUN) -> DataFrame:
+def _matrices(items: list[dict]) -> list[np.ndarray]:
+    return [np.array(i["costs"], np.int64).reshape(4, 4) for i in items]
+
+
+def _scanned(listed: DataFrame, kind: str, key: str) -> DataFrame:
+    """conv, at, enter, leave, last of rows conv, items (at and costs, in order) and, for items inside a conversation, the
+    states `enter` and `leave` around them and whether they are its `last`. at has the type `key`."""
+    whole = "enter" not in listed.columns
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            around = [(None, None, True)] * batch.num_rows if whole else list(zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True))
+            for conv, items, (enter, leave, last) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), around, strict=True):
+                found = ends(_matrices(items)) if whole else between(_matrices(items), enter, leave)
+                rows += [(conv, i["at"], a, b, last and k == len(items) - 1) for k, (i, (a, b)) in enumerate(zip(items, found, strict=True))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = [batch.schema.field(0).type, pa.list_(pa.int64()) if key == "array<long>" else pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv", "at", "enter", "leave", "last"])
+
+    return listed.mapInArrow(run, f"conv {kind}, at {key}, enter int, leave int, last boolean")
+
+
+def _grouped(runs: DataFrame, *keys: Column | str) -> DataFrame:
+    return runs.groupBy("conv", *keys).agg(F.array_sort(F.collect_list(F.struct("at", "costs"))).alias("items"))
+
+
+def _same_conv(left: DataFrame, right: DataFrame, how: str, *also: Column) -> DataFrame:
+    """Rows of left joined with right's on the conversation, nulls being one, and on what else is asked."""
+    right = right.withColumnRenamed("conv", "__c")
+    match = F.col("conv").eqNullSafe(F.col("__c"))
+    for one in also:
+        match &= one
+    return left.join(right, match, how).drop("__c")
+
+
+def _states_of_long(weighed: DataFrame, kind: str, most: int) -> DataFrame:
+    """`_states` of conversations with more than `most` runs: a tree over the runs, `most` of a conversation to a node.
+
+    Matrices multiply upwards until no conversation has more than `most` nodes; these are scanned, and the states go down
+    again, a level at a time.
+    """
+    placed = written(numbered(weighed.withColumn("key", F.struct("conv", "run")), "key", name="place").drop("key"), "chat-placed")
+    first = placed.groupBy("conv").agg(F.min("place").alias("first"))
+    levels = [written(_same_conv(placed, first, "inner").select("conv", (F.col("place") - F.col("first")).alias("at"), "run", "costs"), "chat-tree")]
+
+    def multiply(batches):
+        for batch in batches:
+            costs = [combined(_matrices(items)).ravel().tolist() for items in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(costs, pa.list_(pa.int64()))], ["conv", "at", "costs"])
+
+    up = F.floor(F.col("at") / most).cast("long").alias("up")
+    while (levels[-1].agg(F.max("at")).first()[0] or 0) >= most:
+        levels.append(written(_grouped(levels[-1], up).select("conv", "up", "items").mapInArrow(multiply, f"conv {kind}, at long, costs array<long>"), "chat-tree"))
+    states = _scanned(_grouped(levels[-1]), kind, "long")
+    for level in reversed(levels[:-1]):
+        above = states.withColumnRenamed("at", "above")
+        states = _scanned(_same_conv(_grouped(level, up), above, "inner", F.col("up") == F.col("above")).select("conv", "items", "enter", "leave", "last"), kind, "long")
+    states = states.withColumnRenamed("at", "place")
+    return _same_conv(levels[0].select("conv", "at", "run"), states, "inner", F.col("at") == F.col("place")).select("conv", F.col("run").alias("at"), "enter", "leave", "last")
+
+
+def _states(runs: DataFrame, weighed: DataFrame, kind: str, most: int) -> DataFrame:
+    """conv, at (the run), and the states in which each run is entered and left, and whether it is its conversation's last."""
+    weighed = weighed.withColumn("at", F.col("run"))
+    long = written(runs.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("conv"), "chat-long")
+    if long.isEmpty():
+        return _scanned(_grouped(weighed), kind, "array<long>")
+    short = _scanned(_grouped(_same_conv(weighed, long, "left_anti")), kind, "array<long>")
+    return short.unionByName(_states_of_long(_same_conv(weighed, long, "left_semi").select("conv", "run", "costs"), kind, most))
+
+
+def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run: int = RUN, most: int = MOST) -> DataFrame:
     """conv_id, turn, role (as read), new_role, action (stay, relabel, merge), inserted (empty turns before), cost, closing
     (empty turns after a conversation's last row), segment (its part of the rendered text) and place (four numbers that
     order a conversation's rows), a row a turn."""
@@ -162,16 +237,6 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             roles = [[role_number(t["role"]) for t in row] for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([product(r).ravel().tolist() for r in roles], pa.list_(pa.int64()))], ["conv", "run", "costs"])
 
-    def scan(batches):
-        for batch in batches:
-            rows: list[tuple] = []
-            for conv, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = ends([np.array(i["costs"], np.int64).reshape(4, 4) for i in items])
-                rows += [(conv, i["run"], a, b, k == len(items) - 1) for k, (i, (a, b)) in enumerate(zip(items, found, strict=True))]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [batch.schema.field(0).type, pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv", "run", "enter", "leave", "last"])
-
     def solve(batches):
         for batch in batches:
             rows: list[tuple] = []
@@ -191,9 +256,7 @@ def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "closing", "segment", "place"])
 
     weighed = runs.select("conv", "run", "turns").mapInArrow(weigh, f"conv {kind}, run array<long>, costs array<long>")
-    listed = weighed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("run", "costs"))).alias("runs"))
-    states = listed.mapInArrow(scan, f"conv {kind}, run array<long>, enter int, leave int, last boolean")
-    states = states.withColumnsRenamed({"conv": "__conv", "run": "__run"})
+    states = _states(runs, weighed, kind, most).withColumnsRenamed({"conv": "__conv", "at": "__run"})
     joined = runs.join(states, F.col("conv").eqNullSafe(F.col("__conv")) & (F.col("run") == F.col("__run")))
     return joined.select("conv", "run", "turns", "enter", "leave", "last").mapInArrow(
         solve, f"conv_id {kind}, turn long, role string, new_role string, action string, inserted array<string>, cost int, closing array<string>, segment string, place array<long>"

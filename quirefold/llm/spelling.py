@@ -246,30 +246,35 @@ class Automaton:
         return pairs[0], pairs[1]
 
 
-def _answers(words: list[bytes], counts: np.ndarray, asks: list[int], backward: bool) -> pa.RecordBatch:
-    """word, near, best_n and best of each word that asks (a place in words, which are distinct and in order)."""
+def _answers(words: list[bytes], counts: np.ndarray, asked: list[bytes], backward: bool, under: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """word, near, best_n and best of each word asked for that is near to some of words, which are distinct and in order.
+
+    under: the half that each word asks under, known: half * words + word of those that answer here; a word that is here
+    under another half answers elsewhere.
+    """
     if backward:
         order = sorted(range(len(words)), key=lambda i: words[i][::-1])
         automaton, of = Automaton.of([words[i][::-1] for i in order]), np.array(order)
-        exact = np.array([len(words[i]) - len(words[i]) // 2 for i in asks])
-        who, number = automaton.near([words[i][::-1] for i in asks], exact)
+        who, number = automaton.near([w[::-1] for w in asked], np.array([len(w) - len(w) // 2 for w in asked]))
         number = of[number]
         # what agrees in the first half the other direction has found
-        halves = [len(words[i]) // 2 for i in asks]
-        apart = [words[asks[w]][: halves[w]] != words[n][: halves[w]] for w, n in zip(who.tolist(), number.tolist(), strict=True)]
-        who, number = who[np.array(apart, bool)], number[np.array(apart, bool)]
+        heads = [w[: len(w) // 2] for w in asked]
+        apart = np.array([not words[n].startswith(heads[w]) for w, n in zip(who.tolist(), number.tolist(), strict=True)], bool)
+        who, number = who[apart], number[apart]
     else:
-        who, number = Automaton.of(words).near([words[i] for i in asks], np.array([len(words[i]) // 2 for i in asks]))
+        who, number = Automaton.of(words).near(asked, np.array([len(w) // 2 for w in asked]))
+    here = np.isin(under[who] * len(words) + number, known)
+    who, number = who[here], number[here]
     best = np.lexsort((number, -counts[number], who))
     who, number = who[best], number[best]
     one, at, n = np.unique(who, return_index=True, return_counts=True)
-    text = lambda places: pa.array([words[i].decode("latin-1") for i in places], pa.string())
-    return pa.RecordBatch.from_arrays([text([asks[i] for i in one.tolist()]), pa.array(n, pa.int64()), pa.array(counts[number[at]], pa.int64()), text(number[at].tolist())], ["word", "near", "best_n", "best"])
+    text = lambda some: pa.array([w.decode("latin-1") for w in some], pa.string())
+    return pa.RecordBatch.from_arrays([text(asked[i] for i in one.tolist()), pa.array(n, pa.int64()), pa.array(counts[number[at]], pa.int64()), text(words[i] for i in number[at].tolist())], ["word", "near", "best_n", "best"])
 
 
-def _asked(batches) -> Iterator[pa.RecordBatch]:
-    """Both directions of a partition's rows: backward, half, asks, word, n. Words whose half no other word shares have no
-    near word there."""
+def _searched(batches) -> Iterator[pa.RecordBatch]:
+    """Both directions of a partition's rows: backward, half, asks, answers, word, n. Where a half has one row only, nothing
+    is near."""
     table = pa.Table.from_batches(list(batches))
     if not table.num_rows:
         return
@@ -277,15 +282,16 @@ def _asked(batches) -> Iterator[pa.RecordBatch]:
     _, of = np.unique(half, return_inverse=True)
     shared = np.bincount(of)[of] > 1
     for side in (False, True):
-        rows = np.flatnonzero(shared & (backward == side))
-        if len(rows):
-            some = table.take(pa.array(rows)).sort_by([("word", "ascending")])
-            word = some["word"].to_pylist()  # in the order of their bytes, which is that of code points
-            new = np.array([True, *(a != b for a, b in zip(word, word[1:], strict=False))])
-            at, place = np.flatnonzero(new), np.cumsum(new) - 1
-            asks = np.unique(place[some["asks"].to_numpy()]).tolist()
-            if asks:
-                yield _answers([word[i].encode("latin-1") for i in at], some["n"].to_numpy()[at], asks, side)
+        some = table.take(pa.array(np.flatnonzero(shared & (backward == side)))).sort_by([("word", "ascending")])
+        if not some.num_rows:
+            continue
+        words = np.array([w.encode("latin-1") for w in some["word"].to_pylist()], object)  # in code-point order
+        asks, answers = some["asks"].to_numpy(), some["answers"].to_numpy()
+        _, under = np.unique(some["half"].to_numpy(), return_inverse=True)
+        known, at, place = np.unique(words[answers], return_index=True, return_inverse=True)
+        asked, first = np.unique(words[asks], return_index=True)
+        if len(known) and len(asked):
+            yield _answers(known.tolist(), some["n"].to_numpy()[answers][at], asked.tolist(), side, under[asks][first], under[answers] * len(known) + place)
     tidy()
 
 
@@ -306,15 +312,15 @@ def near_digest(words: DataFrame, block: int = BLOCK) -> DataFrame:
     letters = words.agg(F.sum(F.length("word"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * letters // TASK))
     full = written(rows.groupBy("half").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > block), "spelling-full")
-    dealt = rows.withColumn("block", F.lit(0))
+    dealt = rows.withColumn("block", F.lit(0)).withColumn("answers", F.lit(True))
     if not full.isEmpty():
         dealt = split_join(rows, full.withColumn("blocks", F.ceil(F.col("rows") / block).cast("int")).drop("rows"), "half", "left")
         own = F.pmod(F.xxhash64("word"), F.coalesce("blocks", F.lit(1))).cast("int")
-        # a word that asks does so in every block of its half, and answers in its own
+        # a word that asks does so in every block of its half; it answers in its own block
         every = F.when(F.col("asks"), F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(own))
-        dealt = dealt.withColumn("own", own).withColumn("block", F.explode(every))
-    asked = dealt.repartition(parts, "half", "block").select("backward", "half", "asks", "word", "n")
-    found = asked.mapInArrow(_asked, "word string, near long, best_n long, best string")
+        dealt = dealt.withColumn("own", own).withColumn("block", F.explode(every)).withColumn("answers", F.col("block") == F.col("own"))
+    asked = dealt.repartition(parts, "half", "block").select("backward", "half", "asks", "answers", "word", "n")
+    found = asked.mapInArrow(_searched, "word string, near long, best_n long, best string")
     best = F.min(F.struct((-F.col("best_n")).alias("least"), F.col("best").alias("best")))
     return found.groupBy("word").agg(F.sum("near").alias("n_near"), best.alias("b")).select("word", "n_near", (-F.col("b.least")).alias("form_n"), F.col("b.best").alias("form"))
 

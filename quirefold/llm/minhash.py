@@ -4,37 +4,29 @@ Words are lower-cased (A-Z) and cut into 5-word shingles; a shingle is a point o
 permutations of that ring give all coordinates: the first scatters the set, the second is shifted circularly, once per
 coordinate, and its minimum over the set is the coordinate (Li and Li, "C-MinHash", 2022). Coordinates are banded; the
 number of bands follows from the similarity sought, so that a pair at the threshold misses all bands with a chance
-below one in a million. Every link is confirmed by the exact Jaccard similarity of the two full sets.
-
-Documents with equal sets are one vertex. In a bucket, each vertex is first compared with the bucket's most central one
-(the one that shares most buckets with others: the original among its copies). Where a bucket still holds vertices that
-this left apart, those outside its largest class are compared with all others of the bucket in blocks of `BLOCK`
-against `BLOCK` vertices (fewer where their sets are long: a block has about `BLOCK_BYTES`), and only links that join two classes leave a block pair. So the result has every component that the confirmed links of all bucket pairs would give, while buckets of
-near-copies cost about one comparison a vertex and no task gathers a bucket.
+below one in a million. Every link is confirmed by the exact Jaccard similarity of the two full sets (`links`).
 
 Defined cases: a document of 1-4 words is one shingle (its whole sequence); null, empty and blank texts have none, are
-linked with nothing and kept; a null doc_id can be in a component but never names one that has other ids. An empty table
+linked with nothing and kept; a null doc_id can be in a component but never names one that has other ids. Rows that share
+an id, or have none, are told apart by their texts throughout. An empty table
 gives none. `near_duplicates` tells by doc_id, so all rows of a component that have its name are `kept`;
 `without_near_duplicates` tells rows apart by id and text, and of those that share the name leaves one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import fresh, split_join, tidy, written
-from quirefold.llm.components import components
-from quirefold.llm.words import U, buffer_of, chunks, grams, hashes, mix, split
+from quirefold.llm.common import fresh, tidy, written
+from quirefold.llm.links import confirmed_links, members_of, named, shingle_sets, text_digest, vertex_of, vertices_of
+from quirefold.llm.words import U, mix
 
 SHINGLE, ROWS, MISS = 5, 4, 1e-6
-BLOCK, BLOCK_BYTES, SLICE = 128, 4 << 20, 1 << 13
 _STEP = U(0x9E3779B97F4A7C15)
 _FIRST = U(0x6A09E667F3BCC909)
 
@@ -43,22 +35,6 @@ def n_bands(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
 
 
-def shingle_sets(column: pa.Array, size: int = SHINGLE):
-    """The sorted distinct shingle hashes of each text."""
-    data, offsets = buffer_of(column)
-    for a, b in chunks(offsets):
-        words = split(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        h = hashes(words, lower=True)
-        g = grams(h, size)
-        for start, n in zip(words.first[:-1].tolist(), words.sizes.tolist(), strict=True):
-            if n >= size:
-                yield np.unique(g[start : start + n - size + 1])
-            elif n:
-                yield grams(h[start : start + n], n) + U(n)
-            else:
-                yield np.zeros(0, np.uint64)
-
-
 def signatures(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     """A row of coordinates for each non-empty set."""
     points = mix(np.concatenate(sets) ^ _FIRST)
@@ -77,19 +53,10 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _vertex(values: np.ndarray) -> bytes:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-
-
-def _digest(text: Column) -> Column:
-    """What tells the texts of one id, or of null ids, apart."""
-    return F.unhex(F.md5(text.cast("binary")))
-
-
 def _sketch(docs: DataFrame, bands: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1)))
+            sets = list(shingle_sets(batch.column(1), SHINGLE))
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             for at in range(0, len(full), 256):
@@ -97,183 +64,23 @@ def _sketch(docs: DataFrame, bands: int) -> DataFrame:
                 for i, row in zip(some, band_keys(signatures([sets[i] for i in some], bands * ROWS)), strict=True):
                     keys[i] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_vertex(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(2).cast(pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([vertex_of(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "digest", "n_shingles", "vertex", "bands"],
             )
             del sets, keys
         tidy()
 
-    digested = docs.select("doc_id", "text", _digest(F.col("text")).alias("digest"))
+    digested = docs.select("doc_id", "text", text_digest(F.col("text")).alias("digest"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return digested.mapInArrow(run, f"doc_id {kind}, digest binary, n_shingles long, vertex binary, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """vertex and its set, of rows id, text, vertex whose text has that set."""
-
-    def run(batches):
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0)))
-            want = batch.column(1).to_pylist()
-            found = [(v, s.tobytes()) for v, s in zip(want, sets, strict=True) if len(s) and _vertex(s) == v]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], ["vertex", "members"])
-
-    return docs.select("text", "vertex").mapInArrow(run, "vertex binary, members binary")
-
-
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs u, v whose full sets are as similar as asked."""
-
-    def run(batches):
-        for batch in batches:
-            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
-            keep = pa.array([_linked(x, y, percent) for x, y in zip(a, b, strict=True)], pa.bool_())
-            yield batch.select(["u", "v"]).filter(keep)
-
-    left = sets.select(F.col("vertex").alias("u"), F.col("members").alias("a"))
-    right = sets.select(F.col("vertex").alias("v"), F.col("members").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
-
-
-@dataclass
-class Block:
-    """Some vertices of a bucket, in arrays that one binary value holds."""
-
-    vertex: np.ndarray  #: n x 2, as all that follow for vertices and roots: 16 bytes in two integers
-    root: np.ndarray
-    bands: np.ndarray  #: n x bands
-    sizes: np.ndarray
-    members: np.ndarray  #: all sets, one after the other
-
-    def pack(self) -> bytes:
-        head = np.array([len(self.sizes), self.bands.shape[1] if len(self.sizes) else 0], np.int64)
-        return b"".join(x.tobytes() for x in (head, self.vertex, self.root, self.bands, self.sizes, self.members))
-
-    @classmethod
-    def unpack(cls, data: bytes) -> Block:
-        words = np.frombuffer(data, np.uint64)
-        n, bands = words[:2].astype(np.int64)
-        a, b, c, d = (np.cumsum([2, 2 * n, 2 * n, bands * n])).astype(int)
-        e = d + n
-        return cls(words[a:b].reshape(n, 2), words[b:c].reshape(n, 2), words[c:d].view(np.int64).reshape(n, bands), words[d:e].view(np.int64), words[e:])
-
-    def sets(self, rows: np.ndarray) -> list[np.ndarray]:
-        ends = np.cumsum(self.sizes)
-        return [self.members[ends[i] - self.sizes[i] : ends[i]] for i in rows]
-
-    def only(self, rows: np.ndarray) -> Block:
-        sets = self.sets(rows)
-        return Block(self.vertex[rows], self.root[rows], self.bands[rows], self.sizes[rows], np.concatenate(sets) if sets else self.members[:0])
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """key, some, others and blocks of rows key, largest, a list of at most about BLOCK vertices, and the number of the
-    bucket's blocks."""
-
-    def run(batches):
-        for batch in batches:
-            keys, largest, lists = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            some, others = [], []
-            for i in range(batch.num_rows):
-                part = lists[i].values
-                column = lambda name: part.field(name).to_pylist()  # noqa: B023, E731
-                sets = column("members")
-                block = Block(
-                    *(np.frombuffer(b"".join(column(c)), np.uint64).reshape(-1, 2) for c in ("vertex", "root")),
-                    np.array(column("bands"), np.int64), np.array([len(x) // 8 for x in sets], np.int64), np.frombuffer(b"".join(sets), np.uint64),
-                )
-                outside = np.flatnonzero((block.root != np.frombuffer(largest[i], np.uint64)).any(axis=1))
-                some.append(block.only(outside).pack() if len(outside) else None)
-                others.append(block.pack())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(some, pa.binary()), pa.array(others, pa.binary()), batch.column(3)], ["key", "some", "others", "blocks"])
-
-    return rows.mapInArrow(run, "key long, some binary, others binary, blocks long")
-
-
-def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between classes from pairs of blocks: key, some (outside the largest class) and others."""
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple[bytes, bytes]] = []
-            for key, some, others in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                out += _join_blocks(key, Block.unpack(some), Block.unpack(others), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], ["u", "v"])
-
-    return blocks.mapInArrow(run, "u binary, v binary")
-
-
-def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
-    """How many values each of xs has in common with each of ys: products of 0/1 matrices over slices of the values."""
-    both = np.concatenate([*xs, *ys])
-    values, place = np.unique(both, return_inverse=True)
-    row = np.repeat(np.arange(len(xs) + len(ys)), [len(v) for v in (*xs, *ys)])
-    # a value that only one set holds is common to none
-    held = np.flatnonzero(np.bincount(place) > 1)
-    new = np.full(len(values), -1)
-    new[held] = np.arange(len(held))
-    place, row = new[place][new[place] >= 0], row[new[place] >= 0]
-    out = np.zeros((len(xs), len(ys)), np.float32)
-    for low in range(0, len(held), SLICE):
-        some = (place >= low) & (place < low + SLICE)
-        grid = np.zeros((len(xs) + len(ys), min(SLICE, len(held) - low)), np.float32)
-        grid[row[some], place[some] - low] = 1
-        out += grid[: len(xs)] @ grid[len(xs) :].T
-    return out.astype(np.int64)
-
-
-def _join_blocks(key: int, some: Block, others: Block, percent: int) -> list[tuple[bytes, bytes]]:
-    n, m = some.sizes, others.sizes
-    apart = (some.root[:, None, :] != others.root).any(axis=2)
-    i, j = np.nonzero(apart & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)))
-    # a pair that meets in several buckets is looked at in the first of them
-    first = (some.bands[i] == others.bands[j]).argmax(axis=1)
-    keep = some.bands[i, first] == key
-    i, j = i[keep], j[keep]
-    if not len(i):
-        return []
-    rows, r = np.unique(i, return_inverse=True)
-    cols, c = np.unique(j, return_inverse=True)
-    both = _common(some.sets(rows), others.sets(cols))[r, c]
-    good = 100 * both >= percent * (n[i] + m[j] - both)
-    parent: dict[bytes, bytes] = {}
-
-    def find(x: bytes) -> bytes:
-        while (up := parent.get(x, x)) != x:
-            x = up
-        return x
-
-    out = []
-    for k, o in zip(i[good].tolist(), j[good].tolist(), strict=True):
-        x, y = find(some.root[k].tobytes()), find(others.root[o].tobytes())
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((some.vertex[k].tobytes(), others.vertex[o].tobytes()))
-    return out
-
-
 def _classes(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, digest, n_shingles, n (rows of the same set) and first (unknown, id, digest: the row that its component leaves)."""
     rows = written(_sketch(docs, n_bands(percent / 100)), "minhash-rows")
-    row = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), "digest")
-    vertices = rows.where("n_shingles > 0").groupBy("vertex").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.min(row).alias("first"), F.count(F.lit(1)).alias("n"))
-    vertices = written(vertices, "minhash-vertices")
-    placed = vertices.select("vertex", "size", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(split_join(placed, shared, "key"), "minhash-members")
-    links = _links(docs, vertices, members, percent)
-    named = vertices.select("vertex", "first", "n")
-    if links is not None and not links.isEmpty():
-        roots = components(links).select(F.col("node").alias("vertex"), "root")
-        named = named.join(roots, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-        names = named.groupBy("root").agg(F.min("first").alias("name"))
-        named = split_join(named, names, "root").select("vertex", F.col("name").alias("first"), "n")
-    return rows.drop("bands").join(named, "vertex", "left")
+    vertices = written(vertices_of(rows, F.first("bands").alias("bands")), "minhash-vertices")
+    members = written(members_of(vertices.select("vertex", "size", F.explode("bands").alias("key"))), "minhash-members")
+    return named(rows.drop("bands"), vertices, confirmed_links(docs, vertices, members, percent, SHINGLE))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,39 +90,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: int) -> DataFrame | None:
-    """Confirmed links u, v that have the same components as all confirmed links of pairs in a bucket; None for none."""
-    central = members.groupBy("vertex").agg(F.sum("n").alias("met"))
-    ranked = split_join(members, central, "vertex")
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("met", "vertex")).alias("hub")).select("key", F.col("hub.vertex").alias("v"))
-    pairs = written(split_join(members, hubs, "key").where("vertex <> v").select(F.col("vertex").alias("u"), "v").distinct(), "minhash-pairs")
-    if pairs.isEmpty():
-        return None
-    wanted = vertices.join(members.select("vertex").distinct(), "vertex", "left_semi").select("vertex", F.col("least").alias("id"))
-    sets = written(_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")))).dropDuplicates(["vertex"]), "minhash-sets")
-    links = written(_confirmed(pairs, sets, percent), "minhash-links")
-    # what the comparison with the most central vertex left apart: classes so far are hubs and what links to them
-    up = links.groupBy(F.col("u").alias("vertex")).agg(F.min("v").alias("root"))
-    up = split_join(up, up.select(F.col("vertex").alias("root"), F.col("root").alias("next")), "root", "left").select("vertex", F.coalesce("next", "root").alias("root"))
-    rest = members.where("n > 2").select("key", "vertex", "size").join(up, "vertex", "left").withColumn("root", F.coalesce("root", "vertex"))
-    by_root = rest.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
-    several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), blocks.alias("blocks"), F.max_by("root", F.struct("n", "root")).alias("largest")).where("roots > 1").drop("roots")
-    apart = split_join(rest.drop("size"), several, "key").withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks"))
-    apart = apart.join(vertices.select("vertex", "bands"), "vertex").join(sets, "vertex")
-    listed = apart.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("vertex", "root", "bands", "members")).alias("list"))
-    blocks = written(_packed(listed.select("key", "largest", "list", "blocks")), "minhash-blocks")
-    asked = blocks.where("some IS NOT NULL")
-    if asked.isEmpty():
-        return links
-    more = _block_links(asked.where("blocks = 1").select("key", "some", "others"), percent)
-    large = blocks.where("blocks > 1")
-    if not large.isEmpty():
-        met = large.where("some IS NOT NULL").select("key", "some").join(large.select("key", "others"), "key")
-        more = more.unionByName(_block_links(met.select("key", "some", "others"), percent))
-    return links.unionByName(written(more.distinct(), "minhash-more"))
-
-
 def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows and columns, one row of each class.
 
@@ -327,7 +101,7 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
     wins = F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
     told = found.where(~wins | (F.col("n") > 1)).groupBy(F.col("doc_id").alias(id_), F.col("digest").alias(want)).agg(F.max(wins).alias(most), F.count(F.lit(1)).alias(rows))
     told = written(told.where(~F.col(most) | (F.col(rows) > 1)), "minhash-told")
-    marked = docs.withColumn(digest, _digest(F.col(text_col)))
+    marked = docs.withColumn(digest, text_digest(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(digest) == F.col(want))
     kept = marked.join(told, same, "left_anti")
     again = told.where(most)
@@ -337,14 +111,14 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "d
     return kept.select(docs.columns)
 
 
-def oracle(percent: int) -> str:
+def oracle(percent: int, words: int = SHINGLE, kept: bool = True) -> str:
     return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS g FROM w),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {words} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {words - 2}), lambda i: array_to_string(list_slice(ws, i, i + {words - 1}), ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= {percent} * (p.n + q.n - k)),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id{', d.doc_id = m.component_id AS kept' if kept else ''}
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) m USING (doc_id)
 """

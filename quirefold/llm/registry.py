@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quirefold.llm import bpe, chat, exact_dedup, media, merkle, minhash, mixing, quality, spelling, substrings, token_files, toxicity
+from quirefold.llm import bpe, chat, exact_dedup, media, merkle, minhash, mixing, ngram_join, quality, spelling, substrings, token_files, toxicity
 from quirefold.llm.common import table
 
 
@@ -72,10 +72,14 @@ def _op12(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"), merkle.every_seventh())
 
 
+def _op13(spark, sf_dir):
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict:
-    return {"op1_minhash": _op1, "op2_chat": _op2, "chat_rendered": _rendered, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "op11_spelling": _op11, "op12_merkle": _op12, "pipeline": corpus_pipeline.run}
+    return {"op1_minhash": _op1, "op2_chat": _op2, "chat_rendered": _rendered, "op3_mixing": _op3, "op4_quality": _op4, "op5_bpe": _op5, "op6_toxicity": _op6, "op7_substrings": _op7, "op8_token_files": _op8, "op9_exact_dedup": _op9, "op10_media": _op10, "op11_spelling": _op11, "op12_merkle": _op12, "op13_ngram_join": _op13, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return pipeline | {"op1_minhash": minhash.oracle(85), "op7_substrings": substrings.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE}
+    return pipeline | {"op1_minhash": minhash.oracle(85), "op7_substrings": substrings.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE, "op11_spelling": spelling.ORACLE, "op12_merkle": merkle.ORACLE, "op13_ngram_join": minhash.oracle(85, ngram_join.WORDS, kept=False)}

@@ -37,7 +37,7 @@ from quirefold.llm.words import U, mix
 
 MODULUS, LETTERS, LEAST = 97, 5, 3
 #: Words of one half that a block holds; letters that a task holds; questions that are followed at once; words tallied at once.
-BLOCK, TASK, ASKED, TALLY = 1 << 16, 4 << 20, 1 << 12, 1 << 18
+BLOCK, TASK, ASKED, TALLY = 1 << 16, 4 << 20, 1 << 12, 1 << 16
 _PIECE = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True

@@ -1,4 +1,4 @@
-"""Operator 6: toxicity by class-conditional Kneser-Ney models.
+"""Operator 6: toxicity by class-conditional Kneser-Ney models, compared over a text's `TOP` most telling words.
 
 Two models, one of toxic and one of ordinary text, spell every word as a path from the root: its first `PREFIXES[0]`
 letters, its first `PREFIXES[1]`, the whole word. A unit's probability under its parent is
@@ -17,7 +17,8 @@ it. One logistic curve, fitted on a fifth of the sample that the counts leave ou
 ordinary row weighs 1 / `COST` of a toxic one there. (Pairs of words enter as contexts only. A level of pairs above the
 words was measured and lowers the held-out ranking: it remembers ordinary sentences of few toxic texts.)
 
-The sample is at most `MAX_ROWS` labelled rows and `MAX_BYTES` bytes of text, the first in hash order, equal texts once.
+The sample is at most `MAX_ROWS` labelled rows, the first in hash order, and `MAX_BYTES` bytes of text (a text that doesn't
+fit costs only itself); equal texts are one, toxic if any of them is.
 The model holds units with more than D contexts in a class; all others have exactly the backed-off probability, so they
 need no entry. It is bounded by the sample, whatever the size of the corpus; the shared counts are a written table that
 grows with the corpus, of which the model's units are looked up.
@@ -258,8 +259,8 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    rows = training_rows(docs, labels, "toxic", max_rows, id_col, text_col, max_bytes).withColumn("t", F.xxhash64("text"))
-    rows = written(rows.dropDuplicates(["t"]).drop("t"), "toxic-sample")
+    rows = training_rows(docs, labels, "toxic", max_rows, id_col, text_col, max_bytes)
+    rows = written(rows.groupBy("text").agg(F.max("y").alias("y"), F.min("h").alias("h")), "toxic-sample")
     tally = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     toxic, total = tally.get(1, 0), sum(tally.values())
     if not toxic or toxic == total:

@@ -59,12 +59,29 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _hashed(name: str, kind: T.DataType) -> list[Column]:
-    column = F.col(f"`{name}`")
-    return [column.isNull(), column if not isinstance(kind, (T.MapType, T.VariantType, T.ArrayType, T.StructType)) else F.to_json(F.struct(column))]
+def _hash(value: Column, kind: T.DataType) -> Column:
+    """A 64-bit hash of a value of any type. Nested values are walked part by part, so that a null, an order or a fraction
+    of a second is never lost on the way."""
+    null = value.isNull()
+    if isinstance(kind, T.StructType):
+        return F.xxhash64(null, *(_hash(value.getField(f.name), f.dataType) for f in kind)) if len(kind) else F.xxhash64(null)
+    if isinstance(kind, T.ArrayType):
+        parts = F.transform(value, lambda x: _hash(x, kind.elementType))
+        return F.xxhash64(null, F.aggregate(parts, F.size(value).cast("long"), lambda acc, x: F.xxhash64(acc, x)))
+    if isinstance(kind, T.MapType):  # a map's entries have no order
+        parts = F.array_sort(F.transform(F.map_entries(value), lambda e: F.xxhash64(_hash(e["key"], kind.keyType), _hash(e["value"], kind.valueType))))
+        return F.xxhash64(null, F.aggregate(parts, F.size(value).cast("long"), lambda acc, x: F.xxhash64(acc, x)))
+    if isinstance(kind, T.VariantType):
+        return F.xxhash64(null, F.schema_of_variant(value), F.to_json(value))
+    if isinstance(kind, T.StringType):  # its bytes, whatever its collation holds equal
+        return F.xxhash64(null, value.cast("binary"))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):  # tells 0.0 from -0.0
+        return F.xxhash64(null, value.cast("string"))
+    return F.xxhash64(null, value)
 
 
 def row_digest(df: DataFrame, *seeds: int) -> Column:
     """A 64-bit hash of all fields of a row. A null is told from every value, and from a null of another column."""
-    fields = [part for field in df.schema for part in _hashed(field.name, field.dataType)]
+    quoted = (f"`{field.name.replace('`', '``')}`" for field in df.schema)
+    fields = [_hash(F.col(name), field.dataType) for name, field in zip(quoted, df.schema, strict=True)]
     return F.xxhash64(*(F.lit(seed) for seed in seeds), *fields)

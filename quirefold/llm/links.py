@@ -5,7 +5,8 @@ its buckets' most central ones (those that share most buckets with others: the o
 holds vertices that this left apart, those outside its largest class are compared with all others of the bucket in blocks
 of `BLOCK` against `BLOCK` vertices (fewer where their sets are long: a block has about `BLOCK_BYTES`), and only links that
 join two classes leave a block pair. Buckets with the same vertices are one there, and a pair that meets in several is
-looked at in the first. So the result has every component that the confirmed links of all bucket pairs would give, while
+looked at in the first. Blocks are first made of bitmaps, a sixteenth of the sets: each element flips a bit, so two bitmaps differ in no
+more bits than the sets differ in elements, and what has no partner within that bound needs no set. So the result has every component that the confirmed links of all bucket pairs would give, while
 buckets of near-copies cost about one comparison a vertex and no task gathers a bucket.
 """
 
@@ -42,6 +43,14 @@ def shingle_sets(column: pa.Array, size: int):
                 yield np.zeros(0, np.uint64)
 
 
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, four bits to eight an element: every element flips the one that its hash names. Sets of another length
+    range have bitmaps of half or twice the width; a wide one folds into a narrow one."""
+    bits = max(4 << (len(values) - 1).bit_length(), 64) if len(values) else 64
+    flips = np.bincount((values & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def vertex_of(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
@@ -76,19 +85,20 @@ def named(rows: DataFrame, vertices: DataFrame, links: DataFrame | None) -> Data
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """vertex and members, the set, of each of wanted (vertex, id, digest: a row of docs that has it).
+    """vertex, members (the set) and bitmap of each of wanted (vertex, id, digest: a row of docs that has it).
 
     A row is found by its id and its text's digest, so that rows that share an id, or have none, meet their own vertex only.
     """
 
     def run(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(0), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.binary()), pa.array(sets, pa.binary())], ["vertex", "members"])
+            sets = list(shingle_sets(batch.column(0), size))
+            columns = (pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.binary()), *columns], ["vertex", "members", "bitmap"])
 
     known = docs.select("doc_id", "text", text_digest(F.col("text")).alias("own"))
     found = known.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
-    return found.select("text", "vertex").mapInArrow(run, "vertex binary, members binary").dropDuplicates(["vertex"])
+    return found.select("text", "vertex").mapInArrow(run, "vertex binary, members binary, bitmap binary").dropDuplicates(["vertex"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -118,26 +128,27 @@ class Block:
     root: np.ndarray
     met: np.ndarray  #: how many keys each has
     sizes: np.ndarray
+    lens: np.ndarray  #: words of each one's members
     keys: np.ndarray  #: all keys, one vertex after the other
-    members: np.ndarray  #: all sets
+    members: np.ndarray  #: all sets, or all bitmaps
 
     def pack(self) -> bytes:
         head = np.array([len(self.sizes), len(self.keys)], np.int64)
-        return b"".join(x.tobytes() for x in (head, self.vertex, self.root, self.met, self.sizes, self.keys, self.members))
+        return b"".join(x.tobytes() for x in (head, self.vertex, self.root, self.met, self.sizes, self.lens, self.keys, self.members))
 
     @classmethod
     def unpack(cls, data: bytes) -> Block:
         words = np.frombuffer(data, np.uint64)
         n, keys = words[:2].astype(np.int64)
-        a, b, c, d, e, f = np.cumsum([2, 2 * n, 2 * n, n, n, keys]).astype(int)
-        return cls(words[a:b].reshape(n, 2), words[b:c].reshape(n, 2), words[c:d].view(np.int64), words[d:e].view(np.int64), words[e:f].view(np.int64), words[f:])
+        a, b, c, d, e, f, g = np.cumsum([2, 2 * n, 2 * n, n, n, n, keys]).astype(int)
+        return cls(words[a:b].reshape(n, 2), words[b:c].reshape(n, 2), *(words[x:y].view(np.int64) for x, y in ((c, d), (d, e), (e, f), (f, g))), words[g:])
 
     def _cut(self, values: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
         ends = np.cumsum(sizes)
         return [values[ends[i] - sizes[i] : ends[i]] for i in rows]
 
     def sets(self, rows: np.ndarray) -> list[np.ndarray]:
-        return self._cut(self.members, self.sizes, rows)
+        return self._cut(self.members, self.lens, rows)
 
     def keys_of(self, rows: np.ndarray) -> list[np.ndarray]:
         return self._cut(self.keys, self.met, rows)
@@ -145,7 +156,7 @@ class Block:
     def only(self, rows: np.ndarray) -> Block:
         sets, keys = self.sets(rows), self.keys_of(rows)
         joined = lambda parts, like: np.concatenate(parts) if parts else like[:0]
-        return Block(self.vertex[rows], self.root[rows], self.met[rows], self.sizes[rows], joined(keys, self.keys), joined(sets, self.members))
+        return Block(self.vertex[rows], self.root[rows], self.met[rows], self.sizes[rows], self.lens[rows], joined(keys, self.keys), joined(sets, self.members))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -159,11 +170,11 @@ def _packed(rows: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 part = lists[i].values
                 column = lambda name: part.field(name).to_pylist()  # noqa: B023, E731
-                sets, met = column("members"), column("keys")
+                members, met = column("members"), column("keys")
                 block = Block(
                     *(np.frombuffer(b"".join(column(c)), np.uint64).reshape(-1, 2) for c in ("vertex", "root")),
-                    np.array([len(k) for k in met], np.int64), np.array([len(x) // 8 for x in sets], np.int64),
-                    np.array([k for ks in met for k in ks], np.int64), np.frombuffer(b"".join(sets), np.uint64),
+                    np.array([len(k) for k in met], np.int64), np.array(column("size"), np.int64), np.array([len(x) // 8 for x in members], np.int64),
+                    np.array([k for ks in met for k in ks], np.int64), np.frombuffer(b"".join(members), np.uint64),
                 )
                 outside = np.flatnonzero((block.root != np.frombuffer(largest[i], np.uint64)).any(axis=1))
                 some.append(block.only(outside).pack() if len(outside) else None)
@@ -173,8 +184,73 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, some binary, others binary, blocks long")
 
 
-def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links between classes from pairs of blocks: key, some (outside the largest class) and others."""
+def _met(apart: DataFrame, payload: DataFrame) -> DataFrame:
+    """key, some (outside the largest class) and others: the pairs of blocks of each bucket, with the payload (vertex, members)."""
+    keys = apart.groupBy("vertex").agg(F.collect_list("key").alias("keys"))
+    listed = apart.withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks")).join(keys, "vertex").join(payload, "vertex")
+    listed = listed.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.collect_list(F.struct("vertex", "root", "size", "keys", "members")).alias("list"), F.first("blocks").alias("blocks"))
+    blocks = written(_packed(listed.select("key", "largest", "list", "blocks")), "links-blocks")
+    met = blocks.where("blocks = 1 AND some IS NOT NULL").select("key", "some", "others")
+    large = blocks.where("blocks > 1")
+    if large.isEmpty():
+        return met
+    return met.unionByName(large.where("some IS NOT NULL").select("key", "some").join(large.select("key", "others"), "key"))
+
+
+def _first_met(key: int, some: Block, others: Block, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unlike classes whose sizes allow a link, and that meet in no bucket before this one."""
+    n, m = some.sizes, others.sizes
+    apart = (some.root[:, None, :] != others.root).any(axis=2)
+    i, j = np.nonzero(apart & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)))
+    if len(i):
+        rows, r = np.unique(i, return_inverse=True)
+        cols, c = np.unique(j, return_inverse=True)
+        before = _common([k[k < key] for k in some.keys_of(rows)], [k[k < key] for k in others.keys_of(cols)])[r, c]
+        i, j = i[before == 0], j[before == 0]
+    return i, j
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    while len(words) > width:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
+def _possible(key: int, some: Block, others: Block, percent: int) -> set[bytes]:
+    """The vertices of two blocks of bitmaps that may have a link to another class."""
+    i, j = _first_met(key, some, others, percent)
+    out: set[bytes] = set()
+    width = np.minimum(some.lens[i], others.lens[j])
+    for w in np.unique(width).tolist():
+        a, b = i[width == w], j[width == w]
+        rows, r = np.unique(a, return_inverse=True)
+        cols, c = np.unique(b, return_inverse=True)
+        x, y = np.array([_folded(v, w) for v in some.sets(rows)]), np.array([_folded(v, w) for v in others.sets(cols)])
+        step = max(1, (1 << 20) // w)
+        for low in range(0, len(a), step):
+            s = slice(low, low + step)
+            unlike = np.bitwise_count(x[r[s]] ^ y[c[s]]).sum(axis=1, dtype=np.int64)
+            total = some.sizes[a[s]] + others.sizes[b[s]]
+            good = 100 * (total - unlike) >= percent * (total + unlike)
+            out.update(some.vertex[k].tobytes() for k in np.unique(a[s][good]).tolist())
+            out.update(others.vertex[o].tobytes() for o in np.unique(b[s][good]).tolist())
+    return out
+
+
+def _possible_links(met: DataFrame, percent: int) -> DataFrame:
+    """key, vertex of what its blocks' bitmaps leave."""
+
+    def run(batches):
+        for batch in batches:
+            for key, some, others in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                left = sorted(_possible(key, Block.unpack(some), Block.unpack(others), percent))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(left), pa.int64()), pa.array(left, pa.binary())], ["key", "vertex"])
+
+    return met.mapInArrow(run, "key long, vertex binary").distinct()
+
+
+def _block_links(met: DataFrame, percent: int) -> DataFrame:
+    """Links between classes from pairs of blocks of sets."""
 
     def run(batches):
         for batch in batches:
@@ -183,7 +259,7 @@ def _block_links(blocks: DataFrame, percent: int) -> DataFrame:
                 out += _join_blocks(key, Block.unpack(some), Block.unpack(others), percent)
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], ["u", "v"])
 
-    return blocks.mapInArrow(run, "u binary, v binary")
+    return met.mapInArrow(run, "u binary, v binary").distinct()
 
 
 def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -206,22 +282,13 @@ def _common(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
 
 
 def _join_blocks(key: int, some: Block, others: Block, percent: int) -> list[tuple[bytes, bytes]]:
-    n, m = some.sizes, others.sizes
-    apart = (some.root[:, None, :] != others.root).any(axis=2)
-    i, j = np.nonzero(apart & (100 * np.minimum(n[:, None], m) >= percent * np.maximum(n[:, None], m)))
-    if not len(i):
-        return []
-    rows, r = np.unique(i, return_inverse=True)
-    cols, c = np.unique(j, return_inverse=True)
-    # a pair that meets in several buckets is looked at in the first of them
-    before = _common([k[k < key] for k in some.keys_of(rows)], [k[k < key] for k in others.keys_of(cols)])[r, c]
-    i, j = i[before == 0], j[before == 0]
+    i, j = _first_met(key, some, others, percent)
     if not len(i):
         return []
     rows, r = np.unique(i, return_inverse=True)
     cols, c = np.unique(j, return_inverse=True)
     both = _common(some.sets(rows), others.sets(cols))[r, c]
-    good = 100 * both >= percent * (n[i] + m[j] - both)
+    good = 100 * both >= percent * (some.sizes[i] + others.sizes[j] - both)
     parent: dict[bytes, bytes] = {}
 
     def find(x: bytes) -> bytes:
@@ -250,7 +317,7 @@ def _left_apart(members: DataFrame, links: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") * 8 / BLOCK_BYTES)).cast("long")
     several = by_root.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), blocks.alias("blocks"), F.max_by("root", F.struct("n", "root")).alias("largest"), F.sum("n").alias("n"), F.sum("c1").alias("c1"), F.sum("c2").alias("c2")).where("roots > 1")
     one = several.groupBy("n", "c1", "c2").agg(F.min(F.struct("key", "blocks", "largest")).alias("one")).select("one.*")
-    return written(split_join(rest.drop("size"), one, "key"), "links-apart")
+    return written(split_join(rest, one, "key"), "links-apart")
 
 
 def confirmed_links(docs: DataFrame, vertices: DataFrame, members: DataFrame, percent: int, size: int) -> DataFrame | None:
@@ -268,16 +335,8 @@ def confirmed_links(docs: DataFrame, vertices: DataFrame, members: DataFrame, pe
     sets = written(sets_of(docs, wanted, size), "links-sets")
     links = written(confirmed(pairs, sets, percent), "links-first")
     apart = _left_apart(members, links)
-    keys = apart.groupBy("vertex").agg(F.collect_list("key").alias("keys"))
-    listed = apart.withColumn("block", F.pmod(F.xxhash64("vertex"), "blocks")).join(keys, "vertex").join(sets, "vertex")
-    listed = listed.groupBy("key", "block").agg(F.first("largest").alias("largest"), F.first("blocks").alias("blocks"), F.collect_list(F.struct("vertex", "root", "keys", "members")).alias("list"))
-    blocks = written(_packed(listed.select("key", "largest", "list", "blocks")), "links-blocks")
-    asked = blocks.where("some IS NOT NULL")
-    if asked.isEmpty():
+    possible = written(_possible_links(_met(apart, sets.select("vertex", F.col("bitmap").alias("members"))), percent), "links-possible")
+    if possible.isEmpty():
         return links
-    more = _block_links(asked.where("blocks = 1").select("key", "some", "others"), percent)
-    large = blocks.where("blocks > 1")
-    if not large.isEmpty():
-        met = large.where("some IS NOT NULL").select("key", "some").join(large.select("key", "others"), "key")
-        more = more.unionByName(_block_links(met.select("key", "some", "others"), percent))
-    return links.unionByName(written(more.distinct(), "links-more"))
+    more = _block_links(_met(apart.join(possible, ["key", "vertex"], "left_semi"), sets.select("vertex", "members")), percent)
+    return links.unionByName(written(more, "links-more"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from quirefold.plans.registry import query, read
 from quirefold.session import shared_folder
 from quirefold.sources.files import suffix
-from quirefold.streaming import watch
+from quirefold.streaming import gate, watch
+from quirefold.streaming.ledger import Ledger
 
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -40,7 +41,27 @@ def watched_inbox(spark, sf_dir):
         return [f"{len(c.decode().splitlines())} lines" for c in contents]
 
     for run in (1, 2):
-        watch.watch(arrived, transcribe, f"{root}/done", f"{root}/failed", f"{root}/checkpoint-{run}", once=True, delay=0.0).awaitTermination()
+        watch.watch(arrived, transcribe, f"{root}/done", f"{root}/checkpoint-{run}", once=True, delay=0.0).awaitTermination()
     source = F.regexp_extract("path", r"source=(src\d+)", 1).alias("source")
-    done = spark.read.parquet(f"{root}/done").select(source, "text", F.lit(False).alias("failed"))
-    return done.unionByName(spark.read.parquet(f"{root}/failed").select(source, F.lit(None).cast("string").alias("text"), F.lit(True).alias("failed")))
+    return watch.results(spark, f"{root}/done").select(source, "text", "failed")
+
+
+@query("""
+WITH s AS (SELECT user_id, event_id, floor(value / 40)::BIGINT AS size, lag(floor(value / 40)) OVER w AS one, lag(floor(value / 40), 2) OVER w AS two
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id AS key, min(event_id) AS at, arg_min(size, event_id) AS size FROM s WHERE size = one AND size = two GROUP BY user_id
+""")
+def settled_sizes(spark, sf_dir):
+    """Every user a file, whose events are looks at its size: the first look that finds it as the two before did. The events
+    arrive in four slices, and state carries each user from one run to the next."""
+    root = f"{shared_folder(spark)}/looks-{uuid.uuid4().hex}"
+    looks = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("at"), F.floor(F.col("value") / 40).alias("size"))
+    low, high = looks.agg(F.min("at"), F.max("at")).first()
+    log = Ledger(spark, f"{root}/out", "key long, at long, size long")
+    for k in range(4):
+        slice_ = F.floor((F.col("at") - F.lit(low)) * 4 / (F.lit(high) - F.lit(low) + 1)) == k
+        looks.where(slice_).write.mode("append").parquet(f"{root}/in")
+        out = gate.settled_sightings(spark.readStream.schema(looks.schema).parquet(f"{root}/in"))
+        add = out.writeStream.foreachBatch(lambda df, n: log.write(df, str(n))).option("checkpointLocation", f"{root}/checkpoint")
+        add.trigger(availableNow=True).start().awaitTermination()
+    return log.read().drop("batch")

@@ -22,7 +22,7 @@ def append_rows(df: DataFrame, path: str, columns: tuple[str, ...] = ("failinimi
     df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns)).write.mode("append").parquet(path)
 
 
-def _move(spark: SparkSession, old: str, new: str) -> bool:
+def move(spark: SparkSession, old: str, new: str) -> bool:
     """Renames old where it exists; a rename that the store refuses is an error, nothing is deleted for it."""
     jvm = spark.sparkContext._jvm
     a, b = jvm.org.apache.hadoop.fs.Path(old), jvm.org.apache.hadoop.fs.Path(new)
@@ -50,18 +50,18 @@ def replace_with_backup(df: DataFrame, path: str) -> None:
     path, spark = path.rstrip("/"), df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.tmp")
     _delete(spark, f"{path}.bak.old")
-    _move(spark, f"{path}.bak", f"{path}.bak.old")
-    had = _move(spark, path, f"{path}.bak")
+    move(spark, f"{path}.bak", f"{path}.bak.old")
+    had = move(spark, path, f"{path}.bak")
     try:
-        _move(spark, f"{path}.tmp", path)
+        move(spark, f"{path}.tmp", path)
     except Exception:
         if had:
-            _move(spark, f"{path}.bak", path)
+            move(spark, f"{path}.bak", path)
         raise
     if had:
         _delete(spark, f"{path}.bak.old")
     else:
-        _move(spark, f"{path}.bak.old", f"{path}.bak")
+        move(spark, f"{path}.bak.old", f"{path}.bak")
 
 
 def beside(path: Column) -> Column:

@@ -1,8 +1,14 @@
-"""The inbox watcher: new images are transcribed once, failures are set aside, restarts repeat nothing that is done."""
+"""The inbox watcher: new images are transcribed once, failures are set aside, restarts repeat nothing that is done.
+
+A batch's results, failures included, are one batch of a ledger, which commits them before anything else is told of them;
+the keys of what is done and the texts beside the images follow from the committed rows, and are made up for where a
+failure came between. So a failure at any point costs neither a page nor a second row of it.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -14,39 +20,20 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from quirefold.sources.files import IMAGES, suffix
 from quirefold.sources.sinks import beside, write_page_texts
+from quirefold.streaming.ledger import Ledger
 
 Transcribe = Callable[[list[bytes], list[str]], list[str]]
+RESULTS = "path string, text string, failed boolean"
 
 
 def arrivals(spark: SparkSession, folder: str, per_batch: int = 4) -> DataFrame:
-    """New images below a folder, a few files a trigger. Files must be moved in whole (write elsewhere, then rename)."""
+    """New images below a folder, a few files a trigger. Files must be moved in whole (write elsewhere, then rename); those
+    that aren't go through `gate.settled_files` first."""
     read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     read = read.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch)
     return read.load(folder).where(suffix(F.col("path")).isin(list(IMAGES)))
 
 
-def settled(spark: SparkSession, paths: list[str], every: float, looks: int = 2, patience: float = 3600.0) -> list[str]:
-    """Waits until the sizes of a trigger's files are the same `looks` times in a row; gives those that settled and exist.
-
-    A trigger has a few files at most. A file that still grows after `patience` seconds is left out.
-    """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def size(path: str) -> int | None:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        store = at.getFileSystem(conf)
-        return store.getFileStatus(at).getLen() if store.exists(at) else None
-
-    sizes, same, until = {p: size(p) for p in paths}, dict.fromkeys(paths, 0), time.monotonic() + patience
-    while (open_ := [p for p in paths if same[p] < looks and sizes[p] is not None]) and time.monotonic() < until:
-        time.sleep(every)
-        for p in open_:
-            now = size(p)
-            same[p] = same[p] + 1 if now == sizes[p] else 0
-            sizes[p] = now
-    return [p for p in paths if sizes[p] is not None and same[p] >= looks]
-
-
 class Keys:
     """Which paths are done: an empty file each, named by a hash, so that asking costs one look a path, however many there
     are."""
@@ -106,43 +93,59 @@ def transcribed(pages: DataFrame, transcribe: Transcribe, kind: str = "kind", re
     return pages.repartition(parts, kind, slice_).mapInPandas(run, "path string, text string, failed boolean")
 
 
+def results(spark: SparkSession, out: str) -> DataFrame:
+    """path, text, failed of every page that is done, and its batch."""
+    return Ledger(spark, out, RESULTS).read()
+
+
 def watch(
-    pages: DataFrame, transcribe: Transcribe, done: str, failed: str, checkpoint: str,
-    kind: str = "kind", once: bool = False, every: str = "5 seconds", delay: float = 5.0, settle: float | None = None, sidecars: bool = False,
+    pages: DataFrame, transcribe: Transcribe, out: str, checkpoint: str,
+    kind: str = "kind", once: bool = False, every: str = "5 seconds", delay: float = 5.0, sidecars: bool = False,
 ) -> StreamingQuery:
-    """Starts the watcher. Results and failures are Parquet tables; what is in either isn't done again, nor - with sidecars -
-    what has a .txt beside it, where each result is then written too.
+    """Starts the watcher; `results` reads what it has done, failures too. What is there isn't done again, nor - with
+    sidecars - what has a .txt beside it, where each result is then written too.
 
-    `settle`: seconds between looks at the sizes of a trigger's files, which are waited for; None where files are moved in
-    whole. A trigger asks for its own few paths only (`maxFilesPerTrigger`); earlier results are never read.
+    Pages without content (of `gate.settled_files`) are read when their batch is due. A trigger asks for its own few paths
+    only (`maxFilesPerTrigger`); earlier results are never read.
     """
+    spark = pages.sparkSession
+    log, known = Ledger(spark, out, RESULTS), Keys(spark, f"{out.rstrip('/')}/keys")
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
-        known = Keys(spark, f"{done.rstrip('/')}.keys")
-        paths = [r.path for r in df.select("path").distinct().collect() if r.path not in known]
+    def finish(name: str) -> None:
+        """All that follows from a committed batch; each part can be done again."""
+        rows = log.read(name)
         if sidecars:
-            paths = [p for p in paths if not _exists(spark, re.sub(r"\.[^./]*$", "", p) + ".txt")]
-        if settle is not None:
-            paths = settled(spark, paths, settle)
-        if not paths:
-            return
-        found = transcribed(df.where(F.col("path").isin(paths)), transcribe, kind, delay=delay).persist()
-        try:
-            good = found.where("NOT failed").select("path", "text")
-            good.write.mode("append").parquet(done)
-            found.where("failed").select("path").write.mode("append").parquet(failed)
+            write_page_texts(rows.where("NOT failed").withColumn("to", beside(F.col("path"))), name="to")
+        for row in rows.select("path").collect():  # a trigger's few paths
+            known.add(row.path)
+        log.end(name)
+
+    def batch(df: DataFrame, number: int) -> None:
+        name = f"{_query_id(spark, checkpoint)}-{number}"
+        if not log.committed(name):
+            paths = [r.path for r in df.select("path").distinct().collect() if r.path not in known]
             if sidecars:
-                write_page_texts(good.withColumn("to", beside(F.col("path"))), name="to")
-        finally:
-            found.unpersist()
-        for path in paths:
-            known.add(path)
-
+                paths = [p for p in paths if not _exists(spark, re.sub(r"\.[^./]*$", "", p) + ".txt")]
+            if not paths:
+                return
+            due = df.where(F.col("path").isin(paths)).dropDuplicates(["path"])
+            if "content" not in df.columns:
+                due = due.join(df.sparkSession.read.format("binaryFile").load(paths).select("path", "content"), "path")
+            log.begin(name)
+            log.write(transcribed(due, transcribe, kind, delay=delay), name)
+        finish(name)
+
+    for name in log.unended():
+        finish(name) if log.committed(name) else log.end(name)
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a checkpoint gives its query: batch numbers count from nought in each."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value)["id"]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -173,14 +176,20 @@ class Heartbeat(StreamingQueryListener):
 
 
 def latest_state(spark: SparkSession, folder: str, schema: str, key: str, order: str, checkpoint: str, table: str) -> DataFrame:
-    """Replays a folder of Parquet files as a stream into a table of the last row of each key, until all is read."""
+    """Replays a folder of Parquet files as a stream until all is read: key, n (rows) and the last row of each key.
+
+    A batch adds the keys it has changed to a ledger, and no others; the reader takes the newest of each key.
+    """
     stream = spark.readStream.schema(schema).parquet(folder)
     rest = [f.name for f in stream.schema if f.name != key]
     last = stream.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(order, *[c for c in rest if c != order])).alias("last"))
+    changed = last.select(key, "n", "last.*")
+    log = Ledger(spark, table, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changed.schema))
 
-    def put(df: DataFrame, _: int) -> None:
-        df.select(key, "n", "last.*").write.mode("overwrite").parquet(table)
+    def put(df: DataFrame, number: int) -> None:
+        log.write(df, f"{_query_id(spark, checkpoint)}-{number}")
 
-    query = last.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(table)
+    found = log.read()
+    return found.groupBy(key).agg(F.max_by(F.struct(*(c for c in found.columns if c not in (key, "batch"))), "n").alias("row")).select(key, "row.*")

@@ -37,7 +37,7 @@ def test_corpus_round_trip_and_replacement(spark, tmp_path):
 
 
 def test_a_failed_replacement_leaves_the_live_table(spark, tmp_path, monkeypatch):
-    df, live, real = spark.range(3), str(tmp_path / "live"), sinks._move
+    df, live, real = spark.range(3), str(tmp_path / "live"), sinks.move
     sinks.replace_with_backup(df, live)
     sinks.replace_with_backup(df.limit(2), live)
 
@@ -46,7 +46,7 @@ def test_a_failed_replacement_leaves_the_live_table(spark, tmp_path, monkeypatch
             raise OSError("refused")
         return real(session, old, new)
 
-    monkeypatch.setattr(sinks, "_move", failing)
+    monkeypatch.setattr(sinks, "move", failing)
     with pytest.raises(OSError):
         sinks.replace_with_backup(df.limit(1), live)
     assert spark.read.parquet(live).count() == 2
@@ -55,36 +55,6 @@ def test_a_failed_replacement_leaves_the_live_table(spark, tmp_path, monkeypatch
     assert spark.read.parquet(live).count() == 1 and spark.read.parquet(live + ".bak").count() == 2
 
 
-def test_sidecars_and_settling(spark, tmp_path):
-    inbox = tmp_path / "in"
-    inbox.mkdir()
-    for name, body in (("a.jpg", b"one"), ("b.png", b"two"), ("b.txt", b"done"), ("c.jpg", b"-")):
-        (inbox / name).write_bytes(body)
-    pages = watch.arrivals(spark, str(inbox), 4).withColumn("kind", F.lit("print"))
-    watch.watch(pages, lambda contents, kinds: [c.decode().upper().strip("-") for c in contents], str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / "c"), once=True, delay=0.0, settle=0.05, sidecars=True).awaitTermination()
-    assert {p.name: p.read_text() for p in inbox.glob("*.txt")} == {"a.txt": "ONE", "b.txt": "done", "c.txt": ""}
-    growing = inbox / "big.jpg"
-    growing.write_bytes(b"x")
-    looks = []
-
-    def grow(seconds):
-        looks.append(seconds)
-        if len(looks) < 3:
-            growing.write_bytes(b"x" * (len(looks) + 1))
-
-    path = f"file://{growing}"
-    real, watch.time.sleep = watch.time.sleep, grow
-    try:
-        assert watch.settled(spark, [path, f"file://{inbox}/gone.jpg"], 0.01) == [path] and len(looks) == 4
-        looks.clear()
-        assert watch.settled(spark, [path], 0.01, patience=-1.0) == []
-    finally:
-        watch.time.sleep = real
-    many = spark.range(40).select(F.concat(F.lit("p"), "id").alias("path"), F.lit(bytearray(b"x")).alias("content"), F.lit("print").alias("kind"))
-    shared = watch.transcribed(many, lambda contents, kinds: ["ok"] * len(contents), delay=0.0)
-    assert shared.count() == 40 and shared.select(F.spark_partition_id().alias("p")).distinct().count() > 1
-
-
 def test_ranges_paths_images(spark):
     assert [r.page for r in tables.number_range(spark, "00098..00101").collect()] == ["00098", "00099", "00100", "00101"] and tables.number_range(spark, "7").first().page == "00007"
     rows = spark.createDataFrame([((bytearray(b"x"), "p"),), ((bytearray(b""), "p"),), (None,)], "image struct<bytes: binary, path: string>")
@@ -146,36 +116,6 @@ def test_tar_members(spark, tmp_path):
     assert read("").count() == 6 and {bytes(r.content) for r in read(".xml").collect()} == {b"abc"}
 
 
-def test_watcher(spark, tmp_path):
-    inbox = tmp_path / "in"
-    inbox.mkdir()
-    put = lambda name, body: (inbox / name).write_bytes(body)
-    put("a.jpg", b"one"), put("b.png", b"bad"), put("c.jpg", b"two"), put("d.txt", b"no image")
-    calls = []
-
-    def transcribe(contents, kinds):
-        if b"bad" in contents:
-            raise ValueError("unreadable")
-        return [c.decode().upper() for c in contents]
-
-    def once(checkpoint):
-        pages = watch.arrivals(spark, str(inbox), 2).withColumn("kind", F.lit("print"))
-        watch.watch(pages, transcribe, str(tmp_path / "done"), str(tmp_path / "failed"), str(tmp_path / checkpoint), once=True, delay=0.0).awaitTermination()
-
-    heart = watch.Heartbeat(calls.append, 0.0)
-    spark.streams.addListener(heart)
-    once("c1")
-    time.sleep(0.05)
-    put("e.jpg", b"three")
-    once("c1")
-    once("c2")  # a fresh checkpoint sees all files again; what is done isn't repeated
-    spark.streams.removeListener(heart)
-    assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "done")).collect()) == ["ONE", "THREE", "TWO"]
-    assert [r.path.rsplit("/", 1)[1] for r in spark.read.parquet(str(tmp_path / "failed")).collect()] == ["b.png"]
-    now, before = (spark.createDataFrame(x, "path string, length long") for x in ([("a", 3), ("b", 4)], [("a", 3), ("b", 2)]))
-    assert [r.path for r in watch.stable(now, before).collect()] == ["a"]
-
-
 def test_retries(spark, tmp_path):
     flag = str(tmp_path / "tried")
 

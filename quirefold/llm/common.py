@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.tables import discard, fresh, own_folder, row_digest, written
+from quirefold.tables import dealt, discard, fresh, own_folder, row_digest, written
 
 __all__ = ["BATCH_BYTES", "BATCH_ROWS", "dealt", "discard", "fresh", "own_folder", "row_digest", "split_join", "table", "tidy", "tune", "written"]
 
@@ -30,17 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return dealt(tune(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores where few files are read in fewer tasks (a file of one row group can't be split).
-
-    The names of the files stay in the JVM, as a large table has very many.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df._jdf.inputFiles()) >= cores or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def split_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """An equi-join that adaptive execution can split where a key is hot.
 

@@ -11,11 +11,11 @@ a token however long the document. Groups depend on the length: a length range h
 document that may have partners in the next range has keys for both.
 
 Frequencies are counted over all documents, and a document must learn those of its own tokens: batches send their tokens,
-packed, to the range of hashes they fall in, where each range counts its tokens and answers what two or more documents
-have; tokens of one document alone need no answer, they just come first. Documents whose prefix holds only such tokens, the
-bulk of a corpus, are done then. A token that many documents of a batch share goes its own way: a count to its range,
-its documents spread by hash, and its frequency joined to them later, so a passage that a third of all documents hold
-is no hot range.
+packed, to the range of hashes they fall in; each range counts its tokens and sends what two or more documents have,
+packed again, to the range of documents that they are of. Tokens of one document alone need no answer, they just come
+first. Documents whose prefix holds only such tokens, the bulk of a corpus, are done then. Where a corpus has so many
+documents that one token's could fill a task, a token that more than its share of a batch has goes its own way: a count
+to its range, its documents spread by hash, and its frequency joined to them later.
 
 Candidates are verified on full sets (`links`): classes of documents, not pairs, are the result.
 
@@ -42,10 +42,10 @@ WORDS = 4
 LIMITS = (64, 2048)
 #: A group of pairs per so many tokens of a document's length range, and of triples.
 WIDTH = (32, 16)
-#: Tokens that one task counts; documents of a batch that make a token go its own way.
-TASK, MANY = 4 << 20, 64
+#: Tokens that one task counts. A token that a quarter of that many documents could have is looked out for.
+TASK = 4 << 20
 NORMAL, SPREAD, COUNTS = 0, 1, 2
-_SHARED = "kind int, vertex binary, tokens array<long>, counts array<long>"
+_PACKED = "part int, kind int, vertices binary, sizes binary, runs binary, tokens binary, counts binary"
 
 
 def slack(size: int, percent: int) -> int:
@@ -113,147 +113,176 @@ def _range_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> U(32)) * U(parts) >> U(32)).astype(np.int64)
 
 
-def _sent(docs: DataFrame, words: int, parts: int, many: int) -> DataFrame:
-    """part, kind and packed arrays: vertices (16 bytes each), places in them, tokens (ascending) or tokens and counts."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["part", "kind", "vertices", "sizes", "runs", "tokens", "counts"])
 
-    def packed(kind: int, tokens: np.ndarray, place: np.ndarray, part: np.ndarray, names: np.ndarray):
-        """A row for each part that has any; place is a vertex, or the count of COUNTS."""
-        order = np.lexsort((tokens, part))
-        tokens, place, part = tokens[order], place[order], part[order]
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)], strict=True):
-            if kind == COUNTS:
-                yield int(part[a]), kind, b"", place[a:b].astype("<u4").tobytes(), tokens[a:b].tobytes()
-            else:
-                some, at = np.unique(place[a:b], return_inverse=True)
-                yield int(part[a]), kind, names[some].tobytes(), at.astype("<u2").tobytes(), tokens[a:b].tobytes()
+
+def _cuts(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return np.flatnonzero(new)
+
+
+def _packed(kind: int, part: np.ndarray, owner: np.ndarray, tokens: np.ndarray, names: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None = None):
+    """A row for each part: its vertices (16 bytes, and their sizes), how many tokens of each follow, the tokens and their counts."""
+    order = np.lexsort((tokens, owner, part))
+    part, owner, tokens = part[order], owner[order], tokens[order]
+    counts = counts[order].astype("<u4") if counts is not None else None
+    heads = _cuts(part, owner)
+    runs, ends = np.diff(np.append(heads, len(part))).astype("<u4"), _cuts(part[heads])
+    for a, b in zip(ends.tolist(), [*ends[1:].tolist(), len(heads)], strict=True):
+        some, low, high = owner[heads[a:b]], heads[a], heads[b] if b < len(heads) else len(part)
+        yield int(part[low]), kind, names[some].tobytes(), sizes[some].astype("<u4").tobytes(), runs[a:b].tobytes(), tokens[low:high].tobytes(), b"" if counts is None else counts[low:high].tobytes()
+
+
+def _gathered(rows: list[tuple]):
+    """Of packed rows the distinct vertices in order, their sizes, and of each distinct pair of vertex and token the vertex's
+    place, the token and its count; tokens ascend, and vertices within them."""
+    if not rows:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    names, sizes, runs, tokens = (np.concatenate([np.frombuffer(r[k], kind) for r in rows]) for k, kind in enumerate(("<u8", "<u4", "<u4", "<u8")))
+    counts = np.concatenate([np.frombuffer(r[4], "<u4") if r[4] else np.zeros(len(r[3]) // 8, "<u4") for r in rows])
+    names = names.reshape(-1, 2)
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    heads = _cuts(names[order, 0], names[order, 1])
+    place = np.empty(len(names), np.int64)
+    place[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+    owner = np.repeat(place, runs)
+    first = np.lexsort((owner, tokens))
+    first = first[_cuts(tokens[first], owner[first])]
+    return names[order[heads]], sizes[order[heads]].astype(np.int64), owner[first], tokens[first], counts[first].astype(np.int64)
+
+
+def _sent(docs: DataFrame, words: int, parts: int, share: float) -> DataFrame:
+    """The tokens of each batch for each range; those that more than `share` of its documents have as SPREAD and COUNTS."""
 
     def run(batches):
-        for whole in batches:
-            for low in range(0, whole.num_rows, 1 << 15):
-                sets = {vertex_of(s): s for s in shingle_sets(whole.column(0).slice(low, 1 << 15), words) if len(s)}
-                if not sets:
-                    continue
-                names = np.frombuffer(b"".join(sets), np.uint64).reshape(-1, 2)
-                tokens = np.concatenate(list(sets.values()))
-                place = np.repeat(np.arange(len(sets)), [len(s) for s in sets.values()])
-                order = np.argsort(tokens, kind="stable")
-                tokens, place = tokens[order], place[order]
-                first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-                n = np.diff(np.append(first, len(tokens)))
-                hot, wide = n >= many, np.repeat(n >= many, n)
-                rows = list(packed(NORMAL, tokens[~wide], place[~wide], _range_of(tokens[~wide], parts), names))
-                if hot.any():
-                    heads = tokens[first[hot]]
-                    rows += packed(COUNTS, heads, n[hot], _range_of(heads, parts), names)
-                    rows += packed(SPREAD, tokens[wide], place[wide], _range_of(mix(tokens[wide] ^ names[place[wide], 0]), parts), names)
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[2:])], ["part", "kind", "vertices", "places", "tokens"])
+        for batch in batches:
+            sets = {vertex_of(s): s for s in shingle_sets(batch.column(0), words) if len(s)}
+            if not sets:
+                continue
+            names, sizes = np.frombuffer(b"".join(sets), np.uint64).reshape(-1, 2), np.array([len(s) for s in sets.values()])
+            tokens, owner = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sets)), sizes)
+            rows = []
+            if share < 1:
+                heads, of, n = np.unique(tokens, return_inverse=True, return_counts=True)
+                hot = n > max(1, share * len(sets))
+                wide = hot[of]
+                if wide.any():
+                    none = np.zeros(hot.sum(), np.int64)
+                    rows += _packed(COUNTS, _range_of(heads[hot], parts), none, heads[hot], names[:1], sizes[:1], n[hot])
+                    rows += _packed(SPREAD, _range_of(mix(tokens[wide] ^ names[owner[wide], 0]), parts), owner[wide], tokens[wide], names, sizes)
+                    tokens, owner = tokens[~wide], owner[~wide]
+            yield _batch([*_packed(NORMAL, _range_of(tokens, parts), owner, tokens, names, sizes), *rows])
         tidy()
 
-    return docs.select("text").mapInArrow(run, "part int, kind int, vertices binary, places binary, tokens binary")
-
-
-def _listed(kind: int, names: np.ndarray, owner: np.ndarray, tokens: np.ndarray, counts: np.ndarray | None):
-    """A row for each vertex (none of COUNTS, which has one row): its tokens and their counts; owner ascends."""
-    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-    ends = pa.array(np.append(cut, len(owner)).astype(np.int32))
-    vertex = [names[i].tobytes() for i in owner[cut].tolist()] if kind != COUNTS else [None] * len(cut)
-    tokens_ = pa.ListArray.from_arrays(ends, pa.array(tokens.view(np.int64)))
-    counts_ = pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64))) if counts is not None else pa.array([[]] * len(cut), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(cut), pa.int32()), pa.array(vertex, pa.binary()), tokens_, counts_], ["kind", "vertex", "tokens", "counts"])
+    return docs.select("text").mapInArrow(run, _PACKED)
 
 
 def _counted(sent: DataFrame, parts: int) -> DataFrame:
-    """kind, vertex, tokens, counts: of each range what several documents have (NORMAL), the frequencies of tokens that went
-    their own way (COUNTS: one row), and their documents (SPREAD), each once."""
-
-    def gathered(rows):
-        names, owners, tokens, at = [], [], [], 0
-        for vertices, places, some in rows:
-            one = np.frombuffer(vertices, np.uint64).reshape(-1, 2)
-            names.append(one)
-            owners.append(np.frombuffer(places, "<u2").astype(np.int64) + at)
-            tokens.append(np.frombuffer(some, np.uint64))
-            at += len(one)
-        if not names:
-            return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        names, own = np.unique(np.concatenate(names), axis=0, return_inverse=True)
-        owner, token = own.ravel()[np.concatenate(owners)], np.concatenate(tokens)
-        order = np.lexsort((owner, token))
-        owner, token = owner[order], token[order]
-        new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(token) else np.zeros(0, bool)
-        return names, owner[new], token[new]
+    """For each range of vertices, the tokens of a range that several documents have, with their counts (NORMAL); the counts of
+    tokens that went their own way (COUNTS), and their documents (SPREAD), each once."""
 
     def run(batches):
         rows: dict[int, list] = {NORMAL: [], SPREAD: [], COUNTS: []}
         for batch in batches:
-            for kind, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            for kind, *row in zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 rows[kind].append(row)
-        names, owner, token = gathered(rows[NORMAL])
-        heads = np.concatenate([np.frombuffer(t, np.uint64) for _, _, t in rows[COUNTS]]) if rows[COUNTS] else np.zeros(0, np.uint64)
-        more = np.concatenate([np.frombuffer(n, "<u4") for _, n, _ in rows[COUNTS]]) if rows[COUNTS] else np.zeros(0, np.uint32)
-        known, of, count = np.unique(token, return_inverse=True, return_counts=True)
+        names, sizes, owner, tokens, _ = _gathered(rows[NORMAL])
+        heads = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows[COUNTS]]) if rows[COUNTS] else np.zeros(0, np.uint64)
+        more = np.concatenate([np.frombuffer(r[4], "<u4") for r in rows[COUNTS]]) if rows[COUNTS] else np.zeros(0, np.uint32)
         heads, at = np.unique(heads, return_inverse=True)
         more = np.bincount(at, more, len(heads)).astype(np.int64)
+        known, of, count = np.unique(tokens, return_inverse=True, return_counts=True)
         if len(heads) and len(known):
             place = np.minimum(np.searchsorted(known, heads), len(known) - 1)
             both = known[place] == heads
             count[place[both]] += more[both]
             more[both] = count[place[both]]
-        keep = np.flatnonzero(count[of] > 1) if len(token) else np.zeros(0, np.int64)
-        keep = keep[np.argsort(owner[keep], kind="stable")]
-        yield _listed(NORMAL, names, owner[keep], token[keep], count[of[keep]])
-        yield _listed(COUNTS, names, np.zeros(len(heads), np.int64), heads, more)
-        names, owner, token = gathered(rows[SPREAD])
-        order = np.argsort(owner, kind="stable")
-        yield _listed(SPREAD, names, owner[order], token[order], None)
+        keep = np.flatnonzero(count[of] > 1) if len(tokens) else np.zeros(0, np.int64)
+        owner, tokens, count = owner[keep], tokens[keep], count[of[keep]]
+        yield _batch(list(_packed(NORMAL, _range_of(names[owner, 0], parts), owner, tokens, names, sizes, count)))
+        if len(heads):
+            yield _batch(list(_packed(COUNTS, np.zeros(len(heads), np.int64), np.zeros(len(heads), np.int64), heads, np.zeros((1, 2), np.uint64), np.zeros(1, np.int64), more)))
+        if rows[SPREAD]:
+            names, sizes, owner, tokens, _ = _gathered(rows[SPREAD])
+            yield _batch(list(_packed(SPREAD, np.zeros(len(owner), np.int64), owner, tokens, names, sizes)))
         tidy()
 
-    return sent.repartitionById(parts, "part").mapInArrow(run, _SHARED)
+    return sent.repartitionById(parts, "part").mapInArrow(run, _PACKED)
+
 
+def _joined(found: DataFrame, parts: int) -> DataFrame:
+    """SPREAD tokens with their counts, packed for their ranges of vertices."""
 
-def _shared(docs: DataFrame, words: int, total: int, many: int) -> DataFrame:
-    """vertex, tokens, counts (several rows a vertex): what each vertex shares with others, and how many have it."""
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))
-    found = written(_counted(_sent(docs, words, parts, many), parts), "ngram-shared")
-    normal = found.where(F.col("kind") == NORMAL).select("vertex", "tokens", "counts")
-    spread = found.where(F.col("kind") == SPREAD).select("vertex", F.explode("tokens").alias("token"))
-    if spread.isEmpty():
-        return normal
-    counts = found.where(F.col("kind") == COUNTS).select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("token"), F.col("x.counts").alias("count"))
-    own = split_join(spread, counts, "token").select("vertex", F.array("token").alias("tokens"), F.array("count").alias("counts"))
-    return normal.unionByName(own)
+    def flat(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                names, size = [row[0][16 * i : 16 * i + 16] for i in range(len(row[0]) // 16)], np.frombuffer(row[1], "<u4")
+                of = np.repeat(np.arange(len(names)), np.frombuffer(row[2], "<u4"))
+                tokens = pa.array(np.frombuffer(row[3], "<i8"))
+                counts = pa.array(np.frombuffer(row[4], "<u4").astype(np.int64)) if row[4] else pa.nulls(len(tokens), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(pa.array(of)), pa.array(size[of].astype(np.int64)), tokens, counts], ["vertex", "size", "token", "count"])
+
+    def packed(batches):
+        for batch in batches:
+            names = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
+            tokens = batch.column(2).to_numpy().view(np.uint64)
+            yield _batch(list(_packed(NORMAL, _range_of(names[:, 0], parts), np.arange(len(names)), tokens, names, batch.column(1).to_numpy(), batch.column(3).to_numpy())))
 
+    rows = {kind: found.where(F.col("kind") == kind).mapInArrow(flat, "vertex binary, size long, token long, count long") for kind in (SPREAD, COUNTS)}
+    joined = split_join(rows[SPREAD].drop("count"), rows[COUNTS].select("token", "count"), "token")
+    return joined.select("vertex", "size", "token", "count").mapInArrow(packed, _PACKED)
 
-def _keyed(shared: DataFrame, vertices: DataFrame, percent: int) -> DataFrame:
+
+def _keyed(shared: DataFrame, parts: int, percent: int) -> DataFrame:
     """vertex, size, key of the vertices whose prefix holds tokens of others."""
 
     def run(batches):
-        for batch in batches:
-            keys = []
-            for size, tokens, counts in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                flat = lambda x: x.values.flatten().to_numpy()
-                keys.append(keys_of(flat(tokens).view(np.uint64), flat(counts), size, percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.binary()), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["vertex", "size", "keys"])
+        rows = [row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)]
+        names, sizes, owner, tokens, counts = _gathered(rows)
+        del rows
+        order = np.argsort(owner, kind="stable")
+        owner, tokens, counts = owner[order], tokens[order], counts[order]
+        cut = np.append(_cuts(owner), len(owner))
+        for low in range(0, len(cut) - 1, 4096):
+            vertices, keys = [], []
+            for a, b in zip(cut[low : low + 4096], cut[low + 1 : low + 4097], strict=False):
+                size = int(sizes[owner[a]])
+                if size - (b - a) <= slack(size, percent):
+                    vertices.append(owner[a])
+                    keys.append(keys_of(tokens[a:b], counts[a:b], size, percent))
+            yield pa.RecordBatch.from_arrays([pa.array([names[v].tobytes() for v in vertices], pa.binary()), pa.array(sizes[vertices] if vertices else [], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["vertex", "size", "keys"])
         tidy()
 
-    # a token may be counted twice here, never missed: some vertices too many are asked, none too few
-    most = shared.groupBy("vertex").agg(F.sum(F.size("tokens")).alias("shared"))
-    spare = F.col("size") - F.ceil(F.col("size") * percent / 100)
-    asked = written(vertices.select("vertex", "size").join(most, "vertex").where(F.col("size") - F.col("shared") <= spare).select("vertex", "size"), "ngram-asked")
-    lists = shared.join(asked, "vertex").groupBy("vertex").agg(F.first("size").alias("size"), F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
-    return lists.select("vertex", "size", "tokens", "counts").mapInArrow(run, "vertex binary, size long, keys array<long>").select("vertex", "size", F.explode("keys").alias("key"))
+    return shared.repartitionById(parts, "part").mapInArrow(run, "vertex binary, size long, keys array<long>").select("vertex", "size", F.explode("keys").alias("key"))
+
+
+def keyed(docs: DataFrame, documents: int, total: int, percent: int, words: int, task: int = TASK) -> DataFrame:
+    """vertex, size, key of docs (text), of which there are so many, with so many tokens."""
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task))
+    share = task / 4 / max(documents, 1)
+    counted = _counted(_sent(docs, words, parts, share), parts)
+    if share < 1:
+        counted = written(counted, "ngram-shared")
+        counted = counted.where(F.col("kind") == NORMAL).unionByName(_joined(counted, parts))
+    return _keyed(counted, parts, percent)
 
 
-def similar_documents(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", many: int = MANY) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 80, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", task: int = TASK) -> DataFrame:
     """doc_id, n_shingles, component_id - one row per row of docs; linked are 100 * common >= percent * united."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(_rows(docs, words), "ngram-rows")
     vertices = written(vertices_of(rows), "ngram-vertices")
-    total = vertices.agg(F.sum("size")).first()[0] or 0
-    shared = _shared(docs, words, total, many)
-    members = written(members_of(written(_keyed(shared, vertices, percent), "ngram-keys")), "ngram-members")
+    n = vertices.agg(F.sum("n").alias("documents"), F.sum(F.col("size") * F.col("n")).alias("tokens")).first()
+    keys = written(keyed(docs, n.documents or 0, n.tokens or 0, percent, words, task), "ngram-keys")
+    members = written(members_of(keys), "ngram-members")
     found = named(rows, vertices, confirmed_links(docs, vertices, members, percent, words))
     component = F.when(F.col("n_shingles") > 0, F.col("first.id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"))

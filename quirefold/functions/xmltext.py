@@ -2,149 +2,260 @@
 
 from __future__ import annotations
 
+import math
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.functions.text import trim_u
+#: Text that a batch of pages holds before it is handed on; bytes that a parser gets at a time.
+BATCH, FEED = 4 << 20, 1 << 20
 
-_OPTIONS = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "nullValue": "\u0000"}
-_PAGE = "Page struct<TextRegion: array<struct<_id: string, TextLine: array<struct<TextEquiv: array<struct<Unicode: string>>>>>>>, _corrupt_record string"
-# What looks like markup in comments and character data is none.
-_NO_MARKUP = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>"
-_REF = r"<(?:[\w.-]+:)?RegionRefIndexed\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\sregionRef\s*=\s*([\"'])(.*?)\1"
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
+def _local(tag) -> str:
+    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
 
-def _references(xml: Column) -> Column:
-    """The reading order's references in document order, in either kind of quotes."""
 
-    def plain(ref: Column) -> Column:
-        for name, sign in _ENTITIES:
-            ref = F.replace(ref, F.lit(name), F.lit(sign))
-        return ref
+def _child(node: ET.Element | None, name: str) -> ET.Element | None:
+    return None if node is None else next((c for c in node if _local(c.tag) == name), None)
 
-    return F.transform(F.regexp_extract_all(F.regexp_replace(xml, _NO_MARKUP, ""), F.lit(_REF), F.lit(2)), plain)
+
+def page_parts(xml: str) -> tuple[str | None, bool]:
+    """text and malformed of a PAGE document.
+
+    Regions come in the order of the references in Page's own ReadingOrder (as often as referenced), then the others in
+    file order; of regions with the same id the last counts, at the first's place. A line is the first Unicode of its
+    first TextEquiv, up to the first element in it, trimmed; blank lines go; no lines at all is null.
+    """
+    try:
+        page = _child(ET.fromstring(xml), "Page")
+    except ET.ParseError:
+        return None, True
+    if page is None:
+        return None, False
+    regions = {r.get("id", ""): r for r in page if _local(r.tag) == "TextRegion"}
+    order = _child(page, "ReadingOrder")
+    asked = [] if order is None else [n.get("regionRef") for n in order.iter() if _local(n.tag) == "RegionRefIndexed"]
+    named = set(asked)
+    ordered = [r for r in asked if r in regions] + [r for r in regions if r not in named]
+    nodes = (_child(_child(line, "TextEquiv"), "Unicode") for r in ordered for line in regions[r] if _local(line.tag) == "TextLine")
+    return "\n".join(t for n in nodes if n is not None and (t := (n.text or "").strip())) or None, False
 
 
 def page_xml(xml: Column) -> Column:
-    """struct(text, malformed) of a PAGE document.
+    """struct(text, malformed) of a column of PAGE documents, a page each: `page_parts`. Mixed content, and references that
+    count in one place only, are more than a fixed schema can say."""
 
-    Regions come in the order of the reading order's references (as often as referenced), then the others in file
-    order; of regions with the same id the last counts, at the first's place. A line is the first Unicode of its first
-    TextEquiv, trimmed; blank lines go; no lines at all is null.
-    """
-    return _let(F.struct(F.from_xml(xml, _PAGE, _OPTIONS).alias("doc"), _references(xml).alias("asked")), _page_struct)
+    def parts(some: pd.Series) -> pd.DataFrame:
+        found = [page_parts(x) if x is not None else (None, None) for x in some]
+        return pd.DataFrame({"text": pd.Series([t for t, _ in found], dtype=object), "malformed": pd.Series([m for _, m in found], dtype=object)})
 
+    return F.pandas_udf(parts, "text string, malformed boolean")(xml)
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
 
+class _Page:
+    """A page's lines, each a list of cells that text flows into; some may be waiting for text that comes later in the file."""
 
-def _page_struct(page: Column) -> Column:
-    regions = F.coalesce(page["doc"]["Page"]["TextRegion"], F.array())
-    # of regions with one id the last, in the order of the first
-    texts = F.transform(
-        regions,
-        lambda r: F.struct(
-            F.coalesce(r["_id"], F.lit("")).alias("id"),
-            F.filter(
-                F.transform(F.coalesce(r["TextLine"], F.array()), lambda line: trim_u(F.coalesce(F.get(line["TextEquiv"], 0)["Unicode"], F.lit("")))), lambda t: t != ""
-            ).alias("lines"),
-        ),
-    )
+    def __init__(self, facs: str, kind: str):
+        self.facs, self.kind, self.lines, self.waiting, self.over = facs, kind, [[]], 0, False
 
-    def joined(found: Column) -> Column:
-        texts, asked = found["texts"], found["asked"]
-        ids = F.array_distinct(texts["id"])
-        order = F.concat(F.filter(asked, lambda i: F.array_contains(ids, i)), F.filter(ids, lambda i: ~F.array_contains(asked, i)))
-        lines = F.flatten(F.transform(order, lambda i: F.element_at(F.filter(texts, lambda r: r["id"] == i), -1)["lines"]))
-        return F.struct(F.nullif(F.array_join(lines, "\n"), F.lit("")).alias("text"), found["malformed"].alias("malformed"))
+    def row(self) -> tuple[str, str, str]:
+        lines = ([t for cell in line if (t := "".join(cell).strip())] for line in self.lines)
+        return self.facs, self.kind, "\n".join(" ".join(line) for line in lines if line)
 
-    return _let(F.struct(texts.alias("texts"), page["asked"].alias("asked"), page["doc"]["_corrupt_record"].isNotNull().alias("malformed")), joined)
 
+class _Tei:
+    """Events of a TEI document, as they are parsed, into pages that are handed on once nothing can be added to them."""
 
-def _local(tag) -> str:
-    return tag.rpartition("}")[2] if isinstance(tag, str) else ""
+    def __init__(self, strict: bool):
+        self.strict, self.ready = strict, []
+        self.page: _Page | None = None
+        self.open: list[tuple] = []  # of each open element of the body: whether its children count, and where its tail goes
+        self.sink: list[str] | None = None
+        self.body = self.ended = False
+        self.skipped = 0  # open elements below one whose content is left out
 
+    def _cell(self, page: _Page | None) -> list[str] | None:
+        if page is None:
+            return None
+        cell: list[str] = []
+        page.lines[-1].append(cell)
+        return cell
 
-def _child(node: ET.Element | None, name: str) -> ET.Element | None:
-    return None if node is None else next((c for c in node if _local(c.tag) == name), None)
+    def _settle(self, page: _Page | None) -> None:
+        if page is not None and page.over and not page.waiting:
+            self.ready.append(page.row())
 
+    def start(self, name: str, attributes: dict) -> None:
+        name = _local(name)
+        if self.ended:
+            self.sink = None
+        if self.ended or not self.body and name != "body":
+            return
+        self.body = True
+        if self.skipped:
+            self.skipped += 1
+            return
+        if name == "pb" and attributes.get("facs"):
+            before, self.page = self.page, _Page(attributes["facs"], attributes.get("type", ""))
+            if before is not None:
+                before.over = True
+                self._settle(before)
+            self.open.append((None, None, "page"))
+            self.sink, self.skipped = None, 1
+            return
+        if name == "lb":
+            if self.page is not None:
+                self.page.lines.append([])
+            self.sink = None
+        else:
+            self.sink = self._cell(self.page) if name != "note" else None
+        tail, page = None, self.page
+        if not self.strict:  # the text after an element stands before its children's
+            tail = self._cell(page)
+            if page is not None:
+                page.waiting += 1
+        self.open.append((page, tail, name))
+        if self.strict and name == "note":
+            self.sink, self.skipped = None, 1
+
+    def end(self, _: str) -> None:
+        if self.ended:
+            self._tail_over()
+            self.sink = None
+        if not self.body or self.ended:
+            return
+        if self.skipped > 1:
+            self.skipped -= 1
+            return
+        self.skipped = 0
+        self._tail_over()
+        page, tail, name = self.open.pop()
+        # the text after pb is dropped with what the page before it held, or belongs to the new page
+        self.sink = self._cell(self.page) if self.strict else tail
+        self.after = page if tail is not None else None
+        if not self.open:
+            self.ended = True
 
-def page_text(xml: str) -> str | None:
-    """`page_xml` with an XML parser: the partner for differential tests."""
-    try:
-        page = _child(ET.fromstring(xml), "Page")
-    except ET.ParseError:
-        return None
-    if page is None:
-        return None
-    regions = {r.get("id", ""): r for r in page if _local(r.tag) == "TextRegion"}
-    order = _child(page, "ReadingOrder")
-    asked = [] if order is None else [n.get("regionRef") for n in order.iter() if _local(n.tag) == "RegionRefIndexed"]
-    ordered = [r for r in asked if r in regions] + [r for r in regions if r not in asked]
-    nodes = (_child(_child(line, "TextEquiv"), "Unicode") for r in ordered for line in regions[r] if _local(line.tag) == "TextLine")
-    return "\n".join(t for n in nodes if n is not None and (t := (n.text or "").strip())) or None
+    after: _Page | None = None  # the page that the text after the last element goes to, until that text ends
+
+    def _tail_over(self) -> None:
+        if self.after is not None:
+            page, self.after = self.after, None
+            page.waiting -= 1
+            self._settle(page)
+
+    def text(self, data: str) -> None:
+        if self.sink is not None and not self.skipped:
+            self.sink.append(data)
+
+    def finish(self) -> None:
+        self._tail_over()
+        if self.page is not None:
+            self.page.over = True
+            self._settle(self.page)
+
+
+def _parsed(xml: str, found: _Tei | None) -> Iterator[None]:
+    """Feeds a parser piece by piece; found gets the events."""
+    parser = expat.ParserCreate("utf-8", "}")
+
+    def other(data: str) -> None:
+        if data.startswith("&"):
+            raise ET.ParseError(f"undefined entity {data}")
+
+    parser.DefaultHandlerExpand, parser.CharacterDataHandler = other, lambda _: None
+    if found is not None:
+        parser.buffer_text = True
+
+        def start(name: str, attributes: dict) -> None:
+            found._tail_over()
+            found.start(name, attributes)
+
+        parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, found.end, found.text
+    for at in range(0, len(xml), FEED):
+        parser.Parse(xml[at : at + FEED].encode("utf-8", "surrogatepass"), False)
+        yield
+    parser.Parse(b"", True)
 
 
 def tei_pages(xml: str, strict_order: bool = False) -> Iterator[tuple[str, str, str]]:
-    """Image address, kind and text of each page of a TEI body.
+    """Image address, kind and text of each page of a TEI body, each as soon as nothing can be added to it; none where the
+    document is broken, which a first pass finds out.
 
     A page runs from its `pb` to the next; `lb` starts a line; a note's own text and the text after `pb` are left out.
-    By default an element's following text is put before its children's text, as in the corpora made so far;
-    strict_order gives document order instead.
+    By default an element's following text is put before its children's text, as in the corpora made so far: a page waits
+    for the end of the elements that were opened on it. strict_order gives document order instead. No tree is built: what is
+    held is the pages that wait, at most one an open element.
     """
     try:
-        root = ET.fromstring(xml)
-    except ET.ParseError:
+        for _ in _parsed(xml, None):
+            pass
+    except (ET.ParseError, expat.ExpatError, UnicodeError):
         return
-    body = next((e for e in root.iter() if _local(e.tag) == "body"), None)
-    page: tuple[str, str] | None = None
-    lines: list[list[str]] = [[]]
+    found = _Tei(strict_order)
+    for _ in _parsed(xml, found):
+        yield from found.ready
+        found.ready.clear()
+    found.finish()
+    yield from found.ready
 
-    def events(node: ET.Element) -> Iterator[tuple[str, ET.Element | str | None]]:
-        name = _local(node.tag)
-        if name == "pb" and node.get("facs"):
-            yield "page", node
-            if strict_order:
-                yield "text", node.tail
-            return
-        if name == "lb":
-            yield "line", None
-        elif name != "note":
-            yield "text", node.text
-        if not strict_order:
-            yield "text", node.tail
-        if not (strict_order and name == "note"):
-            for child in node:
-                yield from events(child)
-        if strict_order:
-            yield "text", node.tail
-
-    def done() -> str:
-        return "\n".join(" ".join(line) for line in lines if line)
-
-    for kind, what in events(body) if body is not None else ():
-        if kind == "page":
-            if page:
-                yield (*page, done())
-            page, lines = (what.get("facs", ""), what.get("type", "")), [[]]
-        elif kind == "line":
-            lines.append([])
-        elif page and what and what.strip():
-            lines[-1].append(what.strip())
-    if page:
-        yield (*page, done())
+
+class TeiPages:
+    """Handler of the lateral table function of SQL: one row a page."""
+
+    def eval(self, xml: str):
+        if xml is not None:
+            yield from tei_pages(xml)
+
+
+def tei_function():
+    """The table function, for spark.udtf.register or direct calls; `tei_table` hands whole batches on."""
+    return F.udtf(TeiPages, returnType="facs string, kind string, text string")
+
+
+def tei_table(df: DataFrame, xml: str, *keys: str, strict_order: bool = False) -> DataFrame:
+    """keys, facs, kind, text: a row for each page of each document, handed on in batches while the document is parsed."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    names = [*keys, "facs", "kind", "text"]
+
+    def run(batches):
+        for batch in batches:
+            for i, document in enumerate(batch.column(len(keys))):
+                rows, size = [], 0
+
+                def out():
+                    own = [pa.concat_arrays([batch.column(k).slice(i, 1)] * len(rows)) for k in range(len(keys))]  # noqa: B023
+                    return pa.RecordBatch.from_arrays([*own, *(pa.array([r[c] for r in rows], pa.string()) for c in range(3))], names)  # noqa: B023
+
+                for row in tei_pages(document.as_py() or "", strict_order):
+                    rows.append(row)
+                    size += len(row[2])
+                    if size > BATCH:
+                        yield out()
+                        rows, size = [], 0
+                if rows:
+                    yield out()
+
+    return df.select(*keys, xml).mapInArrow(run, f"{kinds}, facs string, kind string, text string")
+
+
+def _place(text: str) -> float:
+    """A vertical place; nought where it can't be read."""
+    try:
+        value = float(text)
+    except ValueError:
+        return 0.0
+    return value if math.isfinite(value) else 0.0
 
 
 def alto_text(xml: str) -> str | None:
-    """The text of an ALTO document: the lines of all text blocks, however deep they lie, by their vertical place (ties in
-    file order); the contents of a line's strings joined by a blank. None without lines, or where the document is broken."""
+    """The text of an ALTO document: the lines of all text blocks, however deep they lie, by their vertical place (nought
+    where it can't be read; ties in file order); the contents of a line's strings joined by a blank. None without lines, or where the document is broken."""
     try:
         root = ET.fromstring(xml)
     except ET.ParseError:
@@ -156,7 +267,7 @@ def alto_text(xml: str) -> str | None:
         if name == "TextLine" and inside:
             words = [s.get("CONTENT", "") for s in node.iter() if _local(s.tag) == "String"]
             if text := " ".join(w for w in words if w.strip()):
-                placed.append((float(node.get("VPOS", 0)), text))
+                placed.append((_place(node.get("VPOS", "0")), text))
         else:
             for child in node:
                 walk(child, inside or name == "TextBlock")
@@ -185,12 +296,3 @@ class TeiPages:
 def tei_function():
     """The table function, for spark.udtf.register or direct calls."""
     return F.udtf(TeiPages, returnType="facs string, kind string, text string")
-
-
-def _page_series(xml: pd.Series) -> pd.Series:
-    return xml.map(page_text, na_action="ignore")
-
-
-def page_texts(xml: Column) -> Column:
-    """`page_text` of a column."""
-    return F.pandas_udf(_page_series, "string")(xml)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import markup
 from quirefold.functions.metrics import cer, tag_accuracy, wer
+from quirefold.operators.quantiles import quantiles
 from quirefold.tables import fresh
 
 
@@ -60,12 +61,13 @@ def break_position(df: DataFrame, text: str, mark: str = "<pb/>") -> DataFrame:
     """Median and middle half of the relative place of the page break."""
     at = F.locate(mark, F.col(text))
     place = df.where(at > 0).select(((at - 1) / F.length(text)).alias("p"))
-    return place.agg(F.count(F.lit(1)).alias("pages"), F.median("p").alias("median"), F.percentile("p", F.lit(0.25)).alias("low"), F.percentile("p", F.lit(0.75)).alias("high"))
+    return quantiles(place, F.col("p"), median=0.5, low=0.25, high=0.75).withColumnRenamed("n", "pages")
 
 
 def aspect_ratio(df: DataFrame, width: str, height: str) -> DataFrame:
     """Number of images and the median of width over height."""
-    return df.where(F.col(height) > 0).agg(F.count(F.lit(1)).alias("images"), F.median(F.col(width) / F.col(height)).alias("median"))
+    sized = df.where((F.col(height) > 0) & F.col(width).isNotNull())
+    return quantiles(sized, F.col(width) / F.col(height), median=0.5).withColumnRenamed("n", "images")
 
 
 def _pairs(body: Column) -> tuple[Column, Column]:

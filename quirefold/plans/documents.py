@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quirefold.functions import xmltext
 from quirefold.operators import provenance
-from quirefold.plans.registry import query, read
+from quirefold.plans.registry import query, read, read_dealt
 from quirefold.session import shared_folder
 from quirefold.sources import sinks, tables
 
@@ -48,7 +48,7 @@ _LINES = rf"list_filter(list_transform(string_split({_NO_CONTROLS}, chr(10)), la
 
 
 def _printable(spark, sf_dir):
-    return read(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " "))
+    return read_dealt(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " "))
 
 
 @query(f"""
@@ -91,9 +91,7 @@ def tei_page_text(spark, sf_dir):
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<lb/>"), _escaped(x), F.lit("<note>aside</note>"))), "")
     xml = F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><pb facs="1.tif" type="diaryEntry"/>'), body, F.lit('<pb facs="2.tif" type="cover"/><p>end</p></body></text></TEI>'))
-    _printable(spark, sf_dir).select("doc_id", xml.alias("xml")).createOrReplaceTempView("quirefold_tei")
-    spark.udtf.register("tei_pages", xmltext.tei_function())
-    return spark.sql("SELECT doc_id, facs, kind, text FROM quirefold_tei, LATERAL tei_pages(xml)")
+    return xmltext.tei_table(_printable(spark, sf_dir).select("doc_id", xml.alias("xml")), "xml", "doc_id")
 
 
 @query("SELECT doc_id, '1.tif' AS facs FROM documents")

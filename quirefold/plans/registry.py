@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirefold.tables import dealt
+
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("curation", "pairing", "texts", "audits", "documents", "streams")
 
@@ -30,6 +32,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_dealt(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """For queries whose Python functions cost far more than the reading: rows dealt out where a table is few files."""
+    return dealt(read(spark, sf_dir, table))
+
+
 def trimmed(text: str) -> str:
     """SQL for the text without Unicode blanks at either end."""
     blank = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"

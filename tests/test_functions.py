@@ -1,6 +1,8 @@
 import difflib
 import random
 import re
+import tracemalloc
+import xml.etree.ElementTree as ET
 
 import pandas as pd
 import pytest
@@ -258,14 +260,19 @@ PAGES = [
     (f"<PcGts {NS}><Page><!-- {order('b')} -->{order('a')}<!-- <RegionRefIndexed regionRef='b'/> -->{region('b', line('y'))}{region('a', line('x'))}</Page></PcGts>", "x\ny"),
     (f"<PcGts {NS}><Page>{order('q&amp;r')}{region('b', line('y', '<![CDATA[<RegionRefIndexed regionRef=&quot;b&quot;/>]]>'))}{region('q&amp;r', line('x'))}</Page></PcGts>", "x\ny"),
     (f"<PcGts {NS}><Page><ReadingOrder><RegionRefIndexed note='a > b' regionRef = 'b' /></ReadingOrder>{region('a', line('x'))}{region('b', line('y'))}</Page></PcGts>", "y\nx"),
+    # references count in Page's own ReadingOrder only
+    (f"<PcGts {NS}><Metadata>{order('b')}</Metadata>{order('b')}<Page>{region('a', line('A') + order('b'))}{region('b', line('B'))}<Relations><RegionRefIndexed regionRef='b'/></Relations></Page></PcGts>", "A\nB"),
+    (f"<PcGts {NS}><Page>{region('a', '<TextLine><TextEquiv><Unicode>x<i>y</i>z</Unicode></TextEquiv></TextLine>')}</Page></PcGts>", "x"),
+    (f"<PcGts {NS}><Page>{region('a', '<TextLine><TextEquiv><PlainText>p</PlainText><Unicode>u</Unicode></TextEquiv></TextLine>')}</Page></PcGts>", "u"),
 ]
 
 
 def test_page_xml(spark):
-    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(PAGES)], "i int, x string").select("i", xmltext.page_xml(F.col("x")).alias("p"), xmltext.page_texts(F.col("x")).alias("q")).orderBy("i").collect()
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(PAGES)], "i int, x string").select("i", xmltext.page_xml(F.col("x")).alias("p")).orderBy("i").collect()
     for r, (_, want) in zip(rows, PAGES, strict=True):
-        assert (r.p.text, r.q) == (want, want), r.i
+        assert r.p.text == want, r.i
     assert [r.i for r in rows if r.p.malformed] == [7]
+    assert one(spark, xmltext.page_xml(F.col("x"))["malformed"], x=None) is None
 
 
 def test_alto_xml(spark):
@@ -278,6 +285,85 @@ def test_alto_xml(spark):
     assert xmltext.alto_text('<alto><TextLine><String CONTENT="loose"/></TextLine></alto>') is None
 
 
+def test_an_unreadable_place_counts_as_nought():
+    lines = "".join(f'<TextLine VPOS="{v}"><String CONTENT="{v or "none"}"/></TextLine>' for v in ("7", "", "nan", "12px", "-1"))
+    assert xmltext.alto_text(f"<alto><TextBlock>{lines}</TextBlock></alto>").split("\n") == ["-1", "none", "nan", "12px", "7"]
+
+
+def plain_tei(xml, strict):
+    """The pages by a tree: every element's text, following text and children as they come."""
+    pages, lines = [], None
+    body = next((e for e in ET.fromstring(xml).iter() if xmltext._local(e.tag) == "body"), None)
+
+    def put(text):
+        if lines is not None and (text or "").strip():
+            lines[-1].append(text.strip())
+
+    def walk(node):
+        nonlocal lines
+        name = xmltext._local(node.tag)
+        if name == "pb" and node.get("facs"):
+            lines = [[]]
+            pages.append((node.get("facs"), node.get("type", ""), lines))
+            return put(node.tail) if strict else None
+        if name == "lb" and lines is not None:
+            lines.append([])
+        if name not in ("lb", "note"):
+            put(node.text)
+        if not strict:
+            put(node.tail)
+        if not (strict and name == "note"):
+            for child in node:
+                walk(child)
+        if strict:
+            put(node.tail)
+
+    if body is not None:
+        walk(body)
+    return [(facs, kind, "\n".join(" ".join(x) for x in rows if x)) for facs, kind, rows in pages]
+
+
+def test_tei_events_equal_a_tree(monkeypatch):
+    rng = random.Random(4)
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randint(0, 4)):
+            kind = rng.choice(["text", "text", "pb", "lb", "odd", "node", "node"])
+            if kind == "text":
+                out.append(rng.choice(["x ", " y", "\n", "&amp;", "z<!-- c -->q", "<![CDATA[<k>]]>"]))
+            elif kind == "node" and depth < 5:
+                name = rng.choice(["p", "div", "note", "hi", "body", "lb"])
+                out.append(f"<{name}>{some(depth + 1)}</{name}>")
+            else:
+                out.append({"pb": f'<pb facs="{rng.randint(1, 99)}" type="t"/>', "lb": "<lb/>", "odd": '<pb/><pb facs="7">in<hi>deep</hi></pb>'}.get(kind, ""))
+        return "".join(out)
+
+    for _ in range(1500):
+        xml = f'<TEI xmlns="u">a<text>{some(4)}<body>{some(0)}</body>{some(4)}</text></TEI>'
+        monkeypatch.setattr(xmltext, "FEED", rng.choice([1, 3, 50]))
+        for strict in (False, True):
+            assert sorted(xmltext.tei_pages(xml, strict)) == sorted(plain_tei(xml, strict)), xml
+
+
+def test_a_long_tei_body_is_never_held_whole(monkeypatch):
+    monkeypatch.setattr(xmltext, "FEED", 1 << 16)
+    page = '<pb facs="{}.tif" type="t"/>' + "<p><lb/>" + "word " * 400 + "</p>"
+    xml = "<TEI><text><body><div>" + "".join(page.format(i) for i in range(3000)) + "</div></body></text></TEI>"
+    tracemalloc.start()
+    try:
+        n = sum(1 for _ in xmltext.tei_pages(xml))
+        assert n == 3000 and tracemalloc.get_traced_memory()[1] < 2 << 20 < len(xml)
+    finally:
+        tracemalloc.stop()
+
+
+def test_tei_table(spark):
+    xml = '<TEI><text><body><pb facs="1"/>no<p>a</p><pb facs="2" type="k"/><p>b</p></body></text></TEI>'
+    rows = xmltext.tei_table(spark.createDataFrame([(1, "k", xml), (2, None, "<bad"), (3, None, None)], "id long, facs_of string, x string"), "x", "id", "facs_of").collect()
+    assert sorted(map(tuple, rows)) == [(1, "k", "1", "", "a"), (1, "k", "2", "k", "b")]
+
+
 def test_tei_pages(spark):
     body = '<pb facs="1" type="t"/>gone<lb/>one <hi>foo <ex>bar</ex> baz</hi> qux<lb/>two<note>aside <hi>leak</hi></note> tail<pb/>x<pb facs="2"/><p>end</p>'
     xml = f'<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>before{body}</body></text></TEI>'

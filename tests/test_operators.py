@@ -1,11 +1,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import markup
 from quirefold.operators import joins, ladder, provenance, reports, samples, sampling
+from quirefold.operators.quantiles import quantiles
 from quirefold.tables import fresh, row_digest
 
 
@@ -164,3 +166,35 @@ def test_conversation_sample(spark):
     user, assistant = spark.range(1).select(samples.conversation(F.lit("do"), F.lit("x.jpg"), F.lit("text")).alias("m")).first().m
     assert (user.role, [c.type for c in user.content], user.content[1].image) == ("user", ["text", "image"], "x.jpg")
     assert (assistant.role, assistant.content[0].text, assistant.content[0].image) == ("assistant", "text", None)
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [0.0, -0.0, 5.5, None, -2.0, 5.5, 5.5], "many"])
+def test_quantiles_by_selection(spark, values):
+    if values == "many":
+        rng = np.random.default_rng(3)
+        values = [*rng.normal(size=3000).tolist(), *[0.25] * 2000, None]
+    df = spark.createDataFrame([(v, "x") for v in values], "p double, v string").repartition(5)
+    found = quantiles(df, F.col("p"), low=0.0, a=0.25, median=0.5, b=0.9, high=1.0)
+    known, row = [v for v in values if v is not None], found.first()
+    assert row.n == len(known)
+    for name, share in (("low", 0.0), ("a", 0.25), ("median", 0.5), ("b", 0.9), ("high", 1.0)):
+        assert row[name] == (pytest.approx(float(np.quantile(known, share)), abs=1e-12) if known else None)
+    assert "percentile" not in found._jdf.queryExecution().toString().lower()
+
+
+def test_digests_tell_nested_values_apart(spark):
+    families = [
+        ["named_struct('t', timestamp'2020-01-01 00:00:00.000001')", "named_struct('t', timestamp'2020-01-01 00:00:00.000002')", "named_struct('t', cast(null as timestamp))", "cast(null as struct<t timestamp>)"],
+        ["array(1, null)", "array(null, 1)", "array(1)", "array(cast(null as int))", "cast(array() as array<int>)", "cast(null as array<int>)"],
+        ["map('a', 1)", "map('a', null)", "map('b', 1)", "map('a', 1, 'b', 2)", "cast(map() as map<string, int>)"],
+        ["array(named_struct('b', X'00'))", "array(named_struct('b', X''))", "array(named_struct('b', X'0000'))"],
+        ["make_interval(0, 1)", "make_interval(0, 0, 0, 30)", "cast(null as interval)"],
+        ["interval '1' second", "interval '1.000001' second"],
+        ["0.0d", "-0.0d", "double('nan')"],
+        ["parse_json('{\"a\": 1}')", "parse_json('{\"a\": \"1\"}')", "parse_json('null')", "cast(null as variant)"],
+    ]
+    for family in families:
+        df = spark.sql(" union all ".join(f"select {x} as a, 1 as b" for x in family))
+        assert df.select(row_digest(df)).distinct().count() == len(family), family
+    swapped = spark.sql("select map('a', 1, 'b', 2) as a union all select map('b', 2, 'a', 1)")
+    assert swapped.select(row_digest(swapped)).distinct().count() == 1

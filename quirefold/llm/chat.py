@@ -15,7 +15,8 @@ task holds a whole long conversation, and the result is a row a turn: the conver
 Costs are whole numbers, ties fall to the first of stay, relabel, merge, insert, and to the lower state, at the ends of
 runs first; so reruns agree, and costs are the same whatever the cuts. Defined cases: roles are read without case and outer blanks, and names in
 `ALIASES` count as what they stand for; an unknown or null role may become any role at the same price; a null text is
-empty; rows that repeat a turn number are ordered by a hash of role and text, and exact repeats are one turn; a null conv_id
+empty; rows that repeat a turn number are ordered by a hash of role and text (those with more than `RUN` equal copies last); equal
+rows are as many turns; a null conv_id
 is a conversation of its own, turns without number come first; an empty table gives none.
 """
 
@@ -139,18 +140,29 @@ def render(role: int, text: str, fresh: bool) -> str:
 
 
 def _runs(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, run: int) -> DataFrame:
-    """conv, run (three numbers that order a conversation's runs) and turns: about `run` rows each at most."""
+    """conv, run (five numbers that order a conversation's runs) and turns: about `run` rows each at most, equal ones once with
+    their number of copies."""
     first = F.lit(-(2**63))
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).distinct()
+    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.groupBy("conv", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
     rows = rows.withColumns({"h": F.xxhash64(F.col("role").isNull(), "role", "text"), "bucket": F.coalesce(F.floor(F.col("turn") / run).cast("long"), first)})
-    full = rows.groupBy("conv", "bucket").agg(F.ceil(F.count(F.lit(1)) / run).alias("parts")).where("parts > 1")
+    full = rows.groupBy("conv", "bucket").agg(F.ceil(F.sum("copies") / run).alias("parts")).where("parts > 1")
     full = written(full.withColumnsRenamed({"conv": "c", "bucket": "b"}), "chat-full")
     rows = rows.join(full, F.col("conv").eqNullSafe(F.col("c")) & (F.col("bucket") == F.col("b")), "left")
     place = F.shiftrightunsigned(F.col("h").bitwiseXOR(first), 33)  # in the order of h, from 0 to 2^31
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.shiftright(place * F.col("parts"), 31)).cast("long")
     own = F.when(F.col("parts").isNull(), first).otherwise(F.coalesce("turn", first))
-    rows = rows.withColumn("run", F.array("bucket", own, part))
-    return rows.groupBy("conv", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "h", "role", "text"))).alias("turns"))
+    # copies that are more than a run have runs of their own
+    many = F.col("copies") > run
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.when(many, F.floor((F.col("copies") - 1) / run)).otherwise(0))))
+    rows = rows.withColumn("run", F.array("bucket", own, part, F.when(many, F.col("h")).otherwise(first), "block"))
+    rows = rows.withColumn("copies", F.when(many, F.least(F.lit(run).cast("long"), F.col("copies") - F.col("block") * run)).otherwise(F.col("copies")).cast("int"))
+    return rows.groupBy("conv", "run").agg(F.array_sort(F.collect_list(F.struct("turn", "h", "role", "text", "copies"))).alias("turns"))
+
+
+def _each(turns: list[dict]) -> list[dict]:
+    """A run's turns, each copy by itself."""
+    return [t for t in turns for _ in range(t["copies"])]
 
 
 def _matrices(items: list[dict]) -> list[np.ndarray]:
@@ -227,20 +239,21 @@ def _states(runs: DataFrame, weighed: DataFrame, kind: str, most: int) -> DataFr
 
 def repaired(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", run: int = RUN, most: int = MOST) -> DataFrame:
     """conv_id, turn, role (as read), new_role, action (stay, relabel, merge), inserted (empty turns before), cost, closing
-    (empty turns after a conversation's last row), segment (its part of the rendered text) and place (four numbers that
+    (empty turns after a conversation's last row), segment (its part of the rendered text) and place (six numbers that
     order a conversation's rows), a row a turn."""
     runs = written(_runs(turns, conv_col, turn_col, role_col, text_col, run), "chat-runs")
     kind = turns.schema[conv_col].dataType.simpleString()
 
     def weigh(batches):
         for batch in batches:
-            roles = [[role_number(t["role"]) for t in row] for row in batch.column(2).to_pylist()]
+            roles = [[role_number(t["role"]) for t in _each(row)] for row in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([product(r).ravel().tolist() for r in roles], pa.list_(pa.int64()))], ["conv", "run", "costs"])
 
     def solve(batches):
         for batch in batches:
             rows: list[tuple] = []
             for conv, run, items, enter, leave, last in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                items = _each(items)
                 roles = [role_number(t["role"]) for t in items]
                 state = enter
                 for k, (turn, role, after) in enumerate(zip(items, roles, path(roles, enter, leave), strict=True)):

@@ -8,7 +8,9 @@ nearest to the budget. Of each length, the wanted number of documents is taken i
 
 The knapsack starts from a proportional part of every length and fits the words that are left. Its sum is taken only when
 it is proven nearest: no sum can be nearer than the nearest multiple of the lengths' greatest common divisor. Where that
-isn't reached, four times as many words are left to it, in the end all of them, which is the knapsack itself.
+isn't reached, four times as many words are left to it. Where documents are few and so long that this would take arrays as long as
+they, sums are listed instead of marked: `FEW` documents, half of them taken and half not, are chosen anew by the two lists of
+the sums of either half (all documents, where there are no more; then the nearest of those sums is the nearest there is).
 
 Scale: only (source, length) counts reach one task, one source at a time - never its documents. The hash order within
 a (source, length) group is worked out over slices of the hash range of about `SLICE` rows each, so a group that holds
@@ -35,6 +37,8 @@ WEIGHTS = (3, 1, 2)
 SLICE = 1000
 #: So many words of a budget are left to subset sums at first.
 WINDOW = 1 << 16
+#: From so many words on, sums of few documents are tried first; documents (or powers of two of copies) that two lists hold.
+WIDEST, FEW = 1 << 22, 34
 
 
 def n_words(text: Column) -> Column:
@@ -71,8 +75,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     unit = int(np.gcd.reduce(lengths[some]))
     low = min(budget // unit, total // unit) * unit
     least = min(abs(budget - low), abs(min(low + unit, total) - budget))
-    window = WINDOW
+    window, pieces = WINDOW, int(sum(int(c).bit_length() for c in counts[some]))
+    if budget > window and pieces <= FEW:
+        return _by_halves(lengths, counts, budget)
     while True:
+        if window >= WIDEST:
+            for attempt in range(16):
+                found = _from_few(lengths, counts, budget, attempt)
+                if abs(int((found * lengths).sum()) - budget) == least:
+                    return found
         found = _from_part(lengths, counts, budget, window) if budget > window else _subset(lengths, counts, budget)
         if budget <= window or abs(int((found * lengths).sum()) - budget) == least:
             return found
@@ -93,6 +104,55 @@ def _from_part(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
     return take + _subset(lengths, counts - take, left)
 
 
+def _by_halves(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """`_subset` for few items: the sums of either half of them are listed, and pairs of sums compared."""
+    items: list[tuple[int, int]] = []
+    for i in np.flatnonzero(lengths * counts > 0).tolist():
+        room, some = int(counts[i]), 1
+        while room > 0:
+            items.append((i, min(some, room)))
+            room, some = room - items[-1][1], some * 2
+    halves = [items[::2], items[1::2]]
+    sums = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+    for k, half in enumerate(halves):
+        for i, n in half:
+            sums[k] = np.concatenate([sums[k], sums[k] + n * int(lengths[i])])
+    order = np.argsort(sums[1], kind="stable")
+    known, want = sums[1][order], budget - sums[0]
+    at = np.searchsorted(known, want)
+    best = min(((abs(total - budget), total, a, b) for near in (np.maximum(at - 1, 0), np.minimum(at, len(known) - 1)) for total, a, b in [_nearest(sums[0] + known[near], near, budget)]), key=lambda x: x[:2])
+    out = np.zeros(len(lengths), np.int64)
+    for half, chosen in zip(halves, (best[2], int(order[best[3]])), strict=True):
+        for bit, (i, n) in enumerate(half):
+            out[i] += n * (chosen >> bit & 1)
+    return out
+
+
+def _nearest(totals: np.ndarray, partner: np.ndarray, budget: int) -> tuple[int, int, int]:
+    """The total nearest to the budget (of two as near, the smaller), its place, and its partner."""
+    a = int(np.lexsort((totals, np.abs(totals - budget)))[0])
+    return int(totals[a]), a, int(partner[a])
+
+
+def _from_few(lengths: np.ndarray, counts: np.ndarray, budget: int, attempt: int) -> np.ndarray:
+    """A proportional part of each length up to half the words of FEW documents, other ones in each attempt, which are chosen
+    by their sums for the rest."""
+    order = np.random.default_rng(attempt).permutation(np.flatnonzero(lengths * counts > 0))
+    free = np.zeros(len(lengths), np.int64)
+    while free.sum() < FEW and (free < counts)[order].any():
+        some = order[free[order] < counts[order]][: FEW - int(free.sum())]
+        free[some] += 1
+    rest = counts - free
+    goal = max(0, budget - int((free * lengths).sum()) // 2)
+    take = np.floor(rest * min(1.0, goal / max(1, int((rest * lengths).sum())))).astype(np.int64)
+    goal -= int((take * lengths).sum())
+    for i in order.tolist():
+        more = min(int(rest[i] - take[i]), max(goal, 0) // int(lengths[i]))
+        take[i] += more
+        goal -= more * int(lengths[i])
+    return take + _by_halves(lengths, free, budget - int((take * lengths).sum()))
+
+
 def _subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """Bounded knapsack: the numbers of each length whose sum is nearest to the budget (of two as near, the smaller)."""
     out = np.zeros(len(lengths), np.int64)

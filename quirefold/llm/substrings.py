@@ -155,11 +155,15 @@ def _compacted(found: DataFrame, path: list[str]) -> DataFrame:
     edge a, b names it.
     """
     order = Window.partitionBy(*path).orderBy("at")
-    joins = F.col("enters") & F.lag("leaves").over(order) & (F.lag(F.col("at") + F.col("n")).over(order) == F.col("at"))
+    next_to = F.lag(F.col("at") + F.col("n")).over(order) == F.col("at")
+    again = F.coalesce(next_to & (F.lag("a").over(order) == F.col("a")) & (F.lag("b").over(order) == F.col("b")), F.lit(False))
+    marked = found.withColumn("again", again).withColumn("loop", F.col("again") | F.lead("again", 1, False).over(order))
+    apart = ~F.col("loop") & ~F.lag("loop", 1, False).over(order)
+    joins = F.col("again") | (F.col("enters") & F.lag("leaves").over(order) & next_to & apart)
     run = F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = found.withColumn("run", run).groupBy(*path, "run")
-    first = F.min(F.struct("at", "a", "b"))
-    return runs.agg(first.alias("first"), F.sum("n").cast("int").alias("n")).select("t", "first.at", "n", "first.a", "first.b")
+    runs = marked.withColumn("run", run).groupBy(*path, "run")
+    runs = runs.agg(F.min(F.struct("at", "a", "b")).alias("first"), F.sum("n").cast("int").alias("n"), F.max("loop").alias("loop"), F.count(F.lit(1)).alias("turns"))
+    return runs.select("t", "first.at", "n", "first.a", F.when(F.col("loop"), F.xxhash64("first.b", "turns")).otherwise(F.col("first.b")).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = 64, salt: int = 0) -> DataFrame:

@@ -131,6 +131,8 @@ def _cuts(*keys: np.ndarray) -> np.ndarray:
 
 def _packed(kind: int, part: np.ndarray, owner: np.ndarray, tokens: np.ndarray, names: np.ndarray, sizes: np.ndarray, counts: np.ndarray | None = None):
     """A row for each part: its vertices (16 bytes, and their sizes), how many tokens of each follow, the tokens and their counts."""
+    if not len(part):
+        return
     order = np.lexsort((tokens, owner, part))
     part, owner, tokens = part[order], owner[order], tokens[order]
     counts = counts[order].astype("<u4") if counts is not None else None

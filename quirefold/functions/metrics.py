@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quirefold.functions.blocks import matched
 from quirefold.functions.markup import openers
 from quirefold.functions.text import trim_u
 
@@ -135,7 +135,7 @@ def wer(truth: Column, guess: Column) -> Column:
 def _unmatched(truth: str | None, guess: str | None) -> float | None:
     if truth is None or guess is None:
         return None
-    return 1 - sum(b.size for b in difflib.SequenceMatcher(None, guess, truth).get_matching_blocks()) / max(len(truth), 1)
+    return 1 - matched(guess, truth) / max(len(truth), 1)
 
 
 def _unmatched_series(truth: pd.Series, guess: pd.Series) -> pd.Series:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quirefold.functions.metrics import wer
+from quirefold.functions.metrics import unmatched_share, wer
 from quirefold.operators import joins, reports, samples
-from quirefold.plans.registry import by_bytes, query, read, trimmed
+from quirefold.plans.registry import by_bytes, query, read, read_dealt, trimmed
 
 
 @query("""
@@ -116,6 +116,13 @@ def wer_all(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(wer(F.col("text"), guess), 9).alias("wer"))
 
 
+@query()
+def unmatched_all(spark, sf_dir):
+    """The diagnostic share of each text that is in no matching block; no SQL twin, as DuckDB has no matching blocks."""
+    guess = F.replace(F.replace("text", F.lit("th"), F.lit("t")), F.lit("an"), F.lit("en"))
+    return read_dealt(spark, sf_dir, "documents").select("doc_id", F.round(unmatched_share(F.col("text"), guess), 9).alias("unmatched"))
+
+
 @query("SELECT source, count(*) FILTER (WHERE n_chars % 3 <> 0) AS succeeded, count(*) FILTER (WHERE n_chars % 3 = 0) AS failed FROM documents GROUP BY source")
 def outcome_totals(spark, sf_dir):
     return reports.outcomes(read(spark, sf_dir, "documents"), F.col("n_chars") % 3 != 0, "source")

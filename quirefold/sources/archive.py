@@ -1,7 +1,13 @@
-"""A batch source of archive members: spark.read.format("tarmembers").option("suffixes", ".xml").load(path).
+"""Members of .tar and .tar.gz archives.
 
-Members of .tar and .tar.gz files in a folder, or of those that a pattern names, on any store that executors can open by
-URL; one partition a file; a member is read when its turn comes, so memory follows the largest member.
+`index` lists what archives hold (a task an archive, headers only where an archive isn't compressed), as a table to filter, keep
+and join; `contents` reads the members that are left, dealt out by size: a plain archive is read by many tasks, each at its
+members' offsets, a compressed one by one task from its start. `arriving` gives new archives of a folder as a stream.
+
+spark.read.format("tarmembers").option("suffixes", ".xml").load(path) reads members directly, a partition an archive. Filters
+on archive, member or stem are taken before a member is read.
+
+Any store that executors can open by URL. Memory follows the largest member.
 """
 
 from __future__ import annotations
@@ -9,14 +15,134 @@ from __future__ import annotations
 import fnmatch
 import os
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyarrow.fs import FileSelector, FileType
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
 
 from quirefold.sources.stores import opened
 
+#: Bytes that a task reads of a plain archive, about; bytes of members that a batch holds.
+SPLIT, BATCH = 64 << 20, 8 << 20
+_INDEX = "archive string, member string, stem string, offset long, size long"
+
+
+def listed(path: str) -> list[str]:
+    """The archives of a folder, or those that a pattern in it names."""
+    store, at = opened(path)
+    if store.get_file_info(at).type == FileType.Directory:
+        found, pattern = store.get_file_info(FileSelector(at)), "*.tar*"
+    else:
+        folder, _, pattern = at.rpartition("/")
+        found = store.get_file_info(FileSelector(folder, allow_not_found=True))
+    root = path[: len(path) - len(at)] if path.endswith(at) else ""
+    return [root + name for name in sorted(f.path for f in found if f.type == FileType.File and fnmatch.fnmatch(f.base_name, pattern))]
+
+
+def _stem(member: str) -> str:
+    return os.path.splitext(member.rsplit("/", 1)[-1])[0]
+
+
+def _members(path: str) -> Iterator[tuple[tarfile.TarFile, tarfile.TarInfo, bool]]:
+    """An archive, its members, and whether it is plain: then only headers are read until a member is asked for."""
+    store, at = opened(path)
+    with store.open_input_file(at) as probe:
+        plain = probe.size() >= 262 and probe.read_at(5, 257) == b"ustar"
+    if plain:
+        with store.open_input_file(at) as file, tarfile.open(fileobj=file, mode="r:") as archive:
+            for member in archive:
+                archive.members = []  # or it would keep them all
+                yield archive, member, True
+    else:
+        with store.open_input_stream(at, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
+            for member in archive:
+                archive.members = []
+                yield archive, member, False
+
+
+def index(archives: DataFrame, path: str = "path") -> DataFrame:
+    """archive, member, stem, offset (null where the archive is compressed) and size of the files in archives; rows of paths."""
+
+    def run(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                rows = []
+                for _, member, plain in _members(name):
+                    if member.isfile():
+                        rows.append((name, member.name, _stem(member.name), member.offset_data if plain else None, member.size))
+                    if len(rows) >= 10_000:
+                        yield _batch(rows)
+                        rows = []
+                yield _batch(rows)
+
+    def _batch(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["archive", "member", "stem", "offset", "size"])
+
+    return archives.select(path).mapInArrow(run, _INDEX)
+
+
+def archives_of(spark: SparkSession, path: str) -> DataFrame:
+    """The paths of a folder's archives, each a task of its own."""
+    names = listed(path)
+    return spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)))
+
+
+def contents(members: DataFrame, split: int = SPLIT) -> DataFrame:
+    """archive, member, stem, content of rows of an index, of which any may have been left out."""
+
+    def run(batches):
+        for batch in batches:
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+            out, size = [], 0
+            for archive in dict.fromkeys(r[0] for r in rows):
+                for row in _read(archive, [r for r in rows if r[0] == archive]):
+                    out.append(row)
+                    size += len(row[3])
+                    if size > BATCH:
+                        yield _rows(out)
+                        out, size = [], 0
+            yield _rows(out)
+
+    def _rows(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], ["archive", "member", "stem", "content"])
+
+    # members that lie together are read together; a compressed archive is one piece
+    piece = F.when(F.col("offset").isNull(), F.lit(-1)).otherwise(F.floor(F.col("offset") / split))
+    parts = max(1, members.select("archive", piece.alias("piece")).distinct().count())
+    dealt = members.withColumn("piece", piece).repartition(parts, "archive", "piece").sortWithinPartitions("archive", "piece", "offset")
+    return dealt.select("archive", "member", "stem", "offset", "size").mapInArrow(run, "archive string, member string, stem string, content binary")
+
+
+def _read(archive: str, rows: list[tuple]) -> Iterator[tuple[str, str, str, bytes]]:
+    if rows[0][3] is not None:
+        store, at = opened(archive)
+        with store.open_input_file(at) as file:
+            for _, member, stem, offset, size in rows:
+                yield archive, member, stem, file.read_at(size, offset)
+    else:
+        wanted = {r[1] for r in rows}
+        for tar, member, _ in _members(archive):
+            if member.isfile() and member.name in wanted:
+                yield archive, member.name, _stem(member.name), tar.extractfile(member).read()
+
+
+def with_suffix(*suffixes: str) -> Column:
+    """Whether a member's name ends in one of them, whatever its case."""
+    return F.lower("member").rlike("(" + "|".join(s.lower().replace(".", r"\.") for s in suffixes) + ")$")
+
+
+def arriving(spark: SparkSession, folder: str, per_batch: int = 16) -> DataFrame:
+    """path of new archives below a folder, a few a trigger; only their names are read. Archives must be moved in whole."""
+    read = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    read = read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar*").option("maxFilesPerTrigger", per_batch)
+    return read.load(folder).select("path")
+
 
 class TarMembers(DataSource):
     @classmethod
@@ -39,26 +165,32 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.suffixes = tuple(s.strip().lower() for s in options.get("suffixes", "").split(",") if s.strip())
+        self.asked: list[tuple[str, str, object]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        """Takes what tells members apart by name; Spark keeps the rest."""
+        kinds = {EqualTo: "is", In: "in", StringEndsWith: "ends", StringStartsWith: "starts"}
+        for one in filters:
+            if type(one) in kinds and len(one.attribute) == 1 and one.attribute[0] in ("archive", "member", "stem"):
+                self.asked.append((one.attribute[0], kinds[type(one)], one.value))
+            else:
+                yield one
+
+    def _wanted(self, **names: str) -> bool:
+        tests: dict[str, Callable[[str, object], bool]] = {"is": lambda x, v: x == v, "in": lambda x, v: x in v, "ends": lambda x, v: x.endswith(v), "starts": lambda x, v: x.startswith(v)}
+        return all(tests[kind](names[name], value) for name, kind, value in self.asked if name in names)
 
     def partitions(self) -> list[_Archive]:
-        store, path = opened(self.path)
-        if store.get_file_info(path).type == FileType.Directory:
-            found, pattern = store.get_file_info(FileSelector(path)), "*.tar*"
-        else:
-            folder, _, pattern = path.rpartition("/")
-            found = store.get_file_info(FileSelector(folder, allow_not_found=True))
-        names = sorted(f.path for f in found if f.type == FileType.File and fnmatch.fnmatch(f.base_name, pattern))
-        root = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        return [_Archive(root + name) for name in names]
+        return [_Archive(name) for name in listed(self.path) if self._wanted(archive=name)]
 
     def read(self, partition: _Archive) -> Iterator[tuple]:
-        store, path = opened(partition.path)
-        with store.open_input_stream(path, compression=None) as raw, tarfile.open(fileobj=raw, mode="r|*") as archive:
-            for member in archive:
-                name = member.name.rsplit("/", 1)[-1]
-                if member.isfile() and (not self.suffixes or name.lower().endswith(self.suffixes)):
-                    yield partition.path, member.name, os.path.splitext(name)[0], archive.extractfile(member).read()
+        for archive, member, _ in _members(partition.path):
+            stem = _stem(member.name)
+            if member.isfile() and (not self.suffixes or member.name.lower().endswith(self.suffixes)) and self._wanted(member=member.name, stem=stem):
+                yield partition.path, member.name, stem, archive.extractfile(member).read()
 
 
 def register(spark: SparkSession) -> None:
+    """Registers the format, and lets Spark offer filters to sources in Python, which this one needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TarMembers)

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quirefold.functions import geometry, markup, metrics, text, xmltext
+from quirefold.functions import blocks, geometry, markup, metrics, text, xmltext
 
 
 def one(spark, column, **values):
@@ -267,6 +267,28 @@ PAGES = [
 ]
 
 
+@pytest.mark.parametrize("many", [-1, 3])
+def test_matching_blocks_equal_difflib(monkeypatch, many):
+    monkeypatch.setattr(blocks, "MANY", many)
+    rng = random.Random(3)
+    for _ in range(2000):
+        letters = rng.choice(["ab", "abc", "abcdefgh", "".join(map(chr, range(200, 500)))])
+        n = rng.choice([0, 1, 5, 30, 150, 260, 400])
+        b = "".join(rng.choice(letters) for _ in range(rng.randint(0, n)))
+        a = list(b) if rng.random() < 0.8 else [rng.choice(letters) for _ in range(rng.randint(0, n))]
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(a))
+            a[at : at + rng.randint(0, 5)] = [rng.choice(letters)] * rng.randint(0, 2)
+        a = "".join(a)
+        assert blocks.matched(a, b) == sum(x.size for x in difflib.SequenceMatcher(None, a, b).get_matching_blocks()), (a, b)
+
+
+def test_suffixes():
+    found = blocks.Suffixes("abcbc|xabcx", frozenset("|"))
+    assert found.longest("zzbcxabc") == (4, 6, 4) or found.longest("zzbcxabc")[2] == 4
+    assert found.longest("bc") == (0, 1, 2) and found.longest("|") == (0, 0, 0) and found.longest("c|x")[2] == 1
+
+
 def test_page_xml(spark):
     rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(PAGES)], "i int, x string").select("i", xmltext.page_xml(F.col("x")).alias("p")).orderBy("i").collect()
     for r, (_, want) in zip(rows, PAGES, strict=True):

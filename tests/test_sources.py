@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirefold.sources import archive, files, sinks, tables
-from quirefold.streaming import watch
+from quirefold.streaming import ledger, watch
 
 
 def test_corpus_csv(spark, tmp_path):
@@ -129,3 +129,58 @@ def test_retries(spark, tmp_path):
 
     df = spark.createDataFrame([("p", bytearray(b"x"), "print")], "path string, content binary, kind string")
     assert watch.transcribed(df, transcribe, delay=0.0).first().text == "ok"
+
+
+def _archives(folder, names):
+    for k, kind in ((1, "w:gz"), (2, "w"), (3, "w")):
+        with tarfile.open(folder / f"part{k}.tar{'.gz' if k == 1 else ''}", kind, format=tarfile.PAX_FORMAT if k == 3 else tarfile.GNU_FORMAT) as tar:
+            for i, name in enumerate(names(k)):
+                info = tarfile.TarInfo(name)
+                body = f"{k}-{i}".encode() * (i + 1)
+                info.size = len(body)
+                tar.addfile(info, io.BytesIO(body))
+            folder_ = tarfile.TarInfo("empty/folder")
+            folder_.type = tarfile.DIRTYPE
+            tar.addfile(folder_)
+
+
+def test_split_archives_equal_whole_ones(spark, tmp_path):
+    _archives(tmp_path, lambda k: [f"d{k}/{'long/' * 30 if i % 9 == 0 else ''}p{i}.{'XML' if i % 2 else 'xml' if i % 3 else 'md'}" for i in range(60)])
+    (tmp_path / "empty.tar").write_bytes(b"\0" * 10240)
+    archive.register(spark)
+    whole = {(r.archive.rsplit("/", 1)[1], r.member): bytes(r.content) for r in spark.read.format("tarmembers").load(str(tmp_path)).collect()}
+    index = archive.index(archive.archives_of(spark, str(tmp_path))).cache()
+    assert index.count() == len(whole) == 180 and index.where("offset is null").select("archive").distinct().count() == 1
+    for split in (512, 1 << 20):
+        read = archive.contents(index, split)
+        assert {(r.archive.rsplit("/", 1)[1], r.member): bytes(r.content) for r in read.collect()} == whole
+    some = archive.contents(index.where(archive.with_suffix(".xml") & (F.col("stem") != "p1")), 2048).collect()
+    assert {(r.archive.rsplit("/", 1)[1], r.member) for r in some} == {k for k in whole if k[1].lower().endswith(".xml") and not k[1].endswith("/p1.XML")}
+    assert archive.contents(index.where("false")).count() == 0
+
+
+def test_filters_reach_the_archive_source(spark, tmp_path):
+    _archives(tmp_path, lambda k: ["a/one.xml", "b/two.txt", "b/three.xml"])
+    archive.register(spark)
+    read = spark.read.format("tarmembers").load(str(tmp_path))
+    assert sorted(r.member for r in read.where(F.col("member").endswith(".xml") & F.col("member").startswith("b/")).collect()) == ["b/three.xml"] * 3
+    assert [r.content for r in read.where((F.col("stem") == "two") & F.col("archive").endswith("part2.tar")).collect()] == [bytearray(b"2-12-1")]
+    assert read.where(F.col("stem").isin("one", "two") & (F.length("content") > 3)).count() == 3
+    reader = archive._Reader({"path": str(tmp_path)})
+    kept = list(reader.pushFilters([archive.StringEndsWith(("member",), ".xml"), archive.EqualTo(("content",), b""), archive.In(("stem",), ("one",))]))
+    assert len(kept) == 1 and reader._wanted(member="x.xml", stem="one") and not reader._wanted(member="x.txt", stem="one")
+
+
+def test_archives_arrive(spark, tmp_path):
+    inbox, out = tmp_path / "in", ledger.Ledger(spark, str(tmp_path / "out"), "archive string, member string, stem string, content binary")
+    for run in (1, 2):
+        inbox.mkdir(exist_ok=True)
+        with tarfile.open(tmp_path / "new.tar", "w") as tar:
+            info = tarfile.TarInfo(f"page{run}.xml")
+            info.size = 1
+            tar.addfile(info, io.BytesIO(b"x"))
+        (tmp_path / "new.tar").rename(inbox / f"part{run}.tar")
+        (inbox / "note.txt").write_text("no archive")
+        put = lambda df, n: out.write(archive.contents(archive.index(df)), str(n))
+        archive.arriving(spark, str(inbox)).writeStream.foreachBatch(put).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r.stem for r in out.read().collect()) == [f"page{k}" for k in range(1, run + 1)]

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.llm.common import fresh, split_join, written
+from quirefold.llm.common import fresh, row_digest, split_join, written
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -78,7 +78,7 @@ def _collisions(full: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all columns of docs and no other.
 
-    Where several rows share the winner's id, text and length, one of them stays.
+    Where several rows share the winner's id, text and length, one of them stays, which is told by a hash of all fields.
     """
     names = fresh(docs, "points", "sha", "id", "want", "most", "key", "row")
     points, sha, id_, want, most, key, row = names
@@ -89,7 +89,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(sha) == F.col(want)) & (F.col(points) == F.col(most))
     kept = marked.join(sought, same, "left_semi")
     if not winners.where("n > 1").isEmpty():
-        longest = F.max_by(F.struct(*docs.columns), F.struct(points, F.xxhash64(text_col)))
+        longest = F.max_by(F.struct(*docs.columns), F.struct(points, F.xxhash64(text_col), row_digest(docs), row_digest(docs, 1)))
         return kept.groupBy(sha, F.col(id_col).alias(key)).agg(longest.alias(row)).select(f"{row}.*")
     return kept.select(docs.columns)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quirefold.functions import markup
 from quirefold.functions.metrics import cer, tag_accuracy
 from quirefold.operators import reports
-from quirefold.plans.registry import by_bytes, query, read, trimmed
+from quirefold.plans.registry import by_bytes, query, read, read_dealt, trimmed
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
@@ -142,13 +142,20 @@ def crossed_report(spark, sf_dir):
     return reports.crossed_nesting(pages, "page", "doc_id")
 
 
-@query("""
-WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) // 2 AS n FROM documents)
-SELECT doc_id, n AS anchors, true AS fit FROM l
+_END = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, string_split(replace(text, '<', '('), chr(10)) AS ls FROM documents),
+n AS (SELECT doc_id, ls, len(ls) // 2 AS n, list_transform(ls, lambda x: regexp_replace(x, '{_END}', '')) AS rs FROM l),
+t AS (SELECT doc_id, n, array_to_string(list_transform(range(1, n + 1), lambda k: CASE WHEN rs[2 * k - 1] <> '' THEN CASE WHEN k > 1 THEN chr(10) ELSE '' END || rs[2 * k - 1] || ' ' WHEN k > 1 THEN ' ' ELSE '' END || '<m_ref id="' || k || '"/>'), '')
+|| CASE WHEN len(ls) % 2 = 1 AND rs[-1] <> '' THEN chr(10) || rs[-1] ELSE '' END AS main,
+array_to_string(list_transform(range(1, n + 1), lambda k: '<m id="' || k || '">' || {trimmed("ls[2 * k]")} || '</m>'), chr(10) || chr(10)) AS notes, ls[1] AS alone FROM n)
+SELECT doc_id, n AS anchors, true AS fit, md5(CASE WHEN n = 0 THEN alone ELSE main || chr(10) || chr(10) || '<marginalia>' || chr(10) || notes || chr(10) || '</marginalia>' END) AS page FROM t
 """)
 def anchored_marginalia(spark, sf_dir):
     """Every second line as a note of its own, then numbered: the proposed form with anchors and a section of notes."""
     lines = F.split(F.replace("text", F.lit("<"), F.lit("(")), "\n")
     page = F.array_join(F.transform(lines, lambda x, i: F.when(i % 2 == 1, F.concat(F.lit("<m>"), x, F.lit("</m>"))).otherwise(x)), "\n")
-    docs = read(spark, sf_dir, "documents").select("doc_id", markup.with_anchors(page).alias("t"))
-    return docs.select("doc_id", F.regexp_count("t", F.lit("<m_ref ")).cast("long").alias("anchors"), markup.anchors_fit(F.col("t")).alias("fit"))
+    docs = read_dealt(spark, sf_dir, "documents").select("doc_id", markup.with_anchors(page).alias("t"))
+    return docs.select("doc_id", F.regexp_count("t", F.lit("<m_ref ")).cast("long").alias("anchors"), markup.anchors_fit(F.col("t")).alias("fit"), F.md5(F.col("t").cast("binary")).alias("page"))

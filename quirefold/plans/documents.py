@@ -32,9 +32,11 @@ def relocated_paths(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(tables.relocated(path, "scans").alias("image"))
 
 
-@query("SELECT printf('%05d', i) AS page FROM range(100, 201) t(i)")
+@query("SELECT printf('%05d', i) AS page FROM (SELECT min(page_id) AS low, max(page_id) AS high FROM pages), LATERAL unnest(range(low, high + 1)) t(i)")
 def number_range(spark, sf_dir):
-    return tables.number_range(spark, "00100..00200")
+    """The numbers between the first page's and the last one's."""
+    low, high = read(spark, sf_dir, "pages").agg(F.min("page_id"), F.max("page_id")).first()
+    return tables.number_range(spark, f"{low:05d}..{high:05d}")
 
 
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quirefold.tables import dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("curation", "pairing", "texts", "audits", "documents", "streams")
+MODULES = ("curation", "pairing", "texts", "audits", "documents", "streams", "times")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

@@ -1,12 +1,13 @@
 import json
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quirefold.functions import markup
-from quirefold.operators import joins, ladder, provenance, reports, samples, sampling
+from quirefold.operators import joins, ladder, provenance, reports, samples, sampling, timejoins
 from quirefold.operators.quantiles import quantiles
 from quirefold.tables import fresh, row_digest
 
@@ -198,3 +199,39 @@ def test_digests_tell_nested_values_apart(spark):
         assert df.select(row_digest(df)).distinct().count() == len(family), family
     swapped = spark.sql("select map('a', 1, 'b', 2) as a union all select map('b', 2, 'a', 1)")
     assert swapped.select(row_digest(swapped)).distinct().count() == 1
+
+
+def time_rows(spark, seed):
+    rng = random.Random(seed)
+    moment = lambda: None if rng.random() < 0.03 else datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(600))
+    who = lambda: rng.choice([None, 1, 1, 1, 1, 2, 3])
+    left = [(who(), moment(), i, "x") for i in range(300)]
+    right = [(who(), moment(), 1000 + i, f"v{i}") for i in range(200)]
+    return left, right, spark.createDataFrame(left, "k int, t timestamp, slice int, row string").repartition(3), spark.createDataFrame(right, "k int, t timestamp, id int, v string").repartition(2)
+
+
+@pytest.mark.parametrize(("width", "within"), [(7, None), (60, 25), (100_000, None)])
+def test_as_of_equals_a_search(spark, width, within):
+    left, right, a, b = time_rows(spark, width)
+    minute = 60_000_000
+    got = sorted(tuple(r) for r in timejoins.as_of(a.where("slice >= 0"), b, "k", "t", ["id", "v"], "id", within and within * minute, width * minute).select("slice", "id", "v").collect())
+
+    def last(k, t):
+        some = [(u, i, v) for j, u, i, v in right if k is not None and t is not None and j == k and u is not None and u <= t and (within is None or t - u <= timedelta(minutes=within))]
+        return max(some)[1:] if some else (None, None)
+
+    key = lambda r: (r[0], str(r[1:]))
+    assert sorted(got, key=key) == sorted(((i, *last(k, t)) for k, t, i, _ in left), key=key)
+    assert timejoins.as_of(a, b.where("false"), "k", "t", ["id"], "id").where("id is null").count() == len(left)
+
+
+@pytest.mark.parametrize("unit", [1, 60, 5000])
+def test_points_in_intervals_equal_all_pairs(spark, unit):
+    left, right, a, b = time_rows(spark, unit)
+    rng = random.Random(unit)
+    long_ = {i: rng.choice([-5, 0, 1, 2, 7, 60, 61, 500]) for _, _, i, _ in left}
+    spans = a.join(spark.createDataFrame(list(long_.items()), "slice int, minutes int"), "slice").withColumnRenamed("t", "s").withColumn("e", F.expr("s + make_dt_interval(0, 0, minutes)"))
+    got = sorted((r.slice, r.id) for r in timejoins.points_in(spans, b, "k", "s", "e", "t", unit * 60_000_000).collect())
+    want = sorted((i, p) for k, s, i, _ in left for j, t, p, _ in right if k is not None and j == k and s is not None and t is not None and s <= t < s + timedelta(minutes=long_[i]))
+    assert got == want and len(want) > 500
+    assert timejoins.points_in(spans.where("false"), b, "k", "s", "e", "t").count() == 0

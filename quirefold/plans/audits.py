@@ -136,7 +136,7 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range
 SELECT doc_id, line, 'i' AS closer, 'cs' AS open, '<i>' || t || '<cs>x</i></cs>' AS text FROM l WHERE length(t) % 2 = 0
 """)
 def crossed_report(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("<"), F.lit("(")))
+    docs = read_dealt(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("<"), F.lit("(")))
     crossed = lambda t: F.when(F.length(t) % 2 == 0, F.concat(F.lit("<i>"), t, F.lit("<cs>x</i></cs>"))).otherwise(t)
     pages = docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), crossed), "\n").alias("page"))
     return reports.crossed_nesting(pages, "page", "doc_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quirefold.functions import geometry, markup, text
-from quirefold.plans.registry import query, read
+from quirefold.plans.registry import query, read, read_dealt
 
 
 _UNSAFE = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\-]"
@@ -67,7 +67,7 @@ def display_cut(spark, sf_dir):
 @query("SELECT doc_id, text FROM documents")
 def unwrapped_tags(spark, sf_dir):
     marked = F.concat(F.lit("<ann1>"), F.replace("text", F.lit("\n"), F.lit("</ann2 />\n<ann3>")), F.lit("</ann4>"))
-    return read(spark, sf_dir, "documents").select("doc_id", markup.unwrapped(marked).alias("text"))
+    return read_dealt(spark, sf_dir, "documents").select("doc_id", markup.unwrapped(marked).alias("text"))
 
 
 _HALF = "string_split(replace(text, '. ', '.</m> '), chr(10))"
@@ -80,7 +80,7 @@ SELECT doc_id, array_to_string(ls, chr(10)) AS text FROM b
 """)
 def line_balance(spark, sf_dir):
     half = F.replace("text", F.lit(". "), F.lit(".</m> "))
-    return read(spark, sf_dir, "documents").select("doc_id", markup.line_balanced(half).alias("text"))
+    return read_dealt(spark, sf_dir, "documents").select("doc_id", markup.line_balanced(half).alias("text"))
 
 
 # Tags of a document's own would be markup: their brackets are turned.
@@ -89,7 +89,7 @@ _TRIMMED = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+\n',
 
 
 def _plain(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("<"), F.lit("(")).alias("text"))
+    return read_dealt(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("<"), F.lit("(")).alias("text"))
 
 
 @query(rf"""

@@ -1,5 +1,7 @@
 """Queries over whole tables, on rows that their SQL twins were once spared."""
 
+import difflib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,10 @@ def test_blank_truths_are_dropped(spark):
     guesses = spark.createDataFrame([(1, "m", "x"), (3, "m", "a")], "doc_id long, model string, guess string")
     assert [r.doc_id for r in joins.with_guess(truth, guesses, "doc_id", F.col("truth")).collect()] == [3]
     assert [r.doc_id for r in joins.every_model(truth, guesses, "doc_id", F.col("truth")).collect()] == [3]
+
+
+def test_unmatched_shares_equal_difflib(spark, pages):
+    folder, rows = pages
+    found = {r.doc_id: r.unmatched for r in registry.queries()["unmatched_all"](spark, folder).collect()}
+    same = {i: sum(b.size for b in difflib.SequenceMatcher(None, changed(t), t).get_matching_blocks()) for i, _, t in rows}
+    assert found == {i: pytest.approx(1 - same[i] / max(len(t), 1), abs=1e-8) for i, _, t in rows}

@@ -46,7 +46,7 @@ def test_repair_is_cheapest_legal_and_independent_of_the_cuts(spark):
         found = chat.rendered(turns, run=run).collect()
         results.append(sorted((str(r.conv_id), r.cost) for r in found))
         for r in found:
-            mine = sorted({x for x in rows if x[0] == r.conv_id}, key=lambda x: (x[1] is not None, x[1], x[2] is not None, x[2], x[3] or ""))
+            mine = sorted((x for x in rows if x[0] == r.conv_id), key=lambda x: (x[1] is not None, x[1], x[2] is not None, x[2], x[3] or ""))
             assert r.cost == brute([chat.role_number(x[2]) for x in mine])
             roles = [p[0] for p in parsed(r.text)]
             assert roles[-1] == "assistant" and [x for x in roles if x != "system"] == ["user", "assistant"] * ((len(roles) - ("system" in roles)) // 2) and "system" not in roles[1:]

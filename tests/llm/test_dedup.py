@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from quirefold.llm import components, exact_dedup, minhash, substrings
+from quirefold.llm import components, exact_dedup, links, minhash, substrings
 
 from .conftest import BLANK, words
 
@@ -69,7 +69,7 @@ def near_brute(rows, percent):
 
 def test_near_duplicates_equal_brute_force(docs, odd_texts, monkeypatch):
     for percent, block in ((85, 256), (80, 4)):
-        monkeypatch.setattr(minhash, "BLOCK", block)
+        monkeypatch.setattr(links, "BLOCK", block)
         want = near_brute(list(enumerate(odd_texts)), percent)
         got = minhash.near_duplicates(docs, percent).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want

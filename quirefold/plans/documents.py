@@ -36,7 +36,8 @@ def relocated_paths(spark, sf_dir):
 def number_range(spark, sf_dir):
     """The numbers between the first page's and the last one's."""
     low, high = read(spark, sf_dir, "pages").agg(F.min("page_id"), F.max("page_id")).first()
-    return tables.number_range(spark, f"{low:05d}..{high:05d}")
+    found = tables.number_range(spark, f"{low or 0:05d}..{high or 0:05d}")
+    return found if low is not None else found.limit(0)
 
 
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")

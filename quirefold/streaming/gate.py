@@ -1,7 +1,8 @@
 """Files that are still being written wait at a gate: keyed state with timers, in place of a driver that sleeps.
 
 A key passes once its size has been the same `looks` times in a row after the first sight. Nothing is given up: a file
-that grows for hours keeps its state, which the checkpoint holds, and passes when it rests.
+that grows for hours keeps its state, which the checkpoint holds, and passes when it rests. State with timers needs Spark's
+RocksDB store, which the functions set for the session.
 """
 
 from __future__ import annotations

@@ -1,6 +1,5 @@
 import io
 import tarfile
-import time
 
 import pytest
 from pyspark.sql import functions as F

@@ -84,3 +84,23 @@ def test_unmatched_shares_equal_difflib(spark, pages):
     found = {r.doc_id: r.unmatched for r in registry.queries()["unmatched_all"](spark, folder).collect()}
     same = {i: sum(b.size for b in difflib.SequenceMatcher(None, changed(t), t).get_matching_blocks()) for i, _, t in rows}
     assert found == {i: pytest.approx(1 - same[i] / max(len(t), 1), abs=1e-8) for i, _, t in rows}
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """Documents whose numbers outgrow the five digits of a file name's counter."""
+    folder = tmp_path_factory.mktemp("many")
+    spark.range(99_990, 100_030).union(spark.range(1_234_560, 1_234_580)).selectExpr("id AS doc_id", "'s' AS source").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def by_sql(folder, name):
+    duckdb = pytest.importorskip("duckdb")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    return connection.sql(registry.oracle_sql()[name])
+
+
+def test_name_census_of_long_counters(spark, many):
+    found = registry.queries()["name_census"](spark, many).select("origin", "n").collect()
+    assert sorted(map(tuple, found)) == sorted(by_sql(many, "name_census").select("origin, n").fetchall())

@@ -104,3 +104,8 @@ def by_sql(folder, name):
 def test_name_census_of_long_counters(spark, many):
     found = registry.queries()["name_census"](spark, many).select("origin", "n").collect()
     assert sorted(map(tuple, found)) == sorted(by_sql(many, "name_census").select("origin, n").fetchall())
+
+
+def test_sources_of_names_with_long_counters(spark, many):
+    found = registry.queries()["source_from_name"](spark, many).select("doc_id", "detected", "filled").collect()
+    assert sorted(map(tuple, found)) == sorted(by_sql(many, "source_from_name").select("doc_id, detected, filled").fetchall())

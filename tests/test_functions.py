@@ -395,3 +395,18 @@ def test_tei_pages(spark):
     spark.udtf.register("tei_pages_test", xmltext.tei_function())
     spark.createDataFrame([(xml,), (None,)], "x string").createOrReplaceTempView("tei_test")
     assert spark.sql("select p.* from tei_test, lateral tei_pages_test(x) p").count() == 2
+
+
+def test_matching_blocks_of_long_prose_are_found_in_one_pass(monkeypatch):
+    random.seed(7)
+    words = ["the", "anther", "on", "Qu", "zix", "re-", "vex", "hand,", "jot.", "a"]
+    truth = " ".join(random.choices(words, k=1500))
+    cases = [(truth.replace("th", "t").replace("an", "en"), truth), (truth[4000:] + truth[:4000], truth), (truth[:300], truth[200:]), (truth[::-1], truth), (truth, truth)]
+    want = [sum(block.size for block in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in cases]
+
+    def never(*_, **__):
+        raise AssertionError("searched again for every block")
+
+    monkeypatch.setattr(blocks.difflib, "SequenceMatcher", never)
+    monkeypatch.setattr(blocks, "Suffixes", never)
+    assert [blocks.matched(a, b) for a, b in cases] == want

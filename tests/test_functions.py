@@ -410,3 +410,32 @@ def test_matching_blocks_of_long_prose_are_found_in_one_pass(monkeypatch):
     monkeypatch.setattr(blocks.difflib, "SequenceMatcher", never)
     monkeypatch.setattr(blocks, "Suffixes", never)
     assert [blocks.matched(a, b) for a, b in cases] == want
+
+
+def test_distance_of_prose_is_proven_by_pieces(monkeypatch):
+    random.seed(11)
+    truth = " ".join("".join(random.choices(["th", "an", "er", "on", "st", "e", "ly", "re", "ti", "ou", "in", "nd", "wh", "ble", "es", "ha"], k=random.randint(1, 4))) for _ in range(900))
+    pairs = [(truth, truth.replace("th", "t").replace("an", "en")), (truth[:500] + "Qx" + truth[500:], truth), (truth, truth[:700] + truth[703:] + "!")]
+    want = [metrics.edit_distance(a, b) for a, b in pairs]
+
+    def never(*_):
+        raise AssertionError("compared in full")
+
+    monkeypatch.setattr(metrics, "edit_distance", never)
+    monkeypatch.setattr(metrics, "_banded", never)
+    assert [metrics.trimmed_distance(a, b) for a, b in pairs] == want
+    assert [metrics.trimmed_distance(b, a) for a, b in pairs] == want
+
+
+@pytest.mark.parametrize("letters", ["ab", "abc ", "abcdefgh", "abcdefghijklmnopqrstuvwxyz  "])
+def test_proven_distances_equal_the_plain_ones(letters):
+    random.seed(13)
+    for n in [64, 65, 90, 200, 400] * 12:
+        a, often = "".join(random.choices(letters, k=n)), random.choice([0.01, 0.05, 0.2])
+        b = "".join(c if random.random() > often else random.choice(["", random.choice(letters), c + random.choice(letters), "\n" * 20]) for c in a)
+        b = random.choice([b, b, b[30:] + b[:30], b[:20] + b[50:], "".join(random.choices(letters, k=n))])
+        want = metrics.edit_distance(a, b)
+        assert metrics.trimmed_distance(a, b) == metrics.trimmed_distance(b, a) == want
+        groups = metrics._some_edits(a, b)
+        taken = sum(edits for _, _, edits in groups)
+        assert taken >= want and (taken == want or not metrics._needed(a, b, groups))

@@ -128,7 +128,7 @@ SELECT doc_id, round(CASE WHEN truth = '' THEN (guess <> '')::INT::DOUBLE ELSE {
 """)
 def tag_stripped_cer(spark, sf_dir):
     """Every document, of any characters; tags of its own are stripped from both sides."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.round(cer(markup.stripped(F.col("text")), _marked_guess()), 9).alias("cer"))
+    return read_dealt(spark, sf_dir, "documents").select("doc_id", F.round(cer(markup.stripped(F.col("text")), _marked_guess()), 9).alias("cer"))
 
 
 @query("""

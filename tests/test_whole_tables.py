@@ -109,3 +109,8 @@ def test_name_census_of_long_counters(spark, many):
 def test_sources_of_names_with_long_counters(spark, many):
     found = registry.queries()["source_from_name"](spark, many).select("doc_id", "detected", "filled").collect()
     assert sorted(map(tuple, found)) == sorted(by_sql(many, "source_from_name").select("doc_id, detected, filled").fetchall())
+
+
+def test_stripped_rates_of_one_file_are_dealt_out(spark, tmp_path):
+    spark.range(40).selectExpr("id AS doc_id", "'than the other' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.queries()["tag_stripped_cer"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4

@@ -10,18 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirefold.tables import dealt, discard, fresh, own_folder, row_digest, written
+from quirefold.tables import BATCH_BYTES, BATCH_ROWS, bounded, dealt, discard, fresh, own_folder, row_digest, written
 
 __all__ = ["BATCH_BYTES", "BATCH_ROWS", "dealt", "discard", "fresh", "own_folder", "row_digest", "split_join", "table", "tidy", "tune", "written"]
 
-#: Arrow batches that reach Python hold at most this much text (a single longer row still goes alone).
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by bytes, so that very long texts never pile up in one Python worker, and lets Spark drop a
-    query's shuffle files when it ends: what outlives it is a written table."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bounds Arrow batches, and lets Spark drop a query's shuffle files when it ends: what outlives it is a written table."""
+    bounded(spark)
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 

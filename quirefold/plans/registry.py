@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirefold.tables import dealt
+from quirefold.tables import bounded, dealt
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODULES = ("curation", "pairing", "texts", "audits", "documents", "streams", "times")
@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return bounded(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def read_dealt(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -11,9 +11,19 @@ from pyspark.sql import types as T
 
 from quirefold.session import shared_folder
 
+#: Arrow batches that reach Python hold at most this much text (a single longer row still goes alone).
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
+
 _own: dict[str, str] = {}
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes, so that very long texts never pile up in one Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def own_folder(spark: SparkSession) -> str:
     """This application's folder below the shared one; it is removed when the driver ends."""
     app = spark.sparkContext.applicationId

@@ -114,3 +114,14 @@ def test_sources_of_names_with_long_counters(spark, many):
 def test_stripped_rates_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(40).selectExpr("id AS doc_id", "'than the other' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()["tag_stripped_cer"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+def test_arrow_batches_of_queries_are_bounded_by_bytes(spark, tmp_path):
+    for name in ("maxBytesPerBatch", "maxRecordsPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    spark.range(100).selectExpr("id AS doc_id", "repeat('a', 100000) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = F.pandas_udf(lambda texts: texts.map(lambda _: len(texts)), "long")
+    found = registry.read(spark, str(tmp_path), "documents").select(rows("text").alias("n")).agg(F.max("n")).first()[0]
+    assert found <= 50
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

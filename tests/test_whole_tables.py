@@ -125,3 +125,12 @@ def test_arrow_batches_of_queries_are_bounded_by_bytes(spark, tmp_path):
     assert found <= 50
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def above_the_function(df):
+    """The plan's steps that work on what the function of the rates returns."""
+    return df._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[0]
+
+
+def test_nothing_is_trimmed_again_for_a_rate(spark, pages):
+    assert "regexp_replace" not in above_the_function(registry.queries()["cer_all"](spark, pages[0]))

@@ -132,5 +132,6 @@ def above_the_function(df):
     return df._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[0]
 
 
-def test_nothing_is_trimmed_again_for_a_rate(spark, pages):
-    assert "regexp_replace" not in above_the_function(registry.queries()["cer_all"](spark, pages[0]))
+@pytest.mark.parametrize("name", ["cer_all", "cer_macro_by_source"])
+def test_nothing_is_trimmed_again_for_a_rate(spark, pages, name):
+    assert "regexp_replace" not in above_the_function(registry.queries()[name](spark, pages[0]))

@@ -38,13 +38,13 @@ CANONICAL = {"krigshovrattens_dombocker_seg": "krigshovrattens_seg"}
 
 
 def source_of(path: Column, rules: Iterable[tuple[str, str]] = tuple(NAME_RULES)) -> Column:
-    """The source a file name stands for: the first rule that fits, else unknown.
+    """The source a file name stands for: the first rule that fits, else unknown; null where there is no name.
 
     A counter has five digits, or from 100,000 on as many as it takes; then none of them leads with a zero, as identifiers do.
     """
     rest = F.regexp_replace(file_name(path), r"^(?:\d{5}|[1-9]\d{5,})_", "")
     hits = [F.when(rest.rlike("^" + start), source) for start, source in rules]
-    return F.coalesce(*hits, F.lit(UNKNOWN))
+    return F.when(path.isNotNull(), F.coalesce(*hits, F.lit(UNKNOWN)))
 
 
 def filled_source(source: Column, path: Column) -> Column:

@@ -1,6 +1,7 @@
 """Queries over whole tables, on rows that their SQL twins were once spared."""
 
 import difflib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,15 @@ def test_sources_of_names_with_long_counters(spark, many):
     assert sorted(map(tuple, found)) == sorted(by_sql(many, "source_from_name").select("doc_id, detected, filled").fetchall())
 
 
+def test_sources_equal_the_sql_on_missing_sources_and_any_number(spark, tmp_path):
+    numbers = [*range(-60, 60), *range(99_900, 100_100), -(1 << 63), (1 << 63) - 1, None]
+    rows = [(i, (None, "", " ", "s")[(i or 0) // 5 % 4]) for i in numbers]
+    spark.createDataFrame(rows, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, columns in (("source_from_name", ("doc_id", "detected", "filled")), ("name_census", ("origin", "n"))):
+        found = registry.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+        assert Counter(map(tuple, found)) == Counter(by_sql(tmp_path, name).select(", ".join(columns)).fetchall())
+
+
 def test_stripped_rates_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(40).selectExpr("id AS doc_id", "'than the other' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()["tag_stripped_cer"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from quirefold.sources.stores import opened, put
 
-_QUOTED = {"header": True, "quote": '"', "escape": '"', "escapeQuotes": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Without charToEscapeQuoteEscaping, Spark takes NUL for one and loses those beside quotes and line breaks.
+_QUOTED = {"header": True, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "escapeQuotes": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_corpus(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A page corpus as CSV that `read_corpus` gives back; with mode append each part still has its own header."""
-    df.write.mode(mode).options(**_QUOTED).option("emptyValue", "").csv(path)
+    """A page corpus as CSV that `read_corpus` gives back: a null is nothing, an empty text is `""`. With mode append each part
+    still has its own header."""
+    df.write.mode(mode).options(**_QUOTED, nullValue="", emptyValue='""').csv(path)
 
 
 def append_rows(df: DataFrame, path: str, columns: tuple[str, ...] = ("failinimi", "transkriptsioon", "allikas")) -> None:

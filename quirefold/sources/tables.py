@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -9,12 +11,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 from quirefold.functions.text import file_name
 
 CORPUS = StructType([StructField(c, StringType()) for c in ("failinimi", "transkriptsioon", "allikas")])
-_QUOTED = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+_QUOTED = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "charToEscapeQuoteEscaping": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_corpus(spark: SparkSession, *paths: str, schema: StructType = CORPUS) -> DataFrame:
-    """Page corpora: quoted fields may hold line breaks and doubled quotes; short rows are filled with nulls."""
-    return spark.read.options(**_QUOTED).schema(schema).csv(list(paths))
+    """Page corpora: quoted fields may hold line breaks and doubled quotes; short rows are filled with nulls. A field without
+    anything is null, a quoted one without anything an empty text."""
+    # Spark reads fields that equal nullValue as null, quoted ones too; no text equals a name made up now
+    return spark.read.options(**_QUOTED, nullValue=f"null-{uuid.uuid4().hex}").schema(schema).csv(list(paths))
 
 
 def relocated(path: Column, folder: str) -> Column:

@@ -1,5 +1,7 @@
+import csv
 import io
 import tarfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,17 @@ def test_corpus_round_trip_and_replacement(spark, tmp_path):
     assert {p.name: p.read_text() for p in (tmp_path / "pages").iterdir()} == {"a.txt": rows[0][1], "b.txt": " lead", "c.txt": "õ\t1", "d.txt": ""}
 
 
+def test_corpus_csv_keeps_nulls_empty_texts_and_any_character(spark, tmp_path):
+    texts = [None, "", '"', '""', "\0", '\0"', '"\0', "\0\n", '\\"', '"\\', ",", "a\rb", "\r\n", '\r\n"', "\n", " ", "\ufeff", "null", '",\n"', '"' * 999]
+    rows = [(f"{i}", a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)]
+    rows += [(None, None, None), ("", "", ""), (None, "", None), ("\0", "\0", "\0")]
+    sinks.write_corpus(spark.createDataFrame(rows, tables.CORPUS), str(tmp_path / "csv"))
+    found = tables.read_corpus(spark, str(tmp_path / "csv"))
+    assert Counter(map(tuple, found.collect())) == Counter(rows) and found.count() == len(rows)
+    plain = [row for part in (tmp_path / "csv").glob("*.csv") for row in list(csv.reader(io.StringIO(part.read_bytes().decode(), newline="")))[1:]]
+    assert Counter(map(tuple, plain)) == Counter(tuple(x or "" for x in row) for row in rows)  # any reader's CSV
+
+
 def test_a_failed_replacement_leaves_the_live_table(spark, tmp_path, monkeypatch):
     df, live, real = spark.range(3), str(tmp_path / "live"), sinks.move
     sinks.replace_with_backup(df, live)

@@ -121,6 +121,14 @@ def test_sources_equal_the_sql_on_missing_sources_and_any_number(spark, tmp_path
         assert Counter(map(tuple, found)) == Counter(by_sql(tmp_path, name).select(", ".join(columns)).fetchall())
 
 
+def test_round_trip_equals_the_sql_on_missing_and_empty_texts(spark, tmp_path):
+    texts = [None, "", "a", '\0"', "a\r\nb", '"a"']
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in texts for b in texts)] + [(None, "", "s"), (None, None, None), (-7, "x", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["csv_round_trip"](spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, found)) == Counter(by_sql(tmp_path, "csv_round_trip").fetchall())
+
+
 def test_stripped_rates_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(40).selectExpr("id AS doc_id", "'than the other' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()["tag_stripped_cer"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4

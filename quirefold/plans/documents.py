@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import io
-import tarfile
 import uuid
 
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from quirefold.functions import xmltext
 from quirefold.operators import provenance
 from quirefold.plans.registry import query, read, read_dealt
 from quirefold.session import shared_folder
-from quirefold.sources import archive, sinks, stores, tables
+from quirefold.sources import archive, sinks, tables
+from quirefold.tables import own_folder, written
 
 
 @query("SELECT 'images/' || doc_id || '.jpg' AS failinimi, text AS transkriptsioon, source AS allikas FROM documents")
@@ -111,31 +108,18 @@ def diary_pages(spark, sf_dir):
 SELECT source, count(*) AS members, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT doc_id) AS stems FROM documents WHERE doc_id % 3 <> 0 GROUP BY source
 """)
 def archive_members(spark, sf_dir):
-    """Documents packed into archives, plain and compressed, a text and a note each, and read back by the archives' index: texts
-    only, with the suffix in either case."""
-    root = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-
-    def pack(batches):
-        task = TaskContext.get()
-        kind = ("", ".gz")[task.partitionId() % 2]
-        store, at = stores.opened(root)
-        store.create_dir(at, recursive=True)
-        name, n = f"{at}/part-{task.partitionId()}-{task.taskAttemptId()}.tar{kind}", 0
-        with store.open_output_stream(f"{name}.draft", compression=None) as raw, tarfile.open(fileobj=raw, mode="w|gz" if kind else "w|") as tar:
-            for batch in batches:
-                for doc, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    suffix = "md" if doc % 3 == 0 else "XML" if doc % 2 else "xml"
-                    body = (text or "").encode()
-                    info = tarfile.TarInfo(f"{source}/{doc}.{suffix}")
-                    info.size = len(body)
-                    tar.addfile(info, io.BytesIO(body))
-                    n += 1
-        store.move(f"{name}.draft", name)
-        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
-
-    docs.repartition(6, "doc_id").mapInArrow(pack, "n long").write.parquet(f"{root}-written")
-    found = archive.index(archive.archives_of(spark, root)).where(archive.with_suffix(".xml"))
-    texts = archive.contents(found, 1 << 20)
-    source = F.split("member", "/")[0]
-    return texts.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("content")).cast("long").alias("bytes"), F.count_distinct("stem").alias("stems"))
+    """Documents packed into archives, plain and compressed, a text or a note each, and read back by the archives' index: texts
+    only, with the suffix in either case. A member's folder is its source; texts that are null lie in a folder `none` below it."""
+    n = F.col("doc_id")
+    suffix = F.when(n % 3 == 0, "md").when(n % 2 == 0, "xml").when(n.isNotNull(), "XML").otherwise("md")
+    # a source as a folder: without slashes, and a percent sign alone where there is none
+    folder = F.coalesce(F.url_encode("source"), F.lit("%"))
+    name = F.concat(folder, F.when(F.col("text").isNull(), "/none/").otherwise("/"), F.coalesce(n.cast("string"), F.lit("-")), F.lit("."), suffix)
+    docs = read(spark, sf_dir, "documents").repartition("doc_id").select(name.alias("name"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
+    packed = written(archive.pack(docs, f"{own_folder(spark)}/archives-{uuid.uuid4().hex}"), "archives")
+    found = written(archive.index(archive.each_alone(packed)).where(archive.with_suffix(".xml")), "archive-index")
+    texts = archive.contents(found, 16 << 20)
+    parts = F.split("member", "/")
+    source = F.when(parts[0] != "%", F.url_decode(F.when(parts[0] != "%", parts[0])))
+    size = F.when(F.size(parts) == 2, F.octet_length("content"))
+    return texts.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("members"), F.sum(size).cast("long").alias("bytes"), F.count_distinct("stem").alias("stems"))

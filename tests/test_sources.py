@@ -171,6 +171,33 @@ def test_split_archives_equal_whole_ones(spark, tmp_path):
     assert archive.contents(index.where("false")).count() == 0
 
 
+def test_a_compressed_archive_is_opened_once_for_all_batches(spark, tmp_path, monkeypatch):
+    _archives(tmp_path, lambda k: [f"p{i % 55}.xml" for i in range(60)])  # five names are there twice
+    asked, opened = {}, []
+    index = archive.index(archive.archives_of(spark, f"{tmp_path}/part1.tar.gz"))
+    whole, real, members = [bytes(r.content) for r in archive.contents(index).collect()], type(index).mapInArrow, archive._members
+    assert sorted(whole) == sorted(f"1-{i}".encode() * (i + 1) for i in range(60))
+    monkeypatch.setattr(type(index), "mapInArrow", lambda df, run, schema: asked.update(rows=df, run=run) or real(df, run, schema))
+    archive.contents(index.where("stem <> 'p7'").cache())
+    monkeypatch.undo()
+    monkeypatch.setattr(archive, "_members", lambda path: opened.append(path) or members(path))
+    found = [c.as_py() for batch in asked["run"](asked["rows"].toArrow().to_batches(max_chunksize=4)) for c in batch.column("content")]
+    assert found == [f"1-{i}".encode() * (i + 1) for i in range(60) if i != 7] and len(opened) == 1
+
+
+def test_packed_archives_are_as_many_as_the_rows_need(spark, tmp_path):
+    rows = {f"d/{i}.xml": f"{i}".encode() * (i % 40) for i in range(300)}
+    df = spark.createDataFrame([(n, bytearray(b)) for n, b in rows.items()], "name string, body binary").repartition(3)
+    for part, least in ((200, 20), (1 << 20, 6)):
+        packed = archive.pack(df, f"file://{tmp_path}/{part}", part).cache()
+        paths = [r.path for r in packed.collect()]
+        assert len(paths) >= least and {p.endswith(".gz") for p in paths} == {True, False} and (part == 200 or len(paths) == 6)
+        alone = archive.each_alone(packed)
+        assert alone.rdd.glom().map(len).collect() == [1] * len(paths)
+        found = archive.contents(archive.index(alone), 1024).collect()
+        assert len(found) == 300 and {r.member: bytes(r.content) for r in found} == rows
+
+
 def test_filters_reach_the_archive_source(spark, tmp_path):
     _archives(tmp_path, lambda k: ["a/one.xml", "b/two.txt", "b/three.xml"])
     archive.register(spark)

@@ -129,6 +129,15 @@ def test_round_trip_equals_the_sql_on_missing_and_empty_texts(spark, tmp_path):
     assert Counter(map(tuple, found)) == Counter(by_sql(tmp_path, "csv_round_trip").fetchall())
 
 
+def test_archive_members_equal_the_sql_on_odd_rows(spark, tmp_path):
+    sources = (None, "", "a/b", "%", "+ õ", "..", "none", "x\ny", "l" * 300)
+    rows = [(i, (None, "", "õ", "text")[i % 4], sources[i % 9]) for i in range(-50, 150)]
+    rows += [(None, "x", "s"), (7, "again", "a/b"), (7, "again", "a/b"), (8, None, "only nulls"), (9, "left out", "only notes")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["archive_members"](spark, str(tmp_path)).collect()
+    assert Counter(map(tuple, found)) == Counter(by_sql(tmp_path, "archive_members").fetchall())
+
+
 def test_stripped_rates_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(40).selectExpr("id AS doc_id", "'than the other' AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()["tag_stripped_cer"](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
